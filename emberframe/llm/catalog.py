@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import decontam, mixing
+from emberframe.llm import decontam, line_dedup, mixing, simhash
 from emberframe.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "matched", "doc_at", "item_at")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -22,9 +30,11 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_decontaminate": op4_decontaminate,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_simhash": op6_simhash,
         "op9_mix": op9_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontam.ORACLE, "op9_mix": mixing.ORACLE}
+    return {"op4_decontaminate": decontam.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_mix": mixing.ORACLE}
