@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import decontam, line_dedup, mixing, simhash
+from emberframe.llm import decontam, line_dedup, mixing, simhash, training_order
 from emberframe.llm.common import table
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.shards(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "matched", "doc_at", "item_at")
@@ -29,6 +33,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_training_order": op3_training_order,
         "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
         "op6_simhash": op6_simhash,
