@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import decontam, line_dedup, mixing, simhash, training_order
+from emberframe.llm import decontam, line_dedup, mixing, quality, simhash, training_order
 from emberframe.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
         "op6_simhash": op6_simhash,
+        "op7_quality": op7_quality,
         "op9_mix": op9_mix,
     }
 
