@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import decontam, line_dedup, mixing, quality, simhash, training_order
+from emberframe.llm import decontam, line_dedup, mixing, quality, simhash, toxicity, training_order
 from emberframe.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_simhash": op6_simhash,
         "op7_quality": op7_quality,
+        "op8_toxicity": op8_toxicity,
         "op9_mix": op9_mix,
     }
 
