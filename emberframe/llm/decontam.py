@@ -46,16 +46,25 @@ def seeds(words: Column) -> Column:
     return F.when(F.size(words) >= WINDOW, F.concat(*per_mask)).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>"))
 
 
-def _best(doc: str, item: str, diagonal: str) -> Column:
-    """(matches, first item position) of the best window along a diagonal; null if no window fits."""
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _best(doc: Column, item: str, diagonal: str) -> Column:
+    """(matches, minus first item position) of the best window along a diagonal; null if no window fits."""
     first = F.greatest(F.lit(0), -F.col(diagonal))
-    length = F.least(F.size(item), F.size(doc) - F.col(diagonal)) - first
-    same = F.zip_with(F.slice(item, first + 1, length), F.slice(doc, first + F.col(diagonal) + 1, length), lambda a, b: F.when(a == b, 1).otherwise(0))
-    sums = F.transform(
-        F.sequence(F.lit(0), length - WINDOW),
-        lambda i: F.struct(F.aggregate(F.slice(same, i + 1, WINDOW), F.lit(0), lambda s, x: s + x).alias("matched"), (-(i + first)).alias("at")),
-    )
-    return F.when(length >= WINDOW, F.array_max(sums))
+
+    def over(words: Column) -> Column:
+        length = F.least(F.size(item), F.size(words) - F.col(diagonal)) - first
+        same = F.zip_with(F.slice(item, first + 1, length), F.slice(words, first + F.col(diagonal) + 1, length), lambda a, b: F.when(a == b, 1).otherwise(0))
+        sums = lambda s: F.transform(
+            F.sequence(F.lit(0), F.size(s) - WINDOW),
+            lambda i: F.struct(F.aggregate(F.slice(s, i + 1, WINDOW), F.lit(0), lambda t, x: t + x).alias("matched"), (-(i + first)).alias("at")),
+        )
+        return F.when(length >= WINDOW, _once(same, lambda s: F.array_max(sums(s))))
+
+    return _once(doc, over)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -72,9 +81,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
     near = near.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), "item_id", "diagonal", "item")
     texts = docs.select("doc_id", "text", text_key().alias("text_key"))
     laid = texts.join(near, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text")))
-    laid = laid.select("doc_id", "text_key", "item_id", "diagonal", "item", tokens(F.col("text")).alias("doc"))
-    best = laid.select("doc_id", "text_key", "item_id", "diagonal", _best("doc", "item", "diagonal").alias("best")).where(F.col("best.matched") >= WINDOW - MISMATCHES)
-    found = best.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct(F.col("best.matched").alias("matched"), (F.col("best.at") - F.col("diagonal")).alias("at"), F.col("best.at").alias("item_at"))).alias("b"))
+    best = laid.select("doc_id", "text_key", "item_id", "diagonal", _best(tokens(F.col("text")), "item", "diagonal").alias("best"))
+    found = best.groupBy("doc_id", "text_key", "item_id").agg(
+        F.max(F.struct(F.col("best.matched").alias("matched"), (F.col("best.at") - F.col("diagonal")).alias("at"), F.col("best.at").alias("item_at"))).alias("b")
+    )
+    found = found.where(F.col("b.matched") >= WINDOW - MISMATCHES)
     return found.select("doc_id", "text_key", "item_id", F.col("b.matched").alias("matched"), (-F.col("b.at")).alias("doc_at"), (-F.col("b.item_at")).alias("item_at"))
 
 
