@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberframe.llm import decontam, line_dedup, mixing, quality, simhash, toxicity, training_order
+from emberframe.llm import decontam, line_dedup, lm_score, mixing, neighbours, quality, simhash, toxicity, training_order
 from emberframe.llm.common import table
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.shards(table(spark, sf_dir, "documents"))
 
@@ -39,8 +44,13 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_neighbours": op2_neighbours,
         "op3_training_order": op3_training_order,
         "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
@@ -48,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_toxicity": op8_toxicity,
         "op9_mix": op9_mix,
+        "op10_lm_score": op10_lm_score,
     }
 
 
