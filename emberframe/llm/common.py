@@ -33,6 +33,17 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(F.col(column), F.col(column).isNull())
 
 
+def hash_sample(rows: DataFrame, key: str, size: int) -> tuple[int, DataFrame]:
+    """(number of rows, the ``size`` rows with the least hash of ``key``); the same rows at every run.
+
+    A filter on the hash keeps what is ranked near ``size`` rows, however many there are.
+    """
+    n = rows.select(key).count()
+    share = min(1.0, (1.2 * size + 1000) / max(n, 1))
+    near = rows if share == 1.0 else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return n, near.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(size)
+
+
 class Texts:
     """A run of rows of an Arrow string column as one byte array with offsets; null reads as empty."""
 

@@ -4,10 +4,11 @@
    coarse centroids and, on the residuals, one codebook for each of ``PARTS``
    groups of components.  Every vector is indexed: its nearest centroid's list
    and a code of one byte a part.
-2. A list is dealt to blocks of about ``BLOCK`` rows, by the list's counted size,
-   so that a list of very many copies is many blocks.  A query visits the lists
-   nearest to it, ``PROBES`` at least and more until they hold ``ENOUGH`` times
-   k rows; it goes to each of their blocks.
+2. A list is dealt to blocks by its counted size, so that a list of very many
+   copies is many blocks.  A query visits the lists nearest to it: as many as
+   hold ``COVERAGE`` of the true neighbours of sample vectors within the sample
+   (few where vectors cluster, most where they don't), and more until they hold
+   ``ENOUGH`` times k rows.  It goes to each of their blocks.
 3. A block's task builds the query's distance tables and adds up the table
    entries of the codes (asymmetric distance), keeps the best ``SHORTLIST`` by
    (distance, id) and reranks them by exact distance in double precision on the
@@ -34,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberframe.llm.common import hash_sample
+
 SAMPLE = 20_000
 LISTS = 1024
-PROBES = 16
+COVERAGE = 0.97
 ENOUGH = 20
 PARTS = 16
-BLOCK = 4096
+#: Most rows of a block; lists over twice the mean size are split anyway.
+BLOCK = 1 << 16
 SHORTLIST = 200
 
 
@@ -59,7 +63,7 @@ def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     out = np.empty((len(x), min(k, len(centres))), np.int64)
     for lo in range(0, len(x), 1024):
         d = (centres**2).sum(1) - 2 * x[lo : lo + 1024] @ centres.T
-        out[lo : lo + 1024] = np.argsort(d, axis=1, kind="stable")[:, : out.shape[1]]
+        out[lo : lo + 1024] = d.argmin(1)[:, None] if k == 1 else np.argsort(d, axis=1, kind="stable")[:, : out.shape[1]]
     return out
 
 
@@ -72,6 +76,20 @@ class Index:
         rest = x - self.centres[nearest(x, self.centres, 1)[:, 0]]
         self.cuts = np.linspace(0, x.shape[1], min(parts, x.shape[1]) + 1).astype(int)
         self.books = [_kmeans(rest[:, a:b], 256, 6, rng) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+        self.probes = self._probes(x, rng)
+
+    def _probes(self, x: np.ndarray, rng: np.random.Generator, k: int = 10, asked: int = 256) -> int:
+        """Lists to visit so that they hold COVERAGE of the k nearest sample vectors of some sample vectors."""
+        own = nearest(x, self.centres, 1)[:, 0]
+        chosen = rng.choice(len(x), min(asked, len(x)), replace=False)
+        place = np.empty((len(chosen), len(self.centres)), np.int64)
+        np.put_along_axis(place, nearest(x[chosen], self.centres, len(self.centres)), np.arange(len(self.centres))[None], axis=1)
+        d = (x**2).sum(1) - 2 * x[chosen] @ x.T
+        d[np.arange(len(chosen)), chosen] = np.inf
+        true = np.argsort(d, axis=1)[:, : min(k, len(x) - 1)]
+        if not true.size:
+            return 1
+        return int(np.quantile(np.take_along_axis(place, own[true], axis=1), COVERAGE, method="higher")) + 1
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
         rest = x - self.centres[own]
@@ -93,18 +111,20 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     return vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", column: str = "embedding", lists: int | None = None, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", column: str = "embedding", lists: int | None = None, probes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row under ``is_query`` (over ``id``) its k nearest other rows found."""
     rows = usable(vectors, id_column, column)
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    n, sample = hash_sample(rows, "id", SAMPLE)
+    sample = sample.toPandas()
     if not len(sample):
         return empty
     width = int(sample["v"].map(len).mode()[0])
     x = np.stack([v for v in sample["v"] if len(v) == width])
     rows = rows.where(F.size("v") == width)
-    lists = lists or int(np.clip(len(x) ** 0.5, 1, LISTS))
-    shared = rows.sparkSession.sparkContext.broadcast(Index(x, lists))
+    index = Index(x, min(lists or int(np.clip(n**0.5 / 4, 1, LISTS)), len(x)))
+    lists, probes = len(index.centres), probes or index.probes
+    shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -119,7 +139,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
     sizes = np.zeros(lists, np.int64)
     for row in indexed.groupBy("list").count().collect():  # one number for each list
         sizes[row["list"]] = row["count"]
-    blocks = np.maximum(1, -(-sizes // BLOCK))
+    blocks = np.maximum(1, -(-sizes // int(np.clip(2 * sizes.mean(), 256, BLOCK))))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value

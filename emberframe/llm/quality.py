@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import Texts, in_fold, mix64, slices
+from emberframe.llm.common import Texts, hash_sample, in_fold, mix64, slices
 from emberframe.llm.words import tokenise
 
 BUCKETS = 1 << 15
@@ -149,7 +149,7 @@ class Network:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, size: int) -> DataFrame:
     """(doc_id, text, y) of at most ``size`` labelled rows of the learning fold, by least hash of the id."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    _, chosen = hash_sample(rows, "doc_id", size)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``size`` rows
 
 
