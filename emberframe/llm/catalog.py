@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import decontam, line_dedup, lm_score, mixing, neighbours, quality, simhash, toxicity, training_order
+from emberframe.llm import decontam, language, line_dedup, lm_score, mixing, neighbours, quality, simhash, toxicity, training_order
 from emberframe.llm.common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
@@ -50,6 +54,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": op1_language,
         "op2_neighbours": op2_neighbours,
         "op3_training_order": op3_training_order,
         "op4_decontaminate": op4_decontaminate,
