@@ -33,10 +33,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import cut, slices
+from emberframe.llm.common import cut, mix64, slices, text_key
 from emberframe.operators.components import connected_components
 
 #: Fingerprints in an upper node beyond which it is factored once more.
@@ -109,12 +109,12 @@ def _gray_rank(code: Column) -> Column:
 
 
 def _nodes(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(view, pattern, sub, subpattern, rank, fp): every fingerprint once for each upper node that holds others too."""
+    """(set, view, pattern, sub, subpattern, rank, fp, v): every fingerprint once for each upper node that holds others too."""
     views = masks(max_bits)
-    first = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for v, m in enumerate(views)))).alias("n"))
-    first = first.select("fp", "n.view", "n.pattern")
-    held = cut(first.groupBy("view", "pattern").agg(F.count("*").alias("rows")).where("rows > 1"))
-    met = first.join(held, ["view", "pattern"])
+    first = fps.select("set", "v", "fp", F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for v, m in enumerate(views)))).alias("n"))
+    first = first.select("set", "v", "fp", "n.view", "n.pattern")
+    held = cut(first.groupBy("set", "view", "pattern").agg(F.count("*").alias("rows")).where("rows > 1"))
+    met = first.join(held, ["set", "view", "pattern"])
     finer = F.array(*(
         F.array(*(F.struct(F.lit(s).alias("sub"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("subpattern"), F.lit(_signed(~(view | m) & ((1 << 64) - 1))).alias("free")) for s, m in enumerate(masks(max_bits, ~view & ((1 << 64) - 1)))))
         for view in views
@@ -122,7 +122,7 @@ def _nodes(fps: DataFrame, max_bits: int) -> DataFrame:
     rest = F.get(F.array(*(F.lit(_signed(~m & ((1 << 64) - 1))) for m in views)), F.col("view"))
     whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subpattern"), rest.alias("free")))
     split = met.withColumn("s", F.explode(F.when(F.col("rows") > NODE_ROWS, F.get(finer, F.col("view"))).otherwise(whole)))
-    return split.select("view", "pattern", "s.sub", "s.subpattern", _gray_rank(F.col("fp").bitwiseAND(F.col("s.free"))).alias("rank"), "fp")
+    return split.select("set", "view", "pattern", "s.sub", "s.subpattern", _gray_rank(F.col("fp").bitwiseAND(F.col("s.free"))).alias("rank"), "fp", "v")
 
 
 def _levels(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -190,58 +190,81 @@ def _forest(codes: np.ndarray, max_bits: int) -> np.ndarray:
     return root
 
 
-def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(a, b): fingerprints joined by a chain of links, as a spanning forest of every upper node. ``fps`` holds distinct ``fp``."""
+def _nearest(codes: np.ndarray, max_bits: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every code its ``n`` nearest linked codes (ties to the earlier in Gray order), as index pairs."""
+    best = np.full((len(codes), n), 1 << 40, np.int64)  # distance and index in one number
+    for a, b in linked_pairs(codes, max_bits):
+        d = np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64) << 32
+        own, other = np.concatenate([a, b]), np.concatenate([d | b, d | a])
+        order = np.lexsort((other, own))
+        own, other = own[order], other[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        own, other, place = own[place < n], other[place < n], place[place < n]
+        more = np.full_like(best, 1 << 40)
+        more[own, place] = other
+        best = np.sort(np.concatenate([best, more], axis=1), axis=1)[:, :n]
+    row, col = np.nonzero(best < 1 << 40)
+    return row, best[row, col] & ((1 << 32) - 1)
+
+
+def links(fps: DataFrame, max_bits: int = 2, nearest: int = 0) -> DataFrame:
+    """(a, b): vertices joined by links, a spanning forest for every upper node.
+
+    ``fps`` has (set, fp, v): fingerprints of different sets don't meet.  With
+    ``nearest`` every vertex also names that many of its nearest in each node,
+    for callers that check links further.
+    """
+    keys = ["set", "view", "pattern", "sub", "subpattern"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ("view", "pattern", "sub", "subpattern")
-
-        def search(node: list[np.ndarray], fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def search(node: list[np.ndarray], fp: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
             change = np.zeros(len(fp), bool)
             change[0] = True
             for k in node:
                 change[1:] |= k[1:] != k[:-1]
             starts = np.flatnonzero(change)
-            a, b = [], []
-            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(fp)], strict=True):
-                if hi - lo == 2:  # the commonest node: two leaves
-                    if (int(fp[lo]) ^ int(fp[lo + 1])).bit_count() <= max_bits:
-                        a.append(fp[lo : lo + 1])
-                        b.append(fp[lo + 1 : hi])
-                elif hi - lo > 2:
-                    codes = fp[lo:hi]
-                    root = _forest(codes, max_bits)
-                    moved = np.flatnonzero(root != np.arange(len(codes)))
-                    a.append(codes[moved])
-                    b.append(codes[root[moved]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
+            ends = np.append(starts[1:], len(fp))
+            pairs = starts[ends - starts == 2]  # the commonest node: two leaves
+            pairs = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= max_bits]
+            a, b = [v[pairs]], [v[pairs + 1]]
+            for lo, hi in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+                codes, names = fp[lo:hi], v[lo:hi]
+                root = _forest(codes, max_bits)
+                moved = np.flatnonzero(root != np.arange(len(codes)))
+                a.append(names[moved])
+                b.append(names[root[moved]])
+                if nearest and len(moved):
+                    own, other = _nearest(codes, max_bits, nearest)
+                    a.append(names[own])
+                    b.append(names[other])
+            a, b = np.concatenate(a), np.concatenate(b)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         held: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy() for k in (*keys, "fp")]
+            cols = [batch.column(k).to_numpy() for k in (*keys, "fp", "v")]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             same = np.ones(len(cols[0]), bool)
-            for k in cols[:-1]:
+            for k in cols[:-2]:
                 same &= k == k[-1]
             end = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
             if end:
-                yield from search([c[:end] for c in cols[:-1]], cols[-1][:end].view(np.uint64))
+                yield from search([c[:end] for c in cols[:-2]], cols[-2][:end].view(np.uint64), cols[-1][:end])
             held = [c[end:] for c in cols]
         if held is not None and len(held[0]):
-            yield from search(held[:-1], held[-1].view(np.uint64))
+            yield from search(held[:-2], held[-2].view(np.uint64), held[-1])
 
-    keys = ["view", "pattern", "sub", "subpattern"]
-    return _nodes(fps, max_bits).repartition(*keys).sortWithinPartitions(*keys, "rank").mapInArrow(run, "a long, b long").distinct()
+    return _nodes(fps, max_bits).repartition(*keys).sortWithinPartitions(*keys, "rank", "v").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(marked: DataFrame, max_bits: int = 2) -> DataFrame:
     """(doc_id, fp) -> (doc_id, fp, component_id); ``marked`` should be materialised, it is read twice."""
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(links(classes.select("fp"), max_bits)).select(F.col("vertex").alias("fp"), "root")
+    found = connected_components(links(classes.select(F.lit(0).alias("set"), "fp", F.col("fp").alias("v")), max_bits)).select(F.col("vertex").alias("fp"), "root")
     reached = found.join(classes, "fp").groupBy("root").agg(F.min("least").alias("component"))
     grown = found.join(reached, "root").select("fp", "component")
     labelled = cut(classes.join(grown, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
@@ -252,3 +275,81 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     """Per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
     found = components(cut(fingerprints(docs, shingle)), max_bits)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Near copies by similarity: word-set fingerprints of a text, the bits in which two may differ, and partners named in a node.
+SETS = 4
+SET_BITS = 3
+PARTNERS = 2
+
+
+def _content(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, h1, h2, fps): 128-bit hash of the word sequence, and SETS fingerprints of the set of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            digests, fps = [], []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                words = (text or b"").lower().split()
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                words = set(words)
+                h = np.fromiter(map(_hash, words), np.uint64, len(words))
+                for k in range(SETS):
+                    bits = np.unpackbits(mix64(h + np.uint64(k)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    fps.append(np.packbits(bits.sum(0, dtype=np.int32) * 2 > len(h), bitorder="little"))
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            fps = np.concatenate(fps).view(np.int64).reshape(-1, SETS) if fps else np.zeros((0, SETS), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(fps.tolist(), pa.list_(pa.int64()))], ["doc_id", "text_key", "h1", "h2", "fps"]
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, h1 long, h2 long, fps array<long>")
+
+
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(v, text) -> (v, shingles): distinct hashes of the shingles of ``width`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t or b"", width)])).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(sets, pa.list_(pa.int64()))], ["v", "shingles"])
+
+    return texts.mapInArrow(run, "v long, shingles array<long>")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document, that of the least doc_id, of every group of exact or near copies.
+
+    Texts with the same words in the same order are one vertex.  Candidates come
+    from the Gray-order index over SETS fingerprints of the texts' word sets (a
+    text that keeps a five-word Jaccard similarity of 0.8 keeps nearly all of its
+    words, so its fingerprints stay within SET_BITS bits in one set at least, most
+    of the time).  A candidate is a link if the exact Jaccard similarity of the
+    two sets of shingles reaches ``similarity``; components of links are groups.
+    In a node of many fingerprints each proposes its PARTNERS nearest and the
+    node's spanning forest, not all pairs.
+
+    Defined cases: null and empty texts are copies of each other; a null doc_id
+    stands behind all others; of identical rows one stays; an empty table gives
+    no rows; other columns are kept and play no part.
+    """
+    marked = cut(_content(docs))
+    texts = cut(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps")).withColumnRenamed("h1", "v"))
+    fps = texts.select("v", F.posexplode("fps").alias("set", "fp"))
+    pairs = cut(links(fps, SET_BITS, PARTNERS))
+    ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+    # one row of every text that is in a pair
+    rows = marked.join(ends.withColumnRenamed("v", "h1"), "h1").groupBy("h1").agg(F.min_by("text_key", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("_text"), F.min("doc_id").alias("_id"))
+    keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
+    chosen = keyed.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))).select(F.col("h1").alias("v"), "text")
+    sets = cut(_shingle_sets(chosen, shingle).dropDuplicates(["v"]))
+    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    linked = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    groups = connected_components(linked).select(F.col("vertex").alias("v"), "root")
+    grouped = texts.select("v", "least").join(groups, "v", "left").groupBy(F.coalesce("root", "v").alias("group")).agg(F.min("least").alias("least"), F.min_by("v", F.coalesce("least", F.lit((1 << 63) - 1))).alias("v"))
+    least = cut(grouped.select("v", "least"))
+    kept = marked.join(least.withColumnRenamed("v", "h1"), "h1").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("h1", F.col("doc_id").alias("_id")).agg(F.min("text_key").alias("_text"))
+    stay = docs.withColumn("_key", text_key()).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")))
+    first = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(0)))
+    return stay.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
