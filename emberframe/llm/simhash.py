@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 
 #: Near copies by similarity: word-set fingerprints of a text, the bits in which two may differ, and partners named in a node.
-SETS = 4
+SETS = 8
 SET_BITS = 3
 PARTNERS = 2
 
