@@ -39,6 +39,8 @@ SAMPLE = 20_000
 #: Most features that the lexicons hold together.
 LEXICON = 4096
 PREFIXES = (4, 5, 6)
+#: Log odds (toxic against clean rows that hold it) of the wide and of the strong lexicons.
+WIDE, STRONG = 2.0, 4.25
 #: Voters that each kind of strong lexicon is dealt to.
 VOTERS = 4
 
@@ -116,10 +118,10 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     bad, good = totals.toxic or 0, totals.n - (totals.toxic or 0)
     seeds = _seed_hashes()
     counted = sample.select("text", "y").mapInArrow(run, "feature long, kind byte, toxic double, clean double").groupBy("feature").agg(F.max("kind").alias("kind"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.1) / (bad + 1)) - F.log((F.col("clean") + 0.1) / (good + 1))
-    rows = counted.where("toxic >= 3").withColumn("odds", odds).where(F.col("odds") >= 1.5).orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "feature").limit(LEXICON).toPandas()
+    odds = F.log((F.col("toxic") + 0.1) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
+    rows = counted.where("toxic >= 3").withColumn("odds", odds).where(F.col("odds") >= WIDE).orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "feature").limit(LEXICON).toPandas()
     feature, kind = rows["feature"].to_numpy(np.int64).view(np.uint64), rows["kind"].to_numpy(np.int8)
-    odds_, strong = rows["odds"].to_numpy(float), (rows["odds"] >= 3.5).to_numpy(bool)
+    odds_, strong = rows["odds"].to_numpy(float), (rows["odds"] >= STRONG).to_numpy(bool)
     new = seeds[~np.isin(seeds, feature)]
     feature = np.concatenate([feature, new])
     order = np.argsort(feature)
@@ -142,7 +144,7 @@ def votes(texts: Texts, lexicon: Lexicon, rows: np.ndarray, at: np.ndarray) -> n
     strong, weak = count(lexicon.strong | seeds), count(np.ones(len(lexicon.feature), bool))
     out.append(np.where(strong >= 2, 1, -1))  # several strong hits
     out.append(np.where(strong == 0, 0, -1))  # none at all
-    out.append(np.where(weak == 0, 0, np.where(weak >= 6, 1, -1)))
+    out.append(np.where(weak == 0, 0, np.where((weak >= 4) & (weak * 400 > texts.lengths), 1, -1)))
     # patterns: shouting or strewn marks say nothing about insults, plain long prose without weak hits says clean
     letters = np.add.reduceat(np.append((texts.bytes >= 65) & (texts.bytes <= 90), False).astype(np.int64), texts.offsets[:-1]) * (texts.lengths > 0) if texts.n else np.zeros(0)
     shout = letters > 0.5 * np.maximum(texts.lengths, 1)
