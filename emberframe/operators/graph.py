@@ -13,6 +13,7 @@ from emberframe.operators.spatial import near
 PAIR_KM, PAIR_HOURS, BUFFER_KM = 50.0, 720.0, 2.0
 SPEED_COMPATIBLE, SPEED_WEAK = 5.0, 20.0
 PEAT_CONTEXT = 0.5
+WIND_TOLERANCE_DEG = 60.0
 
 
 def _side(events: DataFrame, tag: str, *more: str) -> DataFrame:
@@ -87,14 +88,14 @@ def edges(events: DataFrame, wind: DataFrame, peat: DataFrame, episodes: DataFra
         "shared_episode": F.col("episode_source") == F.col("episode_target"),
         "speed_kmh": F.when(F.col("gap_hours") > 0, F.col("distance_km") / F.col("gap_hours")),
     }).withColumns({
-        "alignment": F.cos(F.radians(angle_between(F.col("bearing"), degrees_360(F.col("wind_from") + 180.0)))),
+        "angle": angle_between(F.col("bearing"), degrees_360(F.col("wind_from") + 180.0)),
         "inside": F.when(F.col("ordering") != "OVERLAPPING", in_envelope(envelope(F.col("lat1"), F.col("lon1"), hours_between(F.col("first1"), F.col("first2")), F.col("wind_from")), F.col("lat2"), F.col("lon2"))),
     })
     spread = F.when(F.col("inside").isNull(), _speed_class(F.col("ordering"), F.col("speed_kmh"))).when(F.col("inside"), "COMPATIBLE").otherwise("INCOMPATIBLE")
-    p = p.withColumn("compatibility", spread)
+    p = p.withColumns({"compatibility": spread, "alignment": F.cos(F.radians("angle"))})
     yes = lambda c: F.coalesce(c, F.lit(False))
     context = F.col("buffers_overlap") | yes(F.col("peat_fraction") >= PEAT_CONTEXT) | yes(F.col("shared_episode"))
-    conflict = yes(F.col("alignment") <= 0)
+    conflict = yes(F.col("angle") > WIND_TOLERANCE_DEG)
     upwind = yes(F.col("alignment") <= -0.5)
     state = (
         F.when((F.col("ordering") == "OVERLAPPING") & ~F.col("buffers_overlap") & ~yes(F.col("shared_episode")), "INDEPENDENT_PLAUSIBLE")
