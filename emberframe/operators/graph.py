@@ -12,6 +12,8 @@ from emberframe.operators.spatial import near
 #: Reach of candidate pairs, buffer around an event, and speed classes in km/h.
 PAIR_KM, PAIR_HOURS, BUFFER_KM = 50.0, 720.0, 2.0
 SPEED_COMPATIBLE, SPEED_WEAK = 5.0, 20.0
+#: No two events' buffers reach further than this.
+WIDEST_KM = 1000.0
 PEAT_CONTEXT = 0.5
 WIND_TOLERANCE_DEG = 60.0
 
@@ -23,17 +25,26 @@ def _side(events: DataFrame, tag: str, *more: str) -> DataFrame:
 def event_pairs(events: DataFrame, km: float = PAIR_KM, hours: float = PAIR_HOURS) -> DataFrame:
     """Unordered pairs a < b within both bounds: event_a, event_b, distance_km, gap_hours, ordering, buffers_overlap and both sides' columns.
 
-    The few events whose own buffers reach beyond ``km`` are joined apart, so
-    that one very large event doesn't widen everyone's cells.
+    Pairs further apart than ``km`` count only if their buffers overlap, which
+    takes an event wider than that; the few such events are joined over coarse
+    cells of their own, so that one of them doesn't widen everyone's cells.
     """
     d = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
     gap = interval_gap_hours(F.col("first_a"), F.col("last_a"), F.col("first_b"), F.col("last_b"))
-    a, b = _side(events, "a"), _side(events, "b")
-    met = near(a, b, km, ("lat_a", "lon_a"), ("lat_b", "lon_b")).where(F.col("event_a") < F.col("event_b"))
+    order = interval_order(F.col("first_a"), F.col("last_a"), F.col("first_b"), F.col("last_b"))
     buffers = F.col("extent_km_a") / 2 + F.col("extent_km_b") / 2 + 2 * BUFFER_KM
-    out = met.withColumns({"distance_km": d, "gap_hours": gap, "ordering": interval_order(F.col("first_a"), F.col("last_a"), F.col("first_b"), F.col("last_b"))})
-    out = out.withColumn("buffers_overlap", F.col("distance_km") <= buffers)
-    return out.where((F.col("distance_km") <= km) & ((F.col("gap_hours") <= hours) | F.col("buffers_overlap")))
+    at = ("lat_a", "lon_a"), ("lat_b", "lon_b")
+
+    def measured(met: DataFrame) -> DataFrame:
+        return met.withColumns({"distance_km": d, "gap_hours": gap, "ordering": order}).withColumn("buffers_overlap", F.col("distance_km") <= buffers)
+
+    a, b = _side(events, "a"), _side(events, "b")
+    close = measured(near(a, b, km, *at).where(F.col("event_a") < F.col("event_b")))
+    close = close.where((F.col("distance_km") <= km) & ((F.col("gap_hours") <= hours) | F.col("buffers_overlap")))
+    wide = events.where(F.col("extent_km") / 2 + BUFFER_KM > km / 2)
+    first, second = near(_side(wide, "a"), b, WIDEST_KM, *at), near(a, _side(wide, "b"), WIDEST_KM, *at)
+    far = first.unionByName(second).where(F.col("event_a") < F.col("event_b")).dropDuplicates(["event_a", "event_b"])
+    return close.unionByName(measured(far).where((F.col("distance_km") > km) & F.col("buffers_overlap")))
 
 
 def with_explicit(pairs: DataFrame, explicit: DataFrame, events: DataFrame) -> DataFrame:
@@ -52,7 +63,7 @@ def neighbours(events: DataFrame, km: float = 50.0, days: float = 30.0) -> DataF
 
 def nearby_and_recurrence(events: DataFrame) -> DataFrame:
     """(event, nearby_events, recurrences): others within 10 km and 72 h; others within 2 km that ended before this began."""
-    p = event_pairs(events.withColumn("extent_km", F.lit(100.0)), 10.0, 1e9)
+    p = event_pairs(events.withColumn("extent_km", F.lit(0.0)), 10.0, 1e9)
     one = p.select(F.col("event_a").alias("event"), "distance_km", "gap_hours", (F.col("last_b") < F.col("first_a")).alias("before"))
     two = p.select(F.col("event_b").alias("event"), "distance_km", "gap_hours", (F.col("last_a") < F.col("first_b")).alias("before"))
     counts = one.union(two).groupBy("event").agg(F.count_if(F.col("gap_hours") <= 72).alias("nearby_events"), F.count_if((F.col("distance_km") <= 2.0) & F.col("before")).alias("recurrences"))

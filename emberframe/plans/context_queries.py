@@ -146,9 +146,9 @@ def peat_radius(spark, sf_dir):
 
 @query("peat_distance", with_views("obs", "members", "ev", "raster", body=f"""
 , best AS (SELECT event, min({haversine_sql('lat', 'lon', *_CELLS)}) AS d FROM ev, raster WHERE {_PEAT} AND row BETWEEN {_ROW.format('lat')} - 33 AND {_ROW.format('lat')} + 33 AND col BETWEEN {_COL.format('lon')} - 33 AND {_COL.format('lon')} + 33 GROUP BY event)
-SELECT e.event, CASE WHEN d <= 35.2 THEN d END AS peat_distance_km FROM ev e LEFT JOIN best USING (event)"""))
+SELECT e.event, CASE WHEN d <= 35.2 THEN round(d, 6) END AS peat_distance_km FROM ev e LEFT JOIN best USING (event)"""))
 def peat_distance(spark, sf_dir):
-    return rs.distance_to_peat(lens.events(spark, sf_dir), lens.raster(spark), rs.TRANSFORM)
+    return rs.distance_to_peat(lens.events(spark, sf_dir), lens.raster(spark), rs.TRANSFORM).withColumn("peat_distance_km", F.round("peat_distance_km", 6))
 
 
 @query("peat_footprint", with_views("obs", "members", "ev", "raster", body=f""", boxes AS (

@@ -46,22 +46,22 @@ summary AS (
     min(longitude) AS west, min(latitude) AS south, max(longitude) AS east, max(latitude) AS north, max(frp) AS max_frp, sum(round(frp * 1e4)::BIGINT) / count(frp) / 1e4 AS mean_frp, string_agg(DISTINCT satellite || '/' || instrument, ',' ORDER BY satellite || '/' || instrument) AS sensors
   FROM (SELECT *, printf('%.5f', latitude) || ',' || printf('%.5f', longitude) || ',' || acq_date || ',' || acq_time AS k FROM joined) GROUP BY cluster),
 stats AS (SELECT cluster, count(*) AS link_count, max(gap_hours) AS max_link_gap_hours, max(distance_km) AS max_link_distance_km FROM links JOIN labels ON a = obs_id GROUP BY cluster)
-SELECT cluster, event_id, first_detection, last_detection, epoch_us(last_detection - first_detection) / 3600e6 AS duration_hours, observation_count, lat, lon, {haversine_sql('south', 'west', 'north', 'east')} AS spatial_extent_km,
-  max_frp, mean_frp, sensors, coalesce(link_count, 0) AS link_count, max_link_gap_hours, max_link_distance_km
+SELECT cluster, event_id, first_detection, last_detection, epoch_us(last_detection - first_detection) / 3600e6 AS duration_hours, observation_count, lat, lon, round({haversine_sql('south', 'west', 'north', 'east')}, 6) AS spatial_extent_km,
+  max_frp, mean_frp, sensors, coalesce(link_count, 0) AS link_count, max_link_gap_hours, round(max_link_distance_km, 6) AS max_link_distance_km
 FROM summary LEFT JOIN stats USING (cluster)"""))
 def event_reconstruction(spark, sf_dir):
     out = ev.reconstruct(_qualified(spark, sf_dir))
     return out.select(
-        "cluster", "event_id", "first_detection", "last_detection", "duration_hours", "observation_count", "lat", "lon", "spatial_extent_km", "max_frp",
-        "mean_frp", F.array_join("sensor_mix", ",").alias("sensors"), "link_count", "max_link_gap_hours", "max_link_distance_km",
+        "cluster", "event_id", "first_detection", "last_detection", "duration_hours", "observation_count", "lat", "lon", F.round("spatial_extent_km", 6).alias("spatial_extent_km"), "max_frp",
+        "mean_frp", F.array_join("sensor_mix", ",").alias("sensors"), "link_count", "max_link_gap_hours", F.round("max_link_distance_km", 6).alias("max_link_distance_km"),
     )
 
 
 @query("pair_totals", with_views("obs", body=_PAIRS + """
 SELECT count(*) AS pairs_in_radius, count(*) FILTER (WHERE gap_hours <= 72) AS accepted, count(*) FILTER (WHERE gap_hours > 72) AS rejected_by_time,
-  max(CASE WHEN gap_hours <= 72 THEN distance_km END) AS widest_km, max(CASE WHEN gap_hours <= 72 THEN gap_hours END) AS longest_gap_hours FROM pairs"""))
+  round(max(CASE WHEN gap_hours <= 72 THEN distance_km END), 6) AS widest_km, max(CASE WHEN gap_hours <= 72 THEN gap_hours END) AS longest_gap_hours FROM pairs"""))
 def pair_totals(spark, sf_dir):
-    return ev.run_totals(_qualified(spark, sf_dir))
+    return ev.run_totals(_qualified(spark, sf_dir)).withColumn("widest_km", F.round("widest_km", 6))
 
 
 @query("event_members", with_views("obs", recursive=True, body=_CLUSTERS + " SELECT obs_id, cluster FROM labels"))
@@ -97,7 +97,7 @@ def threshold_sweep(spark, sf_dir):
 
 
 _SPREAD = ", ".join(
-    f"min({c}) AS {n}_min, median({c}) AS {n}_median, avg({c}) AS {n}_mean, quantile_cont({c}, 0.9) AS {n}_p90, max({c}) AS {n}_max"
+    f"round(min({c}), 6) AS {n}_min, round(median({c}), 6) AS {n}_median, round(avg({c}), 6) AS {n}_mean, round(quantile_cont({c}, 0.9), 6) AS {n}_p90, round(max({c}), 6) AS {n}_max"
     for c, n in (("n", "observation_count"), ("hours", "duration_hours"), ("extent_km", "spatial_extent_km"))
 )
 
@@ -107,7 +107,8 @@ SELECT count(*) AS events, sum(n)::BIGINT AS observations, sum(n) / count(*) AS
   coalesce(sum(n) FILTER (WHERE n >= 12), 0) / sum(n) AS large_share, {_SPREAD} FROM ev"""))
 def run_diagnostics(spark, sf_dir):
     events = lens.events(spark, sf_dir).select(F.col("n").alias("observation_count"), F.col("hours").alias("duration_hours"), F.col("extent_km").alias("spatial_extent_km"))
-    return ev.diagnostics(events, large=12)
+    out = ev.diagnostics(events, large=12)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns[6:]})
 
 
 _NEARBY = f""", nearby AS (

@@ -23,8 +23,12 @@ def _d(x: float):
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections: each user is a site, each row of ``events`` a detection near it."""
+    return as_observations(table(spark, sf_dir, "events"))
+
+
+def as_observations(rows: DataFrame) -> DataFrame:
     u, e, ts = F.col("user_id"), F.col("event_id"), F.col("ts").cast("timestamp")
-    out = table(spark, sf_dir, "events").select(
+    out = rows.select(
         e.alias("obs_id"),
         F.round(_d(-4.6) + ((u * 37) % 101) * _d(0.02) + ((e * 13) % 31) * _d(0.0009), 5).alias("latitude"),
         F.round(_d(115.2) + ((u * 53) % 97) * _d(0.02) + ((e * 29) % 31) * _d(0.0009), 5).alias("longitude"),
