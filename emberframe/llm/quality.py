@@ -185,8 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, learn: Column
     return net
 
 
-def scores(docs: DataFrame, labels: DataFrame, learn: Column, size: int = SAMPLE) -> DataFrame:
-    """``docs`` with a column ``score``: the probability of quality 1."""
+def scores(docs: DataFrame, labels: DataFrame, learn: Column, size: int = SAMPLE, column: str = "score") -> DataFrame:
+    """``docs`` with a column of scores: the probability of quality 1."""
     vectors = word_vectors(docs)
     net = train(docs, labels, vectors, learn, size)
     model = docs.sparkSession.sparkContext.broadcast((vectors, net))
@@ -197,7 +197,7 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, size: int = SAMPLE
         runs = slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), limit=1 << 20)
         return pa.array(np.concatenate([np.zeros(0), *(net.score(pooled(Texts(run.column(0)), vectors)) for run in runs)]))
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(column, score("text"))
 
 
 def learning_fold() -> Column:
@@ -212,4 +212,4 @@ def predictions(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> D
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
-    return scores(docs, labels, learning_fold()).where(F.col("score") >= threshold).select(*docs.columns)
+    return scores(docs, labels, learning_fold(), column="_score").where(F.col("_score") >= threshold).select(*docs.columns)
