@@ -49,7 +49,7 @@ def detections(spark: SparkSession, path: str, bbox: tuple[float, float, float,
 def geojson_by_date(spark: SparkSession, path: str) -> DataFrame:
     """Detections from JSON documents {date: FeatureCollection}; low confidence is left in."""
     schema = "map<string, struct<features: array<struct<geometry: struct<coordinates: array<double>>, properties: struct<acq_datetime: string, frp: double, confidence: string, satellite: string, instrument: string>>>>>"
-    days = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", schema)).alias("day", "c"))
+    days = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("day", "c"))
     f = days.select("day", F.explode("c.features").alias("f"))
     t = F.try_to_timestamp(F.col("f.properties.acq_datetime"))
     return f.select(
@@ -94,7 +94,7 @@ def hourly_weather(spark: SparkSession, path: str, variables: list[str]) -> Data
 
 def daily_weather(spark: SparkSession, path: str, parameters: list[str], fill: float = -999.0) -> DataFrame:
     """(file, date, one column per parameter) from JSON {properties: {parameter: {name: {yyyymmdd: value}}}}; the fill value is null."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.get_json_object("value", "$.properties.parameter").alias("p"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.get_json_object("value", "$.properties.parameter").alias("p"))
     long = raw.select("file", F.explode(F.from_json("p", "map<string, map<string, double>>")).alias("name", "days")).select("file", "name", F.explode("days").alias("day", "value"))
     long = long.select("file", "name", F.to_date("day", "yyyyMMdd").alias("date"), F.when(F.col("value") != fill, F.col("value")).alias("value"))
     return long.groupBy("file", "date").pivot("name", parameters).agg(F.first("value"))
@@ -102,7 +102,7 @@ def daily_weather(spark: SparkSession, path: str, parameters: list[str], fill: f
 
 def catalogue(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
     """Imagery items as JSON text, one row each; a page that may have been cut off (full, or with a next link) fails the query."""
-    page = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("page"))
+    page = spark.read.text(path, wholetext=True).select(F.col("value").alias("page"))
     items = F.from_json(F.get_json_object("page", "$.features"), "array<string>")
     alone = F.array(F.col("page"))
     rows = F.coalesce(items, F.from_json("page", "array<string>"), alone)
@@ -116,7 +116,7 @@ def world_file(spark: SparkSession, path: str) -> DataFrame:
     """One row of a raster's transform from six lines, decimal commas allowed."""
     lines = F.split(F.trim(F.translate("value", ",", ".")), r"\s+")
     names = ("step_x", "skew_y", "skew_x", "step_y", "lon", "lat")
-    return spark.read.option("wholetext", True).text(path).select(*(F.element_at(lines, i + 1).cast("double").alias(n) for i, n in enumerate(names)))
+    return spark.read.text(path, wholetext=True).select(*(F.element_at(lines, i + 1).cast("double").alias(n) for i, n in enumerate(names)))
 
 
 #: Valid ranges of the hydrology measures.
