@@ -55,14 +55,12 @@ def _metrics(spark, sf_dir, years: int = 0):
 
 
 @query("weather_windows", with_views("obs", "members", "ev", "weather", body=_GRID + _spans_sql(0) + _METRICS + """
-SELECT sp.event, sp.w AS window, round(rainfall_mm, 4) AS rainfall_mm, max_temperature_c, round(mean_relative_humidity, 4) AS mean_relative_humidity, round(mean_wind_speed, 4) AS mean_wind_speed,
-  round(mean_soil_moisture, 4) AS mean_soil_moisture, rain_free_days, abs(ys) + abs(xs) > 1e-9 AS has_direction
+SELECT sp.event, sp.w AS window, round(rainfall_mm, 4) AS rainfall_mm, max_temperature_c, mean_relative_humidity, mean_wind_speed, mean_soil_moisture, rain_free_days, abs(ys) + abs(xs) > 1e-9 AS has_direction
 FROM spans sp LEFT JOIN metrics USING (event, w, year) LEFT JOIN winds USING (event, w, year)"""))
 def weather_windows(spark, sf_dir):
     m = _metrics(spark, sf_dir)
-    r = lambda c: F.round(c, 4).alias(c)
     has = F.when(F.col("rainfall_mm").isNotNull(), F.col("wind_direction_deg").isNotNull())
-    return m.select("event", "window", r("rainfall_mm"), "max_temperature_c", r("mean_relative_humidity"), r("mean_wind_speed"), r("mean_soil_moisture"), "rain_free_days", has.alias("has_direction"))
+    return m.select("event", "window", F.round("rainfall_mm", 4).alias("rainfall_mm"), "max_temperature_c", "mean_relative_humidity", "mean_wind_speed", "mean_soil_moisture", "rain_free_days", has.alias("has_direction"))
 
 
 @query("rainfall_anomaly", with_views("obs", "members", "ev", "weather", body=_GRID + _spans_sql(1).replace("to_years(y::INTEGER)", "to_months(y::INTEGER)") + _METRICS + """,
@@ -80,9 +78,9 @@ def rainfall_anomaly(spark, sf_dir):
 @query("weather_evidence", with_views("obs", "members", "ev", "weather", body=_GRID + _spans_sql(0) + _METRICS + """,
 long AS (UNPIVOT (SELECT event, w, rainfall_mm, max_temperature_c, mean_relative_humidity, mean_wind_speed, mean_soil_moisture, rain_free_days::DOUBLE AS rain_free_days FROM metrics)
   ON rainfall_mm, max_temperature_c, mean_relative_humidity, mean_wind_speed, mean_soil_moisture, rain_free_days INTO NAME type VALUE value)
-SELECT 'ENV_WEATHER_' || event || '_' || w || '_' || type AS evidence_id, event, w AS window, type, round(value, 4) AS value, 0.82::DOUBLE AS quality FROM long WHERE value IS NOT NULL"""))
+SELECT 'ENV_WEATHER_' || event || '_' || w || '_' || type AS evidence_id, event, w AS window, type, CASE WHEN type = 'rainfall_mm' THEN round(value, 4) ELSE value END AS value, 0.82::DOUBLE AS quality FROM long WHERE value IS NOT NULL"""))
 def weather_evidence(spark, sf_dir):
-    return we.weather_evidence(_metrics(spark, sf_dir)).where("type <> 'wind_direction_deg'").select("evidence_id", "event", "window", "type", F.round("value", 4).alias("value"), "quality")
+    return we.weather_evidence(_metrics(spark, sf_dir)).where("type <> 'wind_direction_deg'").select("evidence_id", "event", "window", "type", F.when(F.col("type") == "rainfall_mm", F.round("value", 4)).otherwise(F.col("value")).alias("value"), "quality")
 
 
 _DAILY = """, daily_source AS (SELECT grid_id, ts::DATE AS date, sum(precipitation) + 0.5::DOUBLE AS rain, avg(temperature_2m) AS temperature, avg(relative_humidity_2m) AS humidity, avg(wind_speed_10m) AS wind FROM weather WHERE (day(ts) + grid_id) % 17 <> 0 GROUP BY ALL)"""

@@ -74,7 +74,7 @@ def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         (_d(60) + (h * 3 + i) % 35).alias("relative_humidity_2m"),
         (_d(1) + ((h + 2 * i) % 8) * _d(0.5)).alias("wind_speed_10m"),
         ((h * 11 + i * 17) % 360).cast("double").alias("wind_direction_10m"),
-        (_d(0.2) + ((h + i) % 20) * _d(0.01)).alias("soil_moisture_0_to_7cm"),
+        (_d(0.25) + ((h + i) % 20) / _d(64)).alias("soil_moisture_0_to_7cm"),
     )
 
 
@@ -148,7 +148,7 @@ SQL: dict[str, str] = {
     CASE WHEN (h * 7 + i * 13) % 24 = 0 THEN ((h + i) % 50) / 10.0::DOUBLE ELSE 0 END AS precipitation,
     26.0::DOUBLE + ((h + i) % 10) * 0.5::DOUBLE AS temperature_2m, 60.0::DOUBLE + (h * 3 + i) % 35 AS relative_humidity_2m,
     1.0::DOUBLE + ((h + 2 * i) % 8) * 0.5::DOUBLE AS wind_speed_10m, ((h * 11 + i * 17) % 360)::DOUBLE AS wind_direction_10m,
-    0.2::DOUBLE + ((h + i) % 20) * 0.01::DOUBLE AS soil_moisture_0_to_7cm
+    0.25::DOUBLE + ((h + i) % 20) / 64.0::DOUBLE AS soil_moisture_0_to_7cm
   FROM (SELECT n_nationkey::BIGINT AS i FROM nation), (SELECT unnest(range(3072)) AS h))""",
     "raster": """raster AS (
   SELECT r AS row, c AS col, CASE WHEN (r // 20 + c // 15) % 3 <> 0 THEN 255 WHEN r % 7 = 0 THEN 2 ELSE 1 END AS value

@@ -132,7 +132,7 @@ def investigation_map(spark, sf_dir):
 _SEGMENTS = f""", steps AS (SELECT *, lag(latitude) OVER w AS plat, lag(longitude) OVER w AS plon FROM members WINDOW w AS (PARTITION BY event ORDER BY ts, obs_id)),
 seg AS (SELECT event, {haversine_sql('plat', 'plon', 'latitude', 'longitude')} AS d, atan2(sin(radians(longitude - plon)) * cos(radians(latitude)), cos(radians(plat)) * sin(radians(latitude)) - sin(radians(plat)) * cos(radians(latitude)) * cos(radians(longitude - plon))) AS th FROM steps WHERE plat IS NOT NULL),
 ends AS (SELECT event, arg_min(latitude, (ts, obs_id)) AS la, arg_min(longitude, (ts, obs_id)) AS lo, arg_max(latitude, (ts, obs_id)) AS lb, arg_max(longitude, (ts, obs_id)) AS lp FROM members GROUP BY event),
-moves AS (SELECT event, sum(d) AS path_km, sqrt(pow(sum(d * sin(th)), 2) + pow(sum(d * cos(th)), 2)) / sum(d) AS consistency FROM seg GROUP BY event)"""
+moves AS (SELECT event, sum(d) AS path_km, CASE WHEN sum(d) > 0 THEN sqrt(pow(sum(d * sin(th)), 2) + pow(sum(d * cos(th)), 2)) / sum(d) END AS consistency FROM seg GROUP BY event)"""
 
 
 @query("event_movement", with_views("obs", "members", body=_SEGMENTS + f""" SELECT event, round(coalesce(path_km, 0), 5) AS path_km, round({haversine_sql('la', 'lo', 'lb', 'lp')}, 5) AS net_km, round(consistency, 5) AS consistency FROM ends LEFT JOIN moves USING (event)"""))
@@ -170,7 +170,7 @@ def _complexity(spark, sf_dir):
 
 @query("complexity_fields", with_views("obs", "members", "ev", body=f""", names AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{f}')" for i, f in enumerate(complexity.FIELDS))}) t(nth, field)), cv AS (SELECT event, count(frp) AS c FROM members GROUP BY event)
 SELECT ev.event, nth, field, 'DERIVED_COMPLEXITY_' || ev.event || '_' || field AS evidence_id,
-  CASE WHEN field IN ('peat_overlap', 'distinct_thermal_lobes') OR (field = 'frp_variability' AND c < 2) OR (field = 'directional_consistency' AND c < 2) OR (field = 'wind_alignment' AND (c < 2 OR event % 5 = 0))
+  CASE WHEN field IN ('peat_overlap', 'distinct_thermal_lobes') OR (field = 'frp_variability' AND c < 2) OR (field = 'directional_consistency' AND (c < 2 OR (west = east AND south = north))) OR (field = 'wind_alignment' AND (c < 2 OR event % 5 = 0 OR (west = east AND south = north)))
     OR (field IN ('unexplained_detections', 'surface_propagation_mismatch') AND (event % 5 = 0 OR first = last)) THEN 'NOT_EVALUATED' ELSE 'EVALUATED' END AS status
 FROM ev CROSS JOIN names JOIN cv USING (event)"""))
 def complexity_fields(spark, sf_dir):
