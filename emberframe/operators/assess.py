@@ -28,7 +28,7 @@ def evidence_buckets(findings: DataFrame) -> DataFrame:
 
 def disagreement(findings: DataFrame, first: str, second: str) -> DataFrame:
     """One row if two roles' leading hypotheses differ, or their scores for the same one by APART or more: the question that stays open."""
-    w = Window.partitionBy("role").orderBy(F.desc("score"), "nth")
+    w = Window.partitionBy("role").orderBy(F.desc("score"), "nth", "hypothesis")
     top = findings.where(F.col("role").isin(first, second)).withColumn("n", F.row_number().over(w)).where("n = 1")
     a = top.where(F.col("role") == first).select(F.col("hypothesis").alias("first_top"), F.col("score").alias("first_score"), F.col("evidence_ids").alias("i1"))
     b = top.where(F.col("role") == second).select(F.col("hypothesis").alias("second_top"), F.col("score").alias("second_score"), F.col("evidence_ids").alias("i2"))

@@ -258,7 +258,7 @@ def scope_bounds(spark, sf_dir):
     return register.scope_bounds(lens.scopes(spark, sf_dir)).withColumn("area", F.round("area", 6))
 
 
-@query("scope_problems")
+@query("scope_problems", "SELECT r_regionkey::BIGINT AS audit, ring, 'not closed' AS problem FROM region, (VALUES (0), (1)) t(ring) WHERE r_regionkey % 2 = 0")
 def scope_problems(spark, sf_dir):
     broken = lens.scopes(spark, sf_dir).withColumn("rings", F.when(F.col("audit") % 2 == 0, F.transform("rings", lambda r: F.slice(r, 1, 4))).otherwise(F.col("rings")))
     return register.scope_problems(broken)
@@ -317,20 +317,28 @@ def finding_problems(spark, sf_dir):
     return assess.finding_problems(_findings(spark, sf_dir), ids, hyp)
 
 
-@query("evidence_buckets")
+_FINDINGS = """WITH f AS (SELECT role, (conv_id % 5)::VARCHAR AS hypothesis, turn, length(text) % 130 AS score, ['E' || ((turn * 2) % 11), 'E' || ((turn * 2 + 3) % 11), 'E' || ((turn * 2 + 6) % 11)] AS s, ['E' || ((turn * 5) % 11), 'E' || ((turn * 5 + 3) % 11), 'E' || ((turn * 5 + 6) % 11)] AS c FROM conversations)"""
+
+
+@query("evidence_buckets", _FINDINGS + """ SELECT role, hypothesis, array_to_string(list_sort([x FOR x IN s IF NOT list_contains(c, x)]), ',') AS supporting, array_to_string(list_sort([x FOR x IN c IF NOT list_contains(s, x)]), ',') AS contradicting,
+  array_to_string(list_sort([x FOR x IN s IF list_contains(c, x)]), ',') AS mixed FROM f""")
 def evidence_buckets(spark, sf_dir):
-    return assess.evidence_buckets(_findings(spark, sf_dir))
+    b = assess.evidence_buckets(_findings(spark, sf_dir))
+    return b.select("role", "hypothesis", *(F.array_join(c, ",").alias(c) for c in ("supporting", "contradicting", "mixed")))
 
 
-@query("top_disagreement")
+@query("top_disagreement", _FINDINGS + """, top AS (SELECT role, hypothesis, score FROM f WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY role ORDER BY score DESC, turn, hypothesis) = 1)
+SELECT a.hypothesis AS first_top, a.score AS first_score, b.hypothesis AS second_top, b.score AS second_score, CASE WHEN a.hypothesis = b.hypothesis THEN 'support differs' ELSE 'leading hypotheses differ' END AS question
+FROM top a, top b WHERE a.role = 'user' AND b.role = 'assistant' AND (a.hypothesis <> b.hypothesis OR abs(a.score - b.score) >= 20)""")
 def top_disagreement(spark, sf_dir):
-    return assess.disagreement(_findings(spark, sf_dir), "user", "assistant")
+    return assess.disagreement(_findings(spark, sf_dir), "user", "assistant").drop("evidence_ids")
 
 
-@query("open_questions")
+@query("open_questions", _FINDINGS + """, q AS (SELECT 'what about ' || hypothesis AS question, array_to_string(list_sort(list_distinct(list_concat(s, c))), ',') AS evidence_ids, score < 100 AS settled FROM f)
+SELECT question, evidence_ids, count(*) AS asked, CASE WHEN bool_and(settled) THEN 'CONVERGED' ELSE 'UNRESOLVED' END AS status FROM q GROUP BY question, evidence_ids""")
 def open_questions(spark, sf_dir):
     f = _findings(spark, sf_dir)
-    return assess.open_questions(f.select(F.concat(F.lit("what about "), "hypothesis").alias("question"), "evidence_ids", (F.col("score") < 100).alias("settled")))
+    return assess.open_questions(f.select(F.concat(F.lit("what about "), "hypothesis").alias("question"), "evidence_ids", (F.col("score") < 100).alias("settled"))).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
 
 
 # Images: order lines as pixels of the order's image.
@@ -362,7 +370,8 @@ def radar_composite(spark, sf_dir):
     return pixels.radar_composite(_pixels(spark, sf_dir)).select("image", "x", "y", *(F.round(c, 5).alias(c) for c in ("red", "green", "blue")))
 
 
-@query("display_stretch")
+@query("display_stretch", _PIX + """, d AS (SELECT image, x, y, CASE WHEN vv > 0 THEN log10(vv) * 10 END AS db FROM px), e AS (SELECT image, quantile_cont(db, 0.02) AS lo, quantile_cont(db, 0.98) AS hi FROM d GROUP BY image)
+SELECT image, x, y, CASE WHEN db IS NULL THEN 0 WHEN hi <= lo THEN 128 ELSE floor(greatest(least((db - lo) / (hi - lo), 1), 0) * 255)::INTEGER END AS display FROM d JOIN e USING (image)""")
 def display_stretch(spark, sf_dir):
     return pixels.display_stretch(_pixels(spark, sf_dir))
 
@@ -379,9 +388,10 @@ def plain_prose(spark, sf_dir):
     return d.select("doc_id", plain_text(F.col("text")).alias("prose"))
 
 
-@query("envelope_rings")
+@query("envelope_rings", with_views("obs", "members", "ev", body=""", r AS (SELECT event, (hours * 5 + hours) / 2 AS a, (hours * 5 - hours) / 2 AS shift FROM ev WHERE event % 5 <> 0), q AS (SELECT *, CASE WHEN a + shift > 5 THEN 5 / (a + shift) ELSE 1 END AS scale FROM r)
+SELECT event, 49 AS positions, round(scale, 6) AS scale, round(a * scale, 6) AS half_length, 65 AS circle_positions FROM q"""))
 def envelope_rings(spark, sf_dir):
     e = lens.events(spark, sf_dir).join(_wind(spark, sf_dir), "event")
     shape = geo.envelope(F.col("lat"), F.col("lon"), F.col("hours"), F.col("wind_from"))
     small = geo.capped(shape)
-    return e.select("event", F.size(geo.envelope_ring(shape)).alias("positions"), small["scale"].alias("scale"), small["half_length"].alias("half_length"), F.size(geo.circle(F.col("lat"), F.col("lon"), F.lit(10.0))).alias("circle_positions"))
+    return e.select("event", F.size(geo.envelope_ring(shape)).alias("positions"), F.round(small["scale"], 6).alias("scale"), F.round(small["half_length"], 6).alias("half_length"), F.size(geo.circle(F.col("lat"), F.col("lon"), F.lit(10.0))).alias("circle_positions"))
