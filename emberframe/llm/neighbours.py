@@ -21,7 +21,7 @@ tables and the list sizes (both bounded by ``LISTS``) passes the driver.
 Defined cases: vectors that are null, all zero, or hold null or non-finite
 components take no part, as query or candidate; nor do null ids, and vectors of
 another length than most of the sample; repeated ids are candidates of their
-own; a query with fewer candidates than k gets all of them; ties go to the
+own and ask once, with the least of their vectors; a query with fewer candidates than k gets all of them; ties go to the
 smaller id; an empty table gives no rows; other columns play no part.
 """
 
@@ -184,7 +184,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
     split = {int(own): int(n) for own, n in enumerate(blocks) if n > 1}
     n_blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in split.items() for x in pair)), F.col("list")), F.lit(1)) if split else F.lit(1)
     dealt = indexed.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
-    queries = rows.where(is_query).mapInArrow(visit, "query_id long, q array<double>, list int, block int")
+    asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    queries = asked.mapInArrow(visit, "query_id long, q array<double>, list int, block int")
     found = dealt.groupBy("list", "block").cogroup(queries.groupBy("list", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

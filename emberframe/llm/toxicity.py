@@ -12,7 +12,8 @@
    given the class, under the current posterior) form a tree; a voter's table is
    conditioned on its parent in it, so votes that repeat each other count once.
 3. A linear classifier over the lexicon features is trained in numpy on the
-   posterior labels, and scores whole texts.
+   posterior labels; two numbers (stretch and shift) calibrate its logits on the
+   sample's labels.  It scores whole texts.
 
 Defined cases: null and empty texts have no features and get the classifier's
 bias; rows without a label, with a null label or outside the learning fold teach
@@ -231,6 +232,18 @@ def fit_linear(n: int, rows: np.ndarray, at: np.ndarray, width: int, y: np.ndarr
     return Linear(w, b)
 
 
+def calibrated(model: Linear, n: int, rows: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 300) -> Linear:
+    """The classifier with its logits stretched and shifted to fit the sample's own labels; what stands out, and in which order, stays."""
+    if y.min() == y.max():
+        return model
+    z = model.bias + np.bincount(rows, weights=model.weights[at], minlength=n)
+    a, b, rate = 1.0, 0.0, 0.5
+    for _ in range(steps):
+        d = 1 / (1 + np.exp(-(a * z + b).clip(-30, 30))) - y
+        a, b = min(max(a - rate * float((d * z).mean()), 0.5), 3.0), b - rate * float(d.mean())
+    return Linear(model.weights * a, model.bias * a + b)
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, size: int = SAMPLE) -> tuple[Lexicon, Linear]:
     sample = labelled_sample(docs, labels, "toxic", learn, size)
     lexicon = learn_lexicon(sample)
@@ -241,10 +254,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, size: int = SAMPLE)
             rows, at = lexicon.find(texts)
             found = np.split(at, np.searchsorted(rows, np.arange(1, texts.n)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([x.tolist() for x in found], pa.list_(pa.int32())), pa.array(votes(texts, lexicon, rows, at).tolist(), pa.list_(pa.int8()))], ["doc_id", "found", "votes"]
+                [batch.column("doc_id"), batch.column("y"), pa.array([x.tolist() for x in found], pa.list_(pa.int32())), pa.array(votes(texts, lexicon, rows, at).tolist(), pa.list_(pa.int8()))], ["doc_id", "y", "found", "votes"]
             )
 
-    held = sample.select("doc_id", "text").mapInArrow(run, "doc_id long, found array<int>, votes array<byte>").toPandas()
+    held = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y double, found array<int>, votes array<byte>").toPandas()
     if not len(held):
         return lexicon, Linear(np.full(len(lexicon.feature), 2.0), -2.0)
     held = held.iloc[np.lexsort((held["found"].map(len), held["doc_id"]))]
@@ -254,7 +267,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, size: int = SAMPLE)
     rows = np.repeat(np.arange(len(held)), lengths)
     at = np.concatenate([np.asarray(x, np.int64) for x in held["found"]]) if lengths.sum() else np.zeros(0, np.int64)
     seeds = np.isin(lexicon.feature, _seed_hashes())
-    return lexicon, fit_linear(len(held), rows, at, len(lexicon.feature), post, np.maximum(lexicon.odds, 3.0 * seeds))
+    model = fit_linear(len(held), rows, at, len(lexicon.feature), post, np.maximum(lexicon.odds, 3.0 * seeds))
+    return lexicon, calibrated(model, len(held), rows, at, held["y"].to_numpy())
 
 
 def scores(docs: DataFrame, labels: DataFrame, learn: Column, size: int = SAMPLE) -> DataFrame:
