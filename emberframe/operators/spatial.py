@@ -58,16 +58,17 @@ def pairs_within(points: DataFrame, radius_km: float, hours: float | None = None
 def near(left: DataFrame, right: DataFrame, radius_km: float, left_at: tuple[str, str], right_at: tuple[str, str]) -> DataFrame:
     """All columns of left and right rows whose (lat, lon) may be within ``radius_km``; the caller adds the exact predicate.
 
-    Cells are bands of latitude and, in each, of longitude widths that cover the
-    radius up to 75 degrees from the equator.
+    Cells are bands of latitude, cut in longitude by a width that covers the
+    radius at the band's edge nearest the pole (and at the bands beside it).
     """
-    up, across = radius_km / KM_PER_DEGREE * 1.02, radius_km / KM_PER_DEGREE * 1.02
+    up = radius_km / KM_PER_DEGREE * 1.02
 
-    def cells(lat: str, lon: str) -> tuple[Column, Column]:
-        return F.floor(F.col(lat) / up), F.floor(F.col(lon) / (across / 0.25))
+    def width(band: Column) -> Column:
+        edge = F.least(F.greatest(F.abs(band * up), F.abs((band + 1) * up)) + up, F.lit(89.0))
+        return up / F.cos(F.radians(edge))
 
-    ly, lx = cells(*left_at)
-    ry, rx = cells(*right_at)
-    probe = left.withColumns({"_cy": ly, "_cx": lx})
-    build = right.withColumns({"_cy": ry, "_cx": rx}).withColumn("_cy", _around(F.col("_cy"))).withColumn("_cx", _around(F.col("_cx")))
+    band = lambda at: F.floor(F.col(at[0]) / up)
+    cell = lambda at: F.floor(F.col(at[1]) / width(F.col("_cy")))
+    probe = left.withColumn("_cy", band(left_at)).withColumn("_cx", cell(left_at))
+    build = right.withColumn("_cy", _around(band(right_at))).withColumn("_cx", _around(cell(right_at)))
     return probe.join(build, ["_cy", "_cx"]).drop("_cy", "_cx")
