@@ -190,29 +190,10 @@ def _forest(codes: np.ndarray, max_bits: int) -> np.ndarray:
     return root
 
 
-def _nearest(codes: np.ndarray, max_bits: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every code its ``n`` nearest linked codes (ties to the earlier in Gray order), as index pairs."""
-    best = np.full((len(codes), n), 1 << 40, np.int64)  # distance and index in one number
-    for a, b in linked_pairs(codes, max_bits):
-        d = np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64) << 32
-        own, other = np.concatenate([a, b]), np.concatenate([d | b, d | a])
-        order = np.lexsort((other, own))
-        own, other = own[order], other[order]
-        place = np.arange(len(own)) - np.searchsorted(own, own)
-        own, other, place = own[place < n], other[place < n], place[place < n]
-        more = np.full_like(best, 1 << 40)
-        more[own, place] = other
-        best = np.sort(np.concatenate([best, more], axis=1), axis=1)[:, :n]
-    row, col = np.nonzero(best < 1 << 40)
-    return row, best[row, col] & ((1 << 32) - 1)
-
-
-def links(fps: DataFrame, max_bits: int = 2, nearest: int = 0) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """(a, b): vertices joined by links, a spanning forest for every upper node.
 
-    ``fps`` has (set, fp, v): fingerprints of different sets don't meet.  With
-    ``nearest`` every vertex also names that many of its nearest in each node,
-    for callers that check links further.
+    ``fps`` has (set, fp, v): fingerprints of different sets don't meet.
     """
     keys = ["set", "view", "pattern", "sub", "subpattern"]
 
@@ -233,10 +214,6 @@ def links(fps: DataFrame, max_bits: int = 2, nearest: int = 0) -> DataFrame:
                 moved = np.flatnonzero(root != np.arange(len(codes)))
                 a.append(names[moved])
                 b.append(names[root[moved]])
-                if nearest and len(moved):
-                    own, other = _nearest(codes, max_bits, nearest)
-                    a.append(names[own])
-                    b.append(names[other])
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -277,33 +254,74 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near copies by similarity: word-set fingerprints of a text, the bits in which two may differ, and partners named in a node.
-SETS = 8
-SET_BITS = 3
-PARTNERS = 2
+#: Entries of the table of shingle counts by which rarer shingles come first, and the rows it travels in.
+COUNTS = 1 << 20
+PARTS = 64
+#: Texts in a shingle's bucket up to which all pairs are compared at once.
+BUCKET_ROWS = 16
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Distinct hashes, in ascending order, of a text's shingles of ``width`` words."""
+    words = text.lower().split()
+    h = np.fromiter(map(_hash, words), np.uint64, len(words))
+    n = max(min(1, len(words)), len(words) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(width, len(words))):
+        out = mix64(out + h[k : k + n])
+    return np.unique(out)
+
+
+def _shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """COUNTS numbers: texts that hold a shingle, summed over the shingles with the same leading bits."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTS, np.int64)
+        for batch in slices(batches):
+            sets = [shingle_set(t or b"", width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTS)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, PARTS)], pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["part", "counts"])
+
+    schema = "part int, counts binary"
+    out = np.zeros((PARTS, COUNTS // PARTS), np.int64)
+    for row in docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():
+        out[row.part] = np.frombuffer(row.counts, np.int64)
+    return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.int32)
 
 
-def _content(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, h1, h2, fps): 128-bit hash of the word sequence, and SETS fingerprints of the set of words."""
+def _content(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, text_key, h1, h2, n, prefix): 128-bit hash of the word sequence, number of shingles, the rarest of them.
+
+    Two sets with a Jaccard similarity of ``similarity`` share one of their rarest
+    n - ceil(similarity * n) + 1 elements, in whatever order all sets agree on.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(_shingle_counts(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            digests, fps = [], []
+            digests, sizes, prefixes = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                words = (text or b"").lower().split()
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                words = set(words)
-                h = np.fromiter(map(_hash, words), np.uint64, len(words))
-                for k in range(SETS):
-                    bits = np.unpackbits(mix64(h + np.uint64(k)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    fps.append(np.packbits(bits.sum(0, dtype=np.int32) * 2 > len(h), bitorder="little"))
+                digests.append(xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split())))
+                x = shingle_set(text or b"", width)
+                first = np.argsort(table.value[x >> np.uint64(44)], kind="stable")[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1]
+                sizes.append(len(x))
+                prefixes.append(x[first].view(np.int64))
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            fps = np.concatenate(fps).view(np.int64).reshape(-1, SETS) if fps else np.zeros((0, SETS), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(fps.tolist(), pa.list_(pa.int64()))], ["doc_id", "text_key", "h1", "h2", "fps"]
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "h1", "h2", "n", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, h1 long, h2 long, fps array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, h1 long, h2 long, n long, prefix array<long>")
 
 
 def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -311,42 +329,100 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t or b"", width)])).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            sets = [shingle_set(t or b"", width).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(sets, pa.list_(pa.int64()))], ["v", "shingles"])
 
     return texts.mapInArrow(run, "v long, shingles array<long>")
 
 
+def _fits(similarity: float, n: str, m: str) -> Column:
+    """Whether two sets of ``n`` and ``m`` elements can be so similar."""
+    return F.least(n, m) + 1e-6 >= similarity * F.greatest(n, m)
+
+
+def _others(postings: DataFrame, *more: Column) -> DataFrame:
+    return postings.select("s", F.col("v").alias("w"), F.col("n").alias("m"), F.col("at").alias("bt"), *more)
+
+
+def _meets(similarity: float) -> Column:
+    """Whether (n, at) and (m, bt) can be so similar if this is their first common shingle, up to which they share nothing."""
+    shared = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
+    return _fits(similarity, "n", "m") & (shared + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("m")))
+
+
+def _pairs(df: DataFrame, v: str, w: str) -> DataFrame:
+    return df.where(F.col(v) != F.col(w)).select(F.least(v, w).alias("a"), F.greatest(v, w).alias("b")).distinct()
+
+
+def _by_pivot(postings: DataFrame, degrees: DataFrame | None, similarity: float) -> DataFrame:
+    """(a, b): every member of a bucket with the bucket's pivot, its member with most links so far."""
+    ranked = postings.withColumn("d", F.lit(0)) if degrees is None else postings.join(degrees, "v", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    best = ranked.groupBy("s").agg(F.max(F.struct("d", F.xxhash64("s", "v").alias("h"), "v", "n")).alias("p"))
+    met = postings.join(best.select("s", F.col("p.v").alias("w"), F.col("p.n").alias("m")), "s")
+    return _pairs(met.where(_fits(similarity, "n", "m")), "v", "w")
+
+
+def _across(postings: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of a bucket that can be similar and aren't connected by ``found`` yet.
+
+    Members outside the bucket's largest component meet all members.
+    """
+    roots = connected_components(found).select(F.col("vertex").alias("v"), "root")
+    placed = postings.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    split = placed.groupBy("s", "root").agg(F.count("*").alias("rows")).groupBy("s").agg(F.max_by("root", "rows").alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    left = cut(placed.join(split.select("s", "most"), "s"))
+    outside = _others(left.where("root != most"), F.col("root").alias("other"))
+    met = left.join(outside, "s").where((F.col("root") != F.col("other")) & _meets(similarity))
+    return _pairs(met, "v", "w")
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, that of the least doc_id, of every group of exact or near copies.
 
-    Texts with the same words in the same order are one vertex.  Candidates come
-    from the Gray-order index over SETS fingerprints of the texts' word sets (a
-    text that keeps a five-word Jaccard similarity of 0.8 keeps nearly all of its
-    words, so its fingerprints stay within SET_BITS bits in one set at least, most
-    of the time).  A candidate is a link if the exact Jaccard similarity of the
-    two sets of shingles reaches ``similarity``; components of links are groups.
-    In a node of many fingerprints each proposes its PARTNERS nearest and the
-    node's spanning forest, not all pairs.
+    Texts with the same words in the same order are one vertex.  Two vertices are
+    linked if the Jaccard similarity of their sets of shingles reaches
+    ``similarity``; components of links are groups.  No link between groups is
+    missed: linked sets share one of their rarest shingles (prefix filter), so
+    they meet in its bucket.  Rarity is counted over all texts in a table of fixed
+    size; its order decides the cost, not the result.  A bucket of up to BUCKET_ROWS
+    compares all its pairs.  A larger one compares its members with one pivot,
+    twice (any member, then the one with most links), and then all pairs that are
+    not connected yet, so a large group of copies costs its rows, not its pairs.
 
     Defined cases: null and empty texts are copies of each other; a null doc_id
     stands behind all others; of identical rows one stays; an empty table gives
     no rows; other columns are kept and play no part.
     """
-    marked = cut(_content(docs))
-    texts = cut(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps")).withColumnRenamed("h1", "v"))
-    fps = texts.select("v", F.posexplode("fps").alias("set", "fp"))
-    pairs = cut(links(fps, SET_BITS, PARTNERS))
-    ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-    # one row of every text that is in a pair
-    rows = marked.join(ends.withColumnRenamed("v", "h1"), "h1").groupBy("h1").agg(F.min_by("text_key", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("_text"), F.min("doc_id").alias("_id"))
+    marked = cut(_content(docs, shingle, similarity))
+    whole = marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumnRenamed("h1", "v")
+    texts = cut(whole.select("v", "least"))
+    rare = whole.select("v", "n", F.posexplode("prefix").alias("at", "s")).repartition("s")
+    postings = cut(rare.join(rare.groupBy("s").agg(F.count("*").alias("rows")).where("rows > 1"), "s"))
+    few, many = postings.where(F.col("rows") <= BUCKET_ROWS), postings.where(F.col("rows") > BUCKET_ROWS)
+    close = few.join(_others(few), "s").where((F.col("v") < F.col("w")) & _meets(similarity))
+    first = cut(_pairs(close, "v", "w").union(_by_pivot(many, None, similarity)).distinct())
+    ends = first.select(F.explode(F.array("a", "b")).alias("v"), F.lit(False).alias("hot")).union(many.select("v", F.lit(True))).groupBy("v").agg(F.max("hot").alias("hot"))
+    # one row of every text that meets another
+    rows = marked.join(ends.withColumnRenamed("v", "h1"), "h1").groupBy("h1").agg(F.min_by("text_key", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("_text"), F.min("doc_id").alias("_id"), F.max("hot").alias("hot"))
     keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
-    chosen = keyed.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))).select(F.col("h1").alias("v"), "text")
-    sets = cut(_shingle_sets(chosen, shingle).dropDuplicates(["v"]))
-    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    linked = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    groups = connected_components(linked).select(F.col("vertex").alias("v"), "root")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        chosen = keyed.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))).select(F.col("h1").alias("v"), "text")
+        return _shingle_sets(chosen, shingle).dropDuplicates(["v"])
+
+    def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b, linked)"""
+        both = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return cut(both.select("a", "b", (shared + 1e-9 >= similarity * (F.size("x") + F.size("y") - shared)).alias("linked")))
+
+    seen = similar(first, sets_of(rows))
+    if not many.isEmpty():
+        hot = cut(sets_of(rows.where("hot")))
+        degrees = seen.where("linked").select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").cast("int").alias("d"))
+        seen = seen.union(similar(_by_pivot(many, degrees, similarity).join(seen, ["a", "b"], "left_anti"), hot))
+        seen = seen.union(similar(_across(many, seen.where("linked"), similarity).join(seen, ["a", "b"], "left_anti"), hot))
+    groups = connected_components(seen.where("linked")).select(F.col("vertex").alias("v"), "root")
     grouped = texts.select("v", "least").join(groups, "v", "left").groupBy(F.coalesce("root", "v").alias("group")).agg(F.min("least").alias("least"), F.min_by("v", F.coalesce("least", F.lit((1 << 63) - 1))).alias("v"))
     least = cut(grouped.select("v", "least"))
     kept = marked.join(least.withColumnRenamed("v", "h1"), "h1").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("h1", F.col("doc_id").alias("_id")).agg(F.min("text_key").alias("_text"))

@@ -234,6 +234,38 @@ def test_one_of_each_keeps_clean_documents(spark):
     assert out.columns == docs(spark, rows).columns
 
 
+def jaccard_groups(texts):
+    """Least index of every text's component under five-word Jaccard similarity 0.8, by brute force."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(sets)))
+    for i, j in combinations(range(len(sets)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def kept_and_wanted(spark, texts):
+    kept = simhash.one_of_each(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    return sorted(r.doc_id for r in kept.collect()), sorted(set(jaccard_groups(texts)))
+
+
+def test_one_of_each_star_group(spark):
+    rng, base, texts = np.random.default_rng(11), words(90, 400), []
+    for i in range(60):
+        w = list(base)
+        for at in rng.choice(400, 6, replace=False):
+            w[at] = f"new{i}x{at}"
+        texts.append(" ".join(w))
+    texts.insert(30, " ".join(base))
+    texts += [" ".join(words(500 + i, 80)) for i in range(10)]
+    kept, wanted = kept_and_wanted(spark, texts)
+    assert len(wanted) == 11 and kept == wanted
+
+
 def test_mixing_targets_and_copies(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), "en", ["a", "b", "c", None][min(3, int(rng.integers(0, 9)) // 2)]) for i in range(800)]
