@@ -266,6 +266,15 @@ def test_one_of_each_star_group(spark):
     assert len(wanted) == 11 and kept == wanted
 
 
+def test_one_of_each_cut_and_extended_copies(spark):
+    texts = []
+    for i in range(24):
+        w = words(700 + i, 200)
+        texts += [" ".join(w), " ".join([*w[:166], *words(800 + i, [0, 4][i % 2])]), " ".join([*words(900 + i, 20), *w, *words(950 + i, 20)])]
+    kept, wanted = kept_and_wanted(spark, texts)
+    assert len(wanted) == 24 and kept == wanted
+
+
 def test_mixing_targets_and_copies(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), "en", ["a", "b", "c", None][min(3, int(rng.integers(0, 9)) // 2)]) for i in range(800)]
