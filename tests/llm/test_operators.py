@@ -275,6 +275,26 @@ def test_one_of_each_cut_and_extended_copies(spark):
     assert len(wanted) == 24 and kept == wanted
 
 
+def test_one_of_each_equal_word_sets(spark):
+    rng, base = np.random.default_rng(12), words(91, 60)
+    texts = [" ".join(rng.permutation(base)) for _ in range(150)]  # one word set, nothing in common
+    texts += [" ".join([*base, *base[:k]]) for k in range(30)] + [" ".join([*base, *base, *base[:k]]) for k in range(3)]
+    kept, wanted = kept_and_wanted(spark, texts)
+    assert len(wanted) > 150 and kept == wanted
+
+
+def test_one_of_each_makes_rows_not_pairs(spark):
+    base = words(92, 150)
+    texts = [" ".join([*base[:75], f"id{i}", *base[76:]]) for i in range(300)]
+    table = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    texts = simhash._content(table, 5, 0.8).select(F.col("h1").alias("v"), "n", F.posexplode("prefix").alias("at", "s"))
+    postings = texts.join(texts.groupBy("s").count().where("count > 1").select("s"), "s").cache()
+    pairs = simhash._by_pivot(postings, None, 0.8).cache()
+    members = postings.count()
+    assert 299 <= pairs.count() <= members < 300 * 40
+    assert simhash._across(postings, pairs, 0.8).count() == 0
+
+
 def test_mixing_targets_and_copies(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), "en", ["a", "b", "c", None][min(3, int(rng.integers(0, 9)) // 2)]) for i in range(800)]
