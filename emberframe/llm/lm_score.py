@@ -1,6 +1,13 @@
 """LM scoring by cross-entropy difference of two matched n-gram models.
 
-Both models are interpolated trigram models over one vocabulary of ``SYMBOLS``
+``word_scores`` is the registered query.  Words are runs of anything but ASCII
+white space; both models are bigram models over one vocabulary, that of all
+documents, and back off to unigrams and the uniform (Witten-Bell).  All counts
+and losses stay in distributed tables that grow with the corpus: (context, word)
+pairs are counted per document, summed by Spark, and the losses are joined back
+to the documents' pairs.  Words are known by 64-bit hashes.
+
+``scores`` is a smaller model over bytes, of fixed size.  Both its models are interpolated trigram models over one vocabulary of ``SYMBOLS``
 text symbols (letters with case, digits as one, common marks, the bytes of other
 scripts, line breaks, a start mark).  Target counts come from the documents that
 are labelled as good, background counts from all documents; nothing is sampled.
@@ -11,7 +18,7 @@ takes the same share from both.  A document's score is the mean loss per symbol
 under the target model minus that under the background model: lower is closer
 to the target.
 
-Defined cases: null and empty texts have 0 symbols, losses and score 0; without
+Defined cases of both: null and empty texts have 0 symbols or words, losses and score 0; without
 target documents both models are the background and every score is 0; null
 doc_ids are scored like others; repeated labels count by their mean; an empty
 table gives no rows; other columns play no part.
@@ -20,13 +27,15 @@ table gives no rows; other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import Texts, slices
+from emberframe.llm.common import Texts, cut, mix64, slices, text_key
 
 SYMBOLS = 96
 START = 0
@@ -90,9 +99,14 @@ def losses(counts: np.ndarray) -> np.ndarray:
     return -np.log2(p).astype(np.float32).ravel()
 
 
+def good_documents(labels: DataFrame) -> DataFrame:
+    """(doc_id, good) of the documents labelled as good."""
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).where("q >= 0.5").select("doc_id", F.lit(True).alias("good"))
+
+
 def models(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """(2, SYMBOLS ** 3): losses under the target and under the background model."""
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).where("q >= 0.5").select("doc_id", F.lit(True).alias("good"))
+    good = good_documents(labels)
     # hashing the labels spares sorting the texts
     marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     rows = trigram_counts(marked).toPandas()
@@ -122,3 +136,62 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts.lengths), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], ["doc_id", "n_symbols", "target_loss", "background_loss", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_symbols long, target_loss double, background_loss double, score double")
+
+
+_hash = partial(xxhash.xxh64_intdigest, seed=42)
+
+
+def _word_pairs(docs: DataFrame) -> DataFrame:
+    """(key, good, text) -> (key, good, c, w, n): how often word ``w`` follows ``c`` in the text; START comes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = [(t or b"").split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            lengths = np.array([len(w) for w in words])
+            w = np.fromiter((_hash(x) for ws in words for x in ws), np.uint64, lengths.sum())
+            c = np.empty_like(w)
+            c[1:] = w[:-1]
+            c[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
+            row = np.repeat(np.arange(len(words)), lengths)
+            pair = mix64(c) + w
+            order = np.lexsort((pair, row))
+            new = np.ones(len(order), bool)
+            new[1:] = (pair[order[1:]] != pair[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+            at = np.flatnonzero(new)
+            first, n = order[at], np.diff(np.append(at, len(order)))
+            rows = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("good").take(rows), pa.array(c[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n)], ["key", "good", "c", "w", "n"])
+
+    return docs.select("key", "good", "text").mapInArrow(run, "key long, good boolean, c long, w long, n long")
+
+
+def _backed(count: Column, kinds: Column, lower: Column, total: Column) -> Column:
+    return (count + F.greatest(kinds, F.lit(1)) * lower) / (total + F.greatest(kinds, F.lit(1)))
+
+
+def word_losses(pairs: DataFrame) -> DataFrame:
+    """(c, w, target_loss, background_loss): -log2 probability of every pair of words under both models."""
+    counts = cut(pairs.groupBy("c", "w").agg(F.sum("n").alias("b"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("t")))
+    seen = [F.sum(F.signum("b")).alias("b_kinds"), F.sum(F.signum("t")).alias("t_kinds"), F.sum("b").alias("b_total"), F.sum("t").alias("t_total")]
+    words = counts.groupBy("w").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+    whole = words.agg(*seen, F.count("*").alias("words")).select(*(F.col(k).alias(f"all_{k}") for k in ("b_kinds", "t_kinds", "b_total", "t_total", "words")))
+    scale = F.when(F.col("all_t_total") > 0, F.col("all_t_total") / F.col("all_b_total")).otherwise(1.0)
+    by = {"t": F.lit(1.0), "b": scale}
+    words = words.crossJoin(F.broadcast(whole)).select("w", "all_t_total", "all_b_total", *(_backed(F.col(x) * by[x], F.col(f"all_{x}_kinds"), 1 / F.col("all_words"), F.col(f"all_{x}_total") * by[x]).alias(f"{x}_word") for x in "bt"))
+    contexts = counts.groupBy("c").agg(*seen)
+    found = counts.join(contexts, "c").join(words, "w")
+    b, t = (-F.log2(_backed(F.col(x) * by[x], F.col(f"{x}_kinds"), F.col(f"{x}_word"), F.col(f"{x}_total") * by[x])) for x in "bt")
+    return found.select("c", "w", F.when(F.col("all_t_total") > 0, t).otherwise(b).alias("target_loss"), b.alias("background_loss"))
+
+
+def word_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_words, target_loss, background_loss, score (bits per word)."""
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull(), text_key()).alias("key"), "text")
+    marked = keyed.join(good_documents(labels).hint("shuffle_hash"), "doc_id", "left").select("key", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    pairs = _word_pairs(marked).repartition("c", "w")
+    sums = pairs.join(word_losses(pairs), ["c", "w"]).groupBy("key").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(k)).alias(k) for k in ("target_loss", "background_loss")))
+    # identical rows are summed under one key
+    rows = keyed.groupBy("key").agg(F.count("*").alias("rows"))
+    means = sums.join(rows, "key").select("key", F.expr("n div rows").alias("n"), (F.col("target_loss") / F.col("n")).alias("t"), (F.col("background_loss") / F.col("n")).alias("b"))
+    zero = lambda k: F.coalesce(k, F.lit(0.0))
+    return keyed.select(F.col("doc_id").cast("long"), "key").join(means, "key", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_words"), zero("t").alias("target_loss"), zero("b").alias("background_loss"), zero(F.col("t") - F.col("b")).alias("score"))

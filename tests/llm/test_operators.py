@@ -365,3 +365,44 @@ def test_lm_score_brute_force(spark):
         want = float(np.mean(target[g]) - np.mean(back[g])) if g else 0.0
         assert got[i].n_symbols == len(g) and abs(got[i].score - want) < 1e-5
     assert got[0].score < got[2].score
+
+
+def test_word_scores_brute_force(spark, odd, none):
+    texts = ["the cat sat on the cat", "the dog ran", "zzz qqq the", "", None, "tac eht", "the cat sat on the cat"]
+    table = docs(spark, [*((i, t, "en", "s") for i, t in enumerate(texts)), (0, texts[0], "en", "s")])
+    for good in ({0, 1}, set()):
+        pairs = [list(zip(["", *w], w, strict=False)) for w in ((t or "").split() for t in texts)]
+        corpus = [(p, i in good) for i, ps in [*enumerate(pairs), (0, pairs[0])] for p in ps]
+        counts = [{}, {}]
+        for p, is_good in corpus:
+            for k in (0, 1):
+                counts[k][p] = counts[k].get(p, 0) + (is_good if k == 0 and good else 1)
+        total = [sum(c.values()) for c in counts]
+        words = {w for (_, w), _ in corpus}
+
+        def loss(k, c, w):
+            scale = total[0] / total[k]
+            p = 1 / len(words)
+            for keep in (lambda q: True, lambda q: q[0] == c):
+                left = {q: n for q, n in counts[k].items() if keep(q) and n}
+                kinds = len({q[1] for q in left}) or 1
+                p = (scale * sum(n for q, n in left.items() if q[1] == w) + kinds * p) / (scale * sum(left.values()) + kinds)
+            return -np.log2(p)
+
+        got = lm_score.word_scores(table, labels(spark, [(i, int(i in good), 0) for i in range(3)])).collect()
+        assert len(got) == 8
+        for r in got:
+            ps = pairs[r.doc_id]
+            t, b = (float(np.mean([loss(k, *p) for p in ps])) if ps else 0.0 for k in (0, 1))
+            assert r.n_words == len(ps) and abs(r.target_loss - t) < 1e-9 and abs(r.background_loss - b) < 1e-9 and abs(r.score - (t - b)) < 1e-9
+    # the same letters in other words are told apart, and the table of losses grows with the corpus
+    assert lm_score.word_scores(odd, labels(spark)).count() == 10 and lm_score.word_scores(none, labels(spark)).count() == 0
+    large = docs(spark, [(i, " ".join(words_of), "en", "s") for i, words_of in enumerate([f"w{k}", f"v{k}"] for k in range(500))])
+    marked = large.select(F.col("doc_id").alias("key"), F.lit(False).alias("good"), "text")
+    assert lm_score.word_losses(lm_score._word_pairs(marked)).count() == 1000
+
+
+def test_op10_is_the_word_model(spark):
+    from emberframe.llm import catalog
+
+    assert "n_words" in catalog.op10_lm_score(spark, "/root/testdata/sf0.001").columns
