@@ -384,7 +384,7 @@ def raster_rectangles(spark, sf_dir):
 
 @query("plain_prose", """SELECT doc_id, trim(replace(regexp_replace(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\s[—–-]\\s', ', ', 'g'), '\\s+', ' ', 'g'), '—', ': ')) AS prose FROM documents WHERE NOT regexp_matches(text, '\\s[—–-]\\s')""")
 def plain_prose(spark, sf_dir):
-    d = lens.table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\s[—–-]\s"))
+    d = lens.table(spark, sf_dir, "documents")
     return d.select("doc_id", plain_text(F.col("text")).alias("prose"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.evidence import confidence_score, observed_at, plain_text
 from emberframe.operators import components, events, spatial
+from emberframe.plans import catalog
 
 COLS = "obs_id long, latitude double, longitude double, acq_date string, acq_time int, satellite string, instrument string, confidence string, frp double"
 
@@ -92,3 +93,10 @@ def test_small_functions(spark):
         plain_text(F.lit("A  fire - The wind — and 3—4 days—long")),
     ).first()
     assert tuple(got) == ("2024-01-01 04:55:00", None, 1.0, 0.85, 1.0, None, "A fire. The wind, and 3–4 days: long")
+
+
+def test_plain_prose_covers_all_documents(spark, tmp_path):
+    texts = [(1, "smoke - The  wind — and 3—4 days"), (2, "no dash"), (3, None), (4, "a – b")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.prose for r in catalog.queries()["plain_prose"](spark, str(tmp_path)).collect()}
+    assert got == {1: "smoke. The wind, and 3–4 days", 2: "no dash", 3: None, 4: "a, b"}
