@@ -15,7 +15,7 @@ def finding_problems(findings: DataFrame, evidence: DataFrame, hypotheses: DataF
     cited = findings.select("role", "hypothesis", F.explode("evidence_ids").alias("evidence_id"))
     unknown = cited.join(evidence.select("evidence_id").distinct(), "evidence_id", "left_anti").select("role", "hypothesis", F.concat(F.lit("unknown evidence "), "evidence_id").alias("problem")).distinct()
     twice = findings.groupBy("role", "hypothesis").count().where("count > 1").select("role", "hypothesis", F.lit("found twice").alias("problem"))
-    wanted = findings.select("role").distinct().crossJoin(F.broadcast(hypotheses.select("hypothesis").limit(1000)))
+    wanted = findings.select("role").distinct().crossJoin(hypotheses.select("hypothesis").distinct())
     missing = wanted.join(findings, ["role", "hypothesis"], "left_anti").select("role", "hypothesis", F.lit("not found").alias("problem"))
     return bad_score.union(unknown).union(twice).union(missing)
 

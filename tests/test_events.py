@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.evidence import confidence_score, observed_at, plain_text
 from emberframe.operators import components, events, spatial
+from emberframe.operators.assess import finding_problems
 from emberframe.plans import catalog
 
 COLS = "obs_id long, latitude double, longitude double, acq_date string, acq_time int, satellite string, instrument string, confidence string, frp double"
@@ -100,3 +101,11 @@ def test_plain_prose_covers_all_documents(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.prose for r in catalog.queries()["plain_prose"](spark, str(tmp_path)).collect()}
     assert got == {1: "smoke. The wind, and 3–4 days", 2: "no dash", 3: None, 4: "a, b"}
+
+
+def test_finding_problems_of_many_hypotheses(spark):
+    none = spark.createDataFrame([], "role string, hypothesis string, score int, evidence_ids array<string>")
+    found = none.union(spark.createDataFrame([("a", "0", 5, ["E1"])], none.schema))
+    wanted = spark.range(1500).selectExpr("cast(id as string) as hypothesis")
+    got = finding_problems(found, spark.createDataFrame([("E1",)], "evidence_id string"), wanted.union(wanted)).collect()
+    assert len(got) == 1499 and {r.problem for r in got} == {"not found"}
