@@ -1,102 +1,47 @@
 """LM scoring by cross-entropy difference of two matched n-gram models.
 
-``word_scores`` is the registered query.  Words are runs of anything but ASCII
-white space; both models are bigram models over one vocabulary, that of all
-documents, and back off to unigrams and the uniform (Witten-Bell).  All counts
-and losses stay in distributed tables that grow with the corpus: (context, word)
-pairs are counted per document, summed by Spark, and the losses are joined back
-to the documents' pairs.  Words are known by 64-bit hashes.
-
-``scores`` is a smaller model over bytes, of fixed size.  Both its models are interpolated trigram models over one vocabulary of ``SYMBOLS``
-text symbols (letters with case, digits as one, common marks, the bytes of other
-scripts, line breaks, a start mark).  Target counts come from the documents that
-are labelled as good, background counts from all documents; nothing is sampled.
-Each task adds up a dense table of its own and hands on the trigrams it met,
-Spark sums them; SYMBOLS cubed entries bound what reaches the driver and what is
-broadcast.  Background counts are scaled to the target's total, so that smoothing
-takes the same share from both.  A document's score is the mean loss per symbol
-under the target model minus that under the background model: lower is closer
-to the target.
-
-Defined cases of both: null and empty texts have 0 symbols or words, losses and score 0; without
-target documents both models are the background and every score is 0; null
-doc_ids are scored like others; repeated labels count by their mean; an empty
-table gives no rows; other columns play no part.
+Tokens are the words of a text (runs of anything but ASCII white space) and an
+end mark.  Both models are bigram models over one vocabulary, all words of all
+documents: P(w | c) = (n(c, w) + MU P(w)) / (n(c) + MU) with P(w) = (n(w) + NU / V)
+/ (N + NU) and V different words (Dirichlet smoothing).  Target counts come from
+the documents labelled as good, background counts from all documents, scaled to
+the target's total so that smoothing takes the same share from both.  From every
+count a document's own share is taken out before it is scored, so that a model
+never knows a text from itself; a text that occurs elsewhere too shows.
+
+Nothing is sampled or capped: words and pairs of words are counted over the whole
+corpus and brought back to the texts by ``tally``, so what is gathered grows with
+the corpus.  Words and pairs are known by hashes of log2(bytes of text) + SPARE
+bits, so one pair in 2 ** SPARE counts another's share as well.
+
+A document's score is the mean loss per token under the target model minus that
+under the background model: lower is closer to the target.
+
+Defined cases: null and empty texts have 0 words, losses and score 0; without
+target documents the background stands for both and every score is 0; null
+doc_ids are scored like others; rows with the same doc_id or text are scored row
+by row; repeated labels count by their mean; an empty table gives no rows; other
+columns play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import Texts, cut, mix64, slices, text_key
-
-SYMBOLS = 96
-START = 0
-
-
-def _symbols() -> np.ndarray:
-    out = np.full(256, 1, np.int32)  # 1: other marks and control characters
-    out[[9, 11, 12, 13, 32]] = 2
-    out[10] = 3
-    out[48:58] = 4
-    for k, mark in enumerate(b".,!?'\"-|;:"):
-        out[mark] = 5 + k
-    out[65:91] = np.arange(15, 41)
-    out[97:123] = np.arange(41, 67)
-    out[128:192] = 67 + np.arange(64) % 16  # continuation bytes
-    out[192:256] = 83 + np.arange(64) % 13  # leading bytes
-    return out
-
-
-_SYMBOL = _symbols()
-
-
-def trigrams(texts: Texts) -> np.ndarray:
-    """The trigram number that ends at every byte; START stands before a text."""
-    s = _SYMBOL[texts.bytes]
-    one = np.empty_like(s)
-    one[1:] = s[:-1]
-    firsts = texts.offsets[:-1][texts.lengths > 0]
-    one[firsts] = START
-    two = np.empty_like(s)
-    two[1:] = one[:-1]
-    two[firsts] = START
-    return (two * SYMBOLS + one) * SYMBOLS + s
-
+from emberframe.llm.common import Texts, mix64
+from emberframe.llm.tally import key_bits, tallied, text_bytes
+from emberframe.llm.words import word_hashes
 
-def trigram_counts(docs: DataFrame) -> DataFrame:
-    """(trigram, background, target) over all rows of ``docs`` (text, good)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, SYMBOLS**3), np.int64)
-        for batch in slices(batches):
-            texts = Texts(batch.column("text"))
-            grams = trigrams(texts)
-            good = np.repeat(batch.column("good").to_numpy(zero_copy_only=False).astype(bool), texts.lengths)
-            counts[0] += np.bincount(grams, minlength=SYMBOLS**3)
-            counts[1] += np.bincount(grams[good], minlength=SYMBOLS**3)
-        met = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(counts[0][met]), pa.array(counts[1][met])], ["trigram", "background", "target"])
-
-    return docs.select("text", "good").mapInArrow(run, "trigram int, background long, target long").groupBy("trigram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log2 probability of every trigram: Witten-Bell interpolation of orders three, two, one and the uniform."""
-    c3 = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
-    c2, c1 = c3.sum(0), c3.sum((0, 1))
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for c in (c1, c2, c3):
-        total, kinds = c.sum(-1, keepdims=True), (c > 0).sum(-1, keepdims=True)
-        p = (c + np.maximum(kinds, 1) * p) / (total + np.maximum(kinds, 1))
-    return -np.log2(p).astype(np.float32).ravel()
+#: Weight of the lower order, in tokens: of single words below pairs, of the even chance below words.
+MU = 10.0
+NU = 10_000.0
+SPARE = 14
+#: Documents labelled as good (16 bytes each) up to which they are broadcast; beyond, they are shuffled with the texts.
+BROADCAST_ROWS = 1 << 20
+START, END = np.uint64(0), np.uint64(1)
 
 
 def good_documents(labels: DataFrame) -> DataFrame:
@@ -104,94 +49,67 @@ def good_documents(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).where("q >= 0.5").select("doc_id", F.lit(True).alias("good"))
 
 
-def models(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """(2, SYMBOLS ** 3): losses under the target and under the background model."""
-    good = good_documents(labels)
-    # hashing the labels spares sorting the texts
-    marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    rows = trigram_counts(marked).toPandas()
-    counts = np.zeros((2, SYMBOLS**3))
-    counts[0, rows["trigram"]], counts[1, rows["trigram"]] = rows["target"], rows["background"]
-    target, background = counts.sum(1)
-    if not target:
-        counts[0] = counts[1]
-    elif background:
-        counts[1] *= target / background
-    return np.stack([losses(c) for c in counts])
+class Grams:
+    """Tokens of a slice: row, whether the first of a row, key of the word and of the pair with the word before."""
+
+    def __init__(self, rows: pa.Table, bits: int):
+        words, bounds = word_hashes(Texts(rows.column("text").combine_chunks()), False)
+        self.words = np.diff(bounds)
+        token = np.insert(words, bounds[1:], END)
+        self.row = np.repeat(np.arange(len(self.words)), self.words + 1)
+        self.first = np.zeros(len(token), bool)
+        self.first[bounds[:-1] + np.arange(len(self.words))] = True
+        before = np.append(START, token[:-1])
+        before[self.first] = START
+        # even keys are words, odd ones pairs; the pair of two start marks counts the texts
+        self.word = self._key(mix64(token), bits) & ~np.uint64(1)
+        self.pair = self._key(mix64(mix64(before) + token), bits) | np.uint64(1)
+        self.text = self._key(mix64(mix64(np.array([START])) + START), bits) | np.uint64(1)
+
+    @staticmethod
+    def _key(hashes: np.ndarray, bits: int) -> np.ndarray:
+        return hashes >> np.uint64(64 - bits)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_symbols, target_loss, background_loss, score (bits per symbol)."""
-    tables = docs.sparkSession.sparkContext.broadcast(models(docs, labels))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = tables.value
-        for batch in slices(batches):
-            texts = Texts(batch.column("text"))
-            grams, some = trigrams(texts), np.flatnonzero(texts.lengths)
-            mean = np.zeros((2, texts.n))
-            if len(some):
-                for k, table in enumerate((target, background)):
-                    mean[k, some] = np.add.reduceat(table[grams].astype(np.float64), texts.offsets[some]) / texts.lengths[some]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts.lengths), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], ["doc_id", "n_symbols", "target_loss", "background_loss", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_symbols long, target_loss double, background_loss double, score double")
-
-
-_hash = partial(xxhash.xxh64_intdigest, seed=42)
-
-
-def _word_pairs(docs: DataFrame) -> DataFrame:
-    """(key, good, text) -> (key, good, c, w, n): how often word ``w`` follows ``c`` in the text; START comes first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = [(t or b"").split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            lengths = np.array([len(w) for w in words])
-            w = np.fromiter((_hash(x) for ws in words for x in ws), np.uint64, lengths.sum())
-            c = np.empty_like(w)
-            c[1:] = w[:-1]
-            c[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
-            row = np.repeat(np.arange(len(words)), lengths)
-            pair = mix64(c) + w
-            order = np.lexsort((pair, row))
-            new = np.ones(len(order), bool)
-            new[1:] = (pair[order[1:]] != pair[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
-            at = np.flatnonzero(new)
-            first, n = order[at], np.diff(np.append(at, len(order)))
-            rows = pa.array(row[first])
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("good").take(rows), pa.array(c[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n)], ["key", "good", "c", "w", "n"])
-
-    return docs.select("key", "good", "text").mapInArrow(run, "key long, good boolean, c long, w long, n long")
-
-
-def _backed(count: Column, kinds: Column, lower: Column, total: Column) -> Column:
-    return (count + F.greatest(kinds, F.lit(1)) * lower) / (total + F.greatest(kinds, F.lit(1)))
-
-
-def word_losses(pairs: DataFrame) -> DataFrame:
-    """(c, w, target_loss, background_loss): -log2 probability of every pair of words under both models."""
-    counts = cut(pairs.groupBy("c", "w").agg(F.sum("n").alias("b"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("t")))
-    seen = [F.sum(F.signum("b")).alias("b_kinds"), F.sum(F.signum("t")).alias("t_kinds"), F.sum("b").alias("b_total"), F.sum("t").alias("t_total")]
-    words = counts.groupBy("w").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-    whole = words.agg(*seen, F.count("*").alias("words")).select(*(F.col(k).alias(f"all_{k}") for k in ("b_kinds", "t_kinds", "b_total", "t_total", "words")))
-    scale = F.when(F.col("all_t_total") > 0, F.col("all_t_total") / F.col("all_b_total")).otherwise(1.0)
-    by = {"t": F.lit(1.0), "b": scale}
-    words = words.crossJoin(F.broadcast(whole)).select("w", "all_t_total", "all_b_total", *(_backed(F.col(x) * by[x], F.col(f"all_{x}_kinds"), 1 / F.col("all_words"), F.col(f"all_{x}_total") * by[x]).alias(f"{x}_word") for x in "bt"))
-    contexts = counts.groupBy("c").agg(*seen)
-    found = counts.join(contexts, "c").join(words, "w")
-    b, t = (-F.log2(_backed(F.col(x) * by[x], F.col(f"{x}_kinds"), F.col(f"{x}_word"), F.col(f"{x}_total") * by[x])) for x in "bt")
-    return found.select("c", "w", F.when(F.col("all_t_total") > 0, t).otherwise(b).alias("target_loss"), b.alias("background_loss"))
-
-
-def word_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, target_loss, background_loss, score (bits per word)."""
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull(), text_key()).alias("key"), "text")
-    marked = keyed.join(good_documents(labels).hint("shuffle_hash"), "doc_id", "left").select("key", "text", F.coalesce("good", F.lit(False)).alias("good"))
-    pairs = _word_pairs(marked).repartition("c", "w")
-    sums = pairs.join(word_losses(pairs), ["c", "w"]).groupBy("key").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(k)).alias(k) for k in ("target_loss", "background_loss")))
-    # identical rows are summed under one key
-    rows = keyed.groupBy("key").agg(F.count("*").alias("rows"))
-    means = sums.join(rows, "key").select("key", F.expr("n div rows").alias("n"), (F.col("target_loss") / F.col("n")).alias("t"), (F.col("background_loss") / F.col("n")).alias("b"))
-    zero = lambda k: F.coalesce(k, F.lit(0.0))
-    return keyed.select(F.col("doc_id").cast("long"), "key").join(means, "key", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_words"), zero("t").alias("target_loss"), zero("b").alias("background_loss"), zero(F.col("t") - F.col("b")).alias("score"))
+    """Per document: doc_id, n_words, target_loss, background_loss, score (bits per token)."""
+    good = good_documents(labels)
+    marks = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
+    marked = docs.select(F.col("doc_id").cast("long"), "text").join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    total = text_bytes(docs)
+    bits = key_bits(total, SPARE)
+
+    def keys_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        grams, good = Grams(rows, bits), rows.column("good").to_numpy().astype(float)
+        keys, where = np.unique(np.concatenate([grams.word, grams.pair, np.repeat(grams.text, len(good))]), return_inverse=True)
+        weight = np.concatenate([good[grams.row], good[grams.row], good])
+        return keys, np.stack([np.bincount(where, minlength=len(keys)), np.bincount(where, weight, len(keys))])
+
+    def finish(rows: pa.Table, keys: np.ndarray, totals: np.ndarray, whole: np.ndarray) -> pa.Table:
+        grams, good = Grams(rows, bits), rows.column("good").to_numpy().astype(bool)
+        vocabulary, n_background, n_target = whole.astype(float).tolist()
+
+        def counts(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Background and target counts of every token's key without the text's own."""
+            at = np.searchsorted(keys, wanted)
+            _, where, own = np.unique(grams.row * len(keys) + at, return_inverse=True, return_counts=True)
+            own = own[where]
+            return totals[0, at].astype(float) - own, totals[1, at] - np.where(good[grams.row], own, 0.0)
+
+        words, pairs = counts(grams.word), counts(grams.pair)
+        texts = totals[:, np.searchsorted(keys, grams.text)].astype(float).ravel()
+        length = (grams.words + 1)[grams.row]
+        out = []
+        # without a target the background stands for both
+        for which, model in enumerate((1 if n_target else 0, 0)):
+            own = np.where(good[grams.row], 1.0, 0.0) if model else np.ones(len(length))
+            scale = 1.0 if model or not n_target else n_target / n_background
+            before = np.append(0.0, words[model][:-1])
+            before[grams.first] = (texts[model] - own)[grams.first]
+            n = (n_target if model else n_background) - own * length
+            single = (scale * words[model] + NU / vocabulary) / (scale * n + NU)
+            loss = -np.log2((scale * pairs[model] + MU * single) / (scale * before + MU))
+            out.append(np.where(grams.words > 0, np.add.reduceat(loss, np.flatnonzero(grams.first)) / (grams.words + 1), 0.0))
+        return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(grams.words.astype(np.int64)), "target_loss": out[0], "background_loss": out[1], "score": out[0] - out[1]})
+
+    return tallied(marked, total, bits, keys_of, finish, "doc_id long, n_words long, target_loss double, background_loss double, score double")

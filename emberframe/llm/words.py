@@ -65,3 +65,40 @@ def tokenise(texts: Texts, folded: bool) -> Tokens:
     keep = kinds > 0
     starts, lengths, kinds = starts[keep], lengths[keep], kinds[keep]
     return Tokens(starts, lengths, kinds, np.searchsorted(texts.offsets, starts, "right") - 1, mix64(sums[starts + lengths] - sums[starts]), sums)
+
+
+#: Bytes of text that ``word_hashes`` works through at once.
+PIECE = 1 << 16
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), 32]] = True
+
+
+def word_hashes(texts: Texts, folded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a run of rows, and the n + 1 bounds of the rows in them.
+
+    Words are runs of anything but ASCII white space, with A-Z as small letters if
+    ``folded``.  Texts are worked through in pieces, also within a word, so that a
+    very long one takes eight bytes a word and no more.
+    """
+    data, length = texts.bytes, len(texts.bytes)
+    hashes, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    held, place = np.zeros(1, np.uint64), 0  # sum and length of a word that goes on in the next piece
+    for a in range(0, length, PIECE):
+        size = min(PIECE, length - a)
+        word = np.append(~_SPACE[data[a : a + size + 1]], False)[: size + 1]
+        first = np.zeros(size + 1, bool)
+        first[texts.offsets[np.searchsorted(texts.offsets, a) : np.searchsorted(texts.offsets, a + size, "right")] - a] = True
+        begins = word[:size] & (first[:size] | ~np.append(place > 0, word[: size - 1]))
+        goes_on = word[1:] & ~first[1:]
+        at = np.arange(size)
+        since = np.maximum.accumulate(np.where(begins, at, -place))
+        values = data[a : a + size]
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(np.where(word[:size], _VALUE[FOLD[values] if folded else values] * _PLACE[(at - since) & 255], np.uint64(0)), out=sums[1:])
+        before = np.where(since < 0, np.negative(held), sums[np.maximum(since, 0)])
+        stops = np.flatnonzero(word[:size] & ~goes_on)
+        hashes.append(mix64(sums[stops + 1] - before[stops]))
+        ends.append(stops + a)
+        open_end = word[size - 1] and goes_on[-1]
+        held, place = (sums[-1:] - before[-1:], int(size - since[-1])) if open_end else (np.zeros(1, np.uint64), 0)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(ends), texts.offsets)

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from emberframe.llm import decontam, language, line_dedup, lm_score, mixing, neighbours, quality, simhash, toxicity, training_order
+from emberframe.llm import decontam, language, line_dedup, lm_score, mixing, neighbours, quality, simhash, tally, toxicity, training_order
+from emberframe.llm import words as word_hashing
+from emberframe.llm.common import Texts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, keep string, slot int, block int, size string, row int"
 SHARED = "this line is found in so many documents that all copies but one have to go"
@@ -346,63 +350,73 @@ def test_label_model_finds_accuracies():
     assert {int(model.parent[4]), int(model.parent[0])} & {0, 4}
 
 
-def test_lm_score_brute_force(spark):
-    texts = ["the cat sat", "the dog ran", "zzz qqq ###", "", None]
-    table = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
-    marks = labels(spark, [(0, 1, 0), (1, 1, 0), (2, 0, 0), (None, 1, 0)])
-    counts = np.zeros((2, lm_score.SYMBOLS**3))
-    grams = []
-    for i, t in enumerate(texts):
-        s = [0, 0, *(int(lm_score._SYMBOL[b]) for b in (t or "").encode())]
-        grams.append([(s[k - 2] * lm_score.SYMBOLS + s[k - 1]) * lm_score.SYMBOLS + s[k] for k in range(2, len(s))])
-        for g in grams[-1]:
-            counts[1, g] += 1
-            counts[0, g] += i < 2
-    counts[1] *= counts[0].sum() / counts[1].sum()
-    target, back = (lm_score.losses(c) for c in counts)
-    got = {r.doc_id: r for r in lm_score.scores(table, marks).collect()}
-    for i, g in enumerate(grams):
-        want = float(np.mean(target[g]) - np.mean(back[g])) if g else 0.0
-        assert got[i].n_symbols == len(g) and abs(got[i].score - want) < 1e-5
-    assert got[0].score < got[2].score
-
-
-def test_word_scores_brute_force(spark, odd, none):
-    texts = ["the cat sat on the cat", "the dog ran", "zzz qqq the", "", None, "tac eht", "the cat sat on the cat"]
-    table = docs(spark, [*((i, t, "en", "s") for i, t in enumerate(texts)), (0, texts[0], "en", "s")])
+def lm_brute_force(rows, good):
+    """(n_words, target loss, background loss) of every row by counting the other rows."""
+    tokens = [[*(t or "").split(), None] for _, t in rows]
+    pairs = [list(zip(["<s>", *w], w, strict=False)) for w in tokens]
+    kinds, out = len({w for ws in tokens for w in ws}), []
+    target = [i in good for i, _ in rows]
+    n = [sum(len(w) for w, g in zip(tokens, target, strict=True) if g), sum(map(len, tokens))]
+    for row, ps in enumerate(pairs):
+        losses = []
+        for members, scale in ((target, 1.0), ([True] * len(rows), n[0] / n[1])) if n[0] else (([True] * len(rows), 1.0),) * 2:
+            other = [k for k, m in enumerate(members) if m and k != row]
+            seen = [q for k in other for q in pairs[k]]
+            # the total is that of the model less the row's own tokens
+            left = sum(len(tokens[k]) for k in other)
+            loss = 0.0
+            for c, w in ps:
+                single = (scale * sum(q[1] == w for q in seen) + lm_score.NU / kinds) / (scale * left + lm_score.NU)
+                loss -= np.log2((scale * sum(q == (c, w) for q in seen) + lm_score.MU * single) / (scale * sum(q[0] == c for q in seen) + lm_score.MU))
+            losses.append(loss / len(ps))
+        words = len(ps) - 1
+        out.append((words, *(losses if words else (0.0, 0.0))))
+    return out
+
+
+@pytest.mark.parametrize("limit", [lm_score.BROADCAST_ROWS, 0])
+def test_lm_score_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(lm_score, "BROADCAST_ROWS", limit)
+    rows = [(0, "the cat sat on the cat"), (1, "the dog ran"), (2, "zzz qqq the"), (3, ""), (4, None), (5, "tac eht"), (6, "the cat sat on the cat"), (0, "the cat sat on the cat"), (7, " ".join(words(7, 300)))]
     for good in ({0, 1}, set()):
-        pairs = [list(zip(["", *w], w, strict=False)) for w in ((t or "").split() for t in texts)]
-        corpus = [(p, i in good) for i, ps in [*enumerate(pairs), (0, pairs[0])] for p in ps]
-        counts = [{}, {}]
-        for p, is_good in corpus:
-            for k in (0, 1):
-                counts[k][p] = counts[k].get(p, 0) + (is_good if k == 0 and good else 1)
-        total = [sum(c.values()) for c in counts]
-        words = {w for (_, w), _ in corpus}
-
-        def loss(k, c, w):
-            scale = total[0] / total[k]
-            p = 1 / len(words)
-            for keep in (lambda q: True, lambda q: q[0] == c):
-                left = {q: n for q, n in counts[k].items() if keep(q) and n}
-                kinds = len({q[1] for q in left}) or 1
-                p = (scale * sum(n for q, n in left.items() if q[1] == w) + kinds * p) / (scale * sum(left.values()) + kinds)
-            return -np.log2(p)
-
-        got = lm_score.word_scores(table, labels(spark, [(i, int(i in good), 0) for i in range(3)])).collect()
-        assert len(got) == 8
-        for r in got:
-            ps = pairs[r.doc_id]
-            t, b = (float(np.mean([loss(k, *p) for p in ps])) if ps else 0.0 for k in (0, 1))
-            assert r.n_words == len(ps) and abs(r.target_loss - t) < 1e-9 and abs(r.background_loss - b) < 1e-9 and abs(r.score - (t - b)) < 1e-9
-    # the same letters in other words are told apart, and the table of losses grows with the corpus
-    assert lm_score.word_scores(odd, labels(spark)).count() == 10 and lm_score.word_scores(none, labels(spark)).count() == 0
-    large = docs(spark, [(i, " ".join(words_of), "en", "s") for i, words_of in enumerate([f"w{k}", f"v{k}"] for k in range(500))])
-    marked = large.select(F.col("doc_id").alias("key"), F.lit(False).alias("good"), "text")
-    assert lm_score.word_losses(lm_score._word_pairs(marked)).count() == 1000
-
-
-def test_op10_is_the_word_model(spark):
-    from emberframe.llm import catalog
-
-    assert "n_words" in catalog.op10_lm_score(spark, "/root/testdata/sf0.001").columns
+        wanted = {(i, *(round(x, 9) for x in w)) for (i, _), w in zip(rows, lm_brute_force(rows, good), strict=True)}
+        got = lm_score.scores(docs(spark, [(i, t, "en", "s") for i, t in rows]), labels(spark, [(i, int(i in good), 0) for i in range(3)])).collect()
+        assert len(got) == len(rows)
+        assert {(r.doc_id, r.n_words, round(r.target_loss, 9), round(r.background_loss, 9)) for r in got} == wanted
+        assert all(abs(r.score - (r.target_loss - r.background_loss)) < 1e-12 for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[6].background_loss < by[7].background_loss  # a text that occurs elsewhere too
+
+
+def test_word_hashes_in_pieces(monkeypatch):
+    rows = ["", None, "  ", "aB é\n\tx", "x" * 700, "one two", " ".join(words(8, 90)), "ÀB b\x0bc"]
+    wanted = None
+    for piece in (1 << 16, 1, 2, 3, 64):
+        monkeypatch.setattr(word_hashing, "PIECE", piece)
+        hashes, bounds = word_hashing.word_hashes(Texts(pa.array(rows)), True)
+        assert np.diff(bounds).tolist() == [len((t or "").encode().split()) for t in rows]
+        wanted = hashes if wanted is None else wanted
+        assert (hashes == wanted).all()
+    flat = [w.lower() for t in rows for w in (t or "").encode().split()]
+    assert len(set(wanted.tolist())) == len(set(flat)) and {w: h for w, h in zip(flat, wanted.tolist(), strict=True)} == dict(zip(flat, wanted.tolist(), strict=True))
+
+
+def test_tally_counts_over_all_slices(spark, monkeypatch):
+    monkeypatch.setattr(tally, "SLICE_BYTES", (200, 200))
+    monkeypatch.setattr(tally, "PART_BYTES", (100, 100))
+    table = docs(spark, [(i, f"{i % 7} {i % 3} all", "en", "s") for i in range(210)])
+
+    def keys_of(rows):
+        h, _ = word_hashing.word_hashes(Texts(rows.column("text").combine_chunks()), False)
+        keys, n = np.unique(h, return_counts=True)
+        return keys, n[None]
+
+    def finish(rows, keys, totals, whole):
+        h, bounds = word_hashing.word_hashes(Texts(rows.column("text").combine_chunks()), False)
+        found = totals[0, np.searchsorted(keys, h)].astype(np.int64).reshape(-1, 3)
+        return pa.table({"doc_id": rows.column("doc_id"), "a": found[:, 0], "b": found[:, 1], "c": found[:, 2]})
+
+    got = tally.tallied(table.select("doc_id", "text"), 1500, 64, keys_of, finish, "doc_id long, a long, b long, c long").collect()
+    count = Counter(w for i in range(210) for w in f"{i % 7} {i % 3} all".split())
+    assert len(got) == 210
+    assert all((r.a, r.b, r.c) == (count[str(r.doc_id % 7)], count[str(r.doc_id % 3)], 210) for r in got)
