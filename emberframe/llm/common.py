@@ -38,6 +38,14 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(F.col(column), F.col(column).isNull())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it none of ``df``'s columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hash_sample(rows: DataFrame, key: str, size: int) -> tuple[int, DataFrame]:
     """(number of rows, the ``size`` rows with the least hash of ``key``); the same rows at every run.
 

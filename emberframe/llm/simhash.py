@@ -26,17 +26,19 @@ rows; other columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import cut, mix64, slices, text_key
+from emberframe.llm.common import Texts, cut, fresh, mix64, slices, text_key
+from emberframe.llm.tally import key_bits, tallied, text_bytes
+from emberframe.llm.words import word_hashes
 from emberframe.operators.components import connected_components
 
 #: Fingerprints in an upper node beyond which it is factored once more.
@@ -97,32 +99,49 @@ def masks(max_bits: int, within: int = (1 << 64) - 1) -> list[int]:
     return [a | b for a, b in combinations(_blocks(free, max_bits + 2), 2)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+_ALL = np.uint64((1 << 64) - 1)
 
 
-def _gray_rank(code: Column) -> Column:
-    """Position of a code in reflected Gray order, shifted so that signed order is unsigned order."""
+def _gray_rank(codes: np.ndarray) -> np.ndarray:
+    """Position of codes in reflected Gray order."""
     for step in (1, 2, 4, 8, 16, 32):
-        code = code.bitwiseXOR(F.shiftrightunsigned(code, step))
-    return code.bitwiseXOR(F.lit(_signed(1 << 63)))
+        codes = codes ^ (codes >> np.uint64(step))
+    return codes
+
+
+def _node_rows(max_bits: int) -> tuple[Callable, Callable]:
+    """Arrow functions (fp, v) -> upper nodes and (view, pattern, rows, fp, v) -> nodes with the rank in them."""
+    views = np.array(masks(max_bits), np.uint64)
+    finer = np.array([masks(max_bits, int(~m)) for m in views], np.uint64)
+
+    def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, v = (np.tile(batch.column(k).to_numpy(), len(views)) for k in ("fp", "v"))
+            view = np.repeat(np.arange(len(views)), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(view, pa.int32()), pa.array((fp.view(np.uint64) & views[view]).view(np.int64)), pa.array(fp), pa.array(v)], ["view", "pattern", "fp", "v"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            view, pattern, rows, fp, v = (batch.column(k).to_numpy() for k in ("view", "pattern", "rows", "fp", "v"))
+            times = np.where(rows > NODE_ROWS, finer.shape[1], 1)
+            at = np.repeat(np.arange(len(fp)), times)
+            sub = np.where(times[at] > 1, np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times), -1)
+            mask = np.where(sub < 0, np.uint64(0), finer[view[at], sub])
+            codes = fp[at].view(np.uint64)
+            rank = _gray_rank(codes & ~(views[view[at]] | mask)) ^ np.uint64(1 << 63)  # signed order is then unsigned order
+            cols = [view[at], pattern[at], sub.astype(np.int32), (codes & mask).view(np.int64), rank.view(np.int64), fp[at], v[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["view", "pattern", "sub", "subpattern", "rank", "fp", "v"])
+
+    return upper, split
 
 
 def _nodes(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(set, view, pattern, sub, subpattern, rank, fp, v): every fingerprint once for each upper node that holds others too."""
-    views = masks(max_bits)
-    first = fps.select("set", "v", "fp", F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for v, m in enumerate(views)))).alias("n"))
-    first = first.select("set", "v", "fp", "n.view", "n.pattern")
-    held = cut(first.groupBy("set", "view", "pattern").agg(F.count("*").alias("rows")).where("rows > 1"))
-    met = first.join(held, ["set", "view", "pattern"])
-    finer = F.array(*(
-        F.array(*(F.struct(F.lit(s).alias("sub"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("subpattern"), F.lit(_signed(~(view | m) & ((1 << 64) - 1))).alias("free")) for s, m in enumerate(masks(max_bits, ~view & ((1 << 64) - 1)))))
-        for view in views
-    ))
-    rest = F.get(F.array(*(F.lit(_signed(~m & ((1 << 64) - 1))) for m in views)), F.col("view"))
-    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subpattern"), rest.alias("free")))
-    split = met.withColumn("s", F.explode(F.when(F.col("rows") > NODE_ROWS, F.get(finer, F.col("view"))).otherwise(whole)))
-    return split.select("set", "view", "pattern", "s.sub", "s.subpattern", _gray_rank(F.col("fp").bitwiseAND(F.col("s.free"))).alias("rank"), "fp", "v")
+    """(view, pattern, sub, subpattern, rank, fp, v): every fingerprint once for each upper node that holds others too."""
+    upper, split = _node_rows(max_bits)
+    first = fps.select("fp", "v").mapInArrow(upper, "view int, pattern long, fp long, v long")
+    held = first.groupBy("view", "pattern").agg(F.count("*").alias("rows")).where("rows > 1")
+    met = first.join(held, ["view", "pattern"]).select("view", "pattern", "rows", "fp", "v")
+    return met.mapInArrow(split, "view int, pattern long, sub int, subpattern long, rank long, fp long, v long")
 
 
 def _levels(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -193,9 +212,9 @@ def _forest(codes: np.ndarray, max_bits: int) -> np.ndarray:
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     """(a, b): vertices joined by links, a spanning forest for every upper node.
 
-    ``fps`` has (set, fp, v): fingerprints of different sets don't meet.
+    ``fps`` has (fp, v).
     """
-    keys = ["set", "view", "pattern", "sub", "subpattern"]
+    keys = ["view", "pattern", "sub", "subpattern"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def search(node: list[np.ndarray], fp: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -241,7 +260,7 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
 def components(marked: DataFrame, max_bits: int = 2) -> DataFrame:
     """(doc_id, fp) -> (doc_id, fp, component_id); ``marked`` should be materialised, it is read twice."""
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(links(classes.select(F.lit(0).alias("set"), "fp", F.col("fp").alias("v")), max_bits)).select(F.col("vertex").alias("fp"), "root")
+    found = connected_components(links(classes.select("fp", F.col("fp").alias("v")), max_bits)).select(F.col("vertex").alias("fp"), "root")
     reached = found.join(classes, "fp").groupBy("root").agg(F.min("least").alias("component"))
     grown = found.join(reached, "root").select("fp", "component")
     labelled = cut(classes.join(grown, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
@@ -254,178 +273,170 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Entries of the table of shingle counts by which rarer shingles come first, and the rows it travels in.
-COUNTS = 1 << 20
-PARTS = 64
-#: Texts in a shingle's bucket up to which all pairs are compared at once.
-BUCKET_ROWS = 16
+#: Bits of the keys by which shingles are counted, beyond those that number the corpus' bytes.
+SPARE = 8
+#: Ratio of neighbouring classes of size.
+STEP = 1.05
+#: Stands for a null doc_id, behind all others.
+NO_ID = (1 << 63) - 1
 
 
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """Distinct hashes, in ascending order, of a text's shingles of ``width`` words."""
-    words = text.lower().split()
-    h = np.fromiter(map(_hash, words), np.uint64, len(words))
-    n = max(min(1, len(words)), len(words) - width + 1)
-    out = np.zeros(n, np.uint64)
+def shingle_sets(texts: Texts, width: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """Of every text the distinct hashes of its shingles of ``width`` words, ascending, and 128 bits of its word sequence."""
+    words, bounds = word_hashes(texts, True)
+    chain = np.zeros(len(words), np.uint64)
     for k in range(min(width, len(words))):
-        out = mix64(out + h[k : k + n])
-    return np.unique(out)
-
-
-def _shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """COUNTS numbers: texts that hold a shingle, summed over the shingles with the same leading bits."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTS, np.int64)
-        for batch in slices(batches):
-            sets = [shingle_set(t or b"", width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTS)
-        if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, PARTS)], pa.binary())], ["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["part", "counts"])
-
-    schema = "part int, counts binary"
-    out = np.zeros((PARTS, COUNTS // PARTS), np.int64)
-    for row in docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():
-        out[row.part] = np.frombuffer(row.counts, np.int64)
-    return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.int32)
+        chain[: len(words) - k] = mix64(chain[: len(words) - k] + words[k:])
+    sets, digests = [], []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a >= width or a == b:
+            found = chain[a : max(a, b - width + 1)]
+        else:  # the whole sequence
+            found = np.zeros(1, np.uint64)
+            for k in range(a, b):
+                found = mix64(found + words[k])
+        sets.append(np.unique(found))
+        digests.append(xxhash.xxh3_128_digest(words[a:b].tobytes()))
+    return sets, digests
 
 
 def _content(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, text_key, h1, h2, n, prefix): 128-bit hash of the word sequence, number of shingles, the rarest of them.
-
-    Two sets with a Jaccard similarity of ``similarity`` share one of their rarest
-    n - ceil(similarity * n) + 1 elements, in whatever order all sets agree on.
+    """(doc_id, text_key, h1, h2, n, singles, fp, prefix, shared) per row of ``docs``.
+
+    h1 and h2 are 128 bits of the word sequence, n the number of shingles, singles
+    those that no other row of the table holds.  Two sets with a Jaccard similarity
+    of ``similarity`` share one of their rarest n - ceil(similarity * n) + 1
+    elements, in whatever order all sets agree on; ``prefix`` has those of them that
+    others hold too.  If it is empty nothing can be similar, and ``shared`` (all
+    shingles that others hold) is left empty as well.
     """
-    table = docs.sparkSession.sparkContext.broadcast(_shingle_counts(docs, width))
+    total = text_bytes(docs)
+    bits = key_bits(total, SPARE)
+    shift = np.uint64(64 - bits)
+
+    def keys_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sets, _ = shingle_sets(Texts(rows.column("text").combine_chunks()), width)
+        keys, n = np.unique(np.concatenate(sets) >> shift, return_counts=True)
+        return keys, n[None]
+
+    def finish(rows: pa.Table, keys: np.ndarray, totals: np.ndarray, _: np.ndarray) -> pa.Table:
+        sets, digests = shingle_sets(Texts(rows.column("text").combine_chunks()), width)
+        held = totals[0, np.searchsorted(keys, np.concatenate(sets) >> shift)]
+        alone, fps, prefixes, shares, at = [], [], [], [], 0
+        for x in sets:
+            times, at = held[at : at + len(x)], at + len(x)
+            singles = int((times == 1).sum())
+            rare = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1 if len(x) else 0
+            fp, prefix, shared = 0, x[:0], x[:0]
+            if singles < rare:
+                prefix, shared = x[np.lexsort((x, times))[singles:rare]], x[times > 1]
+                ones = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                fp = int(np.packbits(ones * 2 > len(x), bitorder="little").view(np.int64)[0])
+            alone.append(singles)
+            fps.append(fp)
+            prefixes.append(prefix.view(np.int64))
+            shares.append(shared.view(np.int64))
+        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        lists = pa.list_(pa.int64())
+        return pa.table({
+            "doc_id": rows.column("doc_id"), "text_key": rows.column("text_key"), "h1": halves[:, 0].copy(), "h2": halves[:, 1].copy(), "n": pa.array(map(len, sets), pa.int32()),
+            "singles": pa.array(alone, pa.int32()), "fp": pa.array(fps, pa.int64()), "prefix": pa.array(prefixes, lists), "shared": pa.array(shares, lists),
+        })
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
+    return tallied(rows, total, bits, keys_of, finish, "doc_id long, text_key long, h1 long, h2 long, n int, singles int, fp long, prefix array<long>, shared array<long>")
+
+
+def _postings(suspects: DataFrame) -> DataFrame:
+    """(s, v, n, at, alone): shingle ``s`` at place ``at`` of the prefix of text ``v``; ``alone``: share of shingles of its own."""
+    return suspects.select("v", "n", "singles", (F.col("singles") / F.col("n")).alias("alone"), F.posexplode("prefix").alias("pos", "s")).select("s", "v", "n", (F.col("singles") + F.col("pos")).alias("at"), "alone")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            digests, sizes, prefixes = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                digests.append(xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split())))
-                x = shingle_set(text or b"", width)
-                first = np.argsort(table.value[x >> np.uint64(44)], kind="stable")[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1]
-                sizes.append(len(x))
-                prefixes.append(x[first].view(np.int64))
-            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "h1", "h2", "n", "prefix"],
-            )
 
-    return docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, h1 long, h2 long, n long, prefix array<long>")
+def _pairs(df: DataFrame, v: str, w: str) -> DataFrame:
+    return df.where(F.col(v) != F.col(w)).select(F.least(v, w).alias("a"), F.greatest(v, w).alias("b"))
 
 
-def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(v, text) -> (v, shingles): distinct hashes of the shingles of ``width`` words."""
+def _by_fingerprint(suspects: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): texts whose fingerprints the Gray-order index links, each fingerprint's texts through one of them."""
+    first = suspects.groupBy("fp").agg(F.min("v").alias("w"))
+    return links(first.select("fp", F.col("w").alias("v")), max_bits).unionByName(_pairs(suspects.join(first, "fp"), "v", "w"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_set(t or b"", width).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(sets, pa.list_(pa.int64()))], ["v", "shingles"])
 
-    return texts.mapInArrow(run, "v long, shingles array<long>")
+def _by_pivot(postings: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every member of a bucket with the bucket's pivot, its member with the least share of shingles of its own.
 
+    Where copies were edited apart from each other, that is the text they were made from.
+    """
+    best = postings.groupBy("s").agg(F.count("*").alias("rows"), F.max(F.struct(-F.col("alone"), F.xxhash64("v"), "v", "n")).alias("p")).where("rows > 1")
+    met = postings.join(best.select("s", F.col("p.v").alias("w"), F.col("p.n").alias("m")), "s")
+    return _pairs(met.where(F.least("n", "m") + 1e-6 >= similarity * F.greatest("n", "m")), "v", "w")
 
-def _fits(similarity: float, n: str, m: str) -> Column:
-    """Whether two sets of ``n`` and ``m`` elements can be so similar."""
-    return F.least(n, m) + 1e-6 >= similarity * F.greatest(n, m)
 
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(STEP))).cast("int")
 
-def _others(postings: DataFrame, *more: Column) -> DataFrame:
-    return postings.select("s", F.col("v").alias("w"), F.col("n").alias("m"), F.col("at").alias("bt"), *more)
 
+def _across(postings: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of a bucket that can be similar and that ``linked`` doesn't connect.
 
-def _meets(similarity: float) -> Column:
-    """Whether (n, at) and (m, bt) can be so similar if this is their first common shingle, up to which they share nothing."""
+    Two sets whose first common shingle stands at places ``at`` and ``bt`` share no
+    more than min(n - at, m - bt), which bounds the size of a partner.  Members
+    outside the bucket's largest component look for partners of each size in reach.
+    """
+    roots = connected_components(linked).select(F.col("vertex").alias("v"), "root")
+    placed = postings.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    kinds = placed.groupBy("s", "root").agg(F.count("*").alias("rows")).groupBy("s").agg(F.max_by("root", "rows").alias("most"), F.count("*").alias("kinds"))
+    left = cut(placed.join(kinds.where("kinds > 1").select("s", "most"), "s"))
+    reach = (F.col("n") - F.col("at")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6
+    sizes = F.explode(F.sequence(_size_class(similarity * F.col("n") - 1e-6), _size_class(reach)))
+    outside = left.where((F.col("root") != F.col("most")) & (reach >= similarity * F.col("n") - 1e-6)).select("s", sizes.alias("size"), F.col("v").alias("w"), F.col("n").alias("m"), F.col("at").alias("bt"), F.col("root").alias("other"))
+    both = left.withColumn("size", _size_class(F.col("n") + 1e-9)).join(outside, ["s", "size"])
     shared = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
-    return _fits(similarity, "n", "m") & (shared + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("m")))
+    can = (F.least("n", "m") + 1e-6 >= similarity * F.greatest("n", "m")) & (shared + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("m")))
+    return _pairs(both.where((F.col("root") != F.col("other")) & can), "v", "w")
 
 
-def _pairs(df: DataFrame, v: str, w: str) -> DataFrame:
-    return df.where(F.col(v) != F.col(w)).select(F.least(v, w).alias("a"), F.greatest(v, w).alias("b")).distinct()
+def _compared(pairs: DataFrame, suspects: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, linked): whether the sets of a pair are as similar as that."""
+    side = lambda v, n, x: suspects.select(F.col("v").alias(v), F.col("n").alias(n), F.col("shared").alias(x))
+    both = pairs.distinct().join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", (common + 1e-9 >= similarity * (F.col("n") + F.col("m") - common)).alias("linked"))
 
 
-def _by_pivot(postings: DataFrame, degrees: DataFrame | None, similarity: float) -> DataFrame:
-    """(a, b): every member of a bucket with the bucket's pivot, its member with most links so far."""
-    ranked = postings.withColumn("d", F.lit(0)) if degrees is None else postings.join(degrees, "v", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-    best = ranked.groupBy("s").agg(F.max(F.struct("d", F.xxhash64("s", "v").alias("h"), "v", "n")).alias("p"))
-    met = postings.join(best.select("s", F.col("p.v").alias("w"), F.col("p.n").alias("m")), "s")
-    return _pairs(met.where(_fits(similarity, "n", "m")), "v", "w")
-
-
-def _across(postings: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of a bucket that can be similar and aren't connected by ``found`` yet.
-
-    Members outside the bucket's largest component meet all members.
-    """
-    roots = connected_components(found).select(F.col("vertex").alias("v"), "root")
-    placed = postings.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    split = placed.groupBy("s", "root").agg(F.count("*").alias("rows")).groupBy("s").agg(F.max_by("root", "rows").alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    left = cut(placed.join(split.select("s", "most"), "s"))
-    outside = _others(left.where("root != most"), F.col("root").alias("other"))
-    met = left.join(outside, "s").where((F.col("root") != F.col("other")) & _meets(similarity))
-    return _pairs(met, "v", "w")
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one document, that of the least doc_id, of every group of exact or near copies.
 
+    Texts with the same words in the same order are one vertex (128-bit hashes).
+    Two vertices are linked if the Jaccard similarity of their sets of shingles
+    reaches ``similarity``; components of links are groups.  Candidates come from
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document, that of the least doc_id, of every group of exact or near copies.
+    1. exact counts of all shingles: a text with enough shingles that no other holds
+       has no near copy and leaves here; of the rest
+    2. fingerprints of the same shingles, linked by the Gray-order index;
+    3. the rarest shingles (prefix filter): linked sets share one of them.  The
+       members of a shingle's bucket are compared with one pivot, then all pairs
+       that are not connected yet and can be similar by their places and sizes.
 
-    Texts with the same words in the same order are one vertex.  Two vertices are
-    linked if the Jaccard similarity of their sets of shingles reaches
-    ``similarity``; components of links are groups.  No link between groups is
-    missed: linked sets share one of their rarest shingles (prefix filter), so
-    they meet in its bucket.  Rarity is counted over all texts in a table of fixed
-    size; its order decides the cost, not the result.  A bucket of up to BUCKET_ROWS
-    compares all its pairs.  A larger one compares its members with one pivot,
-    twice (any member, then the one with most links), and then all pairs that are
-    not connected yet, so a large group of copies costs its rows, not its pairs.
+    Each is compared exactly, so no link between groups is missed (fingerprints
+    alone would: at similarity 0.8 some ten of 64 bits differ) and a large group
+    of copies costs its rows, not its pairs.
 
     Defined cases: null and empty texts are copies of each other; a null doc_id
     stands behind all others; of identical rows one stays; an empty table gives
     no rows; other columns are kept and play no part.
     """
-    marked = cut(_content(docs, shingle, similarity))
-    whole = marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumnRenamed("h1", "v")
-    texts = cut(whole.select("v", "least"))
-    rare = whole.select("v", "n", F.posexplode("prefix").alias("at", "s")).repartition("s")
-    postings = cut(rare.join(rare.groupBy("s").agg(F.count("*").alias("rows")).where("rows > 1"), "s"))
-    few, many = postings.where(F.col("rows") <= BUCKET_ROWS), postings.where(F.col("rows") > BUCKET_ROWS)
-    close = few.join(_others(few), "s").where((F.col("v") < F.col("w")) & _meets(similarity))
-    first = cut(_pairs(close, "v", "w").union(_by_pivot(many, None, similarity)).distinct())
-    ends = first.select(F.explode(F.array("a", "b")).alias("v"), F.lit(False).alias("hot")).union(many.select("v", F.lit(True))).groupBy("v").agg(F.max("hot").alias("hot"))
-    # one row of every text that meets another
-    rows = marked.join(ends.withColumnRenamed("v", "h1"), "h1").groupBy("h1").agg(F.min_by("text_key", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("_text"), F.min("doc_id").alias("_id"), F.max("hot").alias("hot"))
-    keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
-
-    def sets_of(rows: DataFrame) -> DataFrame:
-        chosen = keyed.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))).select(F.col("h1").alias("v"), "text")
-        return _shingle_sets(chosen, shingle).dropDuplicates(["v"])
-
-    def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(a, b, linked)"""
-        both = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return cut(both.select("a", "b", (shared + 1e-9 >= similarity * (F.size("x") + F.size("y") - shared)).alias("linked")))
-
-    seen = similar(first, sets_of(rows))
-    if not many.isEmpty():
-        hot = cut(sets_of(rows.where("hot")))
-        degrees = seen.where("linked").select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").cast("int").alias("d"))
-        seen = seen.union(similar(_by_pivot(many, degrees, similarity).join(seen, ["a", "b"], "left_anti"), hot))
-        seen = seen.union(similar(_across(many, seen.where("linked"), similarity).join(seen, ["a", "b"], "left_anti"), hot))
-    groups = connected_components(seen.where("linked")).select(F.col("vertex").alias("v"), "root")
-    grouped = texts.select("v", "least").join(groups, "v", "left").groupBy(F.coalesce("root", "v").alias("group")).agg(F.min("least").alias("least"), F.min_by("v", F.coalesce("least", F.lit((1 << 63) - 1))).alias("v"))
-    least = cut(grouped.select("v", "least"))
-    kept = marked.join(least.withColumnRenamed("v", "h1"), "h1").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("h1", F.col("doc_id").alias("_id")).agg(F.min("text_key").alias("_text"))
-    stay = docs.withColumn("_key", text_key()).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")))
-    first = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(0)))
-    return stay.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_key"))).alias("least")
+    whole = _content(docs, shingle, similarity).groupBy("h1", "h2").agg(least, *(F.first(k).alias(k) for k in ("n", "singles", "fp", "prefix", "shared")))
+    texts = cut(whole.select(F.monotonically_increasing_id().alias("v"), "least", "n", "singles", "fp", "prefix", "shared"))
+    suspects = texts.where(F.size("prefix") > 0)
+    postings = _postings(suspects)
+    seen = cut(_compared(_by_fingerprint(suspects, max_bits).unionByName(_by_pivot(postings, similarity)), suspects, similarity))
+    rest = _across(postings, seen.where("linked"), similarity).join(seen, ["a", "b"], "left_anti")
+    linked = cut(seen.where("linked").unionByName(_compared(rest, suspects, similarity).where("linked")))
+    groups = connected_components(linked).select(F.col("vertex").alias("v"), "root")
+    kept = texts.select("v", "least").join(groups, "v", "left").groupBy(F.coalesce("root", "v").alias("group")).agg(F.min("least").alias("least"))
+    # identical rows are one before they are shuffled, so that none of them is a hot key
+    row = [fresh(docs, "id"), fresh(docs, "key")]
+    once = docs.withColumns(dict(zip(row, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_key()), strict=True))).dropDuplicates(row)
+    return once.join(kept.select(F.col("least._id").alias(row[0]), F.col("least._key").alias(row[1])), row).select(*docs.columns)

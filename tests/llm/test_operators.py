@@ -291,14 +291,27 @@ def test_one_of_each_makes_rows_not_pairs(spark):
     base = words(92, 150)
     texts = [" ".join([*base[:75], f"id{i}", *base[76:]]) for i in range(300)]
     table = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
-    texts = simhash._content(table, 5, 0.8).select(F.col("h1").alias("v"), "n", F.posexplode("prefix").alias("at", "s"))
-    postings = texts.join(texts.groupBy("s").count().where("count > 1").select("s"), "s").cache()
-    pairs = simhash._by_pivot(postings, None, 0.8).cache()
+    suspects = simhash._content(table, 5, 0.8).withColumnRenamed("doc_id", "v").cache()
+    postings = simhash._postings(suspects).cache()
+    pairs = simhash._by_pivot(postings, 0.8).distinct().cache()
     members = postings.count()
     assert 299 <= pairs.count() <= members < 300 * 40
     assert simhash._across(postings, pairs, 0.8).count() == 0
 
 
+def test_one_of_each_below_the_threshold(spark):
+    """Copies at both sides of the threshold, none equal to another, chains among them."""
+    rng, base, texts = np.random.default_rng(13), words(93, 100), []
+    for i in range(80):
+        w = list(base)
+        for at in rng.choice(100, int(rng.integers(1, 6)), replace=False):
+            w[at] = f"n{rng.integers(0, 4)}x{at}"
+        texts.append(" ".join(w[: int(rng.integers(80, 101))]))
+    texts += ["one", "two words", "two words", "a b c d e", "a b c d e f"]
+    kept, wanted = kept_and_wanted(spark, texts)
+    assert 8 < len(wanted) < 80 and kept == wanted
+
+
 def test_mixing_targets_and_copies(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), "en", ["a", "b", "c", None][min(3, int(rng.integers(0, 9)) // 2)]) for i in range(800)]
