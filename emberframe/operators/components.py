@@ -7,26 +7,42 @@ repeats go, so the table shrinks by a constant share per round for any shape of
 graph, long chains included.  The round's pointers are kept and composed at the
 end, last round first.
 
-Edges and pointers are written to the checkpoint folder after every round: each
-join then reads plain shuffles, which adaptive execution can split where one
-vertex has very many edges, and a lost executor costs one round at most.
+The edges are written to the checkpoint folder once a round; pointers follow from
+them by one aggregation.  Each join then reads plain shuffles, which adaptive
+execution can split where one vertex has very many edges, and a lost executor
+costs one round at most.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.functions.ids import round_mask
 
 
+#: Rounds whose pointers are composed in one query.
+COMPOSED = 4
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset a temporary folder, if driver and executors are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder.rstrip("/")
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder (``spark.checkpoint.dir``) and cut its lineage."""
+    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -34,6 +50,14 @@ def _tidy(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def _pointers(edges: DataFrame, nth: int) -> DataFrame:
+    """(v, to): the smallest of every vertex and its neighbours, under the round's order."""
+    mask = F.lit(round_mask(nth))
+    both = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w"))))
+    nearest = edges.select(both.alias("e")).groupBy("e.v").agg(F.min(F.col("e.w").bitwiseXOR(mask)).alias("w"))
+    return nearest.select("v", F.least("w", F.col("v").bitwiseXOR(mask)).bitwiseXOR(mask).alias("to"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, root) for every vertex of an edge between two different vertices; ids are 64-bit integers.
 
@@ -44,10 +68,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     left = materialise(_tidy(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")), "a", "b"))
     rounds: list[DataFrame] = []
     while not left.isEmpty():
-        mask = F.lit(round_mask(len(rounds)))
-        ends = left.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("w")))
-        nearest = ends.groupBy("v").agg(F.min(F.col("w").bitwiseXOR(mask)).alias("w"))
-        to = materialise(nearest.select("v", F.least("w", F.col("v").bitwiseXOR(mask)).bitwiseXOR(mask).alias("to")))
+        to = _pointers(left, len(rounds))
         rounds.append(to)
         moved = left.join(to.select(F.col("v").alias("a"), F.col("to").alias("p")), "a").join(to.select(F.col("v").alias("b"), F.col("to").alias("q")), "b")
         left = materialise(_tidy(moved, "p", "q"))
@@ -56,5 +77,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     roots = rounds.pop()
     while rounds:
         onward = roots.select(F.col("v").alias("to"), F.col("to").alias("root"))
-        roots = materialise(rounds.pop().join(onward, "to", "left").select("v", F.coalesce("root", "to").alias("to")))
+        roots = rounds.pop().join(onward, "to", "left").select("v", F.coalesce("root", "to").alias("to"))
+        if len(rounds) % COMPOSED == 0:
+            roots = materialise(roots)
     return roots.select(F.col("v").alias("vertex"), F.col("to").alias("root"))
