@@ -131,15 +131,16 @@ def envelope(lat: Column, lon: Column, hours: Column, wind_from: Column, head: f
     )
 
 
-def in_envelope(shape: Column, lat: Column, lon: Column, tolerance_km: float = 0.5) -> Column:
+def in_envelope(shape: Column, lat: Column, lon: Column, tolerance_km: float = 0.0) -> Column:
     """Whether a point lies in the ellipse grown by a tolerance; a shape without extent is a disc of the tolerance."""
     east, north = local_offset_km(shape["origin_lat"], shape["origin_lon"], lat, lon)
     turn = F.radians(shape["heading"])
-    along = east * F.sin(turn) + north * F.cos(turn) - shape["shift"]
+    along = east * F.sin(turn) + north * F.cos(turn)
     across = east * F.cos(turn) - north * F.sin(turn)
     a, b = shape["half_length"] + tolerance_km, shape["half_width"] + tolerance_km
-    disc = F.sqrt(east * east + north * north) <= tolerance_km
-    return F.when((shape["half_length"] <= 0) | (shape["half_width"] <= 0), disc).otherwise((along / a) * (along / a) + (across / b) * (across / b) <= 1.0)
+    disc = F.hypot(along, across) <= tolerance_km
+    ahead = along - shape["shift"]
+    return F.when((a <= 0) | (b <= 0), disc).otherwise((ahead / a) * (ahead / a) + (across / b) * (across / b) <= 1.0)
 
 
 def capped(shape: Column, reach_km: float = 5.0) -> Column:

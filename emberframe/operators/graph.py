@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.functions.evidence import hours_between, interval_gap_hours, interval_order
+from emberframe.functions.evidence import circular_mean, hours_between, interval_gap_hours, interval_order
 from emberframe.functions.geo import angle_between, bearing_deg, degrees_360, envelope, haversine_km, in_envelope
 from emberframe.operators.spatial import near
 
 #: Reach of candidate pairs, buffer around an event, and speed classes in km/h.
 PAIR_KM, PAIR_HOURS, BUFFER_KM = 50.0, 720.0, 2.0
 SPEED_COMPATIBLE, SPEED_WEAK = 5.0, 20.0
-#: No two events' buffers reach further than this.
-WIDEST_KM = 1000.0
+#: Extents up to this many kilometres are one class; each further class is twice as wide.
+NARROW_KM = 4.0
 PEAT_CONTEXT = 0.5
 WIND_TOLERANCE_DEG = 60.0
 
@@ -22,95 +22,160 @@ def _side(events: DataFrame, tag: str, *more: str) -> DataFrame:
     return events.select(*(F.col(c).alias(f"{c}_{tag}") for c in ("event", "lat", "lon", "first", "last", "extent_km", *more)))
 
 
-def event_pairs(events: DataFrame, km: float = PAIR_KM, hours: float = PAIR_HOURS) -> DataFrame:
-    """Unordered pairs a < b within both bounds: event_a, event_b, distance_km, gap_hours, ordering, buffers_overlap and both sides' columns.
-
-    Pairs further apart than ``km`` count only if their buffers overlap, which
-    takes an event wider than that; the few such events are joined over coarse
-    cells of their own, so that one of them doesn't widen everyone's cells.
-    """
+def _measured(met: DataFrame) -> DataFrame:
     d = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    gap = interval_gap_hours(F.col("first_a"), F.col("last_a"), F.col("first_b"), F.col("last_b"))
-    order = interval_order(F.col("first_a"), F.col("last_a"), F.col("first_b"), F.col("last_b"))
+    span = [F.col(c) for c in ("first_a", "last_a", "first_b", "last_b")]
     buffers = F.col("extent_km_a") / 2 + F.col("extent_km_b") / 2 + 2 * BUFFER_KM
-    at = ("lat_a", "lon_a"), ("lat_b", "lon_b")
+    return met.withColumns({"distance_km": d, "gap_hours": interval_gap_hours(*span), "ordering": interval_order(*span)}).withColumn("buffers_overlap", F.col("distance_km") <= buffers)
+
 
-    def measured(met: DataFrame) -> DataFrame:
-        return met.withColumns({"distance_km": d, "gap_hours": gap, "ordering": order}).withColumn("buffers_overlap", F.col("distance_km") <= buffers)
+_AT = ("lat_a", "lon_a"), ("lat_b", "lon_b")
 
-    a, b = _side(events, "a"), _side(events, "b")
-    close = measured(near(a, b, km, *at).where(F.col("event_a") < F.col("event_b")))
-    close = close.where((F.col("distance_km") <= km) & ((F.col("gap_hours") <= hours) | F.col("buffers_overlap")))
-    wide = events.where(F.col("extent_km") / 2 + BUFFER_KM > km / 2)
-    first, second = near(_side(wide, "a"), b, WIDEST_KM, *at), near(a, _side(wide, "b"), WIDEST_KM, *at)
-    far = first.unionByName(second).where(F.col("event_a") < F.col("event_b")).dropDuplicates(["event_a", "event_b"])
-    return close.unionByName(measured(far).where((F.col("distance_km") > km) & F.col("buffers_overlap")))
 
+def close_pairs(events: DataFrame, km: float, hours: float) -> DataFrame:
+    """Unordered pairs event_a < event_b whose centroids and times both lie within the bounds."""
+    met = near(_side(events, "a"), _side(events, "b"), km, *_AT, hours=hours, left_in=("first_a", "last_a"), right_in=("first_b", "last_b"))
+    return _measured(met.where(F.col("event_a") < F.col("event_b"))).where((F.col("distance_km") <= km) & (F.col("gap_hours") <= hours))
 
-def with_explicit(pairs: DataFrame, explicit: DataFrame, events: DataFrame) -> DataFrame:
-    """(a, b) of computed and explicitly given pairs; the latter in any order, dropped if an end is unknown."""
-    known = events.select("event")
-    given = explicit.select(F.least("a", "b").alias("event_a"), F.greatest("a", "b").alias("event_b")).where("event_a <> event_b")
-    given = given.join(known, F.col("event_a") == F.col("event"), "left_semi").join(known, F.col("event_b") == F.col("event"), "left_semi")
-    return pairs.select("event_a", "event_b").union(given).distinct()
+
+def overlapping_pairs(events: DataFrame) -> DataFrame:
+    """Unordered pairs whose buffers overlap, at any time.
+
+    How far a buffer reaches depends on the wider event of a pair, so events are
+    taken by classes of extent, each joined over cells of its own reach with
+    those no wider: one wide event doesn't widen everyone's cells.
+    """
+    width = F.greatest(F.ceil(F.log2(F.greatest(F.col("extent_km"), F.lit(NARROW_KM)) / NARROW_KM)), F.lit(0)).cast("int")
+    sized = events.withColumn("width", width)
+    out = None
+    for k in sorted(r.width for r in sized.select("width").distinct().collect()):  # at most one class for each doubling
+        met = near(_side(sized.where(F.col("width") == k), "a"), _side(sized.where(F.col("width") <= k), "b", "width"), NARROW_KM * 2.0**k + 2 * BUFFER_KM, *_AT)
+        met = met.where((F.col("width_b") < k) & (F.col("event_a") != F.col("event_b")) | (F.col("event_a") < F.col("event_b"))).drop("width_b")
+        swap = F.col("event_a") > F.col("event_b")
+        names = [c[:-2] for c in met.columns if c.endswith("_a")]
+        met = met.select(*(F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in names))
+        part = _measured(met).where("buffers_overlap")
+        out = part if out is None else out.unionByName(part)
+    return _measured(_side(events, "a").crossJoin(_side(events, "b")).where("false")) if out is None else out
+
+
+def event_pairs(events: DataFrame, km: float = PAIR_KM, hours: float = PAIR_HOURS, explicit: DataFrame | None = None) -> DataFrame:
+    """Unordered pairs a < b that are close in space and time, have overlapping buffers, or are in ``explicit`` (a, b).
+
+    event_a, event_b, distance_km, gap_hours, ordering, buffers_overlap and both
+    sides' columns.  Explicit pairs come in any order; one with an unknown end is dropped.
+    """
+    found = close_pairs(events, km, hours).where("not buffers_overlap").unionByName(overlapping_pairs(events))
+    if explicit is None:
+        return found
+    given = explicit.select(F.least("a", "b").alias("event_a"), F.greatest("a", "b").alias("event_b")).where("event_a <> event_b").distinct()
+    given = given.join(_side(events, "a"), "event_a").join(_side(events, "b"), "event_b")
+    return found.unionByName(_measured(given).join(found.select("event_a", "event_b"), ["event_a", "event_b"], "left_anti"))
 
 
 def neighbours(events: DataFrame, km: float = 50.0, days: float = 30.0) -> DataFrame:
     """(event, neighbour, distance_km, gap_hours), in both directions."""
-    p = event_pairs(events.withColumn("extent_km", F.lit(0.0)), km, days * 24).where(F.col("gap_hours") <= days * 24).select("event_a", "event_b", "distance_km", "gap_hours")
+    p = close_pairs(events, km, days * 24).select("event_a", "event_b", "distance_km", "gap_hours")
     return p.toDF("event", "neighbour", "distance_km", "gap_hours").union(p.select("event_b", "event_a", "distance_km", "gap_hours"))
 
 
 def nearby_and_recurrence(events: DataFrame) -> DataFrame:
     """(event, nearby_events, recurrences): others within 10 km and 72 h; others within 2 km that ended before this began."""
-    p = event_pairs(events.withColumn("extent_km", F.lit(0.0)), 10.0, 1e9)
-    one = p.select(F.col("event_a").alias("event"), "distance_km", "gap_hours", (F.col("last_b") < F.col("first_a")).alias("before"))
-    two = p.select(F.col("event_b").alias("event"), "distance_km", "gap_hours", (F.col("last_a") < F.col("first_b")).alias("before"))
-    counts = one.union(two).groupBy("event").agg(F.count_if(F.col("gap_hours") <= 72).alias("nearby_events"), F.count_if((F.col("distance_km") <= 2.0) & F.col("before")).alias("recurrences"))
-    return events.select("event").join(counts, "event", "left").na.fill(0, ["nearby_events", "recurrences"])
+    both = lambda p: F.explode(F.array("event_a", "event_b")).alias("event")
+    close = close_pairs(events, 10.0, 72.0)
+    around = close.select(both(close)).groupBy("event").agg(F.count("*").alias("nearby_events"))
+    same = _measured(near(_side(events, "a"), _side(events, "b"), 2.0, *_AT).where(F.col("last_b") < F.col("first_a"))).where("distance_km <= 2.0")
+    before = same.groupBy(F.col("event_a").alias("event")).agg(F.count("*").alias("recurrences"))
+    return events.select("event").join(around, "event", "left").join(before, "event", "left").na.fill(0, ["nearby_events", "recurrences"])
 
 
 def _speed_class(ordering: Column, speed: Column) -> Column:
     return F.when(ordering == "OVERLAPPING", "NOT_EVALUATED").when(speed <= SPEED_COMPATIBLE, "COMPATIBLE").when(speed <= SPEED_WEAK, "WEAK").otherwise("INCOMPATIBLE")
 
 
-def edges(events: DataFrame, wind: DataFrame, peat: DataFrame, episodes: DataFrame) -> DataFrame:
-    """One row per candidate pair, from the earlier event to the later, with its features and state.
+def wind_of_evidence(evidence: DataFrame) -> DataFrame:
+    """(event, wind_from, wind_kmh): direction and mean speed of the current window's weather evidence; events without a direction have no row.
+
+    ``evidence``: event, window, variable, mean, direction.
+    """
+    now = evidence.where("window = 'current'")
+    pick = lambda name, c: F.max(F.when(F.col("variable") == name, F.col(c)))
+    return now.groupBy("event").agg(pick("wind_direction_10m", "direction").alias("wind_from"), pick("wind_speed_10m", "mean").alias("wind_kmh")).where("wind_from is not null")
+
+
+def wind_of_windows(metrics: DataFrame) -> DataFrame:
+    """(event, wind_from, wind_kmh, wind_window): from the event's own window, else the first one that knows a direction.
+
+    ``metrics``: event, window, start, wind_direction_deg and mean_wind_speed (m/s);
+    the order of windows is that of their starts, earliest first.
+    """
+    order = F.struct((F.col("window") != "event_duration").alias("other"), "start", "window")
+    chosen = F.min_by(F.struct("window", "wind_direction_deg", "mean_wind_speed"), order).alias("w")
+    return metrics.where("wind_direction_deg is not null").groupBy("event").agg(chosen).select("event", degrees_360(F.col("w.wind_direction_deg")).alias("wind_from"), (F.col("w.mean_wind_speed") * 3.6).alias("wind_kmh"), F.col("w.window").alias("wind_window"))
+
+
+def wind_of_samples(samples: DataFrame) -> DataFrame:
+    """(event, wind_from): circular mean of an event's samples, weighted by speed (1 where it is unknown or 0).
 
-    ``wind`` (event, wind_from), ``peat`` (source, target, peat_fraction) and
-    ``episodes`` (event, episode) may lack rows: a missing source leaves the
-    feature null, which never counts as a no.
+    A sample's direction and speed may stand in any of the columns direction_from_deg,
+    direction_deg, dominant_wind_direction_deg and speed_kmh, wind_speed_kmh,
+    mean_wind_speed_ms; samples that aren't finite or have a negative speed are dropped.
     """
-    p = event_pairs(events)
-    flip = (F.col("first_b") < F.col("first_a")) | ((F.col("first_b") == F.col("first_a")) & (F.col("event_b") < F.col("event_a")))
+    first = lambda *names: F.coalesce(*(F.col(n).cast("double") for n in names if n in samples.columns), F.lit(None).cast("double"))
+    ms = F.col("mean_wind_speed_ms").cast("double") * 3.6 if "mean_wind_speed_ms" in samples.columns else F.lit(None).cast("double")
+    s = samples.select("event", first("direction_from_deg", "direction_deg", "dominant_wind_direction_deg").alias("d"), F.coalesce(first("speed_kmh", "wind_speed_kmh"), ms).alias("v"))
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    ok = s.where(F.col("d").isNotNull() & finite("d") & (F.col("v").isNull() | (finite("v") & (F.col("v") >= 0))))
+    return ok.groupBy("event").agg(circular_mean(F.col("d"), F.when(F.col("v") > 0, F.col("v")).otherwise(1.0)).alias("wind_from")).where("wind_from is not null")
+
+
+def edges(events: DataFrame, wind: DataFrame, peat: DataFrame, episodes: DataFrame, recurrence: DataFrame | None = None) -> DataFrame:
+    """One row per candidate pair, from the earlier event to the later, with its features, state and evidence ids.
+
+    ``wind`` (event, wind_from and optionally wind_kmh), ``peat`` (source, target,
+    peat_fraction), ``episodes`` (event, episode) and ``recurrence`` (a, b,
+    recurrence; in any order, candidates whatever their distance) may lack rows: a
+    missing source leaves the feature null, which never counts as a no.  Events
+    whose times overlap have no direction, so no wind features.
+    """
+    p = event_pairs(events, explicit=recurrence)
+    flip = F.col("ordering") == "B_BEFORE_A"
     pick = lambda c, s, t: F.when(flip, F.col(f"{c}_{t}")).otherwise(F.col(f"{c}_{s}"))
     p = p.select(
-        *(pick(c, "a", "b").alias(f"{n}") for c, n in (("event", "source"), ("lat", "lat1"), ("lon", "lon1"), ("first", "first1"), ("last", "last1"))),
-        *(pick(c, "b", "a").alias(f"{n}") for c, n in (("event", "target"), ("lat", "lat2"), ("lon", "lon2"), ("first", "first2"), ("last", "last2"))),
-        "distance_km", "gap_hours", "buffers_overlap",
+        *(pick(c, "a", "b").alias(f"{n}") for c, n in (("event", "source"), ("lat", "lat1"), ("lon", "lon1"), ("first", "first1"))),
+        *(pick(c, "b", "a").alias(f"{n}") for c, n in (("event", "target"), ("lat", "lat2"), ("lon", "lon2"), ("first", "first2"))),
+        "event_a", "event_b", F.when(F.col("ordering") == "OVERLAPPING", "OVERLAPPING").otherwise("A_BEFORE_B").alias("ordering"), "distance_km", "gap_hours", "buffers_overlap",
     )
     ep = lambda t: episodes.select(F.col("event").alias(t), F.col("episode").alias(f"episode_{t}"))
-    p = p.join(wind.select(F.col("event").alias("source"), "wind_from"), "source", "left").join(peat, ["source", "target"], "left").join(ep("source"), "source", "left").join(ep("target"), "target", "left")
-    bearing = bearing_deg(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    order = interval_order(F.col("first1"), F.col("last1"), F.col("first2"), F.col("last2"))
+    blown = wind.select(F.col("event").alias("source"), "wind_from", (F.col("wind_kmh") if "wind_kmh" in wind.columns else F.lit(None).cast("double")).alias("wind_kmh"))
+    p = p.join(blown, "source", "left").join(peat, ["source", "target"], "left").join(ep("source"), "source", "left").join(ep("target"), "target", "left")
+    if recurrence is not None:
+        known = recurrence.select(F.least("a", "b").alias("event_a"), F.greatest("a", "b").alias("event_b"), "recurrence").groupBy("event_a", "event_b").agg(F.bool_or("recurrence").alias("recurrence"))
+        p = p.join(known, ["event_a", "event_b"], "left")
+    else:
+        p = p.withColumn("recurrence", F.lit(None).cast("boolean"))
+    apart = F.col("ordering") != "OVERLAPPING"
+    angle = angle_between(F.col("bearing"), degrees_360(F.col("wind_from") + 180.0))
+    shape = envelope(F.col("lat1"), F.col("lon1"), hours_between(F.col("first1"), F.col("first2")), F.col("wind_from"))
     p = p.withColumns({
-        "ordering": order,
-        "bearing": bearing,
+        "bearing": bearing_deg(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")),
         "shared_episode": F.col("episode_source") == F.col("episode_target"),
         "speed_kmh": F.when(F.col("gap_hours") > 0, F.col("distance_km") / F.col("gap_hours")),
-    }).withColumns({
-        "angle": angle_between(F.col("bearing"), degrees_360(F.col("wind_from") + 180.0)),
-        "inside": F.when(F.col("ordering") != "OVERLAPPING", in_envelope(envelope(F.col("lat1"), F.col("lon1"), hours_between(F.col("first1"), F.col("first2")), F.col("wind_from")), F.col("lat2"), F.col("lon2"))),
-    })
+        "envelope": F.when(apart, shape),
+    }).withColumns({"angle": F.when(apart, angle), "inside": in_envelope(F.col("envelope"), F.col("lat2"), F.col("lon2"))})
+    p = p.withColumn("inside", F.when(F.col("envelope").isNotNull(), F.col("inside")))
     spread = F.when(F.col("inside").isNull(), _speed_class(F.col("ordering"), F.col("speed_kmh"))).when(F.col("inside"), "COMPATIBLE").otherwise("INCOMPATIBLE")
-    p = p.withColumns({"compatibility": spread, "alignment": F.cos(F.radians("angle"))})
+    p = p.withColumns({
+        "compatibility": spread,
+        "alignment": F.round(F.cos(F.radians("angle")), 6),
+        "downwind": F.when(F.col("wind_kmh").isNull() | (F.col("wind_kmh") > 0), F.col("angle") <= WIND_TOLERANCE_DEG),
+    })
     yes = lambda c: F.coalesce(c, F.lit(False))
-    context = F.col("buffers_overlap") | yes(F.col("peat_fraction") >= PEAT_CONTEXT) | yes(F.col("shared_episode"))
-    conflict = yes(F.col("angle") > WIND_TOLERANCE_DEG)
-    upwind = yes(F.col("alignment") <= -0.5)
+    context = F.col("buffers_overlap") | yes(F.col("peat_fraction") >= PEAT_CONTEXT) | yes(F.col("shared_episode")) | yes(F.col("recurrence"))
+    conflict, upwind = yes(~F.col("downwind")), yes(F.col("alignment") <= -0.5)
     state = (
-        F.when((F.col("ordering") == "OVERLAPPING") & ~F.col("buffers_overlap") & ~yes(F.col("shared_episode")), "INDEPENDENT_PLAUSIBLE")
-        .when(F.col("ordering") == "OVERLAPPING", "UNRESOLVED")
+        F.when(~apart & ~F.col("buffers_overlap") & ~yes(F.col("shared_episode")), "INDEPENDENT_PLAUSIBLE")
+        .when(~apart, "UNRESOLVED")
         .when((F.col("compatibility") == "COMPATIBLE") & ~conflict & ~upwind, "PROPAGATION_COMPATIBLE")
         .when((F.col("compatibility") == "WEAK") & context & ~conflict, "PROPAGATION_WEAK")
         .when((F.col("compatibility") == "INCOMPATIBLE") & (conflict | upwind), "UNRESOLVED")
@@ -119,9 +184,42 @@ def edges(events: DataFrame, wind: DataFrame, peat: DataFrame, episodes: DataFra
         .when(context, "RELATED_POSSIBLE")
         .otherwise("UNRESOLVED")
     )
-    return p.withColumn("state", state).select(
-        "source", "target", "distance_km", "gap_hours", "ordering", "bearing", "alignment", "buffers_overlap", "peat_fraction", "shared_episode", "speed_kmh", "inside", "compatibility", "state"
+    # Names of the statements for or against a relation; the last column says which (null: neither).
+    told = {
+        "GEOGRAPHIC_DISTANCE": F.lit(True),
+        "ELAPSED_TIME": F.lit(True),
+        "PROPAGATION_COMPATIBILITY": F.when(F.col("compatibility").isin("COMPATIBLE", "WEAK"), True).when(F.col("compatibility") == "INCOMPATIBLE", False),
+        "EVENT_BUFFER_OVERLAP": F.col("buffers_overlap"),
+        "WIND_ALIGNMENT": F.col("alignment") >= 0,
+        "DIRECTIONAL_COMPATIBILITY": F.col("downwind"),
+        "PEAT_CORRIDOR_FRACTION": F.col("peat_fraction") >= PEAT_CONTEXT,
+        "SHARED_ENVIRONMENTAL_EPISODE": F.col("shared_episode"),
+        "HISTORICAL_RECURRENCE": F.col("recurrence"),
+    }
+    name = lambda k: F.concat_ws("_", F.lit("DERIVED_GRAPH"), F.col("source").cast("string"), F.col("target").cast("string"), F.lit(k))
+    ids = lambda wanted: F.array_compact(F.array(*(F.when(c if wanted else ~c, name(k)) for k, c in told.items())))
+    return p.withColumns({"state": state, "supporting": ids(True), "contradicting": ids(False)}).select(
+        "source", "target", "distance_km", "gap_hours", "ordering", "bearing", "alignment", "downwind", "buffers_overlap", "peat_fraction", "shared_episode", "recurrence", "speed_kmh",
+        *(F.col(f"envelope.{c}").alias(c) for c in ("heading", "half_length", "half_width", "shift")), "inside", "compatibility", "state", "supporting", "contradicting",
+    )
+
+
+def explanations(e: DataFrame) -> DataFrame:
+    """Evidence rows of edges: id, source event, state and a sentence about it."""
+    said = (
+        F.when(F.col("state") == "PROPAGATION_COMPATIBLE", "order and speed fit spread over the surface")
+        .when(F.col("state") == "PROPAGATION_WEAK", "spread is possible, the evidence for it weak")
+        .when(F.col("state") == "RELATED_POSSIBLE", "the events share surroundings, not a path")
+        .when(F.col("state") == "INDEPENDENT_PLAUSIBLE", "nothing ties the events together")
+        .otherwise("what is known does not settle it")
     )
+    return e.select(F.concat_ws("_", F.lit("DERIVED_GRAPH"), F.col("source").cast("string"), F.col("target").cast("string")).alias("evidence_id"), F.col("source").alias("event"), F.lit("graph").alias("category"), F.col("state").alias("type"), said.alias("observation"), F.round("distance_km", 3).alias("value"))
+
+
+def incident(e: DataFrame, events: DataFrame) -> DataFrame:
+    """(event, source, target, outgoing): the edges that touch each of ``events`` (event)."""
+    ends = e.select("source", "target", F.explode(F.array(F.struct(F.col("source").alias("event"), F.lit(True).alias("outgoing")), F.struct(F.col("target").alias("event"), F.lit(False).alias("outgoing")))).alias("x"))
+    return ends.select("x.event", "source", "target", "x.outgoing").join(events.select("event").distinct(), "event", "left_semi")
 
 
 def grouped_by_source(e: DataFrame) -> DataFrame:

@@ -79,36 +79,110 @@ SEARCH_KM = (2.2, 4.4, 8.8, 17.6, 35.2)
 
 
 def distance_to_peat(points: DataFrame, raster: DataFrame, t: Transform) -> DataFrame:
-    """(event, peat_distance_km): nearest peat cell within the last search radius, null beyond.
+    """(event, peat_distance_km): 0 on a peat cell, else the way to the nearest peat cell within the last search radius, null beyond.
 
     A point first asks the smallest radius; only those without an answer go on to the next.
     """
-    peat, left, found = raster.where(is_peat(F.col("value"))), points.select("event", "lat", "lon"), None
+    at = class_at(points.select("event", "lat", "lon"), raster, t)
+    found = at.where(is_peat(F.col("peat_class"))).select("event", F.lit(0.0).alias("peat_distance_km"))
+    peat, left = raster.where(is_peat(F.col("value"))), at.where(~is_peat(F.col("peat_class"))).select("event", "lat", "lon")
     for km in SEARCH_KM:
-        got = cells_within(left, peat, t, km).groupBy("event").agg(F.min("distance_km").alias("peat_distance_km"))
-        found = got if found is None else found.unionByName(got)
+        got = cells_within(left, peat, t, km).groupBy("event").agg(F.bround(F.min("distance_km"), 2).alias("peat_distance_km"))
+        found = found.unionByName(got)
         left = left.join(got.select("event"), "event", "left_anti")
     return points.select("event").join(found, "event", "left")
 
 
-def corridor_fraction(pairs: DataFrame, raster: DataFrame, t: Transform, step_km: float = 1.1) -> DataFrame:
-    """(source, target, samples, peat_fraction) along the straight line between two points."""
-    n = F.greatest(F.ceil(haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) / step_km).cast("int"), F.lit(2))
+#: Fixed value: kilometres between samples of a line or a footprint.
+SAMPLE_KM = 1.1
+#: Fixed value: samples of a footprint beyond which they are spread wider.
+FOOTPRINT_SAMPLES = 400
+
+
+def _sampled(at: DataFrame, raster: DataFrame, t: Transform, *keys: str) -> DataFrame:
+    """(keys, samples, outside, peat): samples (lat, lon) in all, beyond the raster, and on peat."""
+    seen = class_at(at, raster, t)
+    return seen.groupBy(*keys).agg(F.count("*").alias("samples"), F.count_if(F.col("peat_class") == OUTSIDE).alias("outside"), F.count_if(is_peat(F.col("peat_class"))).alias("peat"))
+
+
+def _share() -> Column:
+    """Share of peat among the samples within the raster; null if there are none."""
+    within = F.col("samples") - F.col("outside")
+    return F.when(within > 0, F.bround(F.col("peat") / within, 4))
+
+
+def corridor_fraction(pairs: DataFrame, raster: DataFrame, t: Transform) -> DataFrame:
+    """(source, target, samples, outside, peat_fraction) along the straight line between two points; one sample if they coincide."""
+    km = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    n = F.when(km == 0, 1).otherwise(F.greatest(F.ceil(km / SAMPLE_KM).cast("int") + 1, F.lit(2)))
     along = pairs.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    f = F.col("i") / (F.col("n") - 1)
+    f = F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))
     at = along.select("source", "target", (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * f).alias("lat"), (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * f).alias("lon"))
-    return class_at(at, raster, t).groupBy("source", "target").agg(F.count("*").alias("samples"), F.bround(F.avg(is_peat(F.col("peat_class")).cast("double")), 4).alias("peat_fraction"))
+    return _sampled(at, raster, t, "source", "target").select("source", "target", "samples", "outside", _share().alias("peat_fraction"))
 
 
 def footprint_fraction(boxes: DataFrame, raster: DataFrame, t: Transform) -> DataFrame:
-    """(event, cells, peat_fraction, any_peat) of the cells whose centre lies in a box; the box's middle cell if there is none."""
-    r0, r1 = t.row(F.col("north")), t.row(F.col("south"))
-    c0, c1 = t.col(F.col("west")), t.col(F.col("east"))
-    cells = boxes.select("event", F.explode(F.sequence(F.greatest(r0, F.lit(0)), F.greatest(F.least(r1, F.lit(t.rows - 1)), r0, F.lit(0)))).alias("row"), c0.alias("c0"), c1.alias("c1"))
-    cells = cells.withColumn("col", F.explode(F.sequence(F.greatest("c0", F.lit(0)), F.greatest(F.least("c1", F.lit(t.cols - 1)), F.col("c0"), F.lit(0))))).drop("c0", "c1")
-    got = cells.join(raster.select("row", "col", "value"), ["row", "col"], "left")
-    peat = F.coalesce(is_peat(F.col("value")), F.lit(False))
-    return got.groupBy("event").agg(F.count("*").alias("cells"), F.bround(F.avg(peat.cast("double")), 4).alias("peat_fraction"), F.bool_or(peat).alias("any_peat"))
+    """(event, samples, outside, peat_fraction, any_peat) on an even grid of samples over each box; samples beyond the raster don't count."""
+    up, across = km_per_degree((F.col("south") + F.col("north")) / 2)
+
+    def points(lo: str, hi: str, km: Column) -> Column:
+        return F.when(F.col(hi) > F.col(lo), F.greatest(F.bround((F.col(hi) - F.col(lo)) * km / SAMPLE_KM).cast("int"), F.lit(1)) + 1).otherwise(1)
+
+    n = boxes.select("event", "west", "south", "east", "north", points("south", "north", up).alias("r"), points("west", "east", across).alias("c"))
+    cells = F.col("r").cast("long") * F.col("c")
+    fewer = lambda k: F.when(cells > FOOTPRINT_SAMPLES, F.greatest(F.floor(F.col(k) * F.sqrt(F.lit(float(FOOTPRINT_SAMPLES)) / cells)).cast("int"), F.lit(1))).otherwise(F.col(k))
+    n = n.select("event", "west", "south", "east", "north", fewer("r").alias("rows"), fewer("c").alias("cols"))
+    spread = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
+    place = lambda lo, hi, k, m: F.col(lo) + (F.col(hi) - F.col(lo)) * (F.col(k) / F.greatest(F.col(m) - 1, F.lit(1)))
+    at = spread.select("event", place("south", "north", "i", "rows").alias("lat"), place("west", "east", "j", "cols").alias("lon"))
+    return _sampled(at, raster, t, "event").select("event", "samples", "outside", _share().alias("peat_fraction"), (F.col("peat") > 0).alias("any_peat"))
+
+
+#: Fixed value: the limitation that every statement about peat carries.
+NO_INFERENCE = "mapped peat near an event is context, not a sign that peat burned"
+
+
+def peat_context(events: DataFrame, raster: DataFrame, t: Transform, buffer_km: float = 5.0) -> DataFrame:
+    """(event, any_peat, footprint_fraction, buffer_fraction, peat_distance_km, limitations) of every event (lat, lon, box, extent_km)."""
+    foot = footprint_fraction(events, raster, t).select("event", "any_peat", F.col("peat_fraction").alias("footprint_fraction"))
+    circle = radius_fraction(events, raster, t, buffer_km).select("event", "cells", F.col("peat_fraction").alias("buffer_fraction"))
+    j = events.select("event", "extent_km").join(foot, "event").join(circle, "event").join(distance_to_peat(events, raster, t), "event")
+    expected = 3.141592653589793 * (buffer_km / SAMPLE_KM) ** 2
+    notes = F.array_compact(F.array(
+        F.lit(NO_INFERENCE),
+        F.when(F.col("footprint_fraction").isNull(), "footprint outside the raster"),
+        F.when(F.col("cells").isNull(), "buffer outside the raster").when(F.col("cells") < expected / 2, "buffer partly outside the raster"),
+        F.when(F.col("peat_distance_km").isNull(), "no peat within reach"),
+        F.when(F.col("extent_km") > buffer_km, "event wider than its buffer"),
+    ))
+    return j.select("event", "any_peat", "footprint_fraction", "buffer_fraction", "peat_distance_km", notes.alias("limitations"))
+
+
+def peat_evidence(context: DataFrame) -> DataFrame:
+    """Evidence rows of a peat context: evidence_id, event, category, type, observation, value, unit, quality, limitations; null measures have none."""
+    percent = lambda c: F.format_string("%.1f%%", F.bround(F.col(c) * 100, 1))
+    rows = (
+        ("direct_intersection", "peat_intersection", F.when(F.col("any_peat"), "footprint meets mapped peat").otherwise("footprint meets no mapped peat"), F.col("any_peat").cast("double"), "bool", 0.7),
+        ("footprint_fraction", "peat_fraction", F.concat(percent("footprint_fraction"), F.lit(" of the footprint is mapped peat")), F.col("footprint_fraction"), "fraction", 0.6),
+        ("buffer_fraction", "peat_fraction", F.concat(percent("buffer_fraction"), F.lit(" of the buffer is mapped peat")), F.col("buffer_fraction"), "fraction", 0.7),
+        ("distance_to_peat", "distance_to_peat", F.concat(F.lit("nearest mapped peat at "), F.format_string("%.2f", "peat_distance_km"), F.lit(" km")), F.col("peat_distance_km"), "km", 0.7),
+    )
+    long = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(t).alias("type"), o.alias("observation"), v.alias("value"), F.lit(u).alias("unit"), F.lit(q).alias("quality")) for k, t, o, v, u, q in rows)))
+    return context.select("event", "limitations", long.alias("r")).where("r.value is not null").select(
+        F.concat_ws("_", F.lit("ENV_PEAT"), F.col("event").cast("string"), "r.kind").alias("evidence_id"), "event", F.lit("peat").alias("category"), "r.type", "r.observation", "r.value", "r.unit", "r.quality", "limitations"
+    )
+
+
+def crop(raster: DataFrame, t: Transform, west: float, south: float, east: float, north: float, pad_deg: float = 1.0) -> tuple[DataFrame, Transform]:
+    """The cells around a box, renumbered, and where they lie; row and column bounds reach the scan as filters."""
+    from math import ceil, floor
+
+    r0, r1 = max(0, floor((t.origin_lat - north - pad_deg) / t.step)), min(t.rows - 1, ceil((t.origin_lat - south + pad_deg) / t.step))
+    c0, c1 = max(0, floor((west - pad_deg - t.origin_lon) / t.step)), min(t.cols - 1, ceil((east + pad_deg - t.origin_lon) / t.step))
+    if r1 < r0 or c1 < c0:
+        raise ValueError("the box lies outside the raster")
+    cut = raster.where(F.col("row").between(r0, r1) & F.col("col").between(c0, c1)).withColumns({"row": F.col("row") - r0, "col": F.col("col") - c0})
+    return cut, Transform(t.origin_lat - r0 * t.step, t.origin_lon + c0 * t.step, t.step, r1 - r0 + 1, c1 - c0 + 1)
 
 
 def downsampled(raster: DataFrame, factor: int = 4) -> DataFrame:

@@ -55,20 +55,32 @@ def pairs_within(points: DataFrame, radius_km: float, hours: float | None = None
     return out if hours is None else out.where(F.col("gap_hours") <= hours)
 
 
-def near(left: DataFrame, right: DataFrame, radius_km: float, left_at: tuple[str, str], right_at: tuple[str, str]) -> DataFrame:
+def near(left: DataFrame, right: DataFrame, radius_km: float, left_at: tuple[str, str], right_at: tuple[str, str], hours: float | None = None, left_in: tuple[str, str] | None = None, right_in: tuple[str, str] | None = None) -> DataFrame:
     """All columns of left and right rows whose (lat, lon) may be within ``radius_km``; the caller adds the exact predicate.
 
-    Cells are bands of latitude, cut in longitude by a width that covers the
-    radius at the band's edge nearest the pole (and at the bands beside it).
+    Cells are bands of latitude, cut in longitude into equal parts no narrower
+    than the radius at the band's edge nearest the pole (and at the bands beside
+    it); they wrap at the antimeridian, and a band that reaches a pole is one cell.
+    With ``hours`` the rows' time spans (``left_in``, ``right_in``) must lie within
+    so many hours as well: a left row goes to every period of that length that its
+    span touches, a right row to those around too, and a pair counts in the first
+    period that both have.
     """
     up = radius_km / KM_PER_DEGREE * 1.02
 
-    def width(band: Column) -> Column:
-        edge = F.least(F.greatest(F.abs(band * up), F.abs((band + 1) * up)) + up, F.lit(89.0))
-        return up / F.cos(F.radians(edge))
+    def parts(band: Column) -> Column:
+        edge = F.greatest(F.abs(band * up), F.abs((band + 1) * up)) + up
+        return F.when(edge >= 89.0, 1).otherwise(F.greatest(F.floor(F.cos(F.radians(edge)) * (360.0 / up)), F.lit(1))).cast("long")
 
     band = lambda at: F.floor(F.col(at[0]) / up)
-    cell = lambda at: F.floor(F.col(at[1]) / width(F.col("_cy")))
-    probe = left.withColumn("_cy", band(left_at)).withColumn("_cx", cell(left_at))
-    build = right.withColumn("_cy", _around(band(right_at))).withColumn("_cx", _around(cell(right_at)))
-    return probe.join(build, ["_cy", "_cx"]).drop("_cy", "_cx")
+    cell = lambda at: F.floor((F.col(at[1]) + 180.0) * parts(F.col("_cy")) / 360.0)
+    beside = F.array_distinct(F.transform(F.sequence(cell(right_at) - 1, cell(right_at) + 1), lambda c: F.pmod(c, parts(F.col("_cy")))))
+    probe = left.withColumn("_cy", band(left_at)).withColumn("_cx", F.pmod(cell(left_at), parts(F.col("_cy"))))
+    build = right.withColumn("_cy", _around(band(right_at))).withColumn("_cx", F.explode(beside))
+    on = ["_cy", "_cx"]
+    if hours is None:
+        return probe.join(build, on).drop(*on)
+    period = lambda c: F.floor(F.unix_micros(F.col(c)) / (hours * 3600e6))
+    probe = probe.withColumn("_lt", period(left_in[0])).withColumn("_ct", F.explode(F.sequence(F.col("_lt"), period(left_in[1]))))
+    build = build.withColumn("_rt", period(right_in[0]) - 1).withColumn("_ct", F.explode(F.sequence(F.col("_rt"), period(right_in[1]) + 1)))
+    return probe.join(build, [*on, "_ct"]).where(F.col("_ct") == F.greatest("_lt", "_rt")).drop(*on, "_ct", "_lt", "_rt")

@@ -43,47 +43,44 @@ def _spans_sql(years: int) -> str:
     return ", spans AS (SELECT event, grid_id, w, y AS year, s - to_years(y::INTEGER) AS s, e - to_years(y::INTEGER) AS e FROM (" + " UNION ALL ".join(parts) + f"), (SELECT unnest(range({years + 1})) AS y))"
 
 
-_METRICS = """, met AS (SELECT sp.event, sp.w, sp.year, date_trunc('day', ts) AS d, h.* FROM spans sp JOIN weather h ON h.grid_id = sp.grid_id AND h.ts >= sp.s AND h.ts < sp.e),
-daily AS (SELECT event, w, year, d, count(*) AS n, sum(precipitation) AS rain, max(temperature_2m) AS hot, sum(relative_humidity_2m) AS rh, sum(wind_speed_10m) AS ws, sum(soil_moisture_0_to_7cm) AS sm FROM met GROUP BY ALL),
-metrics AS (SELECT event, w, year, sum(rain) AS rainfall_mm, max(hot) AS max_temperature_c, sum(rh) / sum(n) AS mean_relative_humidity, sum(ws) / sum(n) AS mean_wind_speed, sum(sm) / sum(n) AS mean_soil_moisture,
-  date_diff('day', min(d), max(d)) + 1 - count(*) FILTER (WHERE rain >= 1) AS rain_free_days FROM daily GROUP BY ALL),
-winds AS (SELECT event, w, year, sum(wind_speed_10m * sin(radians(wind_direction_10m))) AS ys, sum(wind_speed_10m * cos(radians(wind_direction_10m))) AS xs FROM met GROUP BY ALL)"""
+_METRICS = """, met AS MATERIALIZED (SELECT sp.event, sp.w, date_trunc('day', ts) AS d, count(*) AS n, sum(precipitation) AS rain, max(temperature_2m) AS hot, sum(temperature_2m) AS tm, sum(relative_humidity_2m) AS rh, sum(wind_speed_10m) AS ws, sum(soil_moisture_0_to_7cm) AS sm,
+    sum(wind_speed_10m * sin(radians(wind_direction_10m))) AS ys, sum(wind_speed_10m * cos(radians(wind_direction_10m))) AS xs FROM spans sp JOIN weather h ON h.grid_id = sp.grid_id AND h.ts >= sp.s AND h.ts < sp.e WHERE year = 0 GROUP BY ALL),
+metrics AS (SELECT event, w, round(sum(rain), 4) AS rainfall_mm, max(hot) AS max_temperature_c, sum(tm) / sum(n) AS mean_temperature_c, sum(rh) / sum(n) AS mean_relative_humidity, sum(ws) / sum(n) AS mean_wind_speed, sum(sm) / sum(n) AS mean_soil_moisture,
+  date_diff('day', min(d), max(d)) + 1 - count(*) FILTER (WHERE round(rain, 6) >= 1) AS rain_free_days, CASE WHEN abs(sum(ys)) + abs(sum(xs)) > 1e-9 THEN (degrees(atan2(sum(ys), sum(xs))) + 360) % 360 END AS wind_direction_deg FROM met GROUP BY ALL)"""
+_ANOMALY = """, past AS (SELECT sp.event, sp.w, year, round(sum(precipitation), 4) AS rain FROM spans sp JOIN past_weather h ON h.grid_id = sp.grid_id AND h.ts >= sp.s AND h.ts < sp.e WHERE year > 0 GROUP BY ALL),
+base AS (SELECT event, w, sum(round(rain * 1e4)::BIGINT) / count(*) / 1e4 AS base FROM past GROUP BY ALL),
+anomaly AS (SELECT sp.event, sp.w, CASE WHEN base <> 0 AND rainfall_mm IS NOT NULL THEN round_even((rainfall_mm - base) / base * 100, 1) END AS anomaly_pct FROM spans sp LEFT JOIN base USING (event, w) LEFT JOIN metrics USING (event, w) WHERE sp.year = 0)"""
+_YEARS = 2
 
 
-def _metrics(spark, sf_dir, years: int = 0):
-    return we.window_metrics(we.windows(_placed(spark, sf_dir), years), lens.weather_hourly(spark, sf_dir))
+def _spans(spark, sf_dir, years: int = 0):
+    return we.windows(_placed(spark, sf_dir), years)
+
+
+def _metrics(spark, sf_dir, spans):
+    return we.window_metrics(spans, lens.weather_hourly(spark, sf_dir))
+
+
+def _anomaly(spark, sf_dir, spans):
+    hourly = lens.weather_hourly(spark, sf_dir).unionByName(lens.past_weather(spark, sf_dir), allowMissingColumns=True)
+    return we.rainfall_anomaly(we.window_metrics(spans, hourly))
 
 
 @query("weather_windows", with_views("obs", "members", "ev", "weather", body=_GRID + _spans_sql(0) + _METRICS + """
-SELECT sp.event, sp.w AS window, round(rainfall_mm, 4) AS rainfall_mm, max_temperature_c, mean_relative_humidity, mean_wind_speed, mean_soil_moisture, rain_free_days, abs(ys) + abs(xs) > 1e-9 AS has_direction
-FROM spans sp LEFT JOIN metrics USING (event, w, year) LEFT JOIN winds USING (event, w, year)"""))
+SELECT sp.event, sp.w AS window, sp.s AS start, sp.e AS "end", rainfall_mm, max_temperature_c, mean_temperature_c, mean_relative_humidity, mean_wind_speed, mean_soil_moisture, rain_free_days, round(wind_direction_deg, 3) AS wind_direction_deg FROM spans sp LEFT JOIN metrics USING (event, w)"""))
 def weather_windows(spark, sf_dir):
-    m = _metrics(spark, sf_dir)
-    has = F.when(F.col("rainfall_mm").isNotNull(), F.col("wind_direction_deg").isNotNull())
-    return m.select("event", "window", F.round("rainfall_mm", 4).alias("rainfall_mm"), "max_temperature_c", "mean_relative_humidity", "mean_wind_speed", "mean_soil_moisture", "rain_free_days", has.alias("has_direction"))
+    return _metrics(spark, sf_dir, _spans(spark, sf_dir)).drop("year").withColumn("wind_direction_deg", F.round("wind_direction_deg", 3))
 
 
-@query("rainfall_anomaly", with_views("obs", "members", "ev", "weather", body=_GRID + _spans_sql(1).replace("to_years(y::INTEGER)", "to_months(y::INTEGER)") + _METRICS + """,
-anomaly AS (SELECT sp.event, sp.w, max(CASE WHEN year = 0 THEN rainfall_mm END) AS now, avg(CASE WHEN year > 0 THEN rainfall_mm END) AS base FROM spans sp LEFT JOIN metrics USING (event, w, year) GROUP BY ALL)
-SELECT event, w AS window, CASE WHEN base <> 0 AND now IS NOT NULL THEN floor((now - base) / base * 100 / 10 + 1e-6) END AS tens FROM anomaly"""))
+@query("rainfall_anomaly", with_views("obs", "members", "ev", "weather", "past_weather", body=_GRID + _spans_sql(_YEARS) + _METRICS + _ANOMALY + " SELECT event, w AS window, anomaly_pct FROM anomaly"))
 def rainfall_anomaly(spark, sf_dir):
-    # the lens holds one season, so the baseline is the month before: the same join as for years
-    spans = we.windows(_placed(spark, sf_dir))
-    back = spans.withColumns({"year": F.lit(1), "start": F.col("start") - F.expr("INTERVAL 1 MONTH"), "end": F.col("end") - F.expr("INTERVAL 1 MONTH")})
-    m = we.window_metrics(spans.unionByName(back), lens.weather_hourly(spark, sf_dir))
-    base, now = F.avg(F.when(F.col("year") > 0, F.col("rainfall_mm"))), F.max(F.when(F.col("year") == 0, F.col("rainfall_mm")))
-    return m.groupBy("event", "window").agg(F.when((base != 0) & now.isNotNull(), F.floor((now - base) / base * 100 / 10 + 1e-6).cast("double")).alias("tens"))
-
-
-@query("weather_evidence", with_views("obs", "members", "ev", "weather", body=_GRID + _spans_sql(0) + _METRICS + """,
-long AS (UNPIVOT (SELECT event, w, rainfall_mm, max_temperature_c, mean_relative_humidity, mean_wind_speed, mean_soil_moisture, rain_free_days::DOUBLE AS rain_free_days FROM metrics)
-  ON rainfall_mm, max_temperature_c, mean_relative_humidity, mean_wind_speed, mean_soil_moisture, rain_free_days INTO NAME type VALUE value)
-SELECT 'ENV_WEATHER_' || event || '_' || w || '_' || type AS evidence_id, event, w AS window, type, CASE WHEN type = 'rainfall_mm' THEN round(value, 4) ELSE value END AS value, 0.82::DOUBLE AS quality FROM long WHERE value IS NOT NULL"""))
-def weather_evidence(spark, sf_dir):
-    return we.weather_evidence(_metrics(spark, sf_dir)).where("type <> 'wind_direction_deg'").select("evidence_id", "event", "window", "type", F.when(F.col("type") == "rainfall_mm", F.round("value", 4)).otherwise(F.col("value")).alias("value"), "quality")
+    return _anomaly(spark, sf_dir, _spans(spark, sf_dir, _YEARS))
 
 
-_DAILY = """, daily_source AS (SELECT grid_id, ts::DATE AS date, sum(precipitation) + 0.5::DOUBLE AS rain, avg(temperature_2m) AS temperature, avg(relative_humidity_2m) AS humidity, avg(wind_speed_10m) AS wind FROM weather WHERE (day(ts) + grid_id) % 17 <> 0 GROUP BY ALL)"""
+_DAILY = """, daily_source AS (SELECT grid_id, ts::DATE AS date, sum(precipitation) + 0.5::DOUBLE AS rain, avg(temperature_2m) AS temperature, avg(relative_humidity_2m) AS humidity, avg(wind_speed_10m) AS wind FROM weather WHERE (day(ts) + grid_id) % 17 <> 0 GROUP BY ALL),
+other AS (SELECT event, w, sum(rain) AS r, avg(temperature) AS t, avg(humidity) AS h, avg(wind) AS v FROM spans sp JOIN daily_source d ON d.grid_id = sp.grid_id AND d.date BETWEEN sp.s::DATE AND sp.e::DATE WHERE year = 0 GROUP BY ALL),
+apart AS (SELECT event, w, round_even(round(rainfall_mm - r, 8), 2) + 0 AS rain_diff, round_even(round(mean_temperature_c - t, 8), 2) + 0 AS temperature_diff, round_even(round(mean_relative_humidity - h, 8), 2) + 0 AS humidity_diff, round_even(round(mean_wind_speed - v, 8), 2) + 0 AS wind_diff
+  FROM other JOIN spans sp USING (event, w) LEFT JOIN metrics USING (event, w) WHERE sp.year = 0)"""
 
 
 def _daily(spark, sf_dir):
@@ -92,30 +89,57 @@ def _daily(spark, sf_dir):
     return h.groupBy("grid_id", F.to_date("ts").alias("date")).agg((F.sum("precipitation") + 0.5).alias("rain"), F.avg("temperature_2m").alias("temperature"), F.avg("relative_humidity_2m").alias("humidity"), F.avg("wind_speed_10m").alias("wind"))
 
 
-@query("source_disagreement", with_views("obs", "members", "ev", "weather", body=_GRID + _spans_sql(0) + _METRICS + _DAILY + """,
-other AS (SELECT event, w, sum(rain) AS r, avg(humidity) AS h, avg(wind) AS v, count(*) AS days FROM spans sp JOIN daily_source d ON d.grid_id = sp.grid_id AND d.date BETWEEN sp.s::DATE AND sp.e::DATE GROUP BY ALL)
-SELECT event, w AS window, floor(abs(rainfall_mm - r) * 10 + 1e-6) AS rain_tenths, floor(abs(mean_relative_humidity - h) + 1e-6) AS humidity_points FROM metrics JOIN other USING (event, w)"""))
+@query("source_disagreement", with_views("obs", "members", "ev", "weather", body=_GRID + _spans_sql(0) + _METRICS + _DAILY + " SELECT event, w AS window, rain_diff, temperature_diff, humidity_diff, wind_diff FROM apart"))
 def source_disagreement(spark, sf_dir):
-    spans = we.windows(_placed(spark, sf_dir))
-    m = we.window_metrics(spans, lens.weather_hourly(spark, sf_dir)).where("rainfall_mm is not null")
-    other = we.daily_in_windows(spans, _daily(spark, sf_dir)).groupBy("event", "window").agg(F.sum("rain").alias("r"), F.avg("humidity").alias("h"))
-    return m.join(other, ["event", "window"]).select(
-        "event", "window", F.floor(F.abs(F.col("rainfall_mm") - F.col("r")) * 10 + 1e-6).cast("double").alias("rain_tenths"), F.floor(F.abs(F.col("mean_relative_humidity") - F.col("h")) + 1e-6).cast("double").alias("humidity_points")
-    )
+    spans = _spans(spark, sf_dir)
+    return we.disagreement(_metrics(spark, sf_dir, spans), spans, _daily(spark, sf_dir))
+
+
+@query("weather_evidence", with_views("obs", "members", "ev", "weather", "past_weather", body=_GRID + _spans_sql(_YEARS) + _METRICS + _ANOMALY + _DAILY + """,
+long AS (UNPIVOT (SELECT event, w, rainfall_mm, rain_free_days::DOUBLE AS rain_free_days, max_temperature_c, mean_relative_humidity, mean_wind_speed, wind_direction_deg, mean_soil_moisture FROM metrics)
+  ON rainfall_mm, rain_free_days, max_temperature_c, mean_relative_humidity, mean_wind_speed, wind_direction_deg, mean_soil_moisture INTO NAME field VALUE value),
+named AS (SELECT l.*, t.type, t.unit FROM long l JOIN (VALUES """ + ", ".join(f"('{c}', '{t}', '{u}')" for c, t, u in we.METRICS) + """) t(field, type, unit) USING (field)),
+noted AS (SELECT n.*, array_to_string([x FOR x IN [CASE WHEN a.event IS NULL THEN 'no daily source for this window' END,
+    CASE WHEN field = 'rainfall_mm' AND anomaly_pct IS NOT NULL THEN printf('%.1f', abs(anomaly_pct)) || CASE WHEN anomaly_pct >= 0 THEN ' % above' ELSE ' % below' END || ' the years before' END,
+    CASE field WHEN 'rainfall_mm' THEN printf('daily source differs by %.2f mm', rain_diff) WHEN 'mean_relative_humidity' THEN printf('daily source differs by %.2f pct', humidity_diff) WHEN 'mean_wind_speed' THEN printf('daily source differs by %.2f m/s', wind_diff) END] IF x IS NOT NULL], '; ') AS limitations
+  FROM named n LEFT JOIN apart a USING (event, w) LEFT JOIN anomaly USING (event, w))
+SELECT 'ENV_WEATHER_' || event || '_' || w || '_' || type AS evidence_id, event, 'weather' AS category, w AS window, type, unit, CASE WHEN type <> 'wind_direction' THEN replace(type, '_', ' ') || ' ' || printf('%.2f', round_even(value, 2)) || ' ' || unit || ' during ' || w END AS observation,
+  round(value, 3) AS value, limitations, CASE WHEN limitations <> '' THEN 0.6 ELSE 0.82 END::DOUBLE AS quality FROM noted"""))
+def weather_evidence(spark, sf_dir):
+    spans = _spans(spark, sf_dir, _YEARS)
+    now = spans.where("year = 0")
+    m = _metrics(spark, sf_dir, now)
+    e = we.weather_evidence(m, _anomaly(spark, sf_dir, spans), we.disagreement(m, now, _daily(spark, sf_dir)))
+    # a direction's second decimal hangs on the order of a sum
+    return e.withColumns({"value": F.round("value", 3), "observation": F.when(F.col("type") != "wind_direction", F.col("observation")), "limitations": F.array_join("limitations", "; ")})
 
 
-_VARIABLES = ("precipitation", "temperature_2m", "relative_humidity_2m", "wind_speed_10m", "soil_moisture_0_to_7cm")
+@query("weather_query_plan", with_views("obs", "members", "ev", body=""", b AS (SELECT count(*) AS events, min(west) AS w, min(south) AS s, max(east) AS e, max(north) AS n, min(first) AS f, max(last) AS l FROM ev),
+g AS (SELECT *, ((greatest(ceil((n - s) / 0.15 - 1e-9), 1) + 1) * (greatest(ceil((e - w) / 0.15 - 1e-9), 1) + 1))::BIGINT AS grid_points FROM b)
+SELECT events, grid_points, ceil(grid_points / 100)::BIGINT AS requests, (f - INTERVAL 2160 HOUR)::DATE AS from_day, greatest(l, f + INTERVAL 48 HOUR)::DATE AS to_day FROM g"""))
+def weather_query_plan(spark, sf_dir):
+    return we.query_plan(lens.events(spark, sf_dir))
+
+
+@query("regular_grid", with_views("obs", "members", "ev", body=""", b AS (SELECT min(west) AS w, min(south) AS s, max(east) AS e, max(north) AS n FROM ev),
+k AS (SELECT *, greatest(ceil((n - s) / 0.15 - 1e-9), 1)::BIGINT AS a, greatest(ceil((e - w) / 0.15 - 1e-9), 1)::BIGINT AS b FROM b)
+SELECT r * (b + 1) + c AS grid_id, round(s + (n - s) * (r / a), 9) AS grid_lat, round(w + (e - w) * (c / b), 9) AS grid_lon FROM (SELECT *, unnest(range(b + 1)) AS c FROM (SELECT *, unnest(range(a + 1)) AS r FROM k))"""))
+def regular_grid(spark, sf_dir):
+    bounds = lens.events(spark, sf_dir).agg(F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"))
+    return we.regular_grid(bounds).withColumns({c: F.round(c, 9) for c in ("grid_lat", "grid_lon")})
 
 
 @query("variable_evidence", with_views("obs", "members", "ev", "weather", body=_GRID + """,
 spans AS (SELECT event, grid_id, 'current' AS w, first AS s, greatest(last, first + INTERVAL 2 HOUR) AS e FROM placed UNION ALL SELECT event, grid_id, 'T-7d', first - INTERVAL 168 HOUR, first FROM placed),
-long AS (UNPIVOT (SELECT sp.event, sp.w, h.* EXCLUDE (grid_id, grid_lat, grid_lon, ts, wind_direction_10m) FROM spans sp JOIN weather h ON h.grid_id = sp.grid_id AND h.ts >= sp.s AND h.ts < sp.e)
-  ON precipitation, temperature_2m, relative_humidity_2m, wind_speed_10m, soil_moisture_0_to_7cm INTO NAME variable VALUE value)
-SELECT event, w AS window, variable, CASE WHEN variable = 'precipitation' THEN 'sum' ELSE 'spread' END AS kind, count(*) AS n, CASE WHEN variable = 'precipitation' THEN round(sum(value), 4) END AS total,
-  CASE WHEN variable <> 'precipitation' THEN min(value) END AS least, CASE WHEN variable <> 'precipitation' THEN max(value) END AS most FROM long GROUP BY event, w, variable"""))
+met AS MATERIALIZED (SELECT sp.event, sp.w, date_trunc('day', ts) AS d, h.* EXCLUDE (grid_id, grid_lat, grid_lon, ts), wind_speed_10m AS speed FROM spans sp JOIN weather h ON h.grid_id = sp.grid_id AND h.ts >= sp.s AND h.ts < sp.e),
+long AS (UNPIVOT met ON precipitation, temperature_2m, relative_humidity_2m, wind_speed_10m, soil_moisture_0_to_7cm, wind_direction_10m INTO NAME variable VALUE value),
+daily AS (SELECT event, w, variable, d, count(*) AS n, sum(value) AS total, min(value) AS least, max(value) AS most, sum(speed * sin(radians(value))) AS ys, sum(speed * cos(radians(value))) AS xs FROM long GROUP BY ALL)
+SELECT event, w AS window, variable, CASE variable WHEN 'precipitation' THEN 'sum' WHEN 'wind_direction_10m' THEN 'circular' ELSE 'spread' END AS kind, sum(n)::BIGINT AS n, CASE WHEN variable = 'precipitation' THEN round_even(round(sum(total), 6), 2) END AS total,
+  CASE WHEN variable NOT IN ('precipitation', 'wind_direction_10m') THEN round_even(round(sum(total) / sum(n), 8), 2) END AS mean, CASE WHEN variable NOT IN ('precipitation', 'wind_direction_10m') THEN round_even(min(least), 2) END AS least, CASE WHEN variable NOT IN ('precipitation', 'wind_direction_10m') THEN round_even(max(most), 2) END AS most,
+  CASE WHEN variable = 'wind_direction_10m' AND abs(sum(ys)) + abs(sum(xs)) > 1e-9 THEN round_even((degrees(atan2(sum(ys), sum(xs))) + 360) % 360, 1) END AS direction,
+  CASE WHEN variable = 'precipitation' THEN date_diff('day', min(d), max(d)) + 1 - count(*) FILTER (WHERE round(total, 6) >= 1) END AS rain_free_days FROM daily GROUP BY event, w, variable"""))
 def variable_evidence(spark, sf_dir):
-    out = we.variable_evidence(_placed(spark, sf_dir), lens.weather_hourly(spark, sf_dir)).where("kind <> 'circular'")
-    return out.select("event", "window", "variable", "kind", "n", F.round("total", 4).alias("total"), "least", "most")
+    return we.variable_evidence(_placed(spark, sf_dir), lens.weather_hourly(spark, sf_dir))
 
 
 # Raster: rows and columns round halves to even in both engines.
@@ -142,21 +166,61 @@ def peat_radius(spark, sf_dir):
     return rs.radius_fraction(lens.events(spark, sf_dir), lens.raster(spark), rs.TRANSFORM, 2.0)
 
 
-@query("peat_distance", with_views("obs", "members", "ev", "raster", body=f"""
-, best AS (SELECT event, min({haversine_sql('lat', 'lon', *_CELLS)}) AS d FROM ev, raster WHERE {_PEAT} AND row BETWEEN {_ROW.format('lat')} - 33 AND {_ROW.format('lat')} + 33 AND col BETWEEN {_COL.format('lon')} - 33 AND {_COL.format('lon')} + 33 GROUP BY event)
-SELECT e.event, CASE WHEN d <= 35.2 THEN round(d, 6) END AS peat_distance_km FROM ev e LEFT JOIN best USING (event)"""))
+_CLASS = "CASE WHEN r NOT BETWEEN 0 AND 259 OR c NOT BETWEEN 0 AND 259 THEN -1 WHEN value IS NULL OR value = 255 THEN 0 ELSE value END"
+_AT_EVENT = f"""at_event AS (SELECT event, {_CLASS} AS k FROM (SELECT event, {_ROW.format('lat')} AS r, {_COL.format('lon')} AS c FROM ev) LEFT JOIN raster ON row = r AND col = c)"""
+_DISTANCE = f""", {_AT_EVENT},
+best AS (SELECT event, min({haversine_sql('lat', 'lon', *_CELLS)}) AS d FROM ev, raster WHERE {_PEAT} AND row BETWEEN {_ROW.format('lat')} - 33 AND {_ROW.format('lat')} + 33 AND col BETWEEN {_COL.format('lon')} - 33 AND {_COL.format('lon')} + 33 GROUP BY event),
+distances AS (SELECT e.event, CASE WHEN k IN (1, 2) THEN 0 WHEN d <= 35.2 THEN round_even(d, 2) END AS peat_distance_km FROM ev e JOIN at_event USING (event) LEFT JOIN best USING (event))"""
+
+
+@query("peat_distance", with_views("obs", "members", "ev", "raster", body=_DISTANCE + " SELECT * FROM distances"))
 def peat_distance(spark, sf_dir):
-    return rs.distance_to_peat(lens.events(spark, sf_dir), lens.raster(spark), rs.TRANSFORM).withColumn("peat_distance_km", F.round("peat_distance_km", 6))
+    return rs.distance_to_peat(lens.events(spark, sf_dir), lens.raster(spark), rs.TRANSFORM)
+
 
+_FOOTPRINT = f""", sides AS (SELECT event, west, south, east, north, CASE WHEN north > south THEN greatest(round_even((north - south) * 111.32::DOUBLE / 1.1::DOUBLE, 0), 1) + 1 ELSE 1 END::BIGINT AS r,
+  CASE WHEN east > west THEN greatest(round_even((east - west) * (111.32::DOUBLE * cos(radians((south + north) / 2))) / 1.1::DOUBLE, 0), 1) + 1 ELSE 1 END::BIGINT AS c FROM ev),
+fewer AS (SELECT event, west, south, east, north, CASE WHEN r * c > 400 THEN greatest(floor(r * sqrt(400::DOUBLE / (r * c))), 1) ELSE r END::BIGINT AS m, CASE WHEN r * c > 400 THEN greatest(floor(c * sqrt(400::DOUBLE / (r * c))), 1) ELSE c END::BIGINT AS k FROM sides),
+spots AS (SELECT event, south + (north - south) * (i / greatest(m - 1, 1)) AS lat, west + (east - west) * (j / greatest(k - 1, 1)) AS lon FROM (SELECT *, unnest(range(k)) AS j FROM (SELECT *, unnest(range(m)) AS i FROM fewer))),
+spot_class AS (SELECT event, {_CLASS} AS k FROM (SELECT event, {_ROW.format('lat')} AS r, {_COL.format('lon')} AS c FROM spots) LEFT JOIN raster ON row = r AND col = c),
+footprints AS (SELECT event, count(*) AS samples, count(*) FILTER (WHERE k = -1) AS outside, round_even(count(*) FILTER (WHERE k IN (1, 2)) / nullif(count(*) FILTER (WHERE k <> -1), 0), 4) AS peat_fraction, count(*) FILTER (WHERE k IN (1, 2)) > 0 AS any_peat FROM spot_class GROUP BY event)"""
 
-@query("peat_footprint", with_views("obs", "members", "ev", "raster", body=f""", boxes AS (
-  SELECT event, greatest({_ROW.format('north')}, 0) AS r0, greatest(least({_ROW.format('south')}, 259), {_ROW.format('north')}, 0) AS r1, greatest({_COL.format('west')}, 0) AS c0, greatest(least({_COL.format('east')}, 259), {_COL.format('west')}, 0) AS c1 FROM ev),
-cells AS (SELECT event, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT event, unnest(range(r0, r1 + 1)) AS r, c0, c1 FROM boxes))
-SELECT event, count(*) AS cells, round_even(avg(coalesce({_PEAT}, false)::INTEGER), 4) AS peat_fraction, bool_or(coalesce({_PEAT}, false)) AS any_peat FROM cells LEFT JOIN raster ON row = r AND col = c GROUP BY event"""))
+
+@query("peat_footprint", with_views("obs", "members", "ev", "raster", body=_FOOTPRINT + " SELECT * FROM footprints"))
 def peat_footprint(spark, sf_dir):
     return rs.footprint_fraction(lens.events(spark, sf_dir), lens.raster(spark), rs.TRANSFORM)
 
 
+#: For the complexity of events, which takes their footprints' peat.
+FOOTPRINT_SQL = _FOOTPRINT
+
+
+def _circle(km: int, reach: int) -> str:
+    return f"""near{km} AS (SELECT event, count(*) AS cells, count(*) FILTER (WHERE {_PEAT}) AS peat_cells FROM ev JOIN raster ON row BETWEEN {_ROW.format('lat')} - {reach} AND {_ROW.format('lat')} + {reach} AND col BETWEEN {_COL.format('lon')} - {reach} AND {_COL.format('lon')} + {reach}
+  WHERE {haversine_sql('lat', 'lon', *_CELLS)} <= {km} GROUP BY event)"""
+
+
+_CONTEXT = _DISTANCE + _FOOTPRINT + ", " + _circle(5, 6) + """, peat AS (SELECT e.event, any_peat, f.peat_fraction AS footprint_fraction, round_even(n.peat_cells / n.cells, 4) AS buffer_fraction, peat_distance_km,
+  'mapped peat near an event is context, not a sign that peat burned' || CASE WHEN f.peat_fraction IS NULL THEN '; footprint outside the raster' ELSE '' END || CASE WHEN n.cells IS NULL THEN '; buffer outside the raster' WHEN n.cells < pi() * pow(5 / 1.1, 2) / 2 THEN '; buffer partly outside the raster' ELSE '' END
+    || CASE WHEN peat_distance_km IS NULL THEN '; no peat within reach' ELSE '' END || CASE WHEN extent_km > 5 THEN '; event wider than its buffer' ELSE '' END AS limitations
+  FROM ev e JOIN footprints f USING (event) LEFT JOIN near5 n USING (event) JOIN distances USING (event))"""
+
+
+@query("peat_context", with_views("obs", "members", "ev", "raster", body=_CONTEXT + " SELECT * FROM peat"))
+def peat_context(spark, sf_dir):
+    return rs.peat_context(lens.events(spark, sf_dir), lens.raster(spark), rs.TRANSFORM).withColumn("limitations", F.array_join("limitations", "; "))
+
+
+@query("peat_evidence", with_views("obs", "members", "ev", "raster", body=_CONTEXT + """, rows AS (
+  SELECT event, 'direct_intersection' AS kind, 'peat_intersection' AS type, CASE WHEN any_peat THEN 'footprint meets mapped peat' ELSE 'footprint meets no mapped peat' END AS observation, any_peat::INTEGER::DOUBLE AS value, 'bool' AS unit, 0.7::DOUBLE AS quality, limitations FROM peat
+  UNION ALL SELECT event, 'footprint_fraction', 'peat_fraction', printf('%.1f%%', round_even(footprint_fraction * 100, 1)) || ' of the footprint is mapped peat', footprint_fraction, 'fraction', 0.6, limitations FROM peat
+  UNION ALL SELECT event, 'buffer_fraction', 'peat_fraction', printf('%.1f%%', round_even(buffer_fraction * 100, 1)) || ' of the buffer is mapped peat', buffer_fraction, 'fraction', 0.7, limitations FROM peat
+  UNION ALL SELECT event, 'distance_to_peat', 'distance_to_peat', 'nearest mapped peat at ' || printf('%.2f', peat_distance_km) || ' km', peat_distance_km, 'km', 0.7, limitations FROM peat)
+SELECT 'ENV_PEAT_' || event || '_' || kind AS evidence_id, event, 'peat' AS category, type, observation, value, unit, quality, limitations FROM rows WHERE value IS NOT NULL"""))
+def peat_evidence(spark, sf_dir):
+    return rs.peat_evidence(rs.peat_context(lens.events(spark, sf_dir), lens.raster(spark), rs.TRANSFORM)).withColumn("limitations", F.array_join("limitations", "; "))
+
+
 def _next_of_site(spark, sf_dir):
     e = lens.events(spark, sf_dir)
     a, b = e.select(F.col("event").alias("source"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), e.select(F.col("event").alias("target"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
@@ -164,9 +228,11 @@ def _next_of_site(spark, sf_dir):
 
 
 @query("peat_corridor", with_views("obs", "members", "ev", "raster", body=f""", p AS (
-  SELECT a.event AS source, b.event AS target, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2, greatest(ceil({haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 1.1::DOUBLE)::INTEGER, 2) AS n FROM ev a JOIN ev b ON a.event + 10 = b.event),
-s AS (SELECT source, target, lat1 + (lat2 - lat1) * (i / (n - 1)) AS lat, lon1 + (lon2 - lon1) * (i / (n - 1)) AS lon FROM (SELECT *, unnest(range(n)) AS i FROM p))
-SELECT source, target, count(*) AS samples, round_even(avg(coalesce({_PEAT}, false)::INTEGER), 4) AS peat_fraction FROM s LEFT JOIN raster ON row = {_ROW.format('lat')} AND col = {_COL.format('lon')} GROUP BY source, target"""))
+  SELECT a.event AS source, b.event AS target, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2, {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM ev a JOIN ev b ON a.event + 10 = b.event),
+q AS (SELECT *, CASE WHEN km = 0 THEN 1 ELSE greatest(ceil(km / 1.1::DOUBLE)::INTEGER + 1, 2) END AS n FROM p),
+s AS (SELECT source, target, lat1 + (lat2 - lat1) * (i / greatest(n - 1, 1)) AS lat, lon1 + (lon2 - lon1) * (i / greatest(n - 1, 1)) AS lon FROM (SELECT *, unnest(range(n)) AS i FROM q)),
+k AS (SELECT source, target, {_CLASS} AS k FROM (SELECT source, target, {_ROW.format('lat')} AS r, {_COL.format('lon')} AS c FROM s) LEFT JOIN raster ON row = r AND col = c)
+SELECT source, target, count(*) AS samples, count(*) FILTER (WHERE k = -1) AS outside, round_even(count(*) FILTER (WHERE k IN (1, 2)) / nullif(count(*) FILTER (WHERE k <> -1), 0), 4) AS peat_fraction FROM k GROUP BY source, target"""))
 def peat_corridor(spark, sf_dir):
     return rs.corridor_fraction(_next_of_site(spark, sf_dir), lens.raster(spark), rs.TRANSFORM)
 

@@ -78,6 +78,19 @@ def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def past_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same season of the two years before, on the same grid points."""
+    grid = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
+    h, i, y = F.col("h"), F.col("i"), F.col("y")
+    hours = spark.range(2 * 128 * 24).select((F.col("id") % (128 * 24)).alias("h"), F.floor(F.col("id") / (128 * 24) + 1).alias("y"))
+    return grid.crossJoin(F.broadcast(hours)).select(
+        i.alias("grid_id"),
+        F.timestamp_seconds(F.when(y == 1, F.lit(1664582400)).otherwise(F.lit(1633046400)) + h * 3600).alias("ts"),
+        F.when((h * 7 + i * 13 + y * 5) % 24 == 0, ((h + i + y * 7) % 50) / _d(10)).otherwise(_d(0)).alias("precipitation"),
+        *(F.lit(None).cast("double").alias(c) for c in ("temperature_2m", "relative_humidity_2m", "wind_speed_10m", "wind_direction_10m", "soil_moisture_0_to_7cm")),
+    )
+
+
 def raster(spark: SparkSession) -> DataFrame:
     """Peat classes by cell; see ``operators.raster.TRANSFORM``."""
     r, c = F.col("row"), F.col("col")
@@ -150,6 +163,9 @@ SQL: dict[str, str] = {
     1.0::DOUBLE + ((h + 2 * i) % 8) * 0.5::DOUBLE AS wind_speed_10m, ((h * 11 + i * 17) % 360)::DOUBLE AS wind_direction_10m,
     0.25::DOUBLE + ((h + i) % 20) / 64.0::DOUBLE AS soil_moisture_0_to_7cm
   FROM (SELECT n_nationkey::BIGINT AS i FROM nation), (SELECT unnest(range(3072)) AS h))""",
+    "past_weather": """past_weather AS (
+  SELECT i AS grid_id, make_timestamp((CASE y WHEN 1 THEN 1664582400 ELSE 1633046400 END + h * 3600) * 1000000) AS ts, CASE WHEN (h * 7 + i * 13 + y * 5) % 24 = 0 THEN ((h + i + y * 7) % 50) / 10.0::DOUBLE ELSE 0 END AS precipitation
+  FROM (SELECT n_nationkey::BIGINT AS i FROM nation), (SELECT unnest(range(3072)) AS h), (VALUES (1), (2)) t(y))""",
     "raster": """raster AS (
   SELECT r AS row, c AS col, CASE WHEN (r // 20 + c // 15) % 3 <> 0 THEN 255 WHEN r % 7 = 0 THEN 2 ELSE 1 END AS value
   FROM (SELECT unnest(range(260)) AS r), (SELECT unnest(range(260)) AS c))""",

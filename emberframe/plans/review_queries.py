@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from emberframe.functions import geo
 from emberframe.functions.evidence import plain_text
 from emberframe.operators import assess, complexity, graph, pixels, priority, register
+from emberframe.operators import events as ev
 from emberframe.operators import raster as rs
-from emberframe.plans import events_queries, lens
+from emberframe.plans import context_queries, events_queries, lens
 from emberframe.plans.lens import haversine_sql, with_views
 
 Q, SQL = {}, {}
@@ -51,42 +52,69 @@ def nearby_and_recurrence(spark, sf_dir):
 
 def _wind(spark, sf_dir):
     e = F.col("event")
-    return lens.events(spark, sf_dir).where(e % 5 != 0).select("event", ((e * 37) % 360).cast("double").alias("wind_from"))
+    return lens.events(spark, sf_dir).where(e % 5 != 0).select("event", ((e * 37) % 360).cast("double").alias("wind_from"), F.when(e % 7 != 0, ((e % 4) * 5).cast("double")).alias("wind_kmh"))
 
 
 def _episodes(spark, sf_dir):
     return lens.events(spark, sf_dir).where(F.col("event") % 3 != 0).select("event", (F.col("event") % 7).alias("episode"))
 
 
+def _recurrence(spark, sf_dir):
+    """Pairs that some record ties together or apart, one end of some of them unknown."""
+    e = F.col("event")
+    return lens.events(spark, sf_dir).where(e % 6 == 0).select((e + 20).alias("a"), e.alias("b"), (e % 12 == 0).alias("recurrence"))
+
+
 def _edges(spark, sf_dir):
     e = lens.events(spark, sf_dir)
     peat = e.where(F.col("event") % 2 == 0).select(F.col("event").alias("source"), (F.col("event") + 10).alias("target"), ((F.col("event") % 10) / 10.0).alias("peat_fraction"))
-    return graph.edges(e, _wind(spark, sf_dir), peat, _episodes(spark, sf_dir))
+    return graph.edges(e, _wind(spark, sf_dir), peat, _episodes(spark, sf_dir), _recurrence(spark, sf_dir))
+
+
+_SAID = ("GEOGRAPHIC_DISTANCE", "true"), ("ELAPSED_TIME", "true"), ("PROPAGATION_COMPATIBILITY", "CASE WHEN compatibility IN ('COMPATIBLE', 'WEAK') THEN true WHEN compatibility = 'INCOMPATIBLE' THEN false END"), ("EVENT_BUFFER_OVERLAP", "buffers_overlap"), ("WIND_ALIGNMENT", "alignment >= 0"), ("DIRECTIONAL_COMPATIBILITY", "downwind"), ("PEAT_CORRIDOR_FRACTION", "peat_fraction >= 0.5"), ("SHARED_ENVIRONMENTAL_EPISODE", "shared_episode"), ("HISTORICAL_RECURRENCE", "recurrence")
 
 
-_EDGES = f""", p AS (SELECT event_a, event_b, distance_km, gap_hours, distance_km <= reach AS buffers_overlap FROM pairs WHERE distance_km <= 50 AND (gap_hours <= 720 OR distance_km <= reach)),
-o AS (SELECT CASE WHEN flip THEN event_b ELSE event_a END AS source, CASE WHEN flip THEN event_a ELSE event_b END AS target, distance_km, gap_hours, buffers_overlap
-  FROM (SELECT p.*, b.first < a.first OR (b.first = a.first AND b.event < a.event) AS flip FROM p JOIN ev a ON a.event = event_a JOIN ev b ON b.event = event_b)),
-f AS (SELECT o.*, s.first AS f1, t.first AS f2, CASE WHEN s.last < t.first THEN 'A_BEFORE_B' WHEN t.last < s.first THEN 'B_BEFORE_A' ELSE 'OVERLAPPING' END AS ordering,
-  CASE WHEN source % 5 <> 0 THEN ((source * 37) % 360)::DOUBLE END AS wind_from, CASE WHEN source % 2 = 0 AND target = source + 10 THEN (source % 10) / 10.0::DOUBLE END AS peat_fraction,
-  CASE WHEN source % 3 <> 0 AND target % 3 <> 0 THEN source % 7 = target % 7 END AS shared_episode, CASE WHEN gap_hours > 0 THEN distance_km / gap_hours END AS speed_kmh,
+def _told(wanted: str) -> str:
+    names = ", ".join(f"CASE WHEN ({c}) IS {wanted} THEN 'DERIVED_GRAPH_' || source || '_' || target || '_{k}' END" for k, c in _SAID)
+    return f"array_to_string([x FOR x IN [{names}] IF x IS NOT NULL], ',')"
+
+
+_EDGES = f""", rec AS (SELECT event + 20 AS a, event AS b, event % 12 = 0 AS recurrence FROM ev WHERE event % 6 = 0),
+p AS (SELECT event_a, event_b FROM pairs WHERE (distance_km <= 50 AND gap_hours <= 720) OR distance_km <= reach UNION SELECT b, a FROM rec WHERE a IN (SELECT event FROM ev)),
+o AS (SELECT CASE WHEN flip THEN event_b ELSE event_a END AS source, CASE WHEN flip THEN event_a ELSE event_b END AS target, recurrence
+  FROM (SELECT p.*, b.last < a.first AS flip, recurrence FROM p JOIN ev a ON a.event = event_a JOIN ev b ON b.event = event_b LEFT JOIN rec ON rec.a = event_b AND rec.b = event_a)),
+f AS (SELECT o.*, s.first AS f1, t.first AS f2, CASE WHEN s.last < t.first THEN 'A_BEFORE_B' ELSE 'OVERLAPPING' END AS ordering, {haversine_sql('s.lat', 's.lon', 't.lat', 't.lon')} AS distance_km, greatest(epoch_us(t.first - s.last) / 3600e6, 0) AS gap_hours, s.extent_km / 2 + t.extent_km / 2 + 4 AS reach,
+  CASE WHEN source % 5 <> 0 THEN ((source * 37) % 360)::DOUBLE END AS wind_from, CASE WHEN source % 5 <> 0 AND source % 7 <> 0 THEN (source % 4) * 5 END AS wind_kmh, CASE WHEN source % 2 = 0 AND target = source + 10 THEN (source % 10) / 10.0::DOUBLE END AS peat_fraction,
+  CASE WHEN source % 3 <> 0 AND target % 3 <> 0 THEN source % 7 = target % 7 END AS shared_episode,
   radians(t.lon - s.lon) AS dl, radians(s.lat) AS la, radians(t.lat) AS lb, radians(t.lon - s.lon) * 6371.0088::DOUBLE * cos(radians((s.lat + t.lat) / 2)) AS east, radians(t.lat - s.lat) * 6371.0088::DOUBLE AS north
   FROM o JOIN ev s ON s.event = source JOIN ev t ON t.event = target),
-g AS (SELECT *, (degrees(atan2(sin(dl) * cos(lb), cos(la) * sin(lb) - sin(la) * cos(lb) * cos(dl))) + 360) % 360 AS bearing, (wind_from + 180) % 360 AS down, epoch_us(f2 - f1) / 3600e6 AS elapsed FROM f),
-h AS (SELECT *, abs((bearing - down + 180 + 720) % 360 - 180) AS angle, east * sin(radians(down)) + north * cos(radians(down)) - elapsed * 2 AS along, east * cos(radians(down)) - north * sin(radians(down)) AS across FROM g),
-i AS (SELECT *, CASE WHEN ordering <> 'OVERLAPPING' AND wind_from IS NOT NULL THEN CASE WHEN elapsed <= 0 THEN sqrt(east * east + north * north) <= 0.5
-    ELSE (along / (elapsed * 3 + 0.5)) * (along / (elapsed * 3 + 0.5)) + (across / (elapsed * 2.5 + 0.5)) * (across / (elapsed * 2.5 + 0.5)) <= 1 END END AS inside FROM h),
+g AS (SELECT *, distance_km <= reach AS buffers_overlap, CASE WHEN gap_hours > 0 THEN distance_km / gap_hours END AS speed_kmh, (degrees(atan2(sin(dl) * cos(lb), cos(la) * sin(lb) - sin(la) * cos(lb) * cos(dl))) + 360) % 360 AS bearing, (wind_from + 180) % 360 AS down, CASE WHEN ordering <> 'OVERLAPPING' AND wind_from IS NOT NULL THEN epoch_us(f2 - f1) / 3600e6 END AS elapsed FROM f),
+h AS (SELECT *, CASE WHEN ordering <> 'OVERLAPPING' THEN abs((bearing - down + 180 + 720) % 360 - 180) END AS angle, east * sin(radians(down)) + north * cos(radians(down)) - elapsed * 2 AS along, east * cos(radians(down)) - north * sin(radians(down)) AS across FROM g),
+i AS (SELECT *, (along / (elapsed * 3)) * (along / (elapsed * 3)) + (across / (elapsed * 2.5)) * (across / (elapsed * 2.5)) <= 1 AS inside, round(cos(radians(angle)), 6) AS alignment, CASE WHEN wind_kmh IS NULL OR wind_kmh > 0 THEN angle <= 60 END AS downwind FROM h),
 j AS (SELECT *, CASE WHEN inside THEN 'COMPATIBLE' WHEN NOT inside THEN 'INCOMPATIBLE' WHEN ordering = 'OVERLAPPING' THEN 'NOT_EVALUATED' WHEN speed_kmh <= 5 THEN 'COMPATIBLE' WHEN speed_kmh <= 20 THEN 'WEAK' ELSE 'INCOMPATIBLE' END AS compatibility,
-  buffers_overlap OR coalesce(peat_fraction >= 0.5, false) OR coalesce(shared_episode, false) AS context, coalesce(angle > 60, false) AS conflict, coalesce(cos(radians(angle)) <= -0.5, false) AS upwind FROM i),
+  buffers_overlap OR coalesce(peat_fraction >= 0.5, false) OR coalesce(shared_episode, false) OR coalesce(recurrence, false) AS context, downwind IS false AS conflict, coalesce(alignment <= -0.5, false) AS upwind FROM i),
 edges AS (SELECT *, CASE WHEN ordering = 'OVERLAPPING' AND NOT buffers_overlap AND NOT coalesce(shared_episode, false) THEN 'INDEPENDENT_PLAUSIBLE' WHEN ordering = 'OVERLAPPING' THEN 'UNRESOLVED'
   WHEN compatibility = 'COMPATIBLE' AND NOT conflict AND NOT upwind THEN 'PROPAGATION_COMPATIBLE' WHEN compatibility = 'WEAK' AND context AND NOT conflict THEN 'PROPAGATION_WEAK'
   WHEN compatibility = 'INCOMPATIBLE' AND (conflict OR upwind) THEN 'UNRESOLVED' WHEN compatibility = 'INCOMPATIBLE' AND context THEN 'RELATED_POSSIBLE' WHEN compatibility = 'INCOMPATIBLE' THEN 'INDEPENDENT_PLAUSIBLE'
   WHEN context THEN 'RELATED_POSSIBLE' ELSE 'UNRESOLVED' END AS state FROM j)"""
 
 
-@query("event_edges", with_views("obs", "members", "ev", body=_PAIRS + _EDGES + " SELECT source, target, round(distance_km, 6) AS distance_km, gap_hours, ordering, buffers_overlap, peat_fraction, shared_episode, round(speed_kmh, 6) AS speed_kmh, inside, compatibility, state FROM edges"))
+@query("event_edges", with_views("obs", "members", "ev", body=_PAIRS + _EDGES + f""" SELECT source, target, round(distance_km, 6) AS distance_km, gap_hours, ordering, round(bearing, 6) AS bearing, alignment, downwind, buffers_overlap, peat_fraction, shared_episode, recurrence, round(speed_kmh, 6) AS speed_kmh,
+  CASE WHEN elapsed IS NOT NULL THEN down END AS heading, elapsed * 3 AS half_length, elapsed * 2.5 AS half_width, elapsed * 2 AS shift, inside, compatibility, state, {_told('true')} AS supporting, {_told('false')} AS contradicting FROM edges"""))
 def event_edges(spark, sf_dir):
-    return _edges(spark, sf_dir).drop("bearing", "alignment").withColumns({c: F.round(c, 6) for c in ("distance_km", "speed_kmh")})
+    e = _edges(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("distance_km", "speed_kmh", "bearing")})
+    return e.withColumns({"supporting": F.array_join("supporting", ","), "contradicting": F.array_join("contradicting", ",")})
+
+
+@query("edge_explanations", with_views("obs", "members", "ev", body=_PAIRS + _EDGES + """ SELECT 'DERIVED_GRAPH_' || source || '_' || target AS evidence_id, source AS event, 'graph' AS category, state AS type, CASE state WHEN 'PROPAGATION_COMPATIBLE' THEN 'order and speed fit spread over the surface' WHEN 'PROPAGATION_WEAK' THEN 'spread is possible, the evidence for it weak'
+  WHEN 'RELATED_POSSIBLE' THEN 'the events share surroundings, not a path' WHEN 'INDEPENDENT_PLAUSIBLE' THEN 'nothing ties the events together' ELSE 'what is known does not settle it' END AS observation, round(distance_km, 3) AS value FROM edges"""))
+def edge_explanations(spark, sf_dir):
+    return graph.explanations(_edges(spark, sf_dir))
+
+
+@query("incident_edges", with_views("obs", "members", "ev", body=_PAIRS + _EDGES + " SELECT source AS event, source, target, true AS outgoing FROM edges WHERE source % 20 = 0 UNION ALL SELECT target, source, target, false FROM edges WHERE target % 20 = 0"))
+def incident_edges(spark, sf_dir):
+    return graph.incident(_edges(spark, sf_dir), _selection(spark, sf_dir))
 
 
 @query("edges_by_source", with_views("obs", "members", "ev", body=_PAIRS + _EDGES + " SELECT source, count(*) AS n, string_agg(target::VARCHAR, ',' ORDER BY target) AS targets FROM edges GROUP BY source"))
@@ -132,13 +160,13 @@ def investigation_map(spark, sf_dir):
 _SEGMENTS = f""", steps AS (SELECT *, lag(latitude) OVER w AS plat, lag(longitude) OVER w AS plon FROM members WINDOW w AS (PARTITION BY event ORDER BY ts, obs_id)),
 seg AS (SELECT event, {haversine_sql('plat', 'plon', 'latitude', 'longitude')} AS d, atan2(sin(radians(longitude - plon)) * cos(radians(latitude)), cos(radians(plat)) * sin(radians(latitude)) - sin(radians(plat)) * cos(radians(latitude)) * cos(radians(longitude - plon))) AS th FROM steps WHERE plat IS NOT NULL),
 ends AS (SELECT event, arg_min(latitude, (ts, obs_id)) AS la, arg_min(longitude, (ts, obs_id)) AS lo, arg_max(latitude, (ts, obs_id)) AS lb, arg_max(longitude, (ts, obs_id)) AS lp FROM members GROUP BY event),
-moves AS (SELECT event, sum(d) AS path_km, CASE WHEN sum(d) > 0 THEN sqrt(pow(sum(d * sin(th)), 2) + pow(sum(d * cos(th)), 2)) / sum(d) END AS consistency FROM seg GROUP BY event)"""
+moves AS (SELECT event, sum(d) AS path_km, CASE WHEN sum(d) > 0 THEN sqrt(pow(sum(d * sin(th)), 2) + pow(sum(d * cos(th)), 2)) / sum(d) END AS consistency, CASE WHEN sum(d) > 0 AND event % 5 <> 0 THEN sum(d * cos(th - radians(((event * 37) % 360 + 180) % 360))) / sum(d) END AS wind_alignment FROM seg GROUP BY event)"""
 
 
-@query("event_movement", with_views("obs", "members", body=_SEGMENTS + f""" SELECT event, round(coalesce(path_km, 0), 5) AS path_km, round({haversine_sql('la', 'lo', 'lb', 'lp')}, 5) AS net_km, round(consistency, 5) AS consistency FROM ends LEFT JOIN moves USING (event)"""))
+@query("event_movement", with_views("obs", "members", body=_SEGMENTS + f""" SELECT event, round(coalesce(path_km, 0), 5) AS path_km, round({haversine_sql('la', 'lo', 'lb', 'lp')}, 5) AS net_km, round(consistency, 5) AS consistency, round(wind_alignment, 5) AS wind_alignment FROM ends LEFT JOIN moves USING (event)"""))
 def event_movement(spark, sf_dir):
     m = complexity.movement(lens.members(spark, sf_dir), _wind(spark, sf_dir))
-    return m.select("event", *(F.round(c, 5).alias(c) for c in ("path_km", "net_km", "consistency")))
+    return m.select("event", *(F.round(c, 5).alias(c) for c in ("path_km", "net_km", "consistency", "wind_alignment")))
 
 
 @query("power_variation", with_views("obs", "members", body=" SELECT event, count(frp) AS readings, CASE WHEN count(frp) >= 2 THEN round(CASE WHEN avg(frp) = 0 THEN 0 ELSE stddev_pop(frp) / avg(frp) END, 6) END AS frp_cv FROM members GROUP BY event"))
@@ -146,40 +174,61 @@ def power_variation(spark, sf_dir):
     return complexity.power_variation(lens.members(spark, sf_dir)).withColumn("frp_cv", F.round("frp_cv", 6))
 
 
-@query("unexplained_detections", with_views("obs", "members", body="""
-, p AS (SELECT *, first_value(latitude) OVER w AS olat, first_value(longitude) OVER w AS olon, first_value(ts) OVER w AS ots FROM members WINDOW w AS (PARTITION BY event ORDER BY ts, obs_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-q AS (SELECT event, epoch_us(ts - ots) / 3600e6 AS t, ((event * 37) % 360 + 180) % 360 AS down, event % 5 <> 0 AS windy, radians(longitude - olon) * 6371.0088::DOUBLE * cos(radians((olat + latitude) / 2)) AS east, radians(latitude - olat) * 6371.0088::DOUBLE AS north FROM p WHERE ts > ots),
-r AS (SELECT event, CASE WHEN windy THEN pow((east * sin(radians(down)) + north * cos(radians(down)) - t * 2) / (t * 3 + 0.5), 2) + pow((east * cos(radians(down)) - north * sin(radians(down))) / (t * 2.5 + 0.5), 2) <= 1 END AS inside FROM q)
-SELECT m.event, count(inside) AS evaluated, count(*) FILTER (WHERE NOT inside) AS outside FROM (SELECT DISTINCT event FROM members) m LEFT JOIN r USING (event) GROUP BY m.event"""))
+_UNEXPLAINED = """
+, first_of AS (SELECT event, arg_min(latitude, (ts, obs_id)) AS olat, arg_min(longitude, (ts, obs_id)) AS olon, min(ts) AS ots, arg_min(obs_id, (ts, obs_id)) AS first_id FROM members GROUP BY event),
+later AS (SELECT event, epoch_us(ts - ots) / 3600e6 AS t, ((event * 37) % 360 + 180) % 360 AS down, radians(longitude - olon) * 6371.0088::DOUBLE * cos(radians((olat + latitude) / 2)) AS east, radians(latitude - olat) * 6371.0088::DOUBLE AS north FROM members JOIN first_of USING (event) WHERE obs_id <> first_id AND event % 5 <> 0),
+placed_later AS (SELECT event, CASE WHEN t <= 0 THEN east = 0 AND north = 0 ELSE pow((east * sin(radians(down)) + north * cos(radians(down)) - t * 2) / (t * 3), 2) + pow((east * cos(radians(down)) - north * sin(radians(down))) / (t * 2.5), 2) <= 1 END AS inside FROM later),
+outside AS (SELECT m.event, count(inside) AS evaluated, count(*) FILTER (WHERE NOT inside) AS outside FROM (SELECT DISTINCT event FROM members) m LEFT JOIN placed_later USING (event) GROUP BY m.event)"""
+
+
+@query("unexplained_detections", with_views("obs", "members", body=_UNEXPLAINED + " SELECT * FROM outside"))
 def unexplained_detections(spark, sf_dir):
     return complexity.unexplained(lens.members(spark, sf_dir), _wind(spark, sf_dir))
 
 
 def _complexity(spark, sf_dir):
     m, e, wind = lens.members(spark, sf_dir), lens.events(spark, sf_dir), _wind(spark, sf_dir)
-    u = complexity.unexplained(m, wind)
+    u, seen = complexity.unexplained(m, wind), F.col("evaluated") > 0
     facts = (
         e.select("event", F.col("hours").alias("duration"), F.col("n").alias("observation_count"), F.col("extent_km").alias("spatial_extent"))
         .join(complexity.movement(m, wind).select("event", F.col("net_km").alias("centroid_movement"), F.col("consistency").alias("directional_consistency"), "wind_alignment"), "event")
         .join(complexity.power_variation(m).select("event", F.col("frp_cv").alias("frp_variability")), "event")
-        .join(graph.nearby_and_recurrence(e).select("event", F.col("nearby_events").alias("nearby_event_count"), F.col("recurrences").alias("historical_recurrence")), "event")
-        .join(u.select("event", F.when(F.col("evaluated") > 0, F.col("outside")).alias("unexplained_detections"), F.when(F.col("evaluated") > 0, F.col("outside") / F.col("evaluated")).alias("surface_propagation_mismatch")), "event")
+        .join(ev.lobes(m).groupBy("event").agg(F.count("*").alias("distinct_thermal_lobes")), "event")
+        .join(rs.footprint_fraction(e, lens.raster(spark), rs.TRANSFORM).select("event", F.coalesce("peat_fraction", F.when(F.col("any_peat"), 1.0)).alias("peat_overlap")), "event")
+        .join(graph.nearby_and_recurrence(e).select("event", F.col("nearby_events").alias("nearby_event_count"), (F.col("recurrences") > 0).cast("int").alias("historical_recurrence")), "event")
+        .join(u.select("event", F.when(seen, F.col("outside")).alias("unexplained_detections"), F.when(seen, F.col("outside") / F.col("evaluated")).alias("surface_propagation_mismatch")), "event")
     )
     return complexity.complexity_fields(facts)
 
 
-@query("complexity_fields", with_views("obs", "members", "ev", body=f""", names AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{f}')" for i, f in enumerate(complexity.FIELDS))}) t(nth, field)), cv AS (SELECT event, count(frp) AS c FROM members GROUP BY event)
-SELECT ev.event, nth, field, 'DERIVED_COMPLEXITY_' || ev.event || '_' || field AS evidence_id,
-  CASE WHEN field IN ('peat_overlap', 'distinct_thermal_lobes') OR (field = 'frp_variability' AND c < 2) OR (field = 'directional_consistency' AND (c < 2 OR (west = east AND south = north))) OR (field = 'wind_alignment' AND (c < 2 OR event % 5 = 0 OR (west = east AND south = north)))
-    OR (field IN ('unexplained_detections', 'surface_propagation_mismatch') AND (event % 5 = 0 OR first = last)) THEN 'NOT_EVALUATED' ELSE 'EVALUATED' END AS status
-FROM ev CROSS JOIN names JOIN cv USING (event)"""))
+_LOBES = """, lobe_ref AS (SELECT event, sum(round(latitude * 1e5)::BIGINT) / count(*) / 1e5 AS ref_lat FROM members GROUP BY event),
+lobe_xy AS (SELECT m.*, radians(longitude) * 6371.0088::DOUBLE * cos(radians(ref_lat)) AS x, radians(latitude) * 6371.0088::DOUBLE AS y FROM members m JOIN lobe_ref USING (event)),
+lobe_links AS (SELECT a.obs_id AS v, b.obs_id AS w FROM lobe_xy a JOIN lobe_xy b ON a.event = b.event AND a.obs_id <> b.obs_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1),
+lobe_reach(root, v) AS (SELECT obs_id, obs_id FROM members UNION SELECT r.root, e.w FROM lobe_reach r JOIN lobe_links e ON e.v = r.v WHERE r.root < e.w),
+lobe_count AS (SELECT event, count(DISTINCT lobe) AS lobes FROM members JOIN (SELECT v AS obs_id, min(root) AS lobe FROM lobe_reach GROUP BY v) USING (obs_id) GROUP BY event)"""
+_NEAR = f""", around AS (SELECT a.event, count(b.event) FILTER (WHERE {_GAP} <= 72) AS nearby, count(b.event) FILTER (WHERE b.last < a.first AND {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 2) AS earlier
+  FROM ev a LEFT JOIN ev b ON a.event <> b.event AND abs(a.lat - b.lat) <= 0.1 AND {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 10 GROUP BY a.event)"""
+_VALUES = _SEGMENTS + _UNEXPLAINED + _LOBES + context_queries.FOOTPRINT_SQL + _NEAR + f""", power AS (SELECT event, CASE WHEN count(frp) >= 2 THEN CASE WHEN avg(frp) = 0 THEN 0 ELSE stddev_pop(frp) / avg(frp) END END AS cv FROM members GROUP BY event),
+field_values AS (SELECT ev.event, hours AS duration, n::DOUBLE AS observation_count, extent_km AS spatial_extent, {haversine_sql('la', 'lo', 'lb', 'lp')} AS centroid_movement, consistency AS directional_consistency, wind_alignment, cv AS frp_variability, lobes::DOUBLE AS distinct_thermal_lobes,
+    peat_fraction AS peat_overlap, nearby::DOUBLE AS nearby_event_count, (earlier > 0)::INTEGER::DOUBLE AS historical_recurrence, CASE WHEN evaluated > 0 THEN outside.outside END::DOUBLE AS unexplained_detections, CASE WHEN evaluated > 0 THEN outside.outside / evaluated END AS surface_propagation_mismatch
+  FROM ev JOIN ends USING (event) LEFT JOIN moves USING (event) JOIN power USING (event) JOIN lobe_count USING (event) JOIN footprints USING (event) JOIN around USING (event) JOIN outside USING (event)),
+fields AS (SELECT event, field, value FROM field_values UNPIVOT INCLUDE NULLS (value FOR field IN ({', '.join(complexity.FIELDS)})))"""
+_VIEWS = ("obs", "members", "ev", "raster")
+
+
+@query("complexity_fields", with_views(*_VIEWS, recursive=True, body=_VALUES + f""", names AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{f}')" for i, f in enumerate(complexity.FIELDS))}) t(nth, field))
+SELECT event, nth, field, round(value, 5) AS value, CASE WHEN value IS NULL THEN 'NOT_EVALUATED' ELSE 'EVALUATED' END AS status, CASE WHEN value IS NULL THEN 0 WHEN field = 'peat_overlap' THEN 0.7 ELSE 0.82 END::DOUBLE AS quality, 'DERIVED_COMPLEXITY_' || event || '_' || field AS evidence_id FROM fields JOIN names USING (field)"""))
 def complexity_fields(spark, sf_dir):
-    return _complexity(spark, sf_dir).select("event", "nth", "field", "evidence_id", "status")
+    return _complexity(spark, sf_dir).withColumn("value", F.round("value", 5))
+
+
+_SIGNALS = """, signals AS (SELECT event, CASE field WHEN 'duration' THEN value / 72 WHEN 'observation_count' THEN value / 20 WHEN 'spatial_extent' THEN value / 10 WHEN 'centroid_movement' THEN value / 10 WHEN 'directional_consistency' THEN 1 - value WHEN 'wind_alignment' THEN 1 - (value + 1) / 2 WHEN 'frp_variability' THEN value
+  WHEN 'distinct_thermal_lobes' THEN (value - 1) / 4 WHEN 'nearby_event_count' THEN value / 3 WHEN 'historical_recurrence' THEN value WHEN 'unexplained_detections' THEN value / 10 WHEN 'surface_propagation_mismatch' THEN value END AS s FROM fields)"""
 
 
-@query("complexity_signal")
+@query("complexity_signal", with_views(*_VIEWS, recursive=True, body=_VALUES + _SIGNALS + " SELECT event, count(s) AS evaluated_fields, round(avg(CASE WHEN s IS NOT NULL THEN least(greatest(s, 0), 1) END), 5) AS complexity_signal FROM signals GROUP BY event"))
 def complexity_signal(spark, sf_dir):
-    return complexity.complexity_signal(_complexity(spark, sf_dir))
+    return complexity.complexity_signal(_complexity(spark, sf_dir)).withColumn("complexity_signal", F.round("complexity_signal", 5))
 
 
 # Priority: factors from the triage state, a sufficiency label, peat and relations.
