@@ -57,6 +57,17 @@ def hash_sample(rows: DataFrame, key: str, size: int) -> tuple[int, DataFrame]:
     return n, near.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key).limit(size)
 
 
+def sampled_rows(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
+    """(doc_id, text, *keep) of at most ``size`` ids, one row each: that of the least text hash, however often the id occurs.
+
+    ``size`` must be small enough for as many ids to be broadcast.
+    """
+    _, chosen = hash_sample(rows.select("doc_id"), "doc_id", size)
+    met = rows.select("doc_id", "text", *keep).join(F.broadcast(chosen.distinct()), "doc_id")
+    best = F.min_by(F.struct("text", *keep), F.struct(text_key(), *keep)).alias("r")
+    return met.groupBy("doc_id").agg(best).select("doc_id", "r.*")
+
+
 class Texts:
     """A run of rows of an Arrow string column as one byte array with offsets; null reads as empty."""
 

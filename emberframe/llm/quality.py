@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import Texts, hash_sample, in_fold, mix64, slices
+from emberframe.llm.common import Texts, fresh, hash_sample, in_fold, mix64, slices, text_key
 from emberframe.llm.words import tokenise
 
 BUCKETS = 1 << 15
@@ -147,10 +147,11 @@ class Network:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, size: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``size`` labelled rows of the learning fold, by least hash of the id."""
+    """(doc_id, text, y) of at most ``size`` labelled ids of the learning fold, by least hash; a repeated id teaches with one of its texts."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y"))
     _, chosen = hash_sample(rows, "doc_id", size)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``size`` rows
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``size`` rows
+    return met.groupBy("doc_id").agg(F.min_by("text", text_key()).alias("text"), F.first("y").alias("y"))
 
 
 class Constant:
@@ -172,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, learn: Column
     rows = labelled_sample(docs, labels, "quality", learn, size).mapInArrow(run, "doc_id long, y double, x array<float>").toPandas()
     if not len(rows):
         return Constant(0.5)
-    x = np.stack(rows["x"].to_numpy()).astype(np.float64).reshape(len(rows), width)
+    x = np.stack(rows["x"].to_numpy()).reshape(len(rows), width)
     y = rows["y"].to_numpy()
     order = np.lexsort((*x.T[:2], rows["doc_id"].to_numpy()))
     x, y = x[order], y[order]
@@ -212,4 +213,5 @@ def predictions(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> D
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
-    return scores(docs, labels, learning_fold(), column="_score").where(F.col("_score") >= threshold).select(*docs.columns)
+    column = fresh(docs, "score")
+    return scores(docs, labels, learning_fold(), column=column).where(F.col(column) >= threshold).select(*docs.columns)
