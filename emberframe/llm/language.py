@@ -7,13 +7,13 @@ position gets a probability for each language, and a document's probabilities ar
 the mean over all its positions.  The gates and the candidate state use clipped
 linear functions, which numpy evaluates many times faster than exponentials.
 
-The network is trained in numpy by backpropagation through time on windows of at
-most ``SAMPLE`` documents (least hash of doc_id) that have a language and belong
-to the learning fold.
+The network is trained in numpy by backpropagation through time on the whole texts
+of at most ``SAMPLE`` documents (least hash of doc_id) that have a language and
+belong to the learning fold; every window is learnt from once at least.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is
 every text if there is nothing to learn from; null doc_ids are labelled like
-others but teach nothing; ties go to the language that sorts first; an empty
+others but teach nothing; of rows with one doc_id that of the least text hash teaches; ties go to the language that sorts first; an empty
 table gives no rows; other columns play no part.
 """
 
@@ -26,15 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import Texts, hash_sample, in_fold, slices
+from emberframe.llm.common import Texts, in_fold, sampled_rows, slices
 from emberframe.llm.words import fold
 
 WINDOW = 64
 STATE = 8
 EMBED = 4
 SAMPLE = 4000
-#: Windows taken from a document of the sample, evenly over its length.
-WINDOWS_EACH = 4
 #: Windows that run through the network together.
 LANES = 4096
 _FILL = 32
@@ -161,13 +159,16 @@ class Network:
         np.add.at(d_embed, x.ravel(), np.concatenate([(a + b).T for a, b in zip(ef, eb[::-1], strict=True)]))
         return loss / len(x), [d_embed, gf, cf, gb, cb, d_out]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 500, lanes: int = 192, rate: float = 0.02, seed: int = 9) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 500, lanes: int = 192, rate: float = 0.02, seed: int = 9) -> None:
+        """At least ``steps`` batches, and as many as take every window once."""
         rng, params = np.random.default_rng(seed), self.parameters()
+        steps = max(steps, -(-len(y) // lanes))
+        order = np.concatenate([rng.permutation(len(y)) for _ in range(-(-steps * lanes // len(y)))])
         share = np.bincount(y, minlength=len(self.languages)) / len(y)
-        balance = (np.maximum(share, 1e-6) ** -0.5)[y].astype(np.float32)
+        balance = ((np.maximum(share, 1e-6) ** -0.5)[y] * weight).astype(np.float32)
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for t in range(1, steps + 1):
-            pick = rng.integers(0, len(y), lanes)
+            pick = order[(t - 1) * lanes : t * lanes]
             _, grads = self.gradients(np.ascontiguousarray(x[pick].T), y[pick], balance[pick] / balance[pick].sum())
             norm = float(sum((g**2).sum() for g in grads)) ** 0.5
             step = rate * (1 - t / (steps + 1)) * (1 - 0.99**t) ** 0.5 / (1 - 0.9**t)
@@ -207,31 +208,27 @@ def probabilities(texts: Texts, net: Network) -> np.ndarray:
 
 def train(docs: DataFrame, learn: Column, size: int = SAMPLE) -> Network | None:
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & learn)
-    _, chosen = hash_sample(rows.select("doc_id", "lang"), "doc_id", size)
+    chosen = sampled_rows(rows, ["lang"], size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, start, bytes_, row = windows(Texts(batch.column("text")))
-            count = np.bincount(row, minlength=batch.num_rows)
-            first = np.cumsum(count) - count
-            picked = np.unique(np.concatenate([first[count > 0] + (count[count > 0] - 1) * k // max(1, WINDOWS_EACH - 1) for k in range(WINDOWS_EACH)]))
-            cells, _ = cut_windows(data, start[picked], bytes_[picked])
-            take = pa.array(row[picked])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), pa.array(start[picked]), batch.column("lang").take(take), pa.array([c.tobytes() for c in cells.T], pa.binary())], ["doc_id", "at", "lang", "bytes"]
-            )
-
-    # at most ``size`` ids are broadcast
-    sample = rows.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").mapInArrow(run, "doc_id long, at long, lang string, bytes binary").toPandas()
+            cells, _ = cut_windows(data, start, bytes_)
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)) * WINDOW
+            flat = np.ascontiguousarray(cells.T).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "lang", "bytes"])
+
+    sample = chosen.mapInArrow(run, "doc_id long, lang string, bytes binary").toPandas()
     if not len(sample):
         return None
-    sample = sample.sort_values(["doc_id", "bytes", "lang"], kind="stable")
+    sample = sample.sort_values("doc_id", kind="stable")
     languages = sorted(sample["lang"].unique())
     x = np.frombuffer(b"".join(sample["bytes"]), np.uint8).reshape(-1, WINDOW)
-    y = np.searchsorted(languages, sample["lang"].to_numpy())
+    each = (sample["bytes"].map(len) // WINDOW).to_numpy()
+    y = np.repeat(np.searchsorted(languages, sample["lang"].to_numpy()), each)
     net = Network(languages)
     if len(languages) > 1:
-        net.fit(x, y)
+        net.fit(x, y, np.repeat(each**-0.5, each))  # a long text counts for more than a short one, not for all of its windows
     return net
 
 
