@@ -13,16 +13,19 @@
    entries of the codes (asymmetric distance), keeps the best ``SHORTLIST`` by
    (distance, id) and reranks them by exact distance in double precision on the
    original vectors, which the block holds.  Its k best go on to a last ranking
-   over the query's few blocks.
+   over the query's blocks.  Queries come in chunks of about ``CHUNK``: a block
+   goes to each chunk, so that no task holds all queries of a block.
 
 Spark does the assignment, the dealing and the ranking; nothing but the learnt
 tables and the list sizes (both bounded by ``LISTS``) passes the driver.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite
 components take no part, as query or candidate; nor do null ids, and vectors of
-another length than most of the sample; repeated ids are candidates of their
-own and ask once, with the least of their vectors; a query with fewer candidates than k gets all of them; ties go to the
-smaller id; an empty table gives no rows; other columns play no part.
+another length than most of the sample; rows that share an id are candidates of their
+own for other queries, ask once, with the least of their vectors, and are all
+left out of that answer, since an answer names ids; a query with fewer
+candidates than k gets all of them; ties go to the smaller id; an empty table
+gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -45,6 +48,10 @@ PARTS = 16
 #: Most rows of a block; lists over twice the mean size are split anyway.
 BLOCK = 1 << 16
 SHORTLIST = 200
+#: Queries that a block's task holds, about.
+CHUNK = 4096
+#: Queries whose distances to a block are held at once.
+STEP = 32
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -151,15 +158,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
             held = np.cumsum(sizes[order], axis=1)
             # lists up to the one that makes the rows enough, and ``probes`` at least
             n = np.maximum(np.minimum((held < ENOUGH * k + 1).sum(1) + 1, lists), min(probes, lists))
-            take, lists_, block = [], [], []
-            for row, count in enumerate(n.tolist()):
-                for own in order[row, :count].tolist():
-                    for b in range(blocks[own] if sizes[own] else 0):
-                        take.append(row)
-                        lists_.append(own)
-                        block.append(b)
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(lists_, pa.int32()), pa.array(block, pa.int32())], ["query_id", "q", "list", "block"])
+            chosen = np.arange(lists) < n[:, None]
+            row, own = np.repeat(np.arange(len(n)), n), order[chosen]
+            each = np.where(sizes[own] > 0, blocks[own], 0)
+            take = np.repeat(np.arange(len(own)), each)
+            block = np.arange(len(take)) - np.repeat(np.cumsum(each) - each, each)
+            at, lists_ = pa.array(row[take]), own[take]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(lists_, pa.int32()), pa.array(block, pa.int32()), batch.column("chunk").take(at)], ["query_id", "q", "list", "block", "chunk"])
 
     def scan(key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -170,22 +175,31 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
             ids = ids[by_id]
             v = np.stack(held["v"].to_numpy())[by_id]
             codes = np.frombuffer(b"".join(held["code"].to_numpy()[by_id]), np.uint8).reshape(len(ids), -1)
-            parts = np.arange(codes.shape[1])
-            for query_id, q in zip(asked["query_id"], asked["q"], strict=True):
-                rough = index.tables(q, own)[parts, codes].sum(1)
-                rough[ids == query_id] = np.inf
-                best = np.argsort(rough, kind="stable")[: max(SHORTLIST, k)]  # stable: ties to the smaller id
-                best = best[ids[best] != query_id]
-                exact = np.sqrt(((v[best] - q) ** 2).sum(1))
-                order = np.lexsort((ids[best], exact))[:k]
-                out.extend((query_id, int(ids[best[o]]), float(exact[o])) for o in order)
+            queries, names = np.stack(asked["q"].to_numpy()), asked["query_id"].to_numpy()
+            short = min(max(SHORTLIST, k), len(ids))
+            for lo in range(0, len(names), STEP):
+                tables = np.stack([index.tables(q, own) for q in queries[lo : lo + STEP]])
+                rough = np.zeros((len(tables), len(ids)))
+                for p in range(codes.shape[1]):
+                    rough += tables[:, p, codes[:, p]]
+                rough[names[lo : lo + STEP, None] == ids] = np.inf
+                bound = np.partition(rough, short - 1, axis=1)[:, short - 1 : short]
+                for name, q, d, b in zip(names[lo : lo + STEP].tolist(), queries[lo : lo + STEP], rough, bound, strict=True):
+                    best = np.flatnonzero(d < b)
+                    best = np.append(best, np.flatnonzero((d == b) & (d < np.inf))[: short - len(best)])  # ties to the smaller id
+                    exact = np.sqrt(((v[best] - q) ** 2).sum(1))
+                    order = np.lexsort((ids[best], exact))[:k]
+                    out.extend(zip([name] * len(order), ids[best[order]].tolist(), exact[order].tolist(), strict=True))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     split = {int(own): int(n) for own, n in enumerate(blocks) if n > 1}
     n_blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in split.items() for x in pair)), F.col("list")), F.lit(1)) if split else F.lit(1)
     dealt = indexed.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
     asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
-    queries = asked.mapInArrow(visit, "query_id long, q array<double>, list int, block int")
-    found = dealt.groupBy("list", "block").cogroup(queries.groupBy("list", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
+    chunks = max(1, -(-asked.count() // CHUNK))
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "id"), F.lit(chunks)).cast("int"))
+    queries = asked.mapInArrow(visit, "query_id long, q array<double>, list int, block int, chunk int")
+    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    found = dealt.groupBy("list", "block", "chunk").cogroup(queries.groupBy("list", "block", "chunk")).applyInPandas(scan, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
