@@ -41,7 +41,7 @@ MIN_DOCS = 5
 SPACE = b" \t\n\x0b\x0c\r"
 
 LINES = "doc_id long, text_key long, at int, h1 long, h2 long"
-MARKS = LINES + ", open boolean"
+MARKS = LINES + ", open boolean, seen int"
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -70,14 +70,23 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _stream(min_docs: int):
-    """Marks of one sorted partition; holds the lines of one key in ``min_docs`` documents at most."""
+    """Marks of one sorted partition.
 
-    def marks(part: pa.Table, which: np.ndarray, open_: bool) -> pa.RecordBatch:
+    Held over from batch to batch are, of one key, a row of the document that
+    keeps it and the lines of the next few while they are fewer than ``min_docs``.
+    The partition's first key is open whatever follows, so its rows go out at
+    once; a null doc_id is a key's last document, so it is decided where it is met.
+    ``seen`` tells of documents whose lines are settled already.
+    """
+
+    def marks(part: pa.Table, which: np.ndarray, open_: bool, seen: int = 0) -> pa.RecordBatch:
         out = part.take(pa.array(np.flatnonzero(which))).combine_chunks()
-        return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.columns), pa.array(np.full(len(out), open_))], [*out.column_names, "open"])
+        more = [pa.array(np.full(len(out), open_)), pa.array(np.full(len(out), seen, np.int32))]
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.columns), *more], [*out.column_names, "open", "seen"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        enough = False  # the held key is in ``min_docs`` documents already
         first = None  # the partition's first key
         for batch in batches:
             if not batch.num_rows:
@@ -94,16 +103,19 @@ def _stream(min_docs: int):
             key = np.cumsum(new_key) - 1
             nth_doc = np.cumsum(new_doc) - np.cumsum(new_doc)[starts][key]  # 0 in the document that keeps the key
             docs_of = np.maximum.reduceat(nth_doc, starts) + 1
+            if held is not None and enough:
+                docs_of[0] = min_docs
             in_first = (h1 == first[0]) & (h2 == first[1])
-            last = key == len(starts) - 1
-            drop = ~in_first & ~last & (nth_doc > 0) & (docs_of[key] >= min_docs)
-            drop |= last & ~in_first & (nth_doc >= min_docs)  # more than enough documents came before it
+            drop = ~in_first & (nth_doc > 0) & (docs_of[key] >= min_docs)
             yield marks(part, drop, False)
-            if (out := in_first & (~last | (nth_doc >= min_docs))).any():
-                yield marks(part, out, True)
-            held = part.take(pa.array(np.flatnonzero(last & (nth_doc < min_docs)))).combine_chunks()
+            if in_first.any():
+                yield marks(part, in_first, True)
+            wait = (key == len(starts) - 1) & ~in_first & ~drop & ~(none & (nth_doc > 0))
+            wait[np.flatnonzero(wait & (nth_doc == 0))[:-1]] = False
+            held = part.take(pa.array(np.flatnonzero(wait))).combine_chunks() if wait.any() else None
+            enough = bool(docs_of[-1] >= min_docs)
         if held is not None:
-            yield marks(held, np.ones(len(held), bool), True)
+            yield marks(held, np.ones(len(held), bool), True, min_docs if enough else 0)
 
     return run
 
@@ -114,7 +126,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     order = ["h1", "h2", F.col("doc_id").desc_nulls_last(), "at", "text_key"]
     marks = cut(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), MARKS))
     undecided = marks.where("open")
-    keys = undecided.groupBy("h1", "h2").agg(F.count_distinct(F.struct("doc_id")).alias("docs"), F.max("doc_id").alias("keeper"))
+    keys = undecided.groupBy("h1", "h2").agg(F.greatest(F.count_distinct(F.struct("doc_id")), F.max("seen")).alias("docs"), F.max("doc_id").alias("keeper"))
     settled = undecided.join(F.broadcast(keys), ["h1", "h2"]).where((F.col("docs") >= min_docs) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return marks.where("not open").select("doc_id", "text_key", "at").unionByName(settled.select("doc_id", "text_key", "at"))
 
