@@ -11,8 +11,9 @@ boundary that its stretch crosses.  Ordering by size class spreads the draw
 evenly over long and short documents, so the words taken stay near the target.
 
 The prefix sum is built from three levels of counts (size class, block, row),
-so no task holds a whole source: a source with a third of all rows is spread
-over ``BLOCKS`` blocks of each of its size classes.
+so no task holds a whole source: a source with a third of all rows is spread by
+hashed id over the blocks of each of its size classes, whose number grows with
+the table.
 
 Defined cases: null or empty text has size 0 and is taken with 0 words; null
 source is a source of its own; a source without words has target 0 and no
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from emberframe.llm.common import WORD, cut, text_key
 
-#: Blocks that each size class of a source is dealt to.
-BLOCKS = 251
+#: Blocks that each size class of a source is dealt to: so many at least, and one for so many rows of the table.
+BLOCKS, BLOCK_ROWS = 251, 65_536
 
 
 def word_count(column: str) -> Column:
@@ -70,13 +71,19 @@ def size_class(size: Column) -> Column:
     return (bits * 8 + F.call_function("shiftright", size, F.greatest(bits - 3, F.lit(0)))).cast("int")
 
 
+def block_of(key: Column, blocks: int) -> Column:
+    """A block by multiplicative hashing in whole numbers."""
+    return F.pmod(F.call_function("shiftright", F.pmod(key, F.lit((1 << 31) - 1)) * F.lit(2654435761), F.lit(20)), F.lit(blocks)).cast("int")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, source, text_key, size, source_size, target, copies, taken."""
     base = cut(
         docs.select("doc_id", "source", text_key().alias("text_key"), word_count("text").alias("size"))
         .withColumn("class", size_class(F.col("size")))
-        .withColumn("block", F.pmod(F.coalesce(F.col("doc_id"), F.col("text_key")), F.lit(BLOCKS)).cast("int"))
     )
+    blocks = max(BLOCKS, -(-base.count() // BLOCK_ROWS))
+    base = base.withColumn("block", block_of(F.coalesce(F.col("doc_id").cast("long"), F.col("text_key")), blocks))
     counts = base.groupBy("source", "class", "block").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     classes = counts.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
@@ -119,7 +126,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 ORACLE = f"""
 WITH base AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, doc_id % {BLOCKS} AS block FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, (((doc_id % 2147483647 + 2147483647) % 2147483647 * 2654435761) >> 20) % (SELECT greatest({BLOCKS}, ceil(count(*) / {BLOCK_ROWS}))::BIGINT FROM documents) AS block FROM documents
 ), classed AS (
   SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) AS class FROM base
 ), sizes AS (
