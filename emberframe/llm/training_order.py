@@ -35,8 +35,8 @@ from emberframe.llm.common import cut, mix64, slices, text_key
 
 STRIDE = 512
 SLOTS = 2048
-#: Blocks that documents are dealt to for counting: the driver holds one number for each.
-BLOCKS = 8192
+#: Blocks that documents are dealt to for counting: so many at least, and one for so many bytes of text; the driver holds one number for each.
+BLOCKS, BLOCK_BYTES = 8192, 1 << 24
 END, PAD = 0xFF, 0xFE
 SHARDS = "shard long, first_slot long, n_slots int, doc_ids array<long>, parts array<int>, lengths array<int>, payload binary"
 
@@ -95,10 +95,11 @@ def shards(docs: DataFrame, stride: int = STRIDE, slots: int = SLOTS, key: int =
     """One row per shard, in slot order within and across partitions (columns: ``SHARDS``)."""
     spark = docs.sparkSession
     texts, width, end, pad = encoded(docs, tokenizer)
-    texts = texts.withColumn("block", F.pmod(F.coalesce("doc_id", "text_key"), F.lit(BLOCKS)).cast("int"))
+    blocks = max(BLOCKS, ceil((texts.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) / BLOCK_BYTES))
+    texts = texts.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", "text_key")), F.lit(blocks)).cast("int"))
     pieces = F.floor(F.octet_length("ids") / width / stride).cast("long") + 1  # END always fits
     sizes = texts.groupBy("block").agg(F.sum(pieces).alias("n")).collect()
-    starts = np.zeros(BLOCKS + 1, np.int64)
+    starts = np.zeros(blocks + 1, np.int64)
     for row in sizes:
         starts[row.block + 1] = row.n
     starts = np.cumsum(starts)
