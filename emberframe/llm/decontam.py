@@ -9,8 +9,10 @@ at most ``MISMATCHES`` substitutions.  The mask was chosen so that each such
 stretch holds at least one hit, whichever tokens are substituted (a test tries
 all patterns), so the result is exact for this definition.
 
-Defined cases: null or empty texts and items, and those shorter than ``WINDOW``
-tokens, take no part; rows with the same doc_id are told apart by their text and
+An item shorter than that is found whole and unchanged, by the hash of its first
+``LEAST`` tokens; with fewer than ``LEAST`` it tells nothing and takes no part.
+
+Defined cases: null or empty texts and items take no part; rows with the same doc_id are told apart by their text and
 reported once; ties between stretches go to the first one; other columns play
 no part.
 """
@@ -24,6 +26,8 @@ from emberframe.llm.common import text_key
 
 WINDOW = 13
 MISMATCHES = 2
+#: Tokens that a shorter item needs at least.
+LEAST = 5
 #: Token positions that the seed looks at; position 2, 4 and 5 may hold anything.
 MASKS = ((0, 1, 3, 6, 7),)
 #: Largest number of benchmark seeds that is broadcast (32 bytes each); beyond it the hits come from a shuffled join.
@@ -86,7 +90,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROAD
         F.max(F.struct(F.col("best.matched").alias("matched"), (F.col("best.at") - F.col("diagonal")).alias("at"), F.col("best.at").alias("item_at"))).alias("b")
     )
     found = found.where(F.col("b.matched") >= WINDOW - MISMATCHES)
-    return found.select("doc_id", "text_key", "item_id", F.col("b.matched").alias("matched"), (-F.col("b.at")).alias("doc_at"), (-F.col("b.item_at")).alias("item_at"))
+    found = found.select("doc_id", "text_key", "item_id", F.col("b.matched").alias("matched"), (-F.col("b.at")).alias("doc_at"), (-F.col("b.item_at")).alias("item_at"))
+    short = benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item").between(LEAST, WINDOW - 1)).distinct()
+    n = short.count()
+    return found.unionByName(_whole(docs, short, n <= broadcast_seeds)) if n else found
+
+
+def _whole(docs: DataFrame, items: DataFrame, small: bool) -> DataFrame:
+    """Where a text holds all tokens of a short item in a row, the first such place."""
+    first = lambda words, i: F.xxhash64(*(F.get(words, i + k) for k in range(LEAST)))
+    keyed = items.withColumn("seed", first(F.col("item"), F.lit(0)))
+    words = docs.select("doc_id", text_key().alias("text_key"), tokens(F.col("text")).alias("doc"))
+    at = F.when(F.size("doc") >= LEAST, F.sequence(F.lit(0), F.size("doc") - LEAST))
+    spots = words.select("doc_id", "text_key", F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), first(F.col("doc"), i).alias("seed")))).alias("s"))
+    hits = spots.select("doc_id", "text_key", F.col("s.at").alias("at"), F.col("s.seed").alias("seed")).join(F.broadcast(keyed) if small else keyed, "seed").drop("seed")
+    texts = docs.select(F.col("doc_id").alias("_id"), text_key().alias("_text"), "text").distinct()
+    laid = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text")))
+    same = laid.where(F.slice(tokens(F.col("text")), F.col("at") + 1, F.size("item")) == F.col("item"))
+    return same.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.size("item")).alias("matched"), F.min("at").alias("doc_at"), F.lit(0).alias("item_at"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -118,4 +139,8 @@ WITH doc_words AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, j + diagonal, j) AS nth FROM counted WHERE matched >= {WINDOW - MISMATCHES}
 )
 SELECT doc_id, item_id, matched::INTEGER AS matched, (j + diagonal - 1)::INTEGER AS doc_at, (j - 1)::INTEGER AS item_at FROM ranked WHERE nth = 1
+UNION ALL
+SELECT doc_id, item_id, len(item)::INTEGER, min(i - 1)::INTEGER, 0 FROM (
+  SELECT d.*, b.*, unnest(range(1, len(doc) - len(item) + 2)) AS i FROM doc_words d, (SELECT DISTINCT item_id, item FROM item_words WHERE len(item) BETWEEN {LEAST} AND {WINDOW - 1}) b WHERE len(doc) >= len(item)
+) WHERE doc[i:i + len(item) - 1] = item GROUP BY doc_id, item_id, item
 """
