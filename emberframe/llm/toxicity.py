@@ -1,19 +1,22 @@
 """Toxicity: weak supervision by many lexicon and pattern voters.
 
-1. Words and word beginnings that stand out in toxic rows are counted on a sample
-   of at most ``SAMPLE`` labelled rows of the learning fold (Spark sums the
-   counts by feature) and give lexicons: strong ones, dealt at random to several
-   voters each, and a wide one of weaker features.  A seed lexicon of common
-   insults and some patterns vote too.  A voter says toxic (1), clean (0) or
-   nothing (-1).
+1. Words, pairs of words and word beginnings that stand out in toxic rows are
+   counted on a sample of at most ``SAMPLE`` labelled rows of the learning fold
+   (Spark sums the counts by feature) and give lexicons: strong ones of each kind,
+   dealt at random to several voters, and a wide one of weaker features.  A seed
+   lexicon of common insults votes too, and so do patterns that look at no lexicon
+   (marks in rows, drawn-out letters, digits within words, capitals) or at one
+   only beside something else (a seed word near an address).  A voter says toxic
+   (1), clean (0) or nothing (-1).
 2. A generative label model is fitted by expectation maximisation on the votes
    alone: class prior, each voter's accuracy table, and correlations.  Pairs of
    voters that go together beyond what the class explains (mutual information
    given the class, under the current posterior) form a tree; a voter's table is
    conditioned on its parent in it, so votes that repeat each other count once.
-3. A linear classifier over the lexicon features is trained in numpy on the
-   posterior labels; two numbers (stretch and shift) calibrate its logits on the
-   sample's labels.  It scores whole texts.
+3. A linear classifier over the lexicon features is trained in numpy, from zero,
+   on the posterior labels alone; two numbers (stretch and shift) calibrate its
+   logits on the sample's labels, which moves the threshold and not the order.
+   It scores whole texts.
 
 Defined cases: null and empty texts have no features and get the classifier's
 bias; rows without a label, with a null label or outside the learning fold teach
@@ -37,8 +40,6 @@ from emberframe.llm.quality import labelled_sample
 from emberframe.llm.words import tokenise
 
 SAMPLE = 20_000
-#: Most features that the lexicons hold together.
-LEXICON = 4096
 PREFIXES = (4, 5, 6)
 #: Log odds (toxic against clean rows that hold it) of the wide and of the strong lexicons.
 WIDE, STRONG = 2.0, 4.25
@@ -52,22 +53,37 @@ SEED_WORDS = (
 ).split()
 
 
+#: Words that address someone.
+ADDRESS = "you your youre yourself u ur du dich dir ihr euch tu toi vous te ti voi".split()
+#: Tokens between an address and a seed word at most.
+NEARBY = 4
+
+
+def _address_hashes() -> np.ndarray:
+    return np.unique(tokenise(Texts(pa.array(ADDRESS)), folded=True).hash)
+
+
 def _seed_hashes() -> np.ndarray:
     return np.unique(tokenise(Texts(pa.array(SEED_WORDS)), folded=True).hash)
 
 
-def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, kind) of the letter runs: kind 0 the word, n its first n bytes; each once a row. Also usable for counting."""
+def _kinds(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, feature, kind) of every letter run (kind 0), of it and the one before (kind 2), and of its first n bytes (kind n)."""
     tok = tokenise(texts, folded=True)
     words = tok.kind == 1
-    rows, hashes, kinds = [tok.row[words]], [tok.hash[words]], [np.zeros(words.sum(), np.int8)]
+    row, word = tok.row[words], tok.hash[words]
+    yield row, word, np.zeros(len(row), np.int8)
+    pair = np.flatnonzero(row[1:] == row[:-1]) + 1
+    yield row[pair], mix64(word[pair - 1] + np.uint64(2)) + word[pair], np.full(len(pair), 2, np.int8)
     for n in PREFIXES:
         h = tok.prefix(n)[words]
-        some = h > 0
-        rows.append(rows[0][some])
-        hashes.append(h[some])
-        kinds.append(np.full(some.sum(), n, np.int8))
-    row, feature, kind = map(np.concatenate, (rows, hashes, kinds))
+        some = np.flatnonzero(h)
+        yield row[some], h[some], np.full(len(some), n, np.int8)
+
+
+def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, kind) of the letter runs, each once a row."""
+    row, feature, kind = (np.concatenate(x) for x in zip(*_kinds(texts), strict=True))
     _, first = np.unique(feature ^ mix64(row.astype(np.uint64) + np.uint64(3)), return_index=True)
     return row[first], feature[first], kind[first]
 
@@ -88,11 +104,8 @@ class Lexicon:
 
     def find(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(row, place in the lexicon) of the features found, each once a row."""
-        tok = tokenise(texts, folded=True)
-        words = tok.kind == 1
-        row = tok.row[words]
         out_rows, out_at = [], []
-        for h in (tok.hash[words], *(tok.prefix(n)[words] for n in PREFIXES)):
+        for row, h, _ in _kinds(texts):
             maybe = np.flatnonzero(self.sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
             at = np.searchsorted(self.feature, h[maybe])
             at[at == len(self.feature)] = 0
@@ -105,7 +118,7 @@ class Lexicon:
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Features that stand out in the toxic rows of ``sample`` (doc_id, text, y)."""
+    """Features that stand out in the toxic rows of ``sample`` (doc_id, text, y); as many as there are, which the sample bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -120,7 +133,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     seeds = _seed_hashes()
     counted = sample.select("text", "y").mapInArrow(run, "feature long, kind byte, toxic double, clean double").groupBy("feature").agg(F.max("kind").alias("kind"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.1) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
-    rows = counted.where("toxic >= 3").withColumn("odds", odds).where(F.col("odds") >= WIDE).orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "feature").limit(LEXICON).toPandas()
+    rows = counted.where("toxic >= 3").withColumn("odds", odds).where(F.col("odds") >= WIDE).toPandas()
     feature, kind = rows["feature"].to_numpy(np.int64).view(np.uint64), rows["kind"].to_numpy(np.int8)
     odds_, strong = rows["odds"].to_numpy(float), (rows["odds"] >= STRONG).to_numpy(bool)
     new = seeds[~np.isin(seeds, feature)]
@@ -130,15 +143,40 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     return Lexicon(feature[order], pad(kind, 0), pad(odds_, 0.0), pad(strong, False))
 
 
+def _patterns(texts: Texts) -> Iterator[np.ndarray]:
+    """Votes that look at the shape of a text."""
+    data, row = texts.bytes, texts.rows()
+    share = lambda at: np.bincount(row[at], minlength=texts.n) / np.maximum(texts.lengths, 1)
+    letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+    same = np.zeros(len(data), bool)  # the third of three equal bytes
+    same[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (row[2:] == row[:-2])
+    digit = np.zeros(len(data), bool)  # a digit or mark between two letters
+    digit[1:-1] = letter[2:] & letter[:-2] & np.isin(data[1:-1], list(b"0134579@$")) & (row[2:] == row[:-2])
+    marks = np.isin(data, list(b"!?"))
+    yield np.where(share(np.flatnonzero(same & marks)) > 0.002, 1, -1)
+    yield np.where(share(np.flatnonzero(same & letter)) > 0.002, 1, -1)
+    yield np.where(share(np.flatnonzero(digit)) > 0.002, 1, -1)
+    yield np.where(share(np.flatnonzero(letter & (data < 97))) > 0.3, 1, -1)
+    tok = tokenise(texts, folded=True)
+    you, slur = (np.flatnonzero(np.isin(tok.hash, h)) for h in (_address_hashes(), _seed_hashes()))
+    before = np.searchsorted(you, slur)
+    near = np.zeros(len(slur), bool)
+    for other in (before - 1, before):
+        ok = (other >= 0) & (other < len(you))
+        at = you[other[ok]]
+        near[ok] |= (np.abs(at - slur[ok]) <= NEARBY) & (tok.row[at] == tok.row[slur[ok]])
+    yield np.where(np.bincount(tok.row[slur[near]], minlength=texts.n) > 0, 1, -1)
+
+
 def votes(texts: Texts, lexicon: Lexicon, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(rows, voters) of 1, 0 or -1."""
     out = []
     count = lambda which: np.bincount(rows[which[at]], minlength=texts.n)
     deal = (mix64(lexicon.feature) >> np.uint64(40)) % np.uint64(VOTERS)
-    for words in (True, False):
+    for kinds in ((0,), (2,), PREFIXES):
+        of_kind = lexicon.strong & np.isin(lexicon.kind, kinds)
         for v in range(VOTERS):
-            found = count(lexicon.strong & ((lexicon.kind == 0) == words) & (deal == v))
-            out.append(np.where(found > 0, 1, -1))
+            out.append(np.where(count(of_kind & (deal == v)) > 0, 1, -1))
     seeds = np.isin(lexicon.feature, _seed_hashes())
     for v in range(VOTERS):
         out.append(np.where(count(seeds & (deal == v)) > 0, 1, -1))
@@ -146,11 +184,8 @@ def votes(texts: Texts, lexicon: Lexicon, rows: np.ndarray, at: np.ndarray) -> n
     out.append(np.where(strong >= 2, 1, -1))  # several strong hits
     out.append(np.where(strong == 0, 0, -1))  # none at all
     out.append(np.where(weak == 0, 0, np.where((weak >= 4) & (weak * 400 > texts.lengths), 1, -1)))
-    # patterns: shouting or strewn marks say nothing about insults, plain long prose without weak hits says clean
-    letters = np.add.reduceat(np.append((texts.bytes >= 65) & (texts.bytes <= 90), False).astype(np.int64), texts.offsets[:-1]) * (texts.lengths > 0) if texts.n else np.zeros(0)
-    shout = letters > 0.5 * np.maximum(texts.lengths, 1)
-    out.append(np.where(shout & (strong > 0), 1, -1))
-    out.append(np.where((texts.lengths > 400) & (weak * 1000 < texts.lengths), 0, -1))
+    out.append(np.where((texts.lengths > 400) & (weak * 1000 < texts.lengths), 0, -1))  # long prose with next to no weak hits
+    out.extend(_patterns(texts))
     return np.stack(out, axis=1).astype(np.int8)
 
 
@@ -219,9 +254,9 @@ class Linear:
         return 1 / (1 + np.exp(-z.clip(-30, 30)))
 
 
-def fit_linear(n: int, rows: np.ndarray, at: np.ndarray, width: int, y: np.ndarray, start: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> Linear:
+def fit_linear(n: int, rows: np.ndarray, at: np.ndarray, width: int, y: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> Linear:
     """Logistic regression on soft labels, by Adam over all rows."""
-    w, b = 0.3 * start, float(np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)))
+    w, b = np.zeros(width), float(np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, steps + 1):
         d = Linear(w, b).score(n, rows, at) - y
@@ -266,8 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, size: int = SAMPLE)
     lengths = held["found"].map(len).to_numpy()
     rows = np.repeat(np.arange(len(held)), lengths)
     at = np.concatenate([np.asarray(x, np.int64) for x in held["found"]]) if lengths.sum() else np.zeros(0, np.int64)
-    seeds = np.isin(lexicon.feature, _seed_hashes())
-    model = fit_linear(len(held), rows, at, len(lexicon.feature), post, np.maximum(lexicon.odds, 3.0 * seeds))
+    model = fit_linear(len(held), rows, at, len(lexicon.feature), post)
     return lexicon, calibrated(model, len(held), rows, at, held["y"].to_numpy())
 
 
