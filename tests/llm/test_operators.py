@@ -94,7 +94,7 @@ def test_language_gradients():
         assert abs((up - down) / (2 * eps) - g[at]) < 0.05 * abs(g[at]) + 2e-3
 
 
-def test_neighbours_brute_force(spark):
+def test_neighbours_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 16)) + rng.normal(size=(6, 16))[rng.integers(0, 6, 900)] * 3
     x[100:400] = x[100]  # many copies
@@ -113,6 +113,10 @@ def test_neighbours_brute_force(spark):
         assert all(abs(r.score - d[r.vec_id]) < 1e-12 for r in mine)
         assert [(r.score, r.vec_id) for r in mine] == sorted((r.score, r.vec_id) for r in mine)
     assert hits >= 0.9 * 90
+    monkeypatch.setattr(neighbours, "CHUNK", 2)  # queries of a block in several tasks
+    assert {(r.query_id, r.rank, r.vec_id) for r in neighbours.search(df, F.col("id") % 100 == 0).collect()} == {(r.query_id, r.rank, r.vec_id) for r in got}
+    twice = neighbours.search(df.unionByName(df.where("vec_id = 200 or vec_id = 7")), F.col("id") % 100 == 0).collect()
+    assert not any(r.query_id == r.vec_id for r in twice) and {r.rank for r in twice if r.query_id == 200} == set(range(1, 11))
     few = neighbours.search(df.where("vec_id < 4"), F.col("id") % 100 == 0).collect()
     assert [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2, 3]
     assert neighbours.search(df.where("vec_id < 0"), F.col("id") % 100 == 0).count() == 0
@@ -167,6 +171,33 @@ def test_decontamination_brute_force(spark, limit):
     assert sorted(r.doc_id for r in left.collect()) == [3, 5]
 
 
+def test_decontamination_of_short_items(spark):
+    """Items below the window are found whole, with one word changed not at all; tiny ones never."""
+    six = words(60, 6)
+    rows = [(1, " ".join([*words(61, 20), *six, *words(62, 5)]), "en", "s"), (2, " ".join(six), "en", "s"), (3, " ".join([*six[:5], "other"]), "en", "s"), (4, "one two three", "en", "s"), (5, None, "en", "s")]
+    bench = spark.createDataFrame([(7, " ".join(six).upper()), (8, "one two three"), (9, "")], "item_id long, text string")
+    for limit in (10, 0):
+        found = decontam.overlaps(docs(spark, rows), bench, broadcast_seeds=limit).collect()
+        assert sorted((r.doc_id, r.item_id, r.matched, r.doc_at, r.item_at) for r in found) == [(1, 7, 6, 20, 0), (2, 7, 6, 0, 0)]
+    assert sorted(r.doc_id for r in decontam.decontaminated(docs(spark, rows), bench).collect()) == [3, 4, 5]
+
+
+def test_blocks_of_even_ids(spark):
+    """Ids that are multiples of the number of blocks are spread all the same."""
+    for step in (mixing.BLOCKS, training_order.BLOCKS):
+        ids = spark.range(0, 5000 * step, step)
+        most = ids.groupBy(mixing.block_of(F.col("id"), mixing.BLOCKS).alias("b")).count().agg(F.max("count")).first()[0]
+        assert most < 5 * 5000 / mixing.BLOCKS
+
+
+def test_one_id_on_very_many_rows(spark):
+    """A sample is bounded by rows, not by ids."""
+    many = docs(spark, [(1, f"good words number {i}", "en", "s") for i in range(5000)] + [(i, "bad ### words", "en", "s") for i in range(2, 60)])
+    marks = labels(spark, [(i, int(i == 1), 0) for i in range(60)])
+    assert quality.labelled_sample(many, marks, "quality", F.lit(True), 1000).count() == 59
+    assert language.predictions(many).count() == 5058
+
+
 def test_line_dedup_small_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     rows = [(i, f"{SHARED}\nown line of document {i} that nobody else has in it at all\n  {SHARED.upper()} \nshort", "en", "s") for i in range(60)]
@@ -184,6 +215,29 @@ def test_line_dedup_small_partitions(spark):
     assert {r.text for r in kept if r.doc_id == 500} == {f"{SHARED}\n{SHARED}"}
 
 
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_line_dedup_any_batches(spark, batch):
+    """Keys over many batches and partitions, null ids and documents that repeat a line, against plain counting."""
+    rng = np.random.default_rng(21)
+    lines = [f"line {k} is long enough to be looked at by the operator" for k in range(12)]
+    rows = [(i if i % 9 else None, "\n".join(rng.choice(lines[: 1 + i % 12], 4)), "en", "s") for i in range(90)] + [(1000, "\n".join([lines[11]] * 40), "en", "s")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    got = line_dedup.digest(docs(spark, rows)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    holders = {}
+    for i, t, *_ in rows:
+        for x in t.split("\n"):
+            holders.setdefault(x, set()).add(i)
+    keeper = {x: max(d, key=lambda i: -1 if i is None else i) for x, d in holders.items() if len(d) >= 5}
+    want = []
+    for i, t, *_ in rows:
+        kept = [x for x in t.split("\n") if keeper.get(x, i) == i]
+        want.append((i, t.count("\n") + 1, t.count("\n") + 1 - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def brute_components(texts, width, bits):
     def fp(t):
         w = (t or "").encode().lower().split()
