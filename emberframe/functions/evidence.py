@@ -50,9 +50,15 @@ def circular_mean(direction: Column, weight: Column) -> Column:
 
 
 def plain_text(value: Column) -> Column:
-    """Prose on one line without dashes: a dash before a capital ends the sentence, between digits it is a range."""
-    x = F.regexp_replace(value, r"\s+", " ")
-    x = F.regexp_replace(x, r"\s[—–-]\s(?=\p{Lu})", ". ")
-    x = F.regexp_replace(x, r"\s[—–-]\s", ", ")
+    """Prose on one line without dashes: a spaced dash before a capital ends the sentence, else it is a comma; between digits a dash is a range, elsewhere a colon."""
+    x = F.trim(F.regexp_replace(value, r"\s+", " "))
+    x = F.regexp_replace(x, r"\s(?:—|–|--)\s(?=\p{Lu})", ". ")
+    x = F.regexp_replace(x, r"\s(?:—|–|--)\s", ", ")
     x = F.regexp_replace(x, r"(?<=\d)—(?=\d)", "–")
-    return F.trim(F.regexp_replace(x, "—", ": "))
+    x = F.regexp_replace(F.regexp_replace(x, "—", ": "), r"\s+", " ")
+    return F.regexp_replace(F.trim(x), "[ :,]+$", "")
+
+
+def age_hours(observed: Column, now: Column) -> Column:
+    """Hours since an observation, never negative; 24 where its time is unknown."""
+    return F.when(observed.isNull(), 24.0).otherwise(F.greatest(hours_between(observed, now), F.lit(0.0)))

@@ -258,3 +258,24 @@ def map_edges(e: DataFrame, events: DataFrame, selected: DataFrame, km: float =
     both = real.join(picked, F.col("a") == F.col("event"), "left_semi").join(picked, F.col("b") == F.col("event"), "left_semi")
     ctx = around.join(real, ["a", "b"], "left").select("a", "b", F.coalesce("real_km", "distance_km").alias("distance_km"), F.coalesce("state", F.lit("DISTANCE_ONLY")).alias("state"), F.col("state").isNotNull().alias("computed"))
     return both.select("a", "b", F.col("real_km").alias("distance_km"), "state", F.lit(True).alias("computed")).union(ctx)
+
+
+def tagged_edges(focus: DataFrame, selection: DataFrame, selected: DataFrame, km: float = 50.0) -> DataFrame:
+    """(a, b, distance_km, state, computed, origin): edges of the event in focus and of the selection, as ``map_edges`` gives them.
+
+    The focus wins where both have a pair; edges over ``km`` go, and so do those
+    between two selected events that rest on distance alone.
+    """
+    pairs = focus.withColumn("origin", F.lit("focus")).unionByName(selection.join(focus.select("a", "b"), ["a", "b"], "left_anti").withColumn("origin", F.lit("selection")))
+    chosen = lambda c: selected.select(F.col("event").alias(c), F.lit(True).alias(f"chosen_{c}"))
+    j = pairs.join(chosen("a"), "a", "left").join(chosen("b"), "b", "left")
+    both = F.coalesce(F.col("chosen_a") & F.col("chosen_b"), F.lit(False))
+    return j.where((F.col("distance_km") <= km) & (~both | F.col("computed"))).select("a", "b", "distance_km", "state", "computed", "origin")
+
+
+def visible_envelopes(e: DataFrame, selected: DataFrame, focus: int | None = None) -> DataFrame:
+    """(source, target): compatible edges with an envelope whose source is selected or that touch the event in focus."""
+    shown = e.where((F.col("state") == "PROPAGATION_COMPATIBLE") & F.col("half_length").isNotNull())
+    marked = shown.join(selected.select(F.col("event").alias("source"), F.lit(True).alias("chosen")).distinct(), "source", "left")
+    touches = F.lit(False) if focus is None else (F.col("source") == focus) | (F.col("target") == focus)
+    return marked.where(F.coalesce("chosen", F.lit(False)) | touches).select("source", "target")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.functions.geo import boxes_overlap, buffered, in_bbox, in_ring, ring_area
+from emberframe.functions.geo import boxes_overlap, buffered, haversine_km, in_bbox, in_polygon, in_ring, ring_area
+from emberframe.operators.spatial import near
 
 MAX_PAGE, DEFAULT_PAGE = 2000, 500
 RELATIONS = ("INSIDE_SCOPE", "BOUNDARY_INTERSECTING", "EXTERNAL_CONTEXT")
@@ -87,11 +88,143 @@ SORT_KEYS = {"first": "first", "last": "last", "observations": "n", "max_frp": "
 
 
 def page(events: DataFrame, key: str = "first", descending: bool = False, limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFrame:
-    """One page in a fixed order: nulls lowest, ties by event."""
+    """One page in a fixed order, with the number of all rows as ``total``: nulls lowest, text without regard to case, ties by event."""
     if not 1 <= limit <= MAX_PAGE or offset < 0:
         raise ValueError(f"a page holds 1 to {MAX_PAGE} rows and starts at 0 or later")
-    col = F.col(SORT_KEYS[key])
-    return events.orderBy(col.desc_nulls_last() if descending else col.asc_nulls_first(), "event").offset(offset).limit(limit)
+    name = SORT_KEYS[key]
+    col = F.lower(name) if dict(events.dtypes).get(name) == "string" else F.col(name)
+    counted = events.crossJoin(F.broadcast(events.agg(F.count("*").alias("total"))))
+    return counted.orderBy(col.desc_nulls_last() if descending else col.asc_nulls_first(), "event").offset(offset).limit(limit)
+
+
+def register_rows(events: DataFrame, decided: DataFrame) -> DataFrame:
+    """What a list of events shows, without rules and evidence; an unknown sensor mix is null, not empty."""
+    d = decided.select("event", "state", "fire_score", "non_fire_score", (F.col("state") != "LIKELY_NON_FIRE").alias("needs_review"), "decisive_rules")
+    e = events.select(
+        "event", "first", "last", F.bround("hours", 2).alias("duration_hours"), "n", "lat", "lon", "west", "south", "east", "north", F.bround("extent_km", 3).alias("extent_km"), "max_frp", F.bround("mean_frp", 2).alias("mean_frp"),
+        F.when(F.size("sensor_mix") > 0, F.col("sensor_mix")).alias("sensor_mix"),
+    )
+    return e.join(d, "event")
+
+
+def found(events: DataFrame, detail: DataFrame, ids: DataFrame) -> DataFrame:
+    """(event columns, rules, evaluated): the asked events that exist, each with its detail rows folded in rule order."""
+    per = detail.join(ids.select("event").distinct(), "event", "left_semi").groupBy("event").agg(F.array_sort(F.collect_list(F.struct("nth", "rule_id", "effect", "points"))).alias("rules"), F.count("value").alias("evaluated"))
+    return events.join(ids.select("event").distinct(), "event", "left_semi").join(per, "event", "left")
+
+
+def without_detail(events: DataFrame, detail: DataFrame) -> DataFrame:
+    """Served events whose detail is missing; a register is ready if there are none."""
+    return events.select("event").join(detail.select("event").distinct(), "event", "left_anti")
+
+
+def overlay(events: DataFrame, members: DataFrame, start, end, day=None) -> DataFrame:
+    """(event, lat, lon, frp, confidence, acq_date, acq_time): observations of the register's events within the review dates, or of one of its days."""
+    o = members.where(F.col("acq_date").between(F.lit(start), F.lit(end)))
+    o = o if day is None else o.where(F.col("acq_date") == F.lit(day))
+    return o.join(events.select("event"), "event", "left_semi").select("event", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "frp", "confidence", "acq_date", "acq_time")
+
+
+def event_bounds(events: DataFrame) -> DataFrame:
+    """One row: the box and the times of a set of events."""
+    return events.agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def largest(events: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` events with most observations, by (number, first detection, id)."""
+    return events.orderBy(F.desc("n"), "first", "event").limit(n)
+
+
+def review_queue(routed: DataFrame) -> DataFrame:
+    """One row: events, those for human review, those that the first stage left open, and the register's compression by that stage."""
+    queue = F.count_if(F.col("state") != "LIKELY_NON_FIRE")
+    return routed.agg(F.count("*").alias("events"), F.count_if(F.col("route") == "HUMAN_REVIEW").alias("review_queue"), queue.alias("stage1_queue"), F.bround(F.count("*") / F.when(queue > 0, queue), 4).alias("compression"))
+
+
+#: Fields of weather (seven windows of seven measures) and of peat that an event can have.
+WEATHER_FIELDS, PEAT_FIELDS = 49, 4
+
+
+def completeness(events: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(event, weather_fields, peat_fields, completeness): how many of the possible fields of evidence (event, category) are there."""
+    per = evidence.groupBy("event").agg(F.count_if(F.col("category") == "weather").alias("weather_fields"), F.count_if(F.col("category") == "peat").alias("peat_fields"))
+    j = events.select("event").join(per, "event", "left").na.fill(0, ["weather_fields", "peat_fields"])
+    return j.withColumn("completeness", F.bround((F.col("weather_fields") + F.col("peat_fields")) / (WEATHER_FIELDS + PEAT_FIELDS), 4))
+
+
+#: Categories of optional evidence.
+ENRICHMENT = ("peat", "weather", "imagery")
+
+
+def sufficiency(events: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(event, present, missing, reason): which kinds of optional evidence an event has, and a sentence about it."""
+    have = evidence.where(F.col("category").isin(*ENRICHMENT)).groupBy("event").agg(F.collect_set("category").alias("c"))
+    j = events.select("event").join(have, "event", "left").withColumn("c", F.coalesce("c", F.array().cast("array<string>")))
+    kinds = F.array(*map(F.lit, ENRICHMENT))
+    there, gone = F.filter(kinds, lambda k: F.array_contains("c", k)), F.filter(kinds, lambda k: ~F.array_contains("c", k))
+    reason = F.when(F.size(there) == 0, "detections and screening only").otherwise(F.concat(F.lit("detections, screening, "), F.array_join(there, ", ")))
+    return j.select("event", F.array_join(there, ",").alias("present"), F.array_join(gone, ",").alias("missing"), F.when(F.size(gone) == 0, reason).otherwise(F.concat(reason, F.lit("; missing: "), F.array_join(gone, ", "))).alias("reason"))
+
+
+def evidence_view(events: DataFrame, derived: DataFrame, relations: DataFrame, complexity_names: tuple[str, ...], factor_names: tuple[str, ...], factors: DataFrame) -> DataFrame:
+    """All evidence of events, one row each: (event, evidence_id, category, type, value, quality).
+
+    Observed rows (times, number, power), the stored derived ones (event,
+    evidence_id, category, type, value, quality), the relation to the scope, and
+    a row for every complexity field and priority factor: those that ``derived``
+    and ``factors`` (event, factor, signal) lack are there without a value and
+    with quality 0, so that what was not evaluated can be told from a no.
+    """
+    name = lambda *parts: F.concat_ws("_", *(F.lit(x) if isinstance(x, str) else x for x in parts))
+    event = F.col("event").cast("string")
+    row = lambda i, c, t, v, q: F.struct(i.alias("evidence_id"), F.lit(c).alias("category"), t.alias("type"), v.cast("string").alias("value"), q.cast("double").alias("quality"))
+    observed = events.select("event", F.explode(F.array(
+        row(name("OBSERVED", event, "chronology"), "thermal", F.lit("chronology"), F.concat_ws(" to ", F.date_format("first", "yyyy-MM-dd HH:mm"), F.date_format("last", "yyyy-MM-dd HH:mm")), F.lit(0.82)),
+        row(name("OBSERVED", event, "observations"), "thermal", F.lit("observation_count"), F.col("n"), F.lit(0.82)),
+        row(name("OBSERVED", event, "frp"), "thermal", F.lit("frp_summary"), F.format_string("%.2f", F.bround("max_frp", 2)), F.lit(0.82)),
+    )).alias("r")).select("event", "r.*")
+    placed = events.select("event").join(relations.select("event", "relation"), "event", "left")
+    scope = placed.select("event", row(name("DERIVED_SCOPE", event, "relation"), "scope", F.lit("scope_relation"), F.coalesce("relation", F.lit(RELATIONS[2])), F.lit(1.0)).alias("r")).select("event", "r.*")
+    have = derived.select("event", "evidence_id", "category", "type", F.col("value").cast("string").alias("value"), "quality")
+    dim = events.select("event", F.explode(F.array(*map(F.lit, complexity_names))).alias("type"))
+    gaps = dim.join(derived.where("category = 'fire-complexity'").select("event", "type"), ["event", "type"], "left_anti").select("event", row(name("DERIVED_COMPLEXITY", event, F.col("type")), "fire-complexity", F.col("type"), F.lit(None), F.lit(0.0)).alias("r")).select("event", "r.*")
+    ranked = events.select("event", F.explode(F.array(*map(F.lit, factor_names))).alias("factor")).join(factors.groupBy("event", "factor").agg(F.max("signal").alias("signal")), ["event", "factor"], "left")
+    weighed = ranked.select("event", row(name("DERIVED_PRIORITY", event, F.col("factor")), "investigation-priority", F.col("factor"), F.format_string("%.4f", "signal"), F.when(F.col("signal").isNull(), 0.0).otherwise(1.0)).alias("r")).select("event", "r.*")
+    out = observed.unionByName(have).unionByName(scope).unionByName(gaps).unionByName(weighed)
+    return out.withColumn("value", F.when(F.col("value") != "null", F.col("value")))
+
+
+def report_counts(events: DataFrame, pack: DataFrame, enough: DataFrame) -> DataFrame:
+    """(audit, identified, reviewed, noted, insufficient, not_run): counts of a report; ``enough`` (event, sufficiency), pack (audit, event, note, analysed)."""
+    total = events.agg(F.count("*").alias("identified"))
+    j = pack.join(events.select("event"), "event", "left_semi").join(enough.select("event", "sufficiency"), "event", "left")
+    a = j.groupBy("audit").agg(F.count("*").alias("reviewed"), F.count_if(F.col("note") != "").alias("noted"), F.count_if(F.col("sufficiency") == "INSUFFICIENT").alias("insufficient"), F.count_if(~F.col("analysed")).alias("not_run"))
+    return a.crossJoin(F.broadcast(total)).select("audit", "identified", "reviewed", "noted", "insufficient", "not_run")
+
+
+def review_days(scopes: DataFrame, members: DataFrame) -> DataFrame:
+    """(audit, day): days of a scope's review period on which anything was observed."""
+    days = scopes.select("audit", F.explode(F.sequence("start", "end", F.expr("INTERVAL 1 DAY"))).alias("day"))
+    return days.join(members.select(F.to_date("acq_date").alias("day")).distinct(), "day", "left_semi")
+
+
+def workload(events: DataFrame, observations: DataFrame, placed: DataFrame, manual_minutes: float, seconds_per_event: float) -> DataFrame:
+    """One row: observations, events, those in scope, minutes by hand and by machine for the latter, and the reduction in percent."""
+    one = observations.agg(F.count("*").alias("observations")).crossJoin(F.broadcast(events.agg(F.count("*").alias("events")))).crossJoin(F.broadcast(placed.agg(F.count_distinct("event").alias("in_scope"))))
+    by_hand, by_machine = F.col("in_scope") * manual_minutes, F.col("in_scope") * seconds_per_event / 60.0
+    ratio = lambda a, b: F.bround(F.col(a) / F.when(F.col(b) > 0, F.col(b)), 2)
+    return one.select("observations", "events", "in_scope", ratio("observations", "events").alias("observation_compression"), ratio("events", "in_scope").alias("scope_compression"), by_hand.alias("manual_minutes"), F.bround(by_machine, 2).alias("automated_minutes"), F.bround((1 - by_machine / F.when(by_hand > 0, by_hand)) * 100, 1).alias("percent_reduction"))
+
+
+def clean_detections(obs: DataFrame, land: DataFrame, bbox: tuple[float, float, float, float]) -> DataFrame:
+    """Detections in a box, on land (``land``: polygon, rings, box; joined over cells of half a degree) and not of low confidence."""
+    cell = lambda c: F.floor(c / 0.5).cast("int")
+    span = lambda a, b: F.explode(F.sequence(cell(a), cell(b)))
+    sides = land.select("rings", "box").withColumn("cx", span(F.col("box.west"), F.col("box.east"))).withColumn("cy", span(F.col("box.south"), F.col("box.north")))
+    o = obs.where(in_bbox(F.col("latitude"), F.col("longitude"), *map(F.lit, bbox)) & ~F.col("confidence").isin("l", "low"))
+    o = o.withColumn("cx", cell(F.col("longitude"))).withColumn("cy", cell(F.col("latitude")))
+    held = o.join(sides, ["cx", "cy"]).where(in_polygon(F.col("latitude"), F.col("longitude"), F.col("rings")))
+    return obs.join(held.select("obs_id").distinct(), "obs_id", "left_semi")
 
 
 def active_days(events: DataFrame) -> DataFrame:
@@ -152,8 +285,8 @@ def usable_evidence(evidence: DataFrame) -> DataFrame:
 def folded(old: DataFrame, new: DataFrame, categories: list[str]) -> DataFrame:
     """Evidence after an enrichment run: rows of the run's categories are replaced for the events it covers, others stay; running twice changes nothing."""
     done = new.select("event").distinct()
-    again = old.where(F.col("category").isin(categories)).join(done, "event", "left_semi").select("event", "evidence_id")
-    return old.join(again, ["event", "evidence_id"], "left_anti").unionByName(new, allowMissingColumns=True)
+    touched = F.coalesce(F.col("category").isin(categories), F.lit(False))
+    return old.where(~touched).unionByName(old.where(touched).join(done, "event", "left_anti")).unionByName(new, allowMissingColumns=True)
 
 
 def availability(events: DataFrame, evidence: DataFrame, categories: tuple[str, ...]) -> DataFrame:
@@ -161,3 +294,16 @@ def availability(events: DataFrame, evidence: DataFrame, categories: tuple[str,
     grid = events.select("event", F.explode(F.array(*map(F.lit, categories))).alias("category"))
     counts = evidence.groupBy("event", "category").agg(F.count("*").alias("rows"))
     return grid.join(counts, ["event", "category"], "left").select("event", "category", F.coalesce("rows", F.lit(0)).alias("rows"), (F.coalesce("rows", F.lit(0)) > 0).alias("available"))
+
+
+def roads_near(events: DataFrame, roads: DataFrame, km: float) -> DataFrame:
+    """(event, roads, nearest_km): road centres (road, la, lo) within a distance of each event that has any."""
+    met = near(events.select("event", "lat", "lon"), roads, km, ("lat", "lon"), ("la", "lo")).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("la"), F.col("lo")))
+    return met.where(F.col("km") <= km).groupBy("event").agg(F.count("*").alias("roads"), F.min("km").alias("nearest_km"))
+
+
+def status_table(events: DataFrame, bbox: tuple[float, float, float, float], since: str, state: str) -> DataFrame:
+    """Events of a box and state first seen since a day, with ``place`` by falling score, an unknown score as -1."""
+    rows = events.where(in_bbox(F.col("lat"), F.col("lon"), *map(F.lit, bbox)) & (F.col("first") >= F.lit(since).cast("timestamp")) & (F.col("state") == state))
+    # a table that is shown whole; its rows are those of one state in one box
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.coalesce("score", F.lit(-1))), "event")))

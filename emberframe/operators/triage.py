@@ -35,6 +35,15 @@ RULES = (
     Rule("RECENT_RAINFALL", "recent_rainfall_mm", ("<=", 2.0, 1), (">=", 20.0, 1)),
     Rule("NEARBY_DETECTIONS", "nearby_detection_count", (">=", 2.0, 1), None),
 )
+#: Bounds that a feature's values must keep; counts are whole.
+RANGES = {
+    "vegetated_fraction": (0.0, 1.0),
+    "urban_fraction": (0.0, 1.0),
+    "settlement_distance_km": (0.0, None),
+    "volcano_geothermal_distance_km": (0.0, None),
+    "recent_rainfall_mm": (0.0, None),
+    "nearby_detection_count": (0.0, None),
+}
 #: Points that one side needs.
 DECISIVE = 4
 STATES = ("LIKELY_FIRE", "AMBIGUOUS", "LIKELY_NON_FIRE")
@@ -64,6 +73,17 @@ def confidence_summary(obs: DataFrame) -> DataFrame:
     return obs.groupBy("event").agg(F.avg(score).alias("mean_confidence"), F.count(score).alias("scored"), F.count("*").alias("seen"))
 
 
+def _checked(feature: str) -> Column:
+    """A feature's value; one that isn't finite or out of its range fails the query."""
+    value = F.col(feature).cast("double")
+    low, high = RANGES.get(feature, (None, None))
+    bad = F.isnan(value) | (F.abs(value) == float("inf"))
+    bad = bad if low is None else bad | (value < low)
+    bad = bad if high is None else bad | (value > high)
+    bad = bad | (value != F.floor(value)) if feature.endswith("_count") else bad
+    return F.when(bad, F.raise_error(F.lit(f"{feature} is out of range")).cast("double")).otherwise(value)
+
+
 def rule_evaluations(facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Long table (event, nth, rule_id, feature, value, effect, points, evidence_id, quality); every rule has a row for every event.
 
@@ -75,14 +95,14 @@ def rule_evaluations(facts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
 
     rows = []
     for nth, rule in enumerate(rules):
-        value = F.col(rule.feature).cast("double") if rule.feature in facts.columns else F.lit(None).cast("double")
+        value = _checked(rule.feature) if rule.feature in facts.columns else F.lit(None).cast("double")
         effect = F.when(value.isNull(), MISSING).when(holds(value, rule.fire), FIRE).when(holds(value, rule.clear), CLEAR).otherwise(NEUTRAL)
         points = F.when(value.isNull(), 0).when(holds(value, rule.fire), rule.fire[2] if rule.fire else 0).when(holds(value, rule.clear), rule.clear[2] if rule.clear else 0).otherwise(0)
         rows.append(F.struct(F.lit(nth).alias("nth"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.feature).alias("feature"), value.alias("value"), effect.alias("effect"), points.alias("points")))
     long = facts.select("event", F.explode(F.array(*rows)).alias("r")).select("event", "r.*")
     there = F.col("value").isNotNull()
     return long.withColumns({
-        "evidence_id": F.when(there, F.concat_ws("_", F.lit("DERIVED_STAGE1"), F.col("event").cast("string"), "feature")),
+        "evidence_id": F.when(there, F.concat_ws("_", F.lit("DERIVED_STAGE1"), F.col("event").cast("string"), F.when(F.col("feature") == "mean_confidence", "confidence").otherwise(F.col("feature")))),
         "quality": F.when(there, F.when(F.col("feature") == "mean_confidence", 0.65).otherwise(0.82)),
     })
 
@@ -98,6 +118,27 @@ def decisions(evaluations: DataFrame) -> DataFrame:
     return a.withColumn("state", F.when(fire & ~clear, STATES[0]).when(clear & ~fire, STATES[2]).otherwise(STATES[1]))
 
 
+def metrics_of_evidence(evidence: DataFrame) -> DataFrame:
+    """Evidence rows as context metrics: those with an id, a source and a value; an unknown quality is 0.8, an unknown unit 'unknown'."""
+    ok = evidence.where((F.coalesce(F.trim("evidence_id"), F.lit("")) != "") & (F.coalesce(F.trim("source"), F.lit("")) != "") & F.col("value").isNotNull())
+    quality = F.coalesce("quality", F.lit(0.8))
+    checked = F.when(quality.between(0, 1), quality).otherwise(F.raise_error(F.lit("a quality is out of range")).cast("double"))
+    return ok.withColumns({"quality": checked, "unit": F.coalesce("unit", F.lit("unknown"))})
+
+
+def evidence_of_metrics(metrics: DataFrame, evaluated_at: str) -> DataFrame:
+    """Context metrics as evidence rows again; what lacks a time or a reference gets the evaluation's and the event's."""
+    return metrics.withColumns({"retrieved_at": F.coalesce("retrieved_at", F.lit(evaluated_at)), "raw_reference": F.coalesce("raw_reference", F.col("event").cast("string"))})
+
+
+#: Columns that differ from run to run.
+VOLATILE = ("retrieved_at",)
+
+
+def without_volatile(rows: DataFrame) -> DataFrame:
+    return rows.drop(*VOLATILE)
+
+
 def triage_summary(decided: DataFrame) -> DataFrame:
     """(state, events, queue, queue_compression): all three states, those without events too."""
     states = F.explode(F.array(*map(F.lit, STATES))).alias("state")

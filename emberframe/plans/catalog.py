@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.plans import context_queries, events_queries, review_queries, source_queries
+from emberframe.plans import context_queries, events_queries, register_queries, review_queries, source_queries
 
-_MODULES = (events_queries, context_queries, review_queries, source_queries)
+_MODULES = (events_queries, context_queries, review_queries, source_queries, register_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

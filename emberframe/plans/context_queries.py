@@ -28,13 +28,16 @@ placed AS (
   SELECT * FROM (SELECT ev.*, g.grid_id, row_number() OVER (PARTITION BY event ORDER BY (grid_lat - lat) * (grid_lat - lat) + (grid_lon - lon) * (grid_lon - lon), grid_lat, grid_lon) AS k FROM ev, grid g) WHERE k = 1)"""
 
 
-def _placed(spark, sf_dir):
+GRID_SQL = _GRID
+
+
+def placed(spark, sf_dir):
     return we.nearest_grid(lens.events(spark, sf_dir), lens.weather_hourly(spark, sf_dir))
 
 
 @query("nearest_grid", with_views("obs", "members", "ev", "weather", body=_GRID + " SELECT event, grid_id FROM placed"))
 def nearest_grid(spark, sf_dir):
-    return _placed(spark, sf_dir).select("event", "grid_id")
+    return placed(spark, sf_dir).select("event", "grid_id")
 
 
 def _spans_sql(years: int) -> str:
@@ -51,16 +54,21 @@ _ANOMALY = """, past AS (SELECT sp.event, sp.w, year, round(sum(precipitation),
 base AS (SELECT event, w, sum(round(rain * 1e4)::BIGINT) / count(*) / 1e4 AS base FROM past GROUP BY ALL),
 anomaly AS (SELECT sp.event, sp.w, CASE WHEN base <> 0 AND rainfall_mm IS NOT NULL THEN round_even((rainfall_mm - base) / base * 100, 1) END AS anomaly_pct FROM spans sp LEFT JOIN base USING (event, w) LEFT JOIN metrics USING (event, w) WHERE sp.year = 0)"""
 _YEARS = 2
+SPANS_SQL, METRICS_SQL = _spans_sql(0), _METRICS
 
 
 def _spans(spark, sf_dir, years: int = 0):
-    return we.windows(_placed(spark, sf_dir), years)
+    return we.windows(placed(spark, sf_dir), years)
 
 
 def _metrics(spark, sf_dir, spans):
     return we.window_metrics(spans, lens.weather_hourly(spark, sf_dir))
 
 
+def metrics(spark, sf_dir):
+    return _metrics(spark, sf_dir, _spans(spark, sf_dir))
+
+
 def _anomaly(spark, sf_dir, spans):
     hourly = lens.weather_hourly(spark, sf_dir).unionByName(lens.past_weather(spark, sf_dir), allowMissingColumns=True)
     return we.rainfall_anomaly(we.window_metrics(spans, hourly))
@@ -129,6 +137,10 @@ def regular_grid(spark, sf_dir):
     return we.regular_grid(bounds).withColumns({c: F.round(c, 9) for c in ("grid_lat", "grid_lon")})
 
 
+def variables(spark, sf_dir):
+    return we.variable_evidence(placed(spark, sf_dir), lens.weather_hourly(spark, sf_dir))
+
+
 @query("variable_evidence", with_views("obs", "members", "ev", "weather", body=_GRID + """,
 spans AS (SELECT event, grid_id, 'current' AS w, first AS s, greatest(last, first + INTERVAL 2 HOUR) AS e FROM placed UNION ALL SELECT event, grid_id, 'T-7d', first - INTERVAL 168 HOUR, first FROM placed),
 met AS MATERIALIZED (SELECT sp.event, sp.w, date_trunc('day', ts) AS d, h.* EXCLUDE (grid_id, grid_lat, grid_lon, ts), wind_speed_10m AS speed FROM spans sp JOIN weather h ON h.grid_id = sp.grid_id AND h.ts >= sp.s AND h.ts < sp.e),
@@ -139,7 +151,7 @@ SELECT event, w AS window, variable, CASE variable WHEN 'precipitation' THEN 'su
   CASE WHEN variable = 'wind_direction_10m' AND abs(sum(ys)) + abs(sum(xs)) > 1e-9 THEN round_even((degrees(atan2(sum(ys), sum(xs))) + 360) % 360, 1) END AS direction,
   CASE WHEN variable = 'precipitation' THEN date_diff('day', min(d), max(d)) + 1 - count(*) FILTER (WHERE round(total, 6) >= 1) END AS rain_free_days FROM daily GROUP BY event, w, variable"""))
 def variable_evidence(spark, sf_dir):
-    return we.variable_evidence(_placed(spark, sf_dir), lens.weather_hourly(spark, sf_dir))
+    return variables(spark, sf_dir)
 
 
 # Raster: rows and columns round halves to even in both engines.
@@ -191,7 +203,6 @@ def peat_footprint(spark, sf_dir):
     return rs.footprint_fraction(lens.events(spark, sf_dir), lens.raster(spark), rs.TRANSFORM)
 
 
-#: For the complexity of events, which takes their footprints' peat.
 FOOTPRINT_SQL = _FOOTPRINT
 
 
@@ -206,6 +217,9 @@ _CONTEXT = _DISTANCE + _FOOTPRINT + ", " + _circle(5, 6) + """, peat AS (SELECT
   FROM ev e JOIN footprints f USING (event) LEFT JOIN near5 n USING (event) JOIN distances USING (event))"""
 
 
+CONTEXT_SQL = _CONTEXT
+
+
 @query("peat_context", with_views("obs", "members", "ev", "raster", body=_CONTEXT + " SELECT * FROM peat"))
 def peat_context(spark, sf_dir):
     return rs.peat_context(lens.events(spark, sf_dir), lens.raster(spark), rs.TRANSFORM).withColumn("limitations", F.array_join("limitations", "; "))
@@ -243,22 +257,25 @@ sided AS (SELECT *, 'pre' AS position, epoch_us(first - acquired) / 3600e6 AS de
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event, sensor, position ORDER BY delta, cloud NULLS LAST, acquired, scene_id) AS k FROM sided) WHERE k = 1)"""
 
 
-def _selected(spark, sf_dir):
+SCENES_SQL = _SCENES
+
+
+def selected(spark, sf_dir):
     return sc.select_scenes(lens.events(spark, sf_dir), lens.scenes(spark, sf_dir))
 
 
-@query("scene_selection", with_views("obs", "members", "ev", "scenes", body=_SCENES + " SELECT event, sensor, position, scene_id, acquired, round(delta, 6) AS delta_hours, cloud FROM chosen"))
+@query("scene_selection", with_views("obs", "members", "ev", "scenes", body=_SCENES + " SELECT event, sensor, position, scene_id, acquired, round(delta, 6) AS delta_hours, cloud, CASE WHEN scene_id % 13 <> 0 THEN 'geometry' ELSE 'bbox' END AS footprint FROM chosen"))
 def scene_selection(spark, sf_dir):
-    return _selected(spark, sf_dir).drop("footprint")
+    return selected(spark, sf_dir)
 
 
 @query("scene_slots", with_views("obs", "members", "ev", "scenes", body=_SCENES + """ SELECT event, max(CASE WHEN sensor = 'S1' AND position = 'pre' THEN scene_id END) AS s1_pre, max(CASE WHEN sensor = 'S1' AND position = 'post' THEN scene_id END) AS s1_post,
   max(CASE WHEN sensor = 'S2' AND position = 'pre' THEN scene_id END) AS s2_pre, max(CASE WHEN sensor = 'S2' AND position = 'post' THEN scene_id END) AS s2_post FROM chosen GROUP BY event"""))
 def scene_slots(spark, sf_dir):
-    return sc.four_slots(_selected(spark, sf_dir))
+    return sc.four_slots(selected(spark, sf_dir))
 
 
 @query("image_requests", with_views("obs", "members", "ev", "scenes", body=_SCENES + """ SELECT event, sensor, position, scene_id, strftime(date_trunc('day', acquired), '%Y-%m-%dT%H:%M:%SZ') AS day, lower(sensor) || '-' || position AS asset,
   sha256(sensor || '|' || scene_id || '|' || strftime(date_trunc('day', acquired), '%Y-%m-%dT%H:%M:%SZ') || '|' || lower(sensor) || '-' || position) AS request_sha256 FROM chosen"""))
 def image_requests(spark, sf_dir):
-    return sc.request_plan(_selected(spark, sf_dir), lens.events(spark, sf_dir)).drop("west", "south", "east", "north")
+    return sc.request_plan(selected(spark, sf_dir), lens.events(spark, sf_dir)).drop("west", "south", "east", "north")

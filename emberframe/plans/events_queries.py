@@ -150,13 +150,14 @@ _FACTS = _NEARBY + """, facts AS (
 def _rule_sql() -> str:
     rows = []
     for nth, r in enumerate(triage.RULES):
+        name = "confidence" if r.feature == "mean_confidence" else r.feature
         v = f"{r.feature}::DOUBLE"
         fire = f"{v} {r.fire[0]} {r.fire[1]}" if r.fire else "false"
         clear = f"{v} {r.clear[0]} {r.clear[1]}" if r.clear else "false"
-        rows.append(f"""SELECT event, {nth} AS nth, '{r.rule_id}' AS rule_id, {v} AS value,
+        rows.append(f"""SELECT event, {nth} AS nth, '{r.rule_id}' AS rule_id, '{r.feature}' AS feature, {v} AS value,
   CASE WHEN {v} IS NULL THEN 'NOT_EVALUATED' WHEN {fire} THEN 'SUPPORTS_FIRE' WHEN {clear} THEN 'SUPPORTS_NON_FIRE' ELSE 'NEUTRAL' END AS effect,
   CASE WHEN {v} IS NULL THEN 0 WHEN {fire} THEN {r.fire[2] if r.fire else 0} WHEN {clear} THEN {r.clear[2] if r.clear else 0} ELSE 0 END AS points,
-  CASE WHEN {v} IS NOT NULL THEN 'DERIVED_STAGE1_' || event || '_{r.feature}' END AS evidence_id, CASE WHEN {v} IS NOT NULL THEN {0.65 if r.feature == "mean_confidence" else 0.82}::DOUBLE END AS quality FROM facts""")
+  CASE WHEN {v} IS NOT NULL THEN 'DERIVED_STAGE1_' || event || '_{name}' END AS evidence_id, CASE WHEN {v} IS NOT NULL THEN {0.65 if r.feature == "mean_confidence" else 0.82}::DOUBLE END AS quality FROM facts""")
     return ", rules AS (" + " UNION ALL ".join(rows) + ")"
 
 
@@ -164,16 +165,21 @@ _DECIDED = """, scores AS (
   SELECT event, sum(CASE WHEN effect = 'SUPPORTS_FIRE' THEN points ELSE 0 END)::BIGINT AS fire_score, sum(CASE WHEN effect = 'SUPPORTS_NON_FIRE' THEN points ELSE 0 END)::BIGINT AS non_fire_score,
     coalesce(string_agg(rule_id, ',' ORDER BY nth) FILTER (WHERE points > 0), '') AS decisive_rules, coalesce(string_agg(rule_id, ',' ORDER BY nth) FILTER (WHERE effect = 'NOT_EVALUATED'), '') AS missing_rules FROM rules GROUP BY event),
 decided AS (SELECT *, CASE WHEN fire_score >= 4 AND non_fire_score < 4 THEN 'LIKELY_FIRE' WHEN non_fire_score >= 4 AND fire_score < 4 THEN 'LIKELY_NON_FIRE' ELSE 'AMBIGUOUS' END AS state FROM scores)"""
-DECIDED_SQL = _FACTS + _rule_sql() + _DECIDED
+RULES_SQL = _FACTS + _rule_sql()
+DECIDED_SQL = RULES_SQL + _DECIDED
 
 
-@query("triage_rules", with_views("obs", "members", "ev", body=_FACTS + _rule_sql() + " SELECT * FROM rules"))
+def rules(spark, sf_dir):
+    return triage.rule_evaluations(_facts(spark, sf_dir))
+
+
+@query("triage_rules", with_views("obs", "members", "ev", body=RULES_SQL + " SELECT * FROM rules"))
 def triage_rules(spark, sf_dir):
-    return triage.rule_evaluations(_facts(spark, sf_dir)).drop("feature")
+    return rules(spark, sf_dir)
 
 
 def decided(spark, sf_dir):
-    return triage.decisions(triage.rule_evaluations(_facts(spark, sf_dir)))
+    return triage.decisions(rules(spark, sf_dir))
 
 
 @query("triage_decisions", with_views("obs", "members", "ev", body=DECIDED_SQL + " SELECT * FROM decided"))

@@ -50,7 +50,7 @@ def nearby_and_recurrence(spark, sf_dir):
     return graph.nearby_and_recurrence(lens.events(spark, sf_dir))
 
 
-def _wind(spark, sf_dir):
+def wind(spark, sf_dir):
     e = F.col("event")
     return lens.events(spark, sf_dir).where(e % 5 != 0).select("event", ((e * 37) % 360).cast("double").alias("wind_from"), F.when(e % 7 != 0, ((e % 4) * 5).cast("double")).alias("wind_kmh"))
 
@@ -65,10 +65,10 @@ def _recurrence(spark, sf_dir):
     return lens.events(spark, sf_dir).where(e % 6 == 0).select((e + 20).alias("a"), e.alias("b"), (e % 12 == 0).alias("recurrence"))
 
 
-def _edges(spark, sf_dir):
+def edges(spark, sf_dir):
     e = lens.events(spark, sf_dir)
     peat = e.where(F.col("event") % 2 == 0).select(F.col("event").alias("source"), (F.col("event") + 10).alias("target"), ((F.col("event") % 10) / 10.0).alias("peat_fraction"))
-    return graph.edges(e, _wind(spark, sf_dir), peat, _episodes(spark, sf_dir), _recurrence(spark, sf_dir))
+    return graph.edges(e, wind(spark, sf_dir), peat, _episodes(spark, sf_dir), _recurrence(spark, sf_dir))
 
 
 _SAID = ("GEOGRAPHIC_DISTANCE", "true"), ("ELAPSED_TIME", "true"), ("PROPAGATION_COMPATIBILITY", "CASE WHEN compatibility IN ('COMPATIBLE', 'WEAK') THEN true WHEN compatibility = 'INCOMPATIBLE' THEN false END"), ("EVENT_BUFFER_OVERLAP", "buffers_overlap"), ("WIND_ALIGNMENT", "alignment >= 0"), ("DIRECTIONAL_COMPATIBILITY", "downwind"), ("PEAT_CORRIDOR_FRACTION", "peat_fraction >= 0.5"), ("SHARED_ENVIRONMENTAL_EPISODE", "shared_episode"), ("HISTORICAL_RECURRENCE", "recurrence")
@@ -102,36 +102,36 @@ edges AS (SELECT *, CASE WHEN ordering = 'OVERLAPPING' AND NOT buffers_overlap A
 @query("event_edges", with_views("obs", "members", "ev", body=_PAIRS + _EDGES + f""" SELECT source, target, round(distance_km, 6) AS distance_km, gap_hours, ordering, round(bearing, 6) AS bearing, alignment, downwind, buffers_overlap, peat_fraction, shared_episode, recurrence, round(speed_kmh, 6) AS speed_kmh,
   CASE WHEN elapsed IS NOT NULL THEN down END AS heading, elapsed * 3 AS half_length, elapsed * 2.5 AS half_width, elapsed * 2 AS shift, inside, compatibility, state, {_told('true')} AS supporting, {_told('false')} AS contradicting FROM edges"""))
 def event_edges(spark, sf_dir):
-    e = _edges(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("distance_km", "speed_kmh", "bearing")})
+    e = edges(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("distance_km", "speed_kmh", "bearing")})
     return e.withColumns({"supporting": F.array_join("supporting", ","), "contradicting": F.array_join("contradicting", ",")})
 
 
 @query("edge_explanations", with_views("obs", "members", "ev", body=_PAIRS + _EDGES + """ SELECT 'DERIVED_GRAPH_' || source || '_' || target AS evidence_id, source AS event, 'graph' AS category, state AS type, CASE state WHEN 'PROPAGATION_COMPATIBLE' THEN 'order and speed fit spread over the surface' WHEN 'PROPAGATION_WEAK' THEN 'spread is possible, the evidence for it weak'
   WHEN 'RELATED_POSSIBLE' THEN 'the events share surroundings, not a path' WHEN 'INDEPENDENT_PLAUSIBLE' THEN 'nothing ties the events together' ELSE 'what is known does not settle it' END AS observation, round(distance_km, 3) AS value FROM edges"""))
 def edge_explanations(spark, sf_dir):
-    return graph.explanations(_edges(spark, sf_dir))
+    return graph.explanations(edges(spark, sf_dir))
 
 
 @query("incident_edges", with_views("obs", "members", "ev", body=_PAIRS + _EDGES + " SELECT source AS event, source, target, true AS outgoing FROM edges WHERE source % 20 = 0 UNION ALL SELECT target, source, target, false FROM edges WHERE target % 20 = 0"))
 def incident_edges(spark, sf_dir):
-    return graph.incident(_edges(spark, sf_dir), _selection(spark, sf_dir))
+    return graph.incident(edges(spark, sf_dir), selection(spark, sf_dir))
 
 
 @query("edges_by_source", with_views("obs", "members", "ev", body=_PAIRS + _EDGES + " SELECT source, count(*) AS n, string_agg(target::VARCHAR, ',' ORDER BY target) AS targets FROM edges GROUP BY source"))
 def edges_by_source(spark, sf_dir):
-    return graph.grouped_by_source(_edges(spark, sf_dir)).withColumn("targets", F.array_join("targets", ","))
+    return graph.grouped_by_source(edges(spark, sf_dir)).withColumn("targets", F.array_join("targets", ","))
 
 
 @query("unresolved_relationships", with_views("obs", "members", "ev", body=_PAIRS + _EDGES + """, ends AS (SELECT source AS event, state FROM edges UNION ALL SELECT target, state FROM edges)
 SELECT ev.event, count(state) AS edges, count(*) FILTER (WHERE state IN ('UNRESOLVED', 'RELATED_POSSIBLE')) / greatest(count(state), 1) AS signal FROM ev LEFT JOIN ends USING (event) GROUP BY ev.event"""))
 def unresolved_relationships(spark, sf_dir):
-    return graph.unresolved_signal(_edges(spark, sf_dir), lens.events(spark, sf_dir))
+    return graph.unresolved_signal(edges(spark, sf_dir), lens.events(spark, sf_dir))
 
 
 @query("progression_results", with_views("obs", "members", "ev", body=_PAIRS + _EDGES + """ SELECT source, count(inside) AS evaluated, count(*) FILTER (WHERE NOT inside) AS outside, coalesce(string_agg(target::VARCHAR, ',' ORDER BY target) FILTER (WHERE NOT inside), '') AS outside_targets,
   CASE WHEN count(inside) = 0 THEN 'NOT_EVALUATED' WHEN count(*) FILTER (WHERE NOT inside) = 0 THEN 'COMPATIBLE' WHEN count(*) FILTER (WHERE NOT inside) < count(inside) THEN 'PARTIAL' ELSE 'INCOMPATIBLE' END AS result FROM edges GROUP BY source"""))
 def progression_results(spark, sf_dir):
-    return graph.progression(_edges(spark, sf_dir)).withColumn("outside_targets", F.array_join("outside_targets", ","))
+    return graph.progression(edges(spark, sf_dir)).withColumn("outside_targets", F.array_join("outside_targets", ","))
 
 
 _CONTEXT = f""", sel AS (SELECT event, lat, lon FROM ev WHERE event % 20 = 0),
@@ -139,23 +139,25 @@ ctx AS (SELECT event, s AS nearest_selected, d AS distance_km FROM (SELECT e.eve
   FROM ev e JOIN sel s ON abs(e.lat - s.lat) <= 0.5 WHERE e.event % 20 <> 0) WHERE k = 1 AND d <= 50)"""
 
 
-def _selection(spark, sf_dir):
+def selection(spark, sf_dir):
     """The selection of an investigation map: the events of every other site's first period."""
     return lens.events(spark, sf_dir).where(F.col("event") % 20 == 0).select("event")
 
 
 @query("selection_context", with_views("obs", "members", "ev", body=_CONTEXT + " SELECT event, nearest_selected, round(distance_km, 6) AS distance_km FROM ctx"))
 def selection_context(spark, sf_dir):
-    return graph.context_of_selection(lens.events(spark, sf_dir), _selection(spark, sf_dir)).withColumn("distance_km", F.round("distance_km", 6))
+    return graph.context_of_selection(lens.events(spark, sf_dir), selection(spark, sf_dir)).withColumn("distance_km", F.round("distance_km", 6))
 
 
 @query("investigation_map", with_views("obs", "members", "ev", body=_PAIRS + _EDGES + _CONTEXT + """, real AS (SELECT least(source, target) AS a, greatest(source, target) AS b, distance_km AS r, state FROM edges)
 SELECT a, b, round(r, 6) AS distance_km, state, true AS computed FROM real WHERE a % 20 = 0 AND b % 20 = 0
 UNION ALL SELECT a, b, round(coalesce(r, distance_km), 6), coalesce(state, 'DISTANCE_ONLY'), state IS NOT NULL FROM (SELECT least(event, nearest_selected) AS a, greatest(event, nearest_selected) AS b, distance_km FROM ctx) LEFT JOIN real USING (a, b)"""))
 def investigation_map(spark, sf_dir):
-    return graph.map_edges(_edges(spark, sf_dir), lens.events(spark, sf_dir), _selection(spark, sf_dir)).withColumn("distance_km", F.round("distance_km", 6))
+    return graph.map_edges(edges(spark, sf_dir), lens.events(spark, sf_dir), selection(spark, sf_dir)).withColumn("distance_km", F.round("distance_km", 6))
 
 
+EDGES_SQL, CONTEXT_SQL = _PAIRS + _EDGES, _CONTEXT
+
 # Movement and complexity.
 _SEGMENTS = f""", steps AS (SELECT *, lag(latitude) OVER w AS plat, lag(longitude) OVER w AS plon FROM members WINDOW w AS (PARTITION BY event ORDER BY ts, obs_id)),
 seg AS (SELECT event, {haversine_sql('plat', 'plon', 'latitude', 'longitude')} AS d, atan2(sin(radians(longitude - plon)) * cos(radians(latitude)), cos(radians(plat)) * sin(radians(latitude)) - sin(radians(plat)) * cos(radians(latitude)) * cos(radians(longitude - plon))) AS th FROM steps WHERE plat IS NOT NULL),
@@ -165,7 +167,7 @@ moves AS (SELECT event, sum(d) AS path_km, CASE WHEN sum(d) > 0 THEN sqrt(pow(su
 
 @query("event_movement", with_views("obs", "members", body=_SEGMENTS + f""" SELECT event, round(coalesce(path_km, 0), 5) AS path_km, round({haversine_sql('la', 'lo', 'lb', 'lp')}, 5) AS net_km, round(consistency, 5) AS consistency, round(wind_alignment, 5) AS wind_alignment FROM ends LEFT JOIN moves USING (event)"""))
 def event_movement(spark, sf_dir):
-    m = complexity.movement(lens.members(spark, sf_dir), _wind(spark, sf_dir))
+    m = complexity.movement(lens.members(spark, sf_dir), wind(spark, sf_dir))
     return m.select("event", *(F.round(c, 5).alias(c) for c in ("path_km", "net_km", "consistency", "wind_alignment")))
 
 
@@ -183,15 +185,15 @@ outside AS (SELECT m.event, count(inside) AS evaluated, count(*) FILTER (WHERE N
 
 @query("unexplained_detections", with_views("obs", "members", body=_UNEXPLAINED + " SELECT * FROM outside"))
 def unexplained_detections(spark, sf_dir):
-    return complexity.unexplained(lens.members(spark, sf_dir), _wind(spark, sf_dir))
+    return complexity.unexplained(lens.members(spark, sf_dir), wind(spark, sf_dir))
 
 
 def _complexity(spark, sf_dir):
-    m, e, wind = lens.members(spark, sf_dir), lens.events(spark, sf_dir), _wind(spark, sf_dir)
-    u, seen = complexity.unexplained(m, wind), F.col("evaluated") > 0
+    m, e, blown = lens.members(spark, sf_dir), lens.events(spark, sf_dir), wind(spark, sf_dir)
+    u, seen = complexity.unexplained(m, blown), F.col("evaluated") > 0
     facts = (
         e.select("event", F.col("hours").alias("duration"), F.col("n").alias("observation_count"), F.col("extent_km").alias("spatial_extent"))
-        .join(complexity.movement(m, wind).select("event", F.col("net_km").alias("centroid_movement"), F.col("consistency").alias("directional_consistency"), "wind_alignment"), "event")
+        .join(complexity.movement(m, blown).select("event", F.col("net_km").alias("centroid_movement"), F.col("consistency").alias("directional_consistency"), "wind_alignment"), "event")
         .join(complexity.power_variation(m).select("event", F.col("frp_cv").alias("frp_variability")), "event")
         .join(ev.lobes(m).groupBy("event").agg(F.count("*").alias("distinct_thermal_lobes")), "event")
         .join(rs.footprint_fraction(e, lens.raster(spark), rs.TRANSFORM).select("event", F.coalesce("peat_fraction", F.when(F.col("any_peat"), 1.0)).alias("peat_overlap")), "event")
@@ -206,6 +208,7 @@ lobe_xy AS (SELECT m.*, radians(longitude) * 6371.0088::DOUBLE * cos(radians(ref
 lobe_links AS (SELECT a.obs_id AS v, b.obs_id AS w FROM lobe_xy a JOIN lobe_xy b ON a.event = b.event AND a.obs_id <> b.obs_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1),
 lobe_reach(root, v) AS (SELECT obs_id, obs_id FROM members UNION SELECT r.root, e.w FROM lobe_reach r JOIN lobe_links e ON e.v = r.v WHERE r.root < e.w),
 lobe_count AS (SELECT event, count(DISTINCT lobe) AS lobes FROM members JOIN (SELECT v AS obs_id, min(root) AS lobe FROM lobe_reach GROUP BY v) USING (obs_id) GROUP BY event)"""
+LOBES_SQL = _LOBES
 _NEAR = f""", around AS (SELECT a.event, count(b.event) FILTER (WHERE {_GAP} <= 72) AS nearby, count(b.event) FILTER (WHERE b.last < a.first AND {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 2) AS earlier
   FROM ev a LEFT JOIN ev b ON a.event <> b.event AND abs(a.lat - b.lat) <= 0.1 AND {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 10 GROUP BY a.event)"""
 _VALUES = _SEGMENTS + _UNEXPLAINED + _LOBES + context_queries.FOOTPRINT_SQL + _NEAR + f""", power AS (SELECT event, CASE WHEN count(frp) >= 2 THEN CASE WHEN avg(frp) = 0 THEN 0 ELSE stddev_pop(frp) / avg(frp) END END AS cv FROM members GROUP BY event),
@@ -239,7 +242,7 @@ def _factors(spark, sf_dir):
     one = d.select("event", F.lit("validity").alias("factor"), lab("event_validity", F.col("state")).alias("signal"), F.lit(1.0).alias("quality"))
     two = d.select("event", F.lit("evidence_sufficiency").alias("factor"), lab("evidence_sufficiency", suff).alias("signal"), F.lit(1.0).alias("quality"))
     three = d.where("event % 4 <> 0").select("event", F.lit("peat").alias("factor"), ((F.col("event") % 5) / 4.0).alias("signal"), F.lit(0.8).alias("quality"))
-    four = graph.unresolved_signal(_edges(spark, sf_dir), lens.events(spark, sf_dir)).select("event", F.lit("unresolved_relationships").alias("factor"), "signal", F.lit(0.8).alias("quality"))
+    four = graph.unresolved_signal(edges(spark, sf_dir), lens.events(spark, sf_dir)).select("event", F.lit("unresolved_relationships").alias("factor"), "signal", F.lit(0.8).alias("quality"))
     return one.union(two).union(three).union(four)
 
 
@@ -252,35 +255,38 @@ have AS (SELECT event, 'event_validity' AS factor, CASE state WHEN 'LIKELY_FIRE'
 dim AS (SELECT * FROM (VALUES """ + ", ".join(f"('{f}', {w}::DOUBLE)" for f, w in priority.WEIGHTS.items()) + """) t(factor, weight)),
 parts AS (SELECT ev.event, d.factor, weight, signal, quality, coalesce(weight * signal * quality, 0) AS contribution, CASE WHEN signal IS NULL THEN 'NOT_EVALUATED' ELSE 'EVALUATED' END AS status FROM ev CROSS JOIN dim d LEFT JOIN have h ON h.event = ev.event AND h.factor = d.factor),
 prio AS (SELECT event, sum(contribution) AS raw, sum(CASE WHEN status = 'EVALUATED' THEN weight ELSE 0 END) / 100 AS coverage FROM parts GROUP BY event),
-banded AS (SELECT event, round(raw, 3) AS score, coverage, CASE WHEN coverage = 0 THEN 'MEDIUM' WHEN raw >= 59.99995 THEN 'URGENT' WHEN raw >= 19.99995 THEN 'HIGH' WHEN raw >= 11.99995 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM prio),
+banded AS (SELECT event, raw, coverage, CASE WHEN coverage = 0 THEN 'MEDIUM' WHEN raw >= 59.99995 THEN 'URGENT' WHEN raw >= 19.99995 THEN 'HIGH' WHEN raw >= 11.99995 THEN 'MEDIUM' ELSE 'LOW' END AS priority FROM prio),
 routed AS (SELECT b.*, s.state, s.sufficiency, CASE WHEN priority IN ('HIGH', 'URGENT') THEN 'HUMAN_REVIEW' WHEN state = 'AMBIGUOUS' THEN 'REVIEW_RECOMMENDED' ELSE 'SCREENED' END AS route FROM banded b JOIN suff s USING (event))"""
 
 
+PRIORITY_SQL = _PRIORITY
+
+
 @query("priority_components", with_views("obs", "members", "ev", body=_PRIORITY + " SELECT event, factor, weight, signal, quality, contribution, status FROM parts"))
 def priority_components(spark, sf_dir):
     return priority.components(lens.events(spark, sf_dir), _factors(spark, sf_dir))
 
 
-def _routed(spark, sf_dir):
+def routed(spark, sf_dir):
     p = priority.priorities(priority.components(lens.events(spark, sf_dir), _factors(spark, sf_dir)))
     suff = F.when(F.col("event") % 3 == 0, "SUFFICIENT").when(F.col("event") % 3 == 1, "PARTIAL").otherwise("INSUFFICIENT")
     return priority.routed(p.join(events_queries.decided(spark, sf_dir).select("event", "state"), "event").withColumn("sufficiency", suff))
 
 
-@query("review_routing", with_views("obs", "members", "ev", body=_PRIORITY + " SELECT event, coverage, priority, state, sufficiency, route FROM routed"))
+@query("review_routing", with_views("obs", "members", "ev", body=_PRIORITY + """ SELECT event, round_even(raw, 4) AS score, coverage, priority, state, sufficiency, route, CASE WHEN route = 'HUMAN_REVIEW' THEN 'priority ' || priority WHEN state = 'AMBIGUOUS' THEN 'ambiguous triage' ELSE 'no reason for review' END AS route_reason FROM routed"""))
 def review_routing(spark, sf_dir):
-    return _routed(spark, sf_dir).drop("route_reason", "score")
+    return routed(spark, sf_dir)
 
 
 @query("routing_distributions", with_views("obs", "members", "ev", body=_PRIORITY + """, long AS (SELECT 'priority' AS measure, priority AS value FROM routed UNION ALL SELECT 'route', route FROM routed UNION ALL SELECT 'state', state FROM routed UNION ALL SELECT 'sufficiency', sufficiency FROM routed)
-SELECT measure, value, count(*) AS events FROM long GROUP BY measure, value"""))
+SELECT measure, value, count(*) AS events, round_even(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM routed), 2) AS percent FROM long GROUP BY measure, value"""))
 def routing_distributions(spark, sf_dir):
-    return priority.routing_distributions(_routed(spark, sf_dir)).drop("percent")
+    return priority.routing_distributions(routed(spark, sf_dir))
 
 
-@query("factor_totals", with_views("obs", "members", "ev", body=_PRIORITY + " SELECT factor, count(signal) AS evaluated, round(sum(contribution), 3) AS contribution FROM parts GROUP BY factor"))
+@query("factor_totals", with_views("obs", "members", "ev", body=_PRIORITY + " SELECT factor, count(signal) AS evaluated, round(sum(contribution), 3) AS contribution, round(sum(contribution) / (SELECT sum(contribution) FROM parts), 5) AS share FROM parts GROUP BY factor"))
 def factor_totals(spark, sf_dir):
-    return priority.component_totals(priority.components(lens.events(spark, sf_dir), _factors(spark, sf_dir))).select("factor", "evaluated", F.round("contribution", 3).alias("contribution"))
+    return priority.component_totals(priority.components(lens.events(spark, sf_dir), _factors(spark, sf_dir))).select("factor", "evaluated", F.round("contribution", 3).alias("contribution"), F.round("share", 5).alias("share"))
 
 
 # Register.
@@ -290,6 +296,9 @@ _RELATION = """, placed AS (SELECT audit, event, n, first, last, CASE WHEN e.lon
 scoped AS (SELECT * FROM placed WHERE relation <> 'EXTERNAL_CONTEXT' OR buffered)"""
 
 
+RELATION_SQL = _RELATION
+
+
 @query("scope_relations", with_views("obs", "members", "ev", "scopes", body=_RELATION + " SELECT audit, event, relation FROM scoped"))
 def scope_relations(spark, sf_dir):
     return register.in_scopes(lens.events(spark, sf_dir), lens.scopes(spark, sf_dir)).select("audit", "event", "relation")
@@ -313,10 +322,10 @@ def scope_problems(spark, sf_dir):
     return register.scope_problems(broken)
 
 
-@query("register_page", with_views("obs", "members", "ev", body=" SELECT event, first, last, n, max_frp FROM ev WHERE last >= TIMESTAMP '2024-01-06' AND first <= TIMESTAMP '2024-01-20' AND max_frp >= 50 ORDER BY max_frp DESC NULLS LAST, event LIMIT 500 OFFSET 10"))
+@query("register_page", with_views("obs", "members", "ev", body=" SELECT event, first, last, n, max_frp, count(*) OVER () AS total FROM ev WHERE last >= TIMESTAMP '2024-01-06' AND first <= TIMESTAMP '2024-01-20' AND max_frp >= 50 ORDER BY max_frp DESC NULLS LAST, event LIMIT 500 OFFSET 10"))
 def register_page(spark, sf_dir):
     rows = register.filtered(lens.events(spark, sf_dir), since="2024-01-06", until="2024-01-20", min_frp=50.0)
-    return register.page(rows, "max_frp", descending=True, offset=10).select("event", "first", "last", "n", "max_frp")
+    return register.page(rows, "max_frp", descending=True, offset=10).select("event", "first", "last", "n", "max_frp", "total")
 
 
 @query("active_days", with_views("obs", "members", "ev", body=" SELECT d::DATE AS day, count(*) AS events, sum(n)::BIGINT AS observations FROM (SELECT n, unnest(generate_series(first::DATE::TIMESTAMP, last::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM ev) GROUP BY d"))
@@ -324,11 +333,11 @@ def active_days(spark, sf_dir):
     return register.active_days(lens.events(spark, sf_dir))
 
 
-@query("progression_chain", with_views("obs", "members", "ev", "scopes", body=_RELATION + _PRIORITY + """ SELECT (SELECT count(*) FROM obs) AS raw, (SELECT count(*) FROM members) AS qualified, (SELECT count(*) FROM ev) AS events, (SELECT count(DISTINCT event) FROM scoped) AS in_scope, (SELECT count(*) FROM routed WHERE route <> 'SCREENED') AS for_review"""))
+@query("progression_chain", with_views("obs", "members", "ev", "scopes", body=_RELATION + _PRIORITY + """ SELECT (SELECT count(*) FROM obs) AS raw, (SELECT count(*) FROM members) AS qualified, (SELECT count(*) FROM ev) AS events, (SELECT count(DISTINCT event) FROM scoped) AS in_scope, (SELECT count(*) FROM routed WHERE route <> 'SCREENED') AS for_review, round_even((SELECT count(*) FROM members) / (SELECT count(*) FROM ev), 4) AS observations_per_event, round_even((SELECT count(*) FROM ev) / nullif((SELECT count(DISTINCT event) FROM scoped), 0), 4) AS scope_compression,
+  round_even((SELECT count(*) FROM ev) / nullif((SELECT count(*) FROM routed WHERE route <> 'SCREENED'), 0), 4) AS review_compression"""))
 def progression_chain(spark, sf_dir):
     e = lens.events(spark, sf_dir)
-    out = register.progression_chain(lens.observations(spark, sf_dir), e, register.in_scopes(e, lens.scopes(spark, sf_dir)), _routed(spark, sf_dir))
-    return out.select("raw", "qualified", "events", "in_scope", "for_review")
+    return register.progression_chain(lens.observations(spark, sf_dir), e, register.in_scopes(e, lens.scopes(spark, sf_dir)), routed(spark, sf_dir))
 
 
 def _log(spark, sf_dir):
@@ -361,7 +370,7 @@ SELECT role, hypothesis, 'score out of range' AS problem FROM f WHERE score NOT
 UNION ALL SELECT role, hypothesis, 'found twice' FROM f GROUP BY role, hypothesis HAVING count(*) > 1
 UNION ALL SELECT r.role, h.h, 'not found' FROM (SELECT DISTINCT role FROM f) r, (VALUES ('0'), ('1'), ('2'), ('3'), ('4'), ('5')) h(h) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.role = r.role AND f.hypothesis = h.h)""")
 def finding_problems(spark, sf_dir):
-    ids = lens.table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.concat(F.lit("E"), F.col("item_id").cast("string")).alias("evidence_id"))
+    ids = lens.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("E"), (F.col("item_id") % 10).cast("string")).alias("evidence_id"))
     hyp = lens.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("hypothesis")).union(spark.sql("select '5'"))
     return assess.finding_problems(_findings(spark, sf_dir), ids, hyp)
 
@@ -425,13 +434,29 @@ def display_stretch(spark, sf_dir):
     return pixels.display_stretch(_pixels(spark, sf_dir))
 
 
-@query("raster_rectangles", with_views("raster", body=""", b AS (SELECT row // 4 AS row, col // 4 AS col FROM raster GROUP BY 1, 2 HAVING bool_or(value IN (1, 2))),
+def _burned(spark, sf_dir):
+    """Detections as a raster: cells of a hundredth of a degree, peat class 1 where something burned, 2 where it did often."""
+    cell = lambda c, o: F.floor((F.col(c) - o) * 100 + 1e-6).cast("long")
+    return lens.observations(spark, sf_dir).groupBy(cell("latitude", -5.0).alias("row"), cell("longitude", 115.0).alias("col")).agg(F.when(F.count("*") > 3, 2).otherwise(1).alias("value"))
+
+
+_BURNED = """, cells AS (SELECT floor((latitude + 5.0) * 100 + 1e-6)::BIGINT AS row, floor((longitude - 115.0) * 100 + 1e-6)::BIGINT AS col, CASE WHEN count(*) > 3 THEN 2 ELSE 1 END AS value FROM obs GROUP BY 1, 2)"""
+
+
+@query("raster_rectangles", with_views("obs", body=_BURNED + """, b AS (SELECT row // 4 AS row, col // 4 AS col FROM cells GROUP BY 1, 2 HAVING bool_or(value IN (1, 2))),
 i AS (SELECT row, col, col - row_number() OVER (PARTITION BY row ORDER BY col) AS g FROM b) SELECT row, min(col) AS from_col, max(col) AS to_col FROM i GROUP BY row, g"""))
 def raster_rectangles(spark, sf_dir):
-    return rs.rectangles(rs.downsampled(lens.raster(spark)))
+    return rs.rectangles(rs.downsampled(_burned(spark, sf_dir)))
+
+
+@query("raster_crop", with_views("obs", body=_BURNED + " SELECT row - 60 AS row, col - 20 AS col, value FROM cells WHERE row BETWEEN 60 AND 120 AND col BETWEEN 20 AND 80"))
+def raster_crop(spark, sf_dir):
+    t = rs.Transform(0.0, 0.0, 1.0, 1000, 1000)  # cells counted southward and eastward from (0, 0)
+    return rs.crop(_burned(spark, sf_dir), t, 30, -110, 70, -70, 10.0)[0]
 
 
-@query("plain_prose", """SELECT doc_id, trim(replace(regexp_replace(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\s[—–-]\\s', ', ', 'g'), '\\s+', ' ', 'g'), '—', ': ')) AS prose FROM documents WHERE NOT regexp_matches(text, '\\s[—–-]\\s')""")
+@query("plain_prose", r"""WITH a AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\s(?:—|–|--)\s(\p{Lu})', '. \1', 'g'), '\s(?:—|–|--)\s', ', ', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(\d)—(\d)', '\1–\2', 'g'), '(\d)—(\d)', '\1–\2', 'g') AS t FROM b) SELECT doc_id, regexp_replace(trim(regexp_replace(replace(t, '—', ': '), '\s+', ' ', 'g')), '[ :,]+$', '') AS prose FROM c""")
 def plain_prose(spark, sf_dir):
     d = lens.table(spark, sf_dir, "documents")
     return d.select("doc_id", plain_text(F.col("text")).alias("prose"))
@@ -440,7 +465,7 @@ def plain_prose(spark, sf_dir):
 @query("envelope_rings", with_views("obs", "members", "ev", body=""", r AS (SELECT event, (hours * 5 + hours) / 2 AS a, (hours * 5 - hours) / 2 AS shift FROM ev WHERE event % 5 <> 0), q AS (SELECT *, CASE WHEN a + shift > 5 THEN 5 / (a + shift) ELSE 1 END AS scale FROM r)
 SELECT event, 49 AS positions, round(scale, 6) AS scale, round(a * scale, 6) AS half_length, 65 AS circle_positions FROM q"""))
 def envelope_rings(spark, sf_dir):
-    e = lens.events(spark, sf_dir).join(_wind(spark, sf_dir), "event")
+    e = lens.events(spark, sf_dir).join(wind(spark, sf_dir), "event")
     shape = geo.envelope(F.col("lat"), F.col("lon"), F.col("hours"), F.col("wind_from"))
     small = geo.capped(shape)
     return e.select("event", F.size(geo.envelope_ring(shape)).alias("positions"), F.round(small["scale"], 6).alias("scale"), F.round(small["half_length"], 6).alias("half_length"), F.size(geo.circle(F.col("lat"), F.col("lon"), F.lit(10.0))).alias("circle_positions"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.functions.evidence import observed_at
@@ -35,9 +35,25 @@ def within_day(rows: DataFrame, now) -> DataFrame:
     return rows.where(F.col("ts") >= F.lit(now).cast("timestamp") - F.expr("INTERVAL 24 HOURS"))
 
 
-def counts_by_hour(stream: DataFrame) -> DataFrame:
-    """Detections and power by hour of observation, final once the watermark has passed."""
-    return stream.withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("detections"), F.sum("frp").alias("power")).select(F.col("w.start").alias("hour"), "detections", "power")
+#: Minutes that a stored snapshot is served for.
+SERVED_MINUTES = 15
+
+
+def store_snapshot(rows: DataFrame, path: str, now: str) -> None:
+    """The last day's detections, each once, with the time they were stored; replaces the snapshot before it.
+
+    As a stream: ``writeStream.trigger(processingTime="15 minutes").foreachBatch`` of this.
+    """
+    within_day(rows, now).dropDuplicates(NATURAL_KEY).withColumn("stored_at", F.lit(now).cast("timestamp")).write.mode("overwrite").parquet(path)
+
+
+def served(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def fresh(stored_at: Column, now: Column) -> Column:
+    """Whether a snapshot needs no new fetch yet."""
+    return now - F.expr(f"INTERVAL {SERVED_MINUTES} MINUTES") <= stored_at
 
 
 def fold_into_events(batch: DataFrame, known: DataFrame, radius_km: float = ev.DEFAULT_RADIUS_KM, hours: float = ev.DEFAULT_HOURS) -> tuple[DataFrame, DataFrame]:

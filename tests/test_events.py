@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from emberframe.functions.evidence import confidence_score, observed_at, plain_text
-from emberframe.operators import components, events, spatial
+from emberframe.functions.geo import haversine_km
+from emberframe.operators import components, events, graph, raster, register, spatial, triage, weather
 from emberframe.operators.assess import finding_problems
 from emberframe.plans import catalog
 
@@ -91,13 +93,13 @@ def test_small_functions(spark):
     one = spark.range(1)
     got = one.select(
         observed_at(F.lit("2024-01-01"), F.lit(455)).cast("string"), observed_at(F.lit("bad"), F.lit(1)), confidence_score(F.lit("H")), confidence_score(F.lit("85")), confidence_score(F.lit("250")), confidence_score(F.lit("?")),
-        plain_text(F.lit("A  fire - The wind — and 3—4 days—long")),
+        plain_text(F.lit("A  fire -- The wind — and 3—4 days - or so—long :, ")),
     ).first()
-    assert tuple(got) == ("2024-01-01 04:55:00", None, 1.0, 0.85, 1.0, None, "A fire. The wind, and 3–4 days: long")
+    assert tuple(got) == ("2024-01-01 04:55:00", None, 1.0, 0.85, 1.0, None, "A fire. The wind, and 3–4 days - or so: long")
 
 
 def test_plain_prose_covers_all_documents(spark, tmp_path):
-    texts = [(1, "smoke - The  wind — and 3—4 days"), (2, "no dash"), (3, None), (4, "a – b")]
+    texts = [(1, "smoke -- The  wind — and 3—4 days"), (2, "no dash"), (3, None), (4, "a – b")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.prose for r in catalog.queries()["plain_prose"](spark, str(tmp_path)).collect()}
     assert got == {1: "smoke. The wind, and 3–4 days", 2: "no dash", 3: None, 4: "a, b"}
@@ -109,3 +111,81 @@ def test_finding_problems_of_many_hypotheses(spark):
     wanted = spark.range(1500).selectExpr("cast(id as string) as hypothesis")
     got = finding_problems(found, spark.createDataFrame([("E1",)], "evidence_id string"), wanted.union(wanted)).collect()
     assert len(got) == 1499 and {r.problem for r in got} == {"not found"}
+
+
+def test_cells_wrap_and_reach_poles(spark):
+    """Pairs across the antimeridian and around the poles are candidates like any other."""
+    rng = random.Random(5)
+    points = [(i, rng.choice([1, -1]) * rng.uniform(0, 90), rng.choice([rng.uniform(-180, 180), rng.choice([1, -1]) * (180 - rng.uniform(0, 0.5))])) for i in range(400)]
+    points += [(1000, 0.0, 179.99), (1001, 0.0, -179.99), (1002, 89.9, 0.0), (1003, 89.9, 180.0), (1004, -89.99, 10.0), (1005, -89.99, -170.0), (1006, 0.0, 180.0), (1007, 0.0, -180.0)]
+    df = spark.createDataFrame(points, "id long, lat double, lon double")
+    a, b = (df.select(*(F.col(c).alias(f"{c}_{t}") for c in df.columns)) for t in "ab")
+    d = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    for km in (30.0, 400.0):
+        got = [(r.id_a, r.id_b) for r in spatial.near(a, b, km, ("lat_a", "lon_a"), ("lat_b", "lon_b")).where(d <= km).collect()]
+        want = [(r.id_a, r.id_b) for r in a.crossJoin(b).where(d <= km).collect()]
+        assert len(got) == len(set(got)) and set(got) == set(want)
+
+
+def test_time_axis_loses_no_pair(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(250):
+        start = rng.uniform(0, 400)
+        rows.append((i, rng.uniform(0, 0.5), rng.uniform(0, 0.5), start, start + rng.choice([0, 1, 30, 200])))
+    df = spark.createDataFrame(rows, "event long, lat double, lon double, f double, l double").select("event", "lat", "lon", *(F.timestamp_micros((F.col(c) * 3600e6).cast("long")).alias(n) for c, n in (("f", "first"), ("l", "last"))), F.lit(1.0).alias("extent_km"))
+    got = [(r.event_a, r.event_b) for r in graph.close_pairs(df, 20.0, 24.0).collect()]
+    where = {r[0]: r for r in rows}
+    km = lambda a, b: 2 * 6371.0088 * math.asin(math.sqrt(math.sin(math.radians(a[1] - b[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(a[2] - b[2]) / 2) ** 2))
+    want = {(i, j) for i in where for j in where if i < j and km(where[i], where[j]) <= 20 and max(where[j][3] - where[i][4], where[i][3] - where[j][4], 0) <= 24}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_wide_events_overlap_at_any_distance(spark):
+    rows = [(1, 0.0, 100.0, 3000.0), (2, 0.0, 110.0, 1.0), (3, 0.0, 120.0, 2.0), (4, 0.0, 100.05, 1.0), (5, 10.0, 100.0, 400.0)]
+    df = spark.createDataFrame(rows, "event long, lat double, lon double, extent_km double").withColumns({"first": F.timestamp_seconds(F.col("event") * 10_000_000), "last": F.timestamp_seconds(F.col("event") * 10_000_000)})
+    assert sorted((r.event_a, r.event_b) for r in graph.overlapping_pairs(df).collect()) == [(1, 2), (1, 4), (1, 5)]
+    explicit = spark.createDataFrame([(3, 1), (9, 1)], "a long, b long")
+    assert (1, 3) in {(r.event_a, r.event_b) for r in graph.event_pairs(df, explicit=explicit).collect()}
+
+
+@pytest.mark.parametrize("n", [1, 40, 2000])
+def test_nearest_grid_point(spark, n):
+    rng = random.Random(n)
+    grid = [(i, round(rng.uniform(-5, 5), 1), round(rng.uniform(100, 110), 1)) for i in range(n)]
+    points = [(i, rng.uniform(-8, 8), rng.uniform(90, 120)) for i in range(60)] + [(60, 80.0, -170.0)]
+    got = weather.nearest_grid(spark.createDataFrame(points, "event long, lat double, lon double"), spark.createDataFrame(grid, "grid_id long, grid_lat double, grid_lon double"))
+    for r in got.collect():
+        assert r.grid_id == min(grid, key=lambda g: ((g[1] - r.lat) ** 2 + (g[2] - r.lon) ** 2, g[1], g[2], g[0]))[0]
+
+
+def test_peat_beyond_the_raster(spark):
+    t = raster.Transform(0.0, 100.0, 0.01, 10, 10)
+    cells = spark.createDataFrame([(r, c, 2 if c < 5 else 255) for r in range(10) for c in range(10)], "row long, col long, value int")
+    box = "event long, west double, south double, east double, north double, lat double, lon double, extent_km double"
+    e = spark.createDataFrame([(1, 110.0, 10.0, 110.1, 10.1, 10.05, 110.05, 1.0), (2, 100.0, -0.05, 100.02, -0.03, -0.04, 100.01, 1.0), (3, 100.0, -0.02, 100.09, -0.02, -0.02, 100.09, 9.0)], box)
+    foot = {r.event: r for r in raster.footprint_fraction(e, cells, t).collect()}
+    assert (foot[1].peat_fraction, foot[1].any_peat, foot[1].outside) == (None, False, foot[1].samples)
+    assert (foot[2].peat_fraction, foot[2].any_peat) == (1.0, True) and 0 < foot[3].peat_fraction < 1
+    assert {r.event: r.peat_distance_km for r in raster.distance_to_peat(e, cells, t).collect()} == {1: None, 2: 0.0, 3: 5.56}
+    pairs = spark.createDataFrame([(1, 2, 0.0, 100.0, 0.0, 100.0297), (3, 4, 50.0, 0.0, 50.1, 0.0), (5, 6, -0.01, 100.08, -0.01, 100.12), (7, 8, 0.0, 100.0, 0.0, 100.0)], "source long, target long, lat1 double, lon1 double, lat2 double, lon2 double")
+    got = {r.source: (r.samples, r.outside, r.peat_fraction) for r in raster.corridor_fraction(pairs, cells, t).collect()}
+    assert got[1] == (5, 0, 1.0) and got[3][2] is None and got[3][0] == got[3][1] and 0 < got[5][1] < got[5][0] and got[5][2] == 0.0 and got[7] == (1, 0, 1.0)
+    context = {r.event: r.limitations for r in raster.peat_context(e, cells, t).collect()}
+    assert "footprint outside the raster" in context[1] and "event wider than its buffer" in context[3] and context[2][0] == raster.NO_INFERENCE
+
+
+def test_values_out_of_range_fail(spark):
+    for feature, bad in (("urban_fraction", 1.5), ("settlement_distance_km", -1.0), ("nearby_detection_count", 1.5), ("recent_rainfall_mm", float("nan"))):
+        facts = spark.createDataFrame([(1, bad)], f"event long, {feature} double")
+        with pytest.raises(Exception, match="out of range"):
+            triage.rule_evaluations(facts).collect()
+    facts = spark.createDataFrame([(7, 0.9)], "event long, mean_confidence double")
+    assert "DERIVED_STAGE1_7_confidence" in {r.evidence_id for r in triage.rule_evaluations(facts).collect()}
+
+
+def test_fold_keeps_other_categories(spark):
+    schema = "event long, category string, evidence_id string"
+    old = spark.createDataFrame([(1, "weather", "a"), (1, "peat", "a"), (1, "weather", None), (None, "weather", "x"), (1, None, "y")], schema)
+    got = register.folded(old, spark.createDataFrame([(1, "weather", "new")], schema), ["weather"]).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, "peat", "a"), (None, "weather", "x"), (1, None, "y"), (1, "weather", "new")]))
