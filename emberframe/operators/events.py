@@ -27,24 +27,24 @@ def qualified(obs: DataFrame) -> DataFrame:
     return obs.where(~F.col("confidence").isin("l", "low") | F.col("confidence").isNull())
 
 
-def accepted_pairs(obs: DataFrame, radius_km: float = DEFAULT_RADIUS_KM, hours: float = DEFAULT_HOURS) -> DataFrame:
+def accepted_pairs(obs: DataFrame, radius_km: float = DEFAULT_RADIUS_KM, hours: float = DEFAULT_HOURS, ref_lat: float | None = None) -> DataFrame:
     check_thresholds(radius_km, hours)
-    return pairs_within(projected(obs), radius_km, hours)
+    return pairs_within(projected(obs, ref_lat=ref_lat), radius_km, hours)
 
 
-def _bundles(obs: DataFrame, radius_km: float, hours: float) -> DataFrame:
+def _bundles(obs: DataFrame, radius_km: float, hours: float, ref_lat: float | None) -> DataFrame:
     """(obs_id, bundle): the least obs_id of a cell so small, in space and in time, that all its observations are linked."""
     side = radius_km / 2**0.5
     cell = [F.floor(F.col("x_km") / side).alias("cx"), F.floor(F.col("y_km") / side).alias("cy"), F.floor(F.unix_micros("ts") / (hours * 3600e6)).alias("ct")]
-    placed = projected(obs).select("obs_id", *cell)
+    placed = projected(obs, ref_lat=ref_lat).select("obs_id", *cell)
     # an observation without a place or time is a bundle of its own
     least = placed.groupBy("cx", "cy", "ct").agg(F.min("obs_id").alias("bundle"))
     return placed.join(least, ["cx", "cy", "ct"], "left").select("obs_id", F.coalesce("bundle", "obs_id").alias("bundle"))
 
 
-def _labelled(obs: DataFrame, pairs: DataFrame, radius_km: float, hours: float) -> DataFrame:
+def _labelled(obs: DataFrame, pairs: DataFrame, radius_km: float, hours: float, ref_lat: float | None) -> DataFrame:
     """(obs_id, cluster) from the table's accepted pairs: bundles first, so that few edges are left to contract."""
-    bundles = materialise(_bundles(obs, radius_km, hours))
+    bundles = materialise(_bundles(obs, radius_km, hours, ref_lat))
     end = lambda v: bundles.select(F.col("obs_id").alias(v), F.col("bundle").alias(f"bundle_{v}"))
     edges = pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").where("bundle_a <> bundle_b").select("bundle_a", "bundle_b")
     found = connected_components(edges, "bundle_a", "bundle_b")
@@ -53,9 +53,9 @@ def _labelled(obs: DataFrame, pairs: DataFrame, radius_km: float, hours: float)
     return bundles.join(labels, "bundle", "left").select("obs_id", F.coalesce("cluster", "bundle").alias("cluster"))
 
 
-def clustered(obs: DataFrame, radius_km: float = DEFAULT_RADIUS_KM, hours: float = DEFAULT_HOURS) -> DataFrame:
+def clustered(obs: DataFrame, radius_km: float = DEFAULT_RADIUS_KM, hours: float = DEFAULT_HOURS, ref_lat: float | None = None) -> DataFrame:
     """(obs_id, cluster): the least obs_id that is reached over accepted pairs; singletons are their own."""
-    return _labelled(obs, accepted_pairs(obs, radius_km, hours), radius_km, hours)
+    return _labelled(obs, accepted_pairs(obs, radius_km, hours, ref_lat), radius_km, hours, ref_lat)
 
 
 def natural_key() -> Column:
@@ -117,10 +117,10 @@ def link_statistics(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return of.groupBy("cluster").agg(F.count("*").alias("link_count"), F.max("gap_hours").alias("max_link_gap_hours"), F.max("distance_km").alias("max_link_distance_km"))
 
 
-def reconstruct(obs: DataFrame, radius_km: float = DEFAULT_RADIUS_KM, hours: float = DEFAULT_HOURS) -> DataFrame:
+def reconstruct(obs: DataFrame, radius_km: float = DEFAULT_RADIUS_KM, hours: float = DEFAULT_HOURS, ref_lat: float | None = None) -> DataFrame:
     """Events of a table of observations, with the statistics of their links, by first detection."""
-    pairs = materialise(accepted_pairs(obs, radius_km, hours))
-    members = materialise(_labelled(obs, pairs, radius_km, hours))
+    pairs = materialise(accepted_pairs(obs, radius_km, hours, ref_lat))
+    members = materialise(_labelled(obs, pairs, radius_km, hours, ref_lat))
     events = summarised(obs.join(members, "obs_id"))
     out = events.join(link_statistics(pairs, members), "cluster", "left").withColumn("link_count", F.coalesce("link_count", F.lit(0)))
     return out.orderBy("first_detection", "least_obs")

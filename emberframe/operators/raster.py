@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions.geo import haversine_km, km_per_degree
+from emberframe.operators.components import materialise
 
 
 @dataclass(frozen=True)
@@ -83,11 +84,13 @@ def distance_to_peat(points: DataFrame, raster: DataFrame, t: Transform) -> Data
 
     A point first asks the smallest radius; only those without an answer go on to the next.
     """
-    at = class_at(points.select("event", "lat", "lon"), raster, t)
+    at = materialise(class_at(points.select("event", "lat", "lon"), raster, t))
     found = at.where(is_peat(F.col("peat_class"))).select("event", F.lit(0.0).alias("peat_distance_km"))
     peat, left = raster.where(is_peat(F.col("value"))), at.where(~is_peat(F.col("peat_class"))).select("event", "lat", "lon")
     for km in SEARCH_KM:
-        got = cells_within(left, peat, t, km).groupBy("event").agg(F.bround(F.min("distance_km"), 2).alias("peat_distance_km"))
+        if left.isEmpty():
+            break
+        got = materialise(cells_within(left, peat, t, km).groupBy("event").agg(F.bround(F.min("distance_km"), 2).alias("peat_distance_km")))
         found = found.unionByName(got)
         left = left.join(got.select("event"), "event", "left_anti")
     return points.select("event").join(found, "event", "left")

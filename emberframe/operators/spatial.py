@@ -20,8 +20,11 @@ def mean_latitude(points: DataFrame, lat: str = "latitude") -> DataFrame:
     return points.agg((F.sum(F.round(F.col(lat) * 1e5).cast("long")) / F.count(lat) / 1e5).alias("ref_lat"))
 
 
-def projected(points: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """``points`` with x_km and y_km at the table's mean latitude."""
+def projected(points: DataFrame, lat: str = "latitude", lon: str = "longitude", ref_lat: float | None = None) -> DataFrame:
+    """``points`` with x_km and y_km at the table's mean latitude, or at a fixed one that tables taken apart share."""
+    if ref_lat is not None:
+        x, y = planar_km(F.col(lat), F.col(lon), F.lit(ref_lat))
+        return points.withColumns({"x_km": x, "y_km": y})
     x, y = planar_km(F.col(lat), F.col(lon), F.col("ref_lat"))
     return points.crossJoin(F.broadcast(mean_latitude(points, lat))).withColumns({"x_km": x, "y_km": y}).drop("ref_lat")
 
@@ -30,27 +33,33 @@ def _around(cell: Column) -> Column:
     return F.explode(F.sequence(cell - 1, cell + 1))
 
 
-def pairs_within(points: DataFrame, radius_km: float, hours: float | None = None, keys: tuple[str, ...] = (), key: str = "obs_id") -> DataFrame:
+def pairs_within(points: DataFrame, radius_km: float, hours: float | None = None, keys: tuple[str, ...] = (), key: str = "obs_id", of: DataFrame | None = None) -> DataFrame:
     """(a, b, distance_km, gap_hours) for all unordered pairs a < b no further apart than both bounds (inclusive).
 
+    With ``of``, rows like those of ``points``, all pairs of one of these as ``a``
+    and another row of ``points`` as ``b``.
+
     ``points`` has ``key``, x_km, y_km and ts; pairs are formed within equal
     ``keys``.  With ``hours`` the cells get a time axis too, which keeps places
     that burn again and again from multiplying candidates.
     """
     cell = lambda c, size: F.floor(F.col(c) / size)
-    base = points.select(*keys, F.col(key).alias("id"), "x_km", "y_km", "ts", cell("x_km", radius_km).alias("cx"), cell("y_km", radius_km).alias("cy"))
-    on = [*keys, "cx", "cy"]
-    if hours is not None:
-        base = base.withColumn("ct", F.floor(F.unix_micros("ts") / (hours * 3600e6)))
-        on.append("ct")
-    right = base
+    on = [*keys, "cx", "cy", *["ct"] * (hours is not None)]
+
+    def celled(rows: DataFrame) -> DataFrame:
+        out = rows.select(*keys, F.col(key).alias("id"), "x_km", "y_km", "ts", cell("x_km", radius_km).alias("cx"), cell("y_km", radius_km).alias("cy"))
+        return out if hours is None else out.withColumn("ct", F.floor(F.unix_micros("ts") / (hours * 3600e6)))
+
+    base = right = celled(points)
+    base = base if of is None else celled(of)
     for c in on[len(keys) :]:
         right = right.withColumn(c, _around(F.col(c)))
     left = base.select(*on, F.col("id").alias("a"), F.col("x_km").alias("ax"), F.col("y_km").alias("ay"), F.col("ts").alias("at"))
     right = right.select(*on, F.col("id").alias("b"), "x_km", "y_km", "ts")
     dx, dy = F.col("ax") - F.col("x_km"), F.col("ay") - F.col("y_km")
     gap = F.abs(hours_between(F.col("at"), F.col("ts")))
-    met = left.join(right, on).where((F.col("a") < F.col("b")) & (dx * dx + dy * dy <= radius_km * radius_km))
+    other = F.col("a") < F.col("b") if of is None else F.col("a") != F.col("b")
+    met = left.join(right, on).where(other & (dx * dx + dy * dy <= radius_km * radius_km))
     out = met.select(*keys, "a", "b", F.sqrt(dx * dx + dy * dy).alias("distance_km"), gap.alias("gap_hours"))
     return out if hours is None else out.where(F.col("gap_hours") <= hours)
 

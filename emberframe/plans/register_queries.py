@@ -235,11 +235,11 @@ UNION ALL SELECT event, 'circle', i, round(lon + degrees(atan2(sin(t) * sin(d) *
   SELECT *, degrees(asin(sin(radians(lat)) * cos(d) + cos(radians(lat)) * sin(d) * cos(t))) AS la FROM (SELECT event, lat, lon, i, i * (2 * pi() / 64) AS t, 10 / 6371.0088::DOUBLE AS d FROM (SELECT *, unnest(range(64)) AS i FROM w)))"""))
 def envelope_positions(spark, sf_dir):
     e = lens.events(spark, sf_dir).join(review_queries.wind(spark, sf_dir), "event")
-    full = geo.envelope(F.col("lat"), F.col("lon"), F.col("hours"), F.col("wind_from"))
-    small = geo.capped(full)
-    shape = F.struct(full["origin_lat"].alias("origin_lat"), full["origin_lon"].alias("origin_lon"), full["heading"].alias("heading"), small["half_length"].alias("half_length"), small["half_width"].alias("half_width"), small["shift"].alias("shift"))
+    e = e.withColumn("full", geo.envelope(F.col("lat"), F.col("lon"), F.col("hours"), F.col("wind_from"))).withColumn("small", geo.capped(F.col("full")))
+    shape = F.struct(*(F.col(f"full.{c}").alias(c) for c in ("origin_lat", "origin_lon", "heading")), *(F.col(f"small.{c}").alias(c) for c in ("half_length", "half_width", "shift")))
+    e = e.withColumn("shape", shape)
     point = lambda ring, name, n: e.select("event", F.lit(name).alias("ring"), F.posexplode(F.slice(ring, 1, n)).alias("i", "p")).select("event", "ring", "i", F.round(F.element_at("p", 1) + 3e-8, 6).alias("x"), F.round(F.element_at("p", 2) + 3e-8, 6).alias("y"))
-    return point(geo.envelope_ring(shape), "envelope", 48).unionByName(point(geo.circle(F.col("lat"), F.col("lon"), F.lit(10.0)), "circle", 64))
+    return point(geo.envelope_ring(F.col("shape")), "envelope", 48).unionByName(point(geo.circle(F.col("lat"), F.col("lon"), F.lit(10.0)), "circle", 64))
 
 
 @query("large_event_lobes", with_views(*_BASE, recursive=True, body=review_queries.LOBES_SQL + " SELECT event, n, lobes, extent_km > 1 AS wide FROM ev JOIN lobe_count USING (event) WHERE n >= 12"))

@@ -9,6 +9,7 @@ from emberframe.functions.evidence import plain_text
 from emberframe.operators import assess, complexity, graph, pixels, priority, register
 from emberframe.operators import events as ev
 from emberframe.operators import raster as rs
+from emberframe.operators.components import materialise
 from emberframe.plans import context_queries, events_queries, lens
 from emberframe.plans.lens import haversine_sql, with_views
 
@@ -235,8 +236,8 @@ def complexity_signal(spark, sf_dir):
 
 
 # Priority: factors from the triage state, a sufficiency label, peat and relations.
-def _factors(spark, sf_dir):
-    d = events_queries.decided(spark, sf_dir)
+def _factors(spark, sf_dir, d=None):
+    d = materialise(events_queries.decided(spark, sf_dir).select("event", "state")) if d is None else d
     lab = lambda f, c: priority.label_signal(F.lit(f), c)
     suff = F.when(F.col("event") % 3 == 0, "SUFFICIENT").when(F.col("event") % 3 == 1, "PARTIAL").otherwise("INSUFFICIENT")
     one = d.select("event", F.lit("validity").alias("factor"), lab("event_validity", F.col("state")).alias("signal"), F.lit(1.0).alias("quality"))
@@ -268,9 +269,10 @@ def priority_components(spark, sf_dir):
 
 
 def routed(spark, sf_dir):
-    p = priority.priorities(priority.components(lens.events(spark, sf_dir), _factors(spark, sf_dir)))
+    d = materialise(events_queries.decided(spark, sf_dir).select("event", "state"))
+    p = priority.priorities(priority.components(lens.events(spark, sf_dir), _factors(spark, sf_dir, d)))
     suff = F.when(F.col("event") % 3 == 0, "SUFFICIENT").when(F.col("event") % 3 == 1, "PARTIAL").otherwise("INSUFFICIENT")
-    return priority.routed(p.join(events_queries.decided(spark, sf_dir).select("event", "state"), "event").withColumn("sufficiency", suff))
+    return priority.routed(p.join(d, "event").withColumn("sufficiency", suff))
 
 
 @query("review_routing", with_views("obs", "members", "ev", body=_PRIORITY + """ SELECT event, round_even(raw, 4) AS score, coverage, priority, state, sufficiency, route, CASE WHEN route = 'HUMAN_REVIEW' THEN 'priority ' || priority WHEN state = 'AMBIGUOUS' THEN 'ambiguous triage' ELSE 'no reason for review' END AS route_reason FROM routed"""))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.evidence import observed_at
 from emberframe.operators import events as ev
+from emberframe.operators.components import materialise
+from emberframe.operators.spatial import pairs_within, projected
 from emberframe.sources.readers import NATURAL_KEY, OBSERVATIONS
 
 LATENESS = "24 hours"
@@ -56,21 +58,23 @@ def fresh(stored_at: Column, now: Column) -> Column:
     return now - F.expr(f"INTERVAL {SERVED_MINUTES} MINUTES") <= stored_at
 
 
-def fold_into_events(batch: DataFrame, known: DataFrame, radius_km: float = ev.DEFAULT_RADIUS_KM, hours: float = ev.DEFAULT_HOURS) -> tuple[DataFrame, DataFrame]:
+def fold_into_events(batch: DataFrame, known: DataFrame, ref_lat: float, radius_km: float = ev.DEFAULT_RADIUS_KM, hours: float = ev.DEFAULT_HOURS) -> tuple[DataFrame, DataFrame]:
     """(members, superseded) after a batch of new detections.
 
-    ``known``: obs_id, event_id and the observation's columns.  Only events with a
-    member near a new detection are clustered again; event ids follow from the
-    members, so (old_id, new_id) tells what became of those that grew or merged.
+    ``known``: obs_id, event_id and the observation's columns.  Only the new
+    detections look for partners, and only events with a member near one of them
+    are clustered again; event ids follow from the members, so (old_id, new_id)
+    tells what became of those that grew or merged.  All batches must project at
+    the same ``ref_lat``; a rebuild at that latitude gives the same events.
     """
-    new = batch.join(known.select("obs_id"), "obs_id", "left_anti")
-    everything = known.drop("event_id").unionByName(new.select(*known.drop("event_id").columns))
-    touched = ev.accepted_pairs(everything, radius_km, hours)
-    ids = new.select(F.col("obs_id").alias("n"))
-    met = touched.join(ids, F.col("a") == F.col("n")).select(F.col("b").alias("obs_id")).union(touched.join(ids, F.col("b") == F.col("n")).select(F.col("a").alias("obs_id")))
-    again = known.join(met.distinct(), "obs_id", "left_semi").select("event_id").distinct()
-    part = known.join(again, "event_id", "left_semi").drop("event_id").unionByName(new.select(*known.drop("event_id").columns))
-    members = part.join(ev.clustered(part, radius_km, hours), "obs_id")
+    ev.check_thresholds(radius_km, hours)
+    columns = known.drop("event_id").columns
+    new = batch.join(known.select("obs_id"), "obs_id", "left_anti").select(*columns)
+    at = lambda rows: projected(rows, ref_lat=ref_lat)
+    met = pairs_within(at(known), radius_km, hours, of=at(new)).select(F.col("b").alias("obs_id")).distinct()
+    again = materialise(known.join(met, "obs_id", "left_semi").select("event_id").distinct())
+    part = materialise(known.join(again, "event_id", "left_semi").select(*columns).unionByName(new))
+    members = part.join(ev.clustered(part, radius_km, hours, ref_lat), "obs_id")
     names = ev.summarised(members).select("cluster", "event_id")
     fresh = members.join(names, "cluster").drop("cluster").select(*known.columns)
     moved = known.join(again, "event_id", "left_semi").select("obs_id", F.col("event_id").alias("old_id")).join(fresh.select("obs_id", F.col("event_id").alias("new_id")), "obs_id")

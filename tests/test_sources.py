@@ -94,13 +94,28 @@ def test_fold_into_events_tells_what_merged(spark):
 
     all_ = obs(spark, [(0.0, 100.0, "2024-01-01", 100, 1.0), (0.03, 100.0, "2024-01-01", 100, 1.0), (2.0, 100.0, "2024-01-01", 100, 1.0), (0.015, 100.0, "2024-01-01", 200, 1.0)])
     first = all_.where("obs_id < 3")
-    known = first.join(events.clustered(first), "obs_id").join(events.reconstruct(first).select("cluster", "event_id"), "cluster").drop("cluster")
-    after, moved = live.fold_into_events(all_.where("obs_id = 3"), known)
+    known = first.join(events.clustered(first, ref_lat=1.0), "obs_id").join(events.reconstruct(first, ref_lat=1.0).select("cluster", "event_id"), "cluster").drop("cluster")
+    after, moved = live.fold_into_events(all_.where("obs_id = 3"), known, 1.0)
     by = {r.obs_id: r.event_id for r in after.collect()}
     assert by[0] == by[1] == by[3] != by[2] and len(by) == 4
     assert {r.new_id for r in moved.collect()} == {by[0]} and moved.count() == 2
 
 
+def test_folding_batches_equals_a_rebuild(spark):
+    import random
+
+    from tests.test_events import obs
+
+    rng = random.Random(8)
+    all_ = obs(spark, [(rng.uniform(0, 0.2), 100 + rng.uniform(0, 0.2), f"2024-01-0{rng.randint(1, 6)}", rng.randint(0, 23) * 100, 1.0) for _ in range(120)])
+    known = all_.where("false").withColumn("event_id", F.lit("x"))
+    for k in range(3):
+        known, _ = live.fold_into_events(all_.where(F.col("obs_id") % 3 == k), known, 0.1)
+        known = spark.createDataFrame(known.collect(), known.schema)
+    whole = all_.join(events.clustered(all_, ref_lat=0.1), "obs_id").join(events.reconstruct(all_, ref_lat=0.1).select("cluster", "event_id"), "cluster")
+    assert {(r.obs_id, r.event_id) for r in known.collect()} == {(r.obs_id, r.event_id) for r in whole.collect()}
+
+
 def test_rules_and_bands(spark):
     facts = spark.createDataFrame([(1, 1.0, 25.0, 3.0), (2, None, None, None)], "event long, mean_confidence double, max_frp double, observation_count double")
     d = {r.event: r for r in triage.decisions(triage.rule_evaluations(facts)).collect()}
