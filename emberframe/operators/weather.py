@@ -151,7 +151,8 @@ def disagreement(metrics: DataFrame, spans: DataFrame, daily: DataFrame) -> Data
     Only windows with daily rows have one.
     """
     other = daily_in_windows(spans.where("year = 0"), daily).groupBy("event", "window").agg(F.sum("rain").alias("r"), F.avg("temperature").alias("t"), F.avg("humidity").alias("h"), F.avg("wind").alias("w"))
-    diff = lambda a, b, name: (F.bround(F.round(F.col(a) - F.coalesce(b, F.lit(0.0)) if name == "rain_diff" else F.col(a) - b, 8), 2) + 0.0).alias(name)
+    # the ninth decimal settles halves alike whatever the order of a sum was
+    diff = lambda a, b, name: (F.round(F.round(F.col(a) - (F.coalesce(b, F.lit(0.0)) if name == "rain_diff" else b), 8) + 1e-9, 2) + 0.0).alias(name)
     return metrics.where("year = 0").join(other, ["event", "window"]).select(
         "event", "window", diff("rainfall_mm", F.col("r"), "rain_diff"), diff("mean_temperature_c", F.col("t"), "temperature_diff"), diff("mean_relative_humidity", F.col("h"), "humidity_diff"), diff("mean_wind_speed", F.col("w"), "wind_diff")
     )

@@ -87,7 +87,7 @@ def rainfall_anomaly(spark, sf_dir):
 
 _DAILY = """, daily_source AS (SELECT grid_id, ts::DATE AS date, sum(precipitation) + 0.5::DOUBLE AS rain, avg(temperature_2m) AS temperature, avg(relative_humidity_2m) AS humidity, avg(wind_speed_10m) AS wind FROM weather WHERE (day(ts) + grid_id) % 17 <> 0 GROUP BY ALL),
 other AS (SELECT event, w, sum(rain) AS r, avg(temperature) AS t, avg(humidity) AS h, avg(wind) AS v FROM spans sp JOIN daily_source d ON d.grid_id = sp.grid_id AND d.date BETWEEN sp.s::DATE AND sp.e::DATE WHERE year = 0 GROUP BY ALL),
-apart AS (SELECT event, w, round_even(round(rainfall_mm - r, 8), 2) + 0 AS rain_diff, round_even(round(mean_temperature_c - t, 8), 2) + 0 AS temperature_diff, round_even(round(mean_relative_humidity - h, 8), 2) + 0 AS humidity_diff, round_even(round(mean_wind_speed - v, 8), 2) + 0 AS wind_diff
+apart AS (SELECT event, w, round(round(rainfall_mm - r, 8) + 1e-9, 2) + 0 AS rain_diff, round(round(mean_temperature_c - t, 8) + 1e-9, 2) + 0 AS temperature_diff, round(round(mean_relative_humidity - h, 8) + 1e-9, 2) + 0 AS humidity_diff, round(round(mean_wind_speed - v, 8) + 1e-9, 2) + 0 AS wind_diff
   FROM other JOIN spans sp USING (event, w) LEFT JOIN metrics USING (event, w) WHERE sp.year = 0)"""
 
 
@@ -275,7 +275,8 @@ def scene_slots(spark, sf_dir):
     return sc.four_slots(selected(spark, sf_dir))
 
 
-@query("image_requests", with_views("obs", "members", "ev", "scenes", body=_SCENES + """ SELECT event, sensor, position, scene_id, strftime(date_trunc('day', acquired), '%Y-%m-%dT%H:%M:%SZ') AS day, lower(sensor) || '-' || position AS asset,
-  sha256(sensor || '|' || scene_id || '|' || strftime(date_trunc('day', acquired), '%Y-%m-%dT%H:%M:%SZ') || '|' || lower(sensor) || '-' || position) AS request_sha256 FROM chosen"""))
+@query("image_requests", with_views("obs", "members", "ev", "scenes", body=_SCENES + """, boxed AS (SELECT c.*, round_even(e.lon - 5 / (cos(radians(e.lat)) * 111.32::DOUBLE), 6) AS bw, round_even(e.lat - 5 / 111.32::DOUBLE, 6) AS bs, round_even(e.lon + 5 / (cos(radians(e.lat)) * 111.32::DOUBLE), 6) AS be, round_even(e.lat + 5 / 111.32::DOUBLE, 6) AS bn,
+  strftime(date_trunc('day', acquired), '%Y-%m-%dT%H:%M:%SZ') AS day, strftime(date_trunc('day', acquired), '%Y-%m-%dT23:59:59Z') AS until, lower(sensor) || '-' || position AS asset FROM chosen c JOIN ev e USING (event))
+SELECT event, sensor, position, scene_id, bw AS west, bs AS south, be AS east, bn AS north, day, until, asset, sha256(sensor || '|' || scene_id || '|' || day || '|' || until || '|' || printf('%.6f,%.6f,%.6f,%.6f', bw, bs, be, bn) || '|' || asset) AS request_sha256 FROM boxed"""))
 def image_requests(spark, sf_dir):
-    return sc.request_plan(selected(spark, sf_dir), lens.events(spark, sf_dir)).drop("west", "south", "east", "north")
+    return sc.request_plan(selected(spark, sf_dir), lens.events(spark, sf_dir))

@@ -15,7 +15,7 @@ from emberframe.operators import scenes as sc
 from emberframe.operators.components import shared_folder
 from emberframe.plans import context_queries, events_queries, lens, review_queries
 from emberframe.plans.lens import haversine_sql, with_views
-from emberframe.sources import writers
+from emberframe.sources import readers, writers
 
 Q, SQL = {}, {}
 _BASE = ("obs", "members", "ev")
@@ -82,6 +82,13 @@ def review_queue(spark, sf_dir):
     return register.review_queue(review_queries.routed(spark, sf_dir))
 
 
+@query("derived_factors", with_views(*_BASE, "raster", body=context_queries.CONTEXT_SQL + review_queries.EDGES_SQL + """, prog AS (SELECT source, count(inside) AS n, count(*) FILTER (WHERE NOT inside) AS out FROM edges GROUP BY source)
+SELECT event, 'peat_involvement' AS factor, greatest(footprint_fraction, buffer_fraction) AS signal, CASE WHEN footprint_fraction IS NOT NULL THEN 0.6 ELSE 0.7 END::DOUBLE AS quality FROM peat WHERE coalesce(footprint_fraction, buffer_fraction) IS NOT NULL
+UNION ALL SELECT source, 'propagation_uncertainty', CASE WHEN out = 0 THEN 0.15 WHEN out < n THEN 0.6 ELSE 1.0 END::DOUBLE, 0.8 FROM prog WHERE n > 0"""))
+def derived_factors(spark, sf_dir):
+    return priority.derived_factors(rs.peat_context(lens.events(spark, sf_dir), lens.raster(spark), rs.TRANSFORM), graph.progression(review_queries.edges(spark, sf_dir)))
+
+
 # Stored evidence: screening rules, peat, and a scene for some events.
 def _evidence(spark, sf_dir):
     e = F.col("event")
@@ -358,3 +365,100 @@ def served_snapshot(spark, sf_dir):
     served = live.served(spark, path)
     later = now + F.expr("INTERVAL 16 MINUTES")
     return served.agg(F.count("*").alias("rows"), F.max("stored_at").alias("stored_at"), F.bool_and(live.fresh(F.col("stored_at"), now)).alias("fresh"), F.bool_or(live.fresh(F.col("stored_at"), later)).alias("fresh_later"))
+
+
+# Landed files: tables are written in the feeds' formats, one document a file, and read by the readers.
+def _documents(rows, path: str) -> str:
+    """Write (part, value): one text file of one document for each part."""
+    rows.write.partitionBy("part").text(path)
+    return path
+
+
+@query("landed_detections", with_views("obs", body=" SELECT latitude, longitude, acq_date, acq_time, frp, confidence, ts FROM obs WHERE longitude BETWEEN 115.2 AND 116.2 AND latitude BETWEEN -4.6 AND -3.6 AND acq_date BETWEEN '2024-01-05' AND '2024-01-25'"))
+def landed_detections(spark, sf_dir):
+    path = _folder(spark)
+    lens.observations(spark, sf_dir).drop("ts", "obs_id", "site").write.option("header", True).csv(path)
+    rows = readers.detections(spark, path, (115.2, -4.6, 116.2, -3.6), "2024-01-05", "2024-01-25")
+    return rows.select("latitude", "longitude", "acq_date", "acq_time", "frp", "confidence", "ts")
+
+
+@query("historical_range", with_views("obs", body=""" SELECT acq_date, longitude BETWEEN 115.2 AND 116.2 AND latitude BETWEEN -4.6 AND -3.6 AS in_region, count(*) AS detections FROM (SELECT DISTINCT latitude, longitude, acq_date, acq_time, satellite, instrument FROM obs WHERE acq_date BETWEEN '2024-01-05' AND '2024-01-25') GROUP BY ALL"""))
+def historical_range(spark, sf_dir):
+    o = lens.observations(spark, sf_dir)
+    twice = o.where("day(ts) <= 16").unionByName(o.where("day(ts) >= 14"))
+    return readers.historical(twice, "2024-01-05", "2024-01-25", (115.2, -4.6, 116.2, -3.6)).groupBy("acq_date", "in_region").agg(F.count("*").alias("detections"))
+
+
+@query("landed_geojson", with_views("obs", body=" SELECT latitude, longitude, acq_date, acq_time, frp, CASE confidence WHEN 'h' THEN 'high' ELSE 'nominal' END AS confidence, ts FROM obs WHERE confidence <> 'l'"))
+def landed_geojson(spark, sf_dir):
+    o = lens.observations(spark, sf_dir)
+    props = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("acq_datetime"), "frp", confidence_label(F.col("confidence")).alias("confidence"), "satellite", "instrument")
+    feature = F.struct(F.struct(F.array("longitude", "latitude").alias("coordinates")).alias("geometry"), props.alias("properties"))
+    days = o.groupBy("acq_date").agg(F.collect_list(feature).alias("features")).select(F.col("acq_date").alias("part"), F.to_json(F.create_map("acq_date", F.struct("features"))).alias("value"))
+    return readers.geojson_by_date(spark, _documents(days, _folder(spark))).select("latitude", "longitude", "acq_date", "acq_time", "frp", "confidence", "ts")
+
+
+@query("landed_hourly", with_views("weather", body=" SELECT grid_id, ts, CASE WHEN epoch(ts)::BIGINT % 7200 = 0 THEN temperature_2m END AS temperature_2m, wind_speed_10m FROM weather WHERE ts < TIMESTAMP '2023-11-01'"))
+def landed_hourly(spark, sf_dir):
+    w = lens.weather_hourly(spark, sf_dir).where("ts < timestamp '2023-11-10'")
+    some = F.when(F.unix_seconds("ts") % 7200 == 0, F.col("temperature_2m"))
+    series = w.groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct("ts", some.alias("t"), F.col("wind_speed_10m").alias("s")))).alias("x"), F.unix_seconds(F.min("ts")).alias("start"))
+    end = F.unix_seconds(F.lit("2023-11-01").cast("timestamp"))
+    doc = F.to_json(F.struct("grid_id", F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"), "start", end.alias("end"), F.lit(3600).alias("interval"), F.transform("x", lambda r: r["t"]).alias("temperature_2m"), F.transform("x", lambda r: r["s"]).alias("wind_speed_10m")), {"ignoreNullFields": "false"})
+    path = _documents(series.select(F.col("grid_id").alias("part"), doc.alias("value")), _folder(spark))
+    return readers.hourly_weather(spark, path, ["temperature_2m", "wind_speed_10m"]).select("grid_id", "ts", "temperature_2m", "wind_speed_10m")
+
+
+@query("landed_daily", with_views("weather", body=" SELECT grid_id, date, CASE WHEN day(date) % 5 <> 0 THEN round(max(temperature_2m), 2) END AS T2M, round(avg(wind_speed_10m), 4) AS WS10M FROM (SELECT *, ts::DATE AS date FROM weather) GROUP BY grid_id, date"))
+def landed_daily(spark, sf_dir):
+    d = lens.weather_hourly(spark, sf_dir).groupBy("grid_id", F.date_format("ts", "yyyyMMdd").alias("k")).agg(F.round(F.max("temperature_2m"), 2).alias("t"), F.round(F.avg("wind_speed_10m"), 4).alias("s"))
+    d = d.withColumn("t", F.when(F.substring("k", 7, 2).cast("int") % 5 != 0, F.col("t")).otherwise(-999.0))
+    series = lambda c: F.map_from_entries(F.collect_list(F.struct("k", c)))
+    docs = d.groupBy("grid_id").agg(F.to_json(F.struct(F.struct(F.struct(series("t").alias("T2M"), series("s").alias("WS10M")).alias("parameter")).alias("properties"))).alias("value"))
+    path = _documents(docs.select(F.col("grid_id").alias("part"), "value"), _folder(spark))
+    return readers.daily_weather(spark, path, ["T2M", "WS10M"]).select(F.regexp_extract("file", r"part=(\d+)/", 1).cast("long").alias("grid_id"), "date", "T2M", "WS10M")
+
+
+@query("landed_catalogue", with_views("scenes", body=" SELECT scene_id::VARCHAR AS scene_id, sensor, acquired, cloud, west FROM scenes WHERE sensor = 'S2' AND west <= 116.0 AND east >= 115.5 AND south <= -3.0 AND north >= -4.0 AND acquired BETWEEN TIMESTAMP '2023-12-20' AND TIMESTAMP '2024-01-20'"))
+def landed_catalogue(spark, sf_dir):
+    s = lens.scenes(spark, sf_dir)
+    item = F.struct(
+        F.col("scene_id").cast("string").alias("id"), F.struct(F.date_format("acquired", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"), F.col("cloud").alias("cloud_cover"), F.col("sensor").alias("platform")).alias("properties"),
+        F.array("box.west", "box.south", "box.east", "box.north").alias("bbox"),
+    )
+    pages = s.groupBy(F.floor(F.col("scene_id") / 10).alias("part")).agg(F.to_json(F.struct(F.collect_list(item).alias("features"))).alias("value"))
+    items = sc.scene_fields(readers.catalogue(spark, _documents(pages, _folder(spark))))
+    return readers.within(items, (115.5, -4.0, 116.0, -3.0), "2023-12-20", "2024-01-20", "S2").select("scene_id", "sensor", "acquired", "cloud", F.element_at("bbox", 1).alias("west"))
+
+
+@query("landed_granules", "SELECT 'G' || p_partkey AS granule, TIMESTAMP '2024-01-01' + to_hours((p_partkey % 100)::INTEGER) AS time, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'file-' || p_partkey END AS links FROM part")
+def landed_granules(spark, sf_dir):
+    k = F.col("p_partkey")
+    when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + (k % 100) * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    entry = F.struct(F.concat(F.lit("G"), k.cast("string")).alias("id"), when.alias("time_start"), F.array(F.struct(F.when(k % 3 != 0, F.concat(F.lit("file-"), k.cast("string"))).otherwise("").alias("href"))).alias("links"))
+    pages = lens.table(spark, sf_dir, "part").groupBy(F.floor(k / 200).alias("part")).agg(F.to_json(F.struct(F.struct(F.collect_list(entry).alias("entry")).alias("feed"))).alias("value"))
+    return readers.granules(spark, _documents(pages, _folder(spark))).withColumn("links", F.array_join("links", ","))
+
+
+@query("landed_availability", "SELECT n_name AS data_id, DATE '2012-01-01' + n_nationkey::INTEGER AS min_date, DATE '2024-01-01' + n_nationkey::INTEGER AS max_date FROM nation")
+def landed_availability(spark, sf_dir):
+    path, k = _folder(spark), F.col("n_nationkey").cast("int")
+    day = lambda d: F.date_add(F.lit(d).cast("date"), k)
+    lens.table(spark, sf_dir, "nation").select(F.col("n_name").alias("data_id"), day("2012-01-01").alias("min_date"), day("2024-01-01").alias("max_date")).write.option("header", True).csv(path)
+    return readers.availability(spark, path)
+
+
+@query("image_manifest", with_views("obs", "members", "ev", "scenes", body=context_queries.SCENES_SQL + """, a AS (SELECT event, lower(sensor) || '-' || position AS asset, scene_id % 5 <> 0 AS there FROM chosen)
+SELECT event, coalesce(string_agg(asset, ',' ORDER BY asset) FILTER (WHERE there), '') AS assets, coalesce(string_agg(asset, ',' ORDER BY asset) FILTER (WHERE NOT there), '') AS missing FROM a GROUP BY event"""))
+def image_manifest(spark, sf_dir):
+    plan = sc.request_plan(context_queries.selected(spark, sf_dir), lens.events(spark, sf_dir)).select("event", F.col("asset").alias("asset_id"), F.concat_ws("/", F.col("event").cast("string"), "asset").alias("path"), "scene_id")
+    return writers.image_manifest(plan, plan.where("scene_id % 5 <> 0").select("path")).select("event", F.array_join("assets", ",").alias("assets"), F.array_join("missing", ",").alias("missing"))
+
+
+@query("enrichment_state", with_views(*_BASE, body=" SELECT event, CASE WHEN event % 4 = 0 THEN 'ok' WHEN event % 4 = 1 THEN 'error' END AS status, event % 4 <> 0 AS to_do FROM ev"))
+def enrichment_state(spark, sf_dir):
+    e = lens.events(spark, sf_dir).select("event")
+    tries = lambda status, k, at: e.where(F.col("event") % 4 == k).select("event", F.lit(status).alias("status"), F.lit("x").alias("error"), F.lit(at).alias("tried_at"))
+    log = tries("error", 0, 1).union(tries("ok", 0, 2)).union(tries("error", 0, 3)).union(tries("error", 1, 1))
+    left = writers.to_do(e, log).withColumn("to_do", F.lit(True))
+    return e.join(writers.latest(log).select("event", "status"), "event", "left").join(left, "event", "left").select("event", "status", F.coalesce("to_do", F.lit(False)).alias("to_do"))

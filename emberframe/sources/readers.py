@@ -8,22 +8,25 @@ from pyspark.sql import types as T
 
 from emberframe.functions.evidence import observed_at
 
-_KINDS = {"double": T.DoubleType(), "string": T.StringType(), "int": T.IntegerType()}
-#: Columns of a landed file of detections.
-OBSERVATIONS = T.StructType(
-    [
-        T.StructField(name, _KINDS[kind])
-        for kind, names in (
-            ("double", "latitude longitude bright_ti4 scan track"),
-            ("string", "acq_date"),
-            ("int", "acq_time"),
-            ("string", "satellite instrument confidence version"),
-            ("double", "bright_ti5 frp"),
-            ("string", "daynight"),
-            ("int", "type"),
-        )
-        for name in names.split()
-    ]
+#: Columns of a landed file of detections.
+OBSERVATIONS = T._parse_datatype_string(
+    """
+    latitude double,
+    longitude double,
+    bright_ti4 double,
+    scan double,
+    track double,
+    acq_date string,
+    acq_time int,
+    satellite string,
+    instrument string,
+    confidence string,
+    version string,
+    bright_ti5 double,
+    frp double,
+    daynight string,
+    type int
+    """
 )
 #: What makes a detection the same one in two fetches.
 NATURAL_KEY = ["latitude", "longitude", "acq_date", "acq_time", "satellite", "instrument"]
@@ -46,11 +49,26 @@ def detections(spark: SparkSession, path: str, bbox: tuple[float, float, float,
     return out.withColumn("ts", observed_at(F.col("acq_date"), F.col("acq_time")))
 
 
-def geojson_by_date(spark: SparkSession, path: str) -> DataFrame:
-    """Detections from JSON documents {date: FeatureCollection}; low confidence is left in."""
+def availability(spark: SparkSession, path: str) -> DataFrame:
+    """(data_id, min_date, max_date): which days the archive holds of each sensor, from CSV files with a header."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select("data_id", F.to_date("min_date").alias("min_date"), F.to_date("max_date").alias("max_date")).where("data_id is not null")
+
+
+def historical(landed: DataFrame, start: str, end: str, region: tuple[float, float, float, float]) -> DataFrame:
+    """Detections of [start, end], each once, with ``in_region``: inside the analysis box, its edges included."""
+    days = landed.where(F.col("acq_date").between(start, end))
+    west, south, east, north = region
+    inside = F.col("longitude").between(west, east) & F.col("latitude").between(south, north)
+    return merged(days).withColumn("in_region", inside)
+
+
+def geojson_by_date(spark: SparkSession, path: str, keep_low: bool = False) -> DataFrame:
+    """Detections from JSON documents {date: FeatureCollection}; those of low confidence go unless ``keep_low`` (for the raw count)."""
     schema = "map<string, struct<features: array<struct<geometry: struct<coordinates: array<double>>, properties: struct<acq_datetime: string, frp: double, confidence: string, satellite: string, instrument: string>>>>>"
     days = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("day", "c"))
     f = days.select("day", F.explode("c.features").alias("f"))
+    f = f if keep_low else f.where(F.coalesce(F.lower("f.properties.confidence"), F.lit("")) != "low")
     t = F.try_to_timestamp(F.col("f.properties.acq_datetime"))
     return f.select(
         F.element_at("f.geometry.coordinates", 2).alias("latitude"), F.element_at("f.geometry.coordinates", 1).alias("longitude"), F.coalesce(F.date_format(t, "yyyy-MM-dd"), F.col("day")).alias("acq_date"),
@@ -93,8 +111,8 @@ def hourly_weather(spark: SparkSession, path: str, variables: list[str]) -> Data
 
 
 def daily_weather(spark: SparkSession, path: str, parameters: list[str], fill: float = -999.0) -> DataFrame:
-    """(file, date, one column per parameter) from JSON {properties: {parameter: {name: {yyyymmdd: value}}}}; the fill value is null."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.get_json_object("value", "$.properties.parameter").alias("p"))
+    """(file path, date, one column per parameter) from JSON {properties: {parameter: {name: {yyyymmdd: value}}}}; the fill value is null."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.get_json_object("value", "$.properties.parameter").alias("p"))
     long = raw.select("file", F.explode(F.from_json("p", "map<string, map<string, double>>")).alias("name", "days")).select("file", "name", F.explode("days").alias("day", "value"))
     long = long.select("file", "name", F.to_date("day", "yyyyMMdd").alias("date"), F.when(F.col("value") != fill, F.col("value")).alias("value"))
     return long.groupBy("file", "date").pivot("name", parameters).agg(F.first("value"))
@@ -112,6 +130,21 @@ def catalogue(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
     return page.select(F.explode(checked).alias("item"))
 
 
+def granules(spark: SparkSession, path: str) -> DataFrame:
+    """(granule, time, links) of catalogue pages {feed: {entry: [...]}}; links without an address go."""
+    schema = "feed struct<entry: array<struct<id: string, time_start: string, links: array<struct<href: string>>>>>"
+    entry = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)["feed"]["entry"]).alias("e"))
+    links = F.transform(F.filter("e.links", lambda x: F.coalesce(x["href"], F.lit("")) != ""), lambda x: x["href"])
+    return entry.select(F.col("e.id").alias("granule"), F.to_timestamp("e.time_start").alias("time"), F.coalesce(links, F.array().cast("array<string>")).alias("links"))
+
+
+def within(items: DataFrame, bbox: tuple[float, float, float, float], since: str, until: str, sensor: str | None = None) -> DataFrame:
+    """Catalogue items (``scenes.scene_fields``) whose box meets another, acquired in [since, until], of one sensor if asked."""
+    west, south, east, north = (F.element_at("bbox", i) for i in (1, 2, 3, 4))
+    met = (west <= bbox[2]) & (east >= bbox[0]) & (south <= bbox[3]) & (north >= bbox[1]) & F.col("acquired").between(F.lit(since).cast("timestamp"), F.lit(until).cast("timestamp"))
+    return items.where(met if sensor is None else met & (F.col("sensor") == sensor))
+
+
 def world_file(spark: SparkSession, path: str) -> DataFrame:
     """One row of a raster's transform from six lines, decimal commas allowed."""
     lines = F.split(F.trim(F.translate("value", ",", ".")), r"\s+")
