@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: filter, de-duplicate, decontaminate, mix, write in training order."""
+"""A training corpus from raw documents: filter, de-duplicate, decontaminate, mix, write in training order.
+
+Defined cases, for every stage: null doc_ids, texts, languages and sources are
+values like others (a null text is an empty one); repeated rows are rows, until
+the near-copy stage leaves one of each; further columns are carried along up to
+the last stage, whatever they are called; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +18,27 @@ from emberframe.operators.components import shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; without labels of both kinds all stay or all go by the labels' share."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact or near copies stays (five words, similarity 0.8)."""
+    """One document of each group of exact or near copies stays (five words, similarity 0.8), that of the least doc_id; an id of null comes last."""
     return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item go; an empty benchmark lets all stay."""
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source mix takes them."""
+    """Documents as often as the source mix takes them; without words nothing is taken."""
     return mixing.mixed_documents(docs)
 
 
 def write_training_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards in training order."""
+    """Token shards in training order; no documents, no shards."""
     return training_order.shards(docs)
 
 
