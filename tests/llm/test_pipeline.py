@@ -49,3 +49,26 @@ def test_stages_and_run(spark, tmp_path):
     corpus_pipeline.run(spark, sf_dir).write.parquet(out)
     ids = sum(len(p) for *_, p in training_order.read_from(spark, out, 0))
     assert ids == sum(len(r.text.encode()) + 1 for r in mixed)
+
+
+def test_empty_documents(spark, tmp_path):
+    none = folder(tmp_path, "none", table(spark, f"{DATA}/sf0.001", "documents").limit(0))
+    assert corpus_pipeline.run(spark, none).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, table(spark, none, "documents"), none)
+        assert left.count() == 0 and left.columns == table(spark, none, "documents").columns
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls everywhere, repeated rows, a long text and further columns whose names the operators use."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, id long, slice int, block int"
+    long = " ".join(f"w{i % 5000}x{i % 7}" for i in range(60_000))
+    rows = [(1, "a text that is kept", "en", "s"), (1, "a text that is kept", "en", "s"), (None, "a text that is kept", None, None), (2, None, None, None), (None, "", "en", "s"), (3, long, "en", "s"), (4, long + " and more", "fr", None)]
+    docs = spark.createDataFrame([(i, t, l, s, 0, 0.5, "k", 7, 1, 2) for i, t, l, s in rows], schema)
+    odd = folder(tmp_path, "odd", docs)
+    once = corpus_pipeline.drop_near_copies(spark, table(spark, odd, "documents"), odd)
+    assert once.columns == docs.columns
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in once.collect()) == [(1, 19), (2, 0), (3, len(long))]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, table(spark, odd, "documents"), odd).columns == docs.columns
+    assert corpus_pipeline.write_training_order(spark, table(spark, odd, "documents"), odd).count() > 0
