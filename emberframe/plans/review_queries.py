@@ -286,9 +286,9 @@ def routing_distributions(spark, sf_dir):
     return priority.routing_distributions(routed(spark, sf_dir))
 
 
-@query("factor_totals", with_views("obs", "members", "ev", body=_PRIORITY + " SELECT factor, count(signal) AS evaluated, round(sum(contribution), 3) AS contribution, round(sum(contribution) / (SELECT sum(contribution) FROM parts), 5) AS share FROM parts GROUP BY factor"))
+@query("factor_totals", with_views("obs", "members", "ev", body=_PRIORITY + " SELECT factor, count(signal) AS evaluated, round(sum(contribution), 3) AS contribution, round(sum(contribution) / (SELECT sum(contribution) FROM parts), 6) AS share FROM parts GROUP BY factor"))
 def factor_totals(spark, sf_dir):
-    return priority.component_totals(priority.components(lens.events(spark, sf_dir), _factors(spark, sf_dir))).select("factor", "evaluated", F.round("contribution", 3).alias("contribution"), F.round("share", 5).alias("share"))
+    return priority.component_totals(priority.components(lens.events(spark, sf_dir), _factors(spark, sf_dir))).select("factor", "evaluated", F.round("contribution", 3).alias("contribution"), "share")
 
 
 # Register.
