@@ -9,24 +9,24 @@ from pyspark.sql import types as T
 from emberframe.functions.evidence import observed_at
 
 #: Columns of a landed file of detections.
-OBSERVATIONS = T._parse_datatype_string(
-    """
-    latitude double,
-    longitude double,
-    bright_ti4 double,
-    scan double,
-    track double,
-    acq_date string,
-    acq_time int,
-    satellite string,
-    instrument string,
-    confidence string,
-    version string,
-    bright_ti5 double,
-    frp double,
-    daynight string,
-    type int
-    """
+OBSERVATIONS = T.StructType(
+    [
+        T.StructField("latitude", T.DoubleType()),
+        T.StructField("longitude", T.DoubleType()),
+        T.StructField("bright_ti4", T.DoubleType()),
+        T.StructField("scan", T.DoubleType()),
+        T.StructField("track", T.DoubleType()),
+        T.StructField("acq_date", T.StringType()),
+        T.StructField("acq_time", T.IntegerType()),
+        T.StructField("satellite", T.StringType()),
+        T.StructField("instrument", T.StringType()),
+        T.StructField("confidence", T.StringType()),
+        T.StructField("version", T.StringType()),
+        T.StructField("bright_ti5", T.DoubleType()),
+        T.StructField("frp", T.DoubleType()),
+        T.StructField("daynight", T.StringType()),
+        T.StructField("type", T.IntegerType()),
+    ]
 )
 #: What makes a detection the same one in two fetches.
 NATURAL_KEY = ["latitude", "longitude", "acq_date", "acq_time", "satellite", "instrument"]
