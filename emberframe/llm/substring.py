@@ -14,11 +14,13 @@ covers it that starts earlier as well: in a smaller doc_id, or in the same docum
 3. A repeated seed whose surroundings are always the same does not branch.
    Neighbours of that kind with equal counts always come together, so they are
    compacted: a maximal nonbranching path becomes one row, whatever its length.
-   At a seed that branches each of its windows is a row.
+   At a seed that branches its windows in this place are a row.
 4. The rows, known by 128-bit hashes of all their words, are grouped for the first
    source coordinate (doc_id, place) and joined with it: the rows that lie
    elsewhere are verified repeats and go.  Every occurrence of a path holds the
-   whole path, so its first coordinate is that of each of its windows.
+   whole path, so its first coordinate is that of each of its windows.  Different
+   rows at a branching seed may share windows: the first of each such row is taken
+   apart into its windows, which are grouped and joined in the same way.
 
 Defined cases: null and empty texts have no words; texts under ``WINDOW`` words
 lose nothing; a null doc_id comes after all others; rows with the same doc_id but
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import Texts, cut, fresh, mix64, slices, text_key
-from emberframe.llm.tally import tallied, text_bytes
+from emberframe.llm.tally import key_bits, tallied, text_bytes
 from emberframe.llm.words import count_words, kept_words, word_hashes
 
 WINDOW = 20
@@ -49,7 +51,10 @@ STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Stands for what is before a text's first and after its last word.
 OUTSIDE = np.uint64(0x2545F4914F6CDD1D)
 
-SPANS = "h1 long, h2 long, doc_id long, text_key long, first long, last long"
+#: Bits of a key beyond those that number the corpus' bytes; where two keys coincide, a branch may go unseen.
+SPARE = 26
+
+SPANS = "h1 long, h2 long, doc_id long, text_key long, first int, last int, seed long, windows array<long>"
 
 
 def _rolling(words: np.ndarray, width: int) -> np.ndarray:
@@ -90,44 +95,58 @@ class Seeds:
             place = self.at + k
             inside = (place >= begin) & (place < end)
             around = around * STEP + np.where(inside, self.words[np.where(inside, place, 0)] if len(self.words) else OUTSIDE, OUTSIDE)
-        # even keys are seeds, odd ones seeds with their surroundings
-        self.key = least[new] & ~np.uint64(1)
-        self.around = mix64(around) | np.uint64(1)
+        self.around = mix64(around)
+        self.seed = least[new]
+
+    def keys(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Even keys of the seeds, odd ones of the seeds with their surroundings."""
+        shift = np.uint64(64 - bits)
+        return (self.seed >> shift) & ~np.uint64(1), (self.around >> shift) | np.uint64(1)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(h1, h2, doc_id, text_key, first, last): paths and single windows that may be repeated, by their first and last window."""
+    """(h1, h2, doc_id, text_key, first, last, seed, windows): runs of windows, from the first to the last, that may be repeated.
+
+    ``seed`` and ``windows`` (a hash of each) are null for a nonbranching path.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
+    total = text_bytes(docs)
+    bits = key_bits(total, SPARE)
 
     def keys_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         seeds = Seeds(Texts(rows.column("text").combine_chunks()), window, seed)
-        keys, counts = np.unique(np.concatenate([seeds.key, seeds.around]), return_counts=True)
+        keys, counts = np.unique(np.concatenate(seeds.keys(bits)), return_counts=True)
         return keys, counts[None]
 
     def finish(rows: pa.Table, keys: np.ndarray, totals: np.ndarray, _: np.ndarray) -> pa.Table:
         s = Seeds(Texts(rows.column("text").combine_chunks()), window, seed)
-        count = totals[0, np.searchsorted(keys, s.key)]
-        free = count == totals[0, np.searchsorted(keys, s.around)]
+        count, around = (totals[0, np.searchsorted(keys, k)] for k in s.keys(bits))
+        repeated, free = count > 1, count == around
         # a path goes on where two seeds of a text don't branch and are found equally often
         joined = np.append(False, (s.row[1:] == s.row[:-1]) & free[1:] & free[:-1] & (count[1:] == count[:-1]))[: len(count)]
-        head = np.flatnonzero(~joined & free & (count > 1))
-        tail = np.flatnonzero(~np.append(joined[1:], False)[: len(count)] & free & (count > 1))
-        branching = np.flatnonzero(~free & (count > 1))
-        each = (s.last - s.first + 1)[branching]
-        single = np.repeat(s.first[branching], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        row = np.concatenate([s.row[head], np.repeat(s.row[branching], each)])
-        first, last = np.concatenate([s.first[head], single]), np.concatenate([s.last[tail], single])
+        head = np.flatnonzero(~joined & free & repeated)
+        tail = np.flatnonzero(~np.append(joined[1:], False)[: len(count)] & free & repeated)
+        branch = np.flatnonzero(~free & repeated)
+        pick = np.concatenate([head, branch])
+        row, first, last = s.row[pick], s.first[pick], np.concatenate([s.last[tail], s.last[branch]])
         raw = memoryview(s.words.tobytes())
         digests = b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * (b + window)]) for a, b in zip(first.tolist(), last.tolist(), strict=True))
         halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+        each = np.append(np.zeros(len(head), np.int64), (s.last - s.first + 1)[branch])
+        ends = np.cumsum(np.append(0, each))
+        place = np.repeat(first - ends[:-1], each) + np.arange(ends[-1])
+        hashes = _rolling(s.words, window)[place].view(np.int64)
+        no = np.arange(len(pick)) < len(head)
         begin, take = s.bounds[:-1][row], pa.array(row)
         return pa.table({
             "h1": pa.array(halves[:, 0].copy()), "h2": pa.array(halves[:, 1].copy()),
             "doc_id": rows.column("doc_id").take(take), "text_key": rows.column("text_key").take(take),
-            "first": pa.array(first - begin), "last": pa.array(last - begin),
+            "first": pa.array((first - begin).astype(np.int32)), "last": pa.array((last - begin).astype(np.int32)),
+            "seed": pa.array(s.seed[pick].view(np.int64), mask=no),
+            "windows": pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(no, False)), pa.array(hashes)),
         })
 
-    return tallied(rows, text_bytes(docs), 64, keys_of, finish, SPANS)
+    return tallied(rows, total, bits, keys_of, finish, SPANS)
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -135,7 +154,15 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     spans = cut(repeated_spans(docs, window, seed))
     here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "first")
     origins = spans.groupBy("h1", "h2").agg(F.min(here).alias("origin"))
-    later = spans.join(origins, ["h1", "h2"]).where(~here.eqNullSafe(F.col("origin")))
+    met = spans.withColumn("here", here).join(origins, ["h1", "h2"])
+    again = ~F.col("here").eqNullSafe(F.col("origin"))
+    # a row of its own for each window of what is first met at a branching seed
+    apart = cut(met.where(~again & F.col("windows").isNotNull()).select("doc_id", "text_key", "seed", "first", F.posexplode("windows").alias("nth", "hash")))
+    apart = apart.select("doc_id", "text_key", "seed", "hash", (F.col("first") + F.col("nth")).alias("first"))
+    firsts = apart.groupBy("seed", "hash").agg(F.min(here).alias("origin"))
+    single = apart.withColumn("here", here).join(firsts, ["seed", "hash"]).where(again).withColumn("last", F.col("first"))
+    columns = ["doc_id", "text_key", "first", "last"]
+    later = met.where(again).select(columns).unionByName(single.select(columns))
     return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
