@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import decontam, language, line_dedup, lm_score, mixing, neighbours, quality, simhash, substring, toxicity, training_order
+from emberframe.llm import decontam, language, line_dedup, lm_score, mixing, neighbours, periodic, quality, simhash, substring, toxicity, training_order
 from emberframe.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"), reorder=periodic.cycled)
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_mix": op9_mix,
         "op10_lm_score": op10_lm_score,
+        "op12_periodic_runs": op12_periodic_runs,
         "op13_substring_dedup": op13_substring_dedup,
     }
 
