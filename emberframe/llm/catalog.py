@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import decontam, language, line_dedup, lm_score, mixing, neighbours, periodic, quality, simhash, substring, toxicity, training_order
+from emberframe.llm import decontam, language, line_dedup, lm_score, mixing, negatives, neighbours, periodic, quality, simhash, substring, toxicity, training_order
 from emberframe.llm.common import table
 
 
@@ -52,6 +52,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.quantised(table(spark, sf_dir, "embeddings"), relabelled=label), F.col("id") % 50 == 0)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(table(spark, sf_dir, "documents"), reorder=periodic.cycled)
 
@@ -72,10 +77,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_mix": op9_mix,
         "op10_lm_score": op10_lm_score,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_substring_dedup": op13_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontam.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_mix": mixing.ORACLE, "op13_substring_dedup": substring.ORACLE}
+    return {"op4_decontaminate": decontam.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_mix": mixing.ORACLE, "op11_hard_negatives": negatives.ORACLE, "op13_substring_dedup": substring.ORACLE}

@@ -9,18 +9,19 @@ covers it that starts earlier as well: in a smaller doc_id, or in the same docum
    meet where seeds meet, and a seed stands for up to nine windows.
 2. Spark counts, over the corpus, each seed and each seed with its surroundings:
    the words that settle which windows pick it and which seed comes next.  Counts
-   are gathered and brought back packed (``tally``).  A seed found once tells that
+   are gathered and joined back packed (``tally``).  A seed found once tells that
    its windows are found once.
 3. A repeated seed whose surroundings are always the same does not branch.
    Neighbours of that kind with equal counts always come together, so they are
-   compacted: a maximal nonbranching path becomes one row, whatever its length.
-   At a seed that branches its windows in this place are a row.
-4. The rows, known by 128-bit hashes of all their words, are grouped for the first
-   source coordinate (doc_id, place) and joined with it: the rows that lie
-   elsewhere are verified repeats and go.  Every occurrence of a path holds the
-   whole path, so its first coordinate is that of each of its windows.  Different
-   rows at a branching seed may share windows: the first of each such row is taken
-   apart into its windows, which are grouped and joined in the same way.
+   compacted: a maximal nonbranching path becomes one entry, whatever its length.
+   At a seed that branches each of its windows is an entry.
+4. The entries, known by hashes of all their words, are gathered with their source
+   coordinates (doc_id, place), and each is told whether its own is the first;
+   entries that start elsewhere go.  Every occurrence of a path holds the whole
+   path, so its first coordinate is that of each of its windows.
+
+Both exchanges cost a key that is found everywhere one entry for each slice of
+texts, so no key is hot.  Words and entries are known by 64-bit hashes.
 
 Defined cases: null and empty texts have no words; texts under ``WINDOW`` words
 lose nothing; a null doc_id comes after all others; rows with the same doc_id but
@@ -32,7 +33,7 @@ answer; an empty table gives no rows; other columns play no part.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import Texts, cut, fresh, mix64, slices, text_key
-from emberframe.llm.tally import key_bits, tallied, text_bytes
+from emberframe.llm.common import Texts, mix64, text_key
+from emberframe.llm.tally import firsts, key_bits, tallied, text_bytes
 from emberframe.llm.words import count_words, kept_words, word_hashes
 
 WINDOW = 20
@@ -50,12 +51,10 @@ SEED = 12
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Stands for what is before a text's first and after its last word.
 OUTSIDE = np.uint64(0x2545F4914F6CDD1D)
-
 #: Bits of a key beyond those that number the corpus' bytes; where two keys coincide, a branch may go unseen.
 SPARE = 26
-
-SPANS = "h1 long, h2 long, doc_id long, text_key long, first int, last int, seed long, windows array<long>"
-
+#: Sign bit, so that longs compare as unsigned numbers.
+SIGN = np.uint64(1 << 63)
 
 def _rolling(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of the ``width`` words from each place on, built from runs of doubled length."""
@@ -99,71 +98,102 @@ class Seeds:
         self.seed = least[new]
 
     def keys(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Even keys of the seeds, odd ones of the seeds with their surroundings."""
+        """Keys of the seeds and of the seeds with their surroundings; the two low bits tell them apart."""
         shift = np.uint64(64 - bits)
-        return (self.seed >> shift) & ~np.uint64(1), (self.around >> shift) | np.uint64(1)
+        return (self.seed >> shift) & ~np.uint64(3), (self.around >> shift) & ~np.uint64(3) | np.uint64(1)
+
+    def entries(self, count: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first, last window) of the nonbranching paths and of the windows at branching seeds, by row."""
+        repeated, free = count > 1, count == around
+        # a path goes on where two seeds of a text don't branch and are found equally often
+        joined = np.append(False, (self.row[1:] == self.row[:-1]) & free[1:] & free[:-1] & (count[1:] == count[:-1]))[: len(count)]
+        head = np.flatnonzero(~joined & free & repeated)
+        tail = np.flatnonzero(~np.append(joined[1:], False)[: len(count)] & free & repeated)
+        branch = np.flatnonzero(~free & repeated)
+        each = (self.last - self.first + 1)[branch]
+        single = np.repeat(self.first[branch], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        row = np.concatenate([self.row[head], np.repeat(self.row[branch], each)])
+        by_row = np.argsort(row, kind="stable")
+        begin = self.bounds[:-1][row[by_row]]
+        return row[by_row], np.concatenate([self.first[head], single])[by_row] - begin, np.concatenate([self.last[tail], single])[by_row] - begin
+
+
+def _id_keys(ids: pa.ChunkedArray, bits: int) -> np.ndarray:
+    known = mix64(ids.fill_null(0).to_numpy().view(np.uint64) + ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64) * STEP)
+    return (known >> np.uint64(64 - bits)) & ~np.uint64(3) | np.uint64(2)
+
 
+def _texts(rows: pa.Table) -> Texts:
+    return Texts(rows.column("text").combine_chunks())
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(h1, h2, doc_id, text_key, first, last, seed, windows): runs of windows, from the first to the last, that may be repeated.
 
-    ``seed`` and ``windows`` (a hash of each) are null for a nonbranching path.
-    """
-    rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
-    total = text_bytes(docs)
+def with_entries(rows: DataFrame, total: int, window: int, seed: int) -> DataFrame:
+    """``rows`` (text, id, text_key and others), with their slice, what tells rows of one id apart, and the first and last windows of their entries."""
     bits = key_bits(total, SPARE)
+    names = rows.columns
 
     def keys_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        seeds = Seeds(Texts(rows.column("text").combine_chunks()), window, seed)
-        keys, counts = np.unique(np.concatenate(seeds.keys(bits)), return_counts=True)
+        own = _id_keys(rows.column("id"), bits)
+        keys, counts = np.unique(np.concatenate([own, *Seeds(_texts(rows), window, seed).keys(bits)]), return_counts=True)
         return keys, counts[None]
 
     def finish(rows: pa.Table, keys: np.ndarray, totals: np.ndarray, _: np.ndarray) -> pa.Table:
-        s = Seeds(Texts(rows.column("text").combine_chunks()), window, seed)
-        count, around = (totals[0, np.searchsorted(keys, k)] for k in s.keys(bits))
-        repeated, free = count > 1, count == around
-        # a path goes on where two seeds of a text don't branch and are found equally often
-        joined = np.append(False, (s.row[1:] == s.row[:-1]) & free[1:] & free[:-1] & (count[1:] == count[:-1]))[: len(count)]
-        head = np.flatnonzero(~joined & free & repeated)
-        tail = np.flatnonzero(~np.append(joined[1:], False)[: len(count)] & free & repeated)
-        branch = np.flatnonzero(~free & repeated)
-        pick = np.concatenate([head, branch])
-        row, first, last = s.row[pick], s.first[pick], np.concatenate([s.last[tail], s.last[branch]])
-        raw = memoryview(s.words.tobytes())
-        digests = b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * (b + window)]) for a, b in zip(first.tolist(), last.tolist(), strict=True))
-        halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
-        each = np.append(np.zeros(len(head), np.int64), (s.last - s.first + 1)[branch])
-        ends = np.cumsum(np.append(0, each))
-        place = np.repeat(first - ends[:-1], each) + np.arange(ends[-1])
-        hashes = _rolling(s.words, window)[place].view(np.int64)
-        no = np.arange(len(pick)) < len(head)
-        begin, take = s.bounds[:-1][row], pa.array(row)
-        return pa.table({
-            "h1": pa.array(halves[:, 0].copy()), "h2": pa.array(halves[:, 1].copy()),
-            "doc_id": rows.column("doc_id").take(take), "text_key": rows.column("text_key").take(take),
-            "first": pa.array((first - begin).astype(np.int32)), "last": pa.array((last - begin).astype(np.int32)),
-            "seed": pa.array(s.seed[pick].view(np.int64), mask=no),
-            "windows": pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(no, False)), pa.array(hashes)),
-        })
-
-    return tallied(rows, total, bits, keys_of, finish, SPANS)
-
-
-def removed_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, text_key, spans): runs of windows (first, last) of each document whose words go."""
-    spans = cut(repeated_spans(docs, window, seed))
-    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "first")
-    origins = spans.groupBy("h1", "h2").agg(F.min(here).alias("origin"))
-    met = spans.withColumn("here", here).join(origins, ["h1", "h2"])
-    again = ~F.col("here").eqNullSafe(F.col("origin"))
-    # a row of its own for each window of what is first met at a branching seed
-    apart = cut(met.where(~again & F.col("windows").isNotNull()).select("doc_id", "text_key", "seed", "first", F.posexplode("windows").alias("nth", "hash")))
-    apart = apart.select("doc_id", "text_key", "seed", "hash", (F.col("first") + F.col("nth")).alias("first"))
-    firsts = apart.groupBy("seed", "hash").agg(F.min(here).alias("origin"))
-    single = apart.withColumn("here", here).join(firsts, ["seed", "hash"]).where(again).withColumn("last", F.col("first"))
-    columns = ["doc_id", "text_key", "first", "last"]
-    later = met.where(again).select(columns).unionByName(single.select(columns))
-    return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+        count = lambda wanted: totals[0, np.searchsorted(keys, wanted)]
+        seeds = Seeds(_texts(rows), window, seed)
+        row, first, last = seeds.entries(*map(count, seeds.keys(bits)))
+        ends = pa.array(np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32))
+        apart = np.where(count(_id_keys(rows.column("id"), bits)) > 1, rows.column("text_key").to_numpy(), 0)
+        spans = {c: pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for c, v in (("first", first), ("last", last))}
+        return pa.table({n: rows.column(n) for n in names} | {"slice": rows.column("slice"), "apart": pa.array(apart)} | spans)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return tallied(rows, total, bits, keys_of, finish, f"{kinds}, slice long, apart long, first array<int>, last array<int>")
+
+
+class Entries:
+    """Entries of a slice: their row, windows, key, and the coordinate that they start at as three unsigned numbers."""
+
+    def __init__(self, rows: pa.Table, window: int):
+        texts = _texts(rows)
+        words, bounds = word_hashes(texts, False)
+        first, last = (rows.column(c).combine_chunks() for c in ("first", "last"))
+        self.row = np.repeat(np.arange(rows.num_rows), np.diff(first.offsets.to_numpy()))
+        self.first, self.last = first.flatten().to_numpy(), last.flatten().to_numpy()
+        begin = bounds[:-1][self.row]
+        raw = memoryview(words.tobytes())
+        spans = zip((8 * (begin + self.first)).tolist(), (8 * (begin + self.last + window)).tolist(), strict=True)
+        self.key = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in spans), np.uint64, len(self.row))
+        ids = rows.column("id").fill_null(0).to_numpy().view(np.uint64) ^ SIGN
+        ids = np.where(rows.column("id").is_null().to_numpy(zero_copy_only=False), ~np.uint64(0), ids)
+        self.at = np.stack([ids[self.row], (rows.column("apart").to_numpy().view(np.uint64) ^ SIGN)[self.row], self.first.astype(np.uint64)])
+
+    def least(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, each entry's place in them, the least coordinate of each key)."""
+        order = np.lexsort((*self.at[::-1], self.key))
+        keys, start, where = np.unique(self.key[order], return_index=True, return_inverse=True)
+        place = np.empty(len(order), np.int64)
+        place[order] = where
+        return keys, place, self.at[:, order[start]]
+
+
+def _dedup(rows: DataFrame, window: int, seed: int, result: Callable, schema: str) -> DataFrame:
+    """``result(rows, [(words, words that go, kept words joined by one space)])`` of the slices of ``rows``."""
+    total = text_bytes(rows)
+
+    def keys_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        keys, _, least = Entries(rows, window).least()
+        return keys, least
+
+    def finish(rows: pa.Table, _: np.ndarray, told: np.ndarray, __: np.ndarray) -> pa.Table:
+        entries = Entries(rows, window)
+        keys, place, least = entries.least()
+        again = (entries.at != least[:, place]).any(0) | (told[0, place] == 0 if len(keys) else False)
+        row, spans = entries.row[again], np.stack([entries.first, entries.last], 1)[again]
+        ends = np.searchsorted(row, np.arange(rows.num_rows + 1))
+        texts = rows.column("text").cast(pa.large_binary()).to_pylist()
+        return result(rows, [_kept(t or b"", spans[a:b], window) for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)])
+
+    return tallied(with_entries(rows, total, window, seed), total, 64, keys_of, finish, schema, firsts)
 
 
 def _kept(text: bytes, spans: np.ndarray, window: int) -> tuple[int, int, bytes]:
@@ -176,48 +206,30 @@ def _kept(text: bytes, spans: np.ndarray, window: int) -> tuple[int, int, bytes]
     return n, int(n - keep.sum()), kept_words(text, keep)
 
 
-def _with_spans(docs: DataFrame, window: int, seed: int) -> tuple[DataFrame, str]:
-    """``docs`` and what goes of each, in a column of the name returned."""
-    key, same, name = fresh(docs, "text_key"), fresh(docs, "of_id"), fresh(docs, "spans")
-    gone = removed_windows(docs, window, seed).select(F.col("doc_id").alias(same), F.col("text_key").alias(key), F.col("spans").alias(name))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col(same)) & (text_key() == F.col(key))
-    # hashing the spans spares sorting the texts
-    return docs.join(gone.hint("shuffle_hash"), on, "left").drop(same, key), name
-
-
-def _texts_and_spans(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray]]]:
-    for batch in slices(batches):
-        spans = batch.column(name)
-        pairs = np.stack([spans.values.field(x).to_numpy() for x in ("first", "last")], axis=1)
-        ends = spans.offsets.to_numpy()
-        yield batch, batch.column("text").cast(pa.large_binary()).to_pylist(), [pairs[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
 def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``docs`` with the kept words, joined by one space, as text; a null text stays null."""
-    marked, name = _with_spans(docs, window, seed)
     names = docs.columns
+    held = {c: f"c{i}" for i, c in enumerate(names) if c != "text"}
+    rows = docs.select(docs["text"], docs["doc_id"].cast("long").alias("id"), text_key().alias("text_key"), *(docs[c].alias(h) for c, h in held.items()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts, spans in _texts_and_spans(batches, name):
-            kept = [None if t is None else _kept(t, s, window)[2].decode() for t, s in zip(texts, spans, strict=True)]
-            columns = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+    def result(rows: pa.Table, found: list[tuple[int, int, bytes]]) -> pa.Table:
+        none = rows.column("text").is_null().to_pylist()
+        texts = pa.array([None if gone else kept.decode() for gone, (_, _, kept) in zip(none, found, strict=True)], pa.string())
+        return pa.table([texts if c == "text" else rows.column(held[c]) for c in names], names)
 
-    return marked.mapInArrow(run, docs.schema)
+    return _dedup(rows, window, seed, result, docs.schema)
 
 
 def digest(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
-    marked, name = _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), window, seed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts, spans in _texts_and_spans(batches, name):
-            n, gone, kept = zip(*(_kept(t or b"", s, window) for t, s in zip(texts, spans, strict=True)), strict=True)
-            sha = [hashlib.sha256(k).hexdigest() for k in kept]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def result(rows: pa.Table, found: list[tuple[int, int, bytes]]) -> pa.Table:
+        n, gone, kept = zip(*found, strict=True)
+        sha = [hashlib.sha256(k).hexdigest() for k in kept]
+        return pa.table({"doc_id": rows.column("id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
-    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = docs.select("text", F.col("doc_id").cast("long").alias("id"), text_key().alias("text_key"))
+    return _dedup(rows, window, seed, result, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE = f"""

@@ -30,9 +30,26 @@ from pyspark.sql import functions as F
 SLICE_BYTES = (1 << 18, 1 << 26)
 PART_BYTES = (1 << 20, 1 << 26)
 
+#: (place of every entry among the part's keys, entries' counts: one row for each, number of keys) -> what each entry is told, one row for each.
+Merge = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+
+
+def sums(where: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Every entry is told its key's totals."""
+    return np.stack([np.bincount(where, c.astype(float), n).astype(np.uint64)[where] for c in counts])
+
+
+def firsts(where: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Every entry is told whether its counts, compared in order, are the least of its key."""
+    order = np.lexsort((*counts[::-1], where))
+    least = np.zeros(n, np.int64)
+    least[where[order[::-1]]] = order[::-1]
+    return (counts == counts[:, least[where]]).all(0)[None].astype(np.uint64)
+
+
 #: A slice's rows -> (its distinct keys in ascending order, counts: one row for each thing that is counted).
 Keys = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
-#: (a slice's rows, its keys, totals of the corpus, the corpus' sums over the even keys: how many, and of each count).
+#: (a slice's rows, its keys, what each is told, the corpus' sums over the even keys: how many, and of each count).
 Finish = Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table]
 
 
@@ -58,8 +75,11 @@ def _grain(total: int, scale: int, bounds: tuple[int, int]) -> float:
     return min(max(scale * (2048 * total) ** 0.5, bounds[0]), bounds[1])
 
 
-def tallied(docs: DataFrame, total: int, bits: int, keys_of: Keys, finish: Finish, schema: str) -> DataFrame:
-    """``finish`` of every slice of ``docs`` (text and whatever else it needs), which hold ``total`` bytes of text."""
+def tallied(docs: DataFrame, total: int, bits: int, keys_of: Keys, finish: Finish, schema: str, merge: Merge = sums) -> DataFrame:
+    """``finish`` of every slice of ``docs`` (text and whatever else it needs), which hold ``total`` bytes of text.
+
+    A column ``slice`` of ``docs`` says how they were dealt before.
+    """
     slices = max(1, ceil(total / _grain(total, 1, SLICE_BYTES)))
     part_bits = min(bits, ceil(log2(max(1, total / _grain(total, 4, PART_BYTES)))))
     shift = np.uint64(bits - part_bits)
@@ -83,30 +103,30 @@ def tallied(docs: DataFrame, total: int, bits: int, keys_of: Keys, finish: Finis
         known = np.unique(keys)
         kinds = max((len(c) for c in counts if c is not None), default=0)
         where = np.searchsorted(known, keys)
-        totals = np.zeros((kinds, len(known)), np.uint64)
-        for k in range(kinds):
-            totals[k] = np.bincount(where, np.concatenate([c[k] for c in counts if c is not None]).astype(float), len(known))
+        entries = np.concatenate([np.zeros((kinds, 0), np.uint64), *(c for c in counts if c is not None)], axis=1)
+        told = merge(where, entries, len(known)) if kinds else entries
         even = known % np.uint64(2) == 0
-        whole = np.append(np.uint64(even.sum()), totals[:, even].sum(1)).astype(np.uint64)
+        whole = np.append(np.uint64(even.sum()), entries[:, even[where]].sum(1)).astype(np.uint64)
         ends = np.cumsum([len(k) for k in sent])
         return pa.table({
             "slice": rows.column("slice"),
             "part": rows.column("part"),
-            "totals": pa.array([pack(totals[:, where[b - len(k) : b]].ravel()) for k, b in zip(sent, ends.tolist(), strict=True)], pa.binary()),
+            "totals": pa.array([pack(told[:, b - len(k) : b].ravel()) for k, b in zip(sent, ends.tolist(), strict=True)], pa.binary()),
             "whole": pa.array([pack(whole)] * len(sent), pa.binary()),
         })
 
     def close(rows: pa.Table, answers: pa.Table) -> pa.Table:
         keys, counts = keys_of(rows)
         parts = answers.sort_by("part").to_pydict()
-        totals = [t.reshape(len(counts), -1) for t in map(unpack, parts["totals"]) if len(t)]
+        told = [t for t in map(unpack, parts["totals"]) if len(t)]
+        totals = [t.reshape(sum(map(len, told)) // len(keys), -1) for t in told]
         whole = np.zeros(1 + len(counts), np.uint64)
         for w in map(unpack, parts["whole"]):
             whole[: len(w)] += w
         return finish(rows, keys, np.concatenate(totals, 1) if totals else counts, whole)
 
     salted = F.xxhash64("text", F.monotonically_increasing_id())
-    sliced = docs.withColumn("slice", F.pmod(salted, F.lit(slices))).groupBy("slice")
+    sliced = (docs if "slice" in docs.columns else docs.withColumn("slice", F.pmod(salted, F.lit(slices)))).groupBy("slice")
     sent = sliced.applyInArrow(send, "part long, slice long, keys binary, counts binary")
     answers = sent.groupBy("part").applyInArrow(add, "slice long, part long, totals binary, whole binary")
     return sliced.cogroup(answers.groupBy("slice")).applyInArrow(close, schema)
