@@ -31,7 +31,6 @@ columns play no part.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
@@ -151,7 +150,7 @@ def _matrix(rows: pd.Series) -> np.ndarray:
 
 
 #: A group in one row: its anchors in the order of its tree's places.
-GROUPED = "part long, chunk long, uid array<long>, id array<long>, label array<long>, v array<long>, order array<long>, parent array<long>, positives array<array<struct<id: long, score: long>>>"
+GROUPED = "part long, chunk long, uid array<long>, id array<long>, label array<long>, v array<long>, order array<long>, parent array<long>, ends array<long>, positive array<long>, positive_score array<long>"
 
 
 def _grouped(anchors: DataFrame) -> DataFrame:
@@ -161,7 +160,9 @@ def _grouped(anchors: DataFrame) -> DataFrame:
         rows = rows.sort_values("uid")
         v = _matrix(rows["v"])
         held = [rows[c].to_numpy() for c in ("uid", "id", "label")]
-        return pd.DataFrame([(*key, *held, v.ravel(), *_tree(v), rows["positives"].tolist())], columns=_names(GROUPED))
+        ends = np.cumsum(rows["positive"].map(len).to_numpy())
+        flat = [np.concatenate(rows[c].to_numpy()) for c in ("positive", "positive_score")]
+        return pd.DataFrame([(*key, *held, v.ravel(), *_tree(v), ends, *flat)], columns=_names(GROUPED))
 
     return anchors.groupBy("part", "chunk").applyInPandas(build, GROUPED)
 
@@ -186,7 +187,7 @@ def _met(candidates: DataFrame, groups: DataFrame, scan: Callable, schema: str)
 
 
 def _names(schema: str) -> list[str]:
-    return re.findall(r"(?:^|, )(\w+) ", re.sub(r"struct<.*?>", "", schema))
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _slot(what: str, n: Column) -> Column:
@@ -201,7 +202,7 @@ FOUND = "uid long, anchor_id long, own long, id long, score long"
 
 
 def positives(rows: DataFrame, anchors: DataFrame, n: int = POSITIVES) -> DataFrame:
-    """(uid, positives): each anchor's ``n`` best other rows of its label, best first.  ``rows`` and ``anchors`` hold uid, id, label, v."""
+    """(uid, positive, positive_score): the ids and scores of each anchor's ``n`` best other rows of its label, best first.  ``rows`` and ``anchors`` hold uid, id, label, v."""
 
     def scan(ids: np.ndarray, _: np.ndarray, g: pd.Series, search: Search) -> Iterator[tuple]:
         near: dict[int, np.ndarray] = {}
@@ -221,19 +222,20 @@ def positives(rows: DataFrame, anchors: DataFrame, n: int = POSITIVES) -> DataFr
     sizes = sizes.select(F.col("label").alias("part"), F.ceil(F.col("rows") / BLOCK[1]).alias("blocks"), F.ceil(F.col("anchors") / GROUP).alias("chunks"))
     candidates = rows.withColumn("part", F.col("label")).join(sizes, "part").withColumn("block", _slot("block", F.col("blocks"))).withColumn("chunk", _each(F.col("chunks")))
     own = anchors.withColumn("part", F.col("label")).join(sizes, "part").withColumn("chunk", _slot("chunk", F.col("chunks")))
-    groups = _grouped(own.withColumn("positives", F.lit(None).cast("array<struct<id: long, score: long>>"))).join(sizes, "part").withColumn("block", _each(F.col("blocks")))
+    nothing = F.array().cast("array<long>")
+    groups = _grouped(own.withColumn("positive", nothing).withColumn("positive_score", nothing)).join(sizes, "part").withColumn("block", _each(F.col("blocks")))
     found = _met(candidates.drop("blocks", "chunks"), groups.drop("blocks", "chunks"), scan, FOUND)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= n + 1)
     # the anchor itself, if it is among the best, is the row with its id and its score with itself
     itself = F.min(F.when((F.col("id") == F.col("anchor_id")) & (F.col("score") == F.col("own")), F.col("rank"))).over(Window.partitionBy("uid"))
     others = ranked.withColumn("itself", itself).where("itself is null or rank <> itself").where(F.col("rank") - F.coalesce((F.col("rank") > F.col("itself")).cast("int"), F.lit(0)) <= n)
     listed = F.array_sort(F.collect_list(F.struct("rank", "id", "score")))
-    return others.groupBy("uid").agg(F.transform(listed, lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score"))).alias("positives"))
+    return others.groupBy("uid").agg(listed.alias("best")).select("uid", F.col("best.id").alias("positive"), F.col("best.score").alias("positive_score"))
 
 
-def windows_of(positives: Iterable, low: int, high: int) -> list[tuple[int, int]]:
+def windows_of(scores: Iterable[int], low: int, high: int) -> list[tuple[int, int]]:
     """Least and greatest whole score between ``low`` and ``high`` hundredths of each positive's; some hold nothing."""
-    return [(-(-low * int(p["score"]) // 100), high * int(p["score"]) // 100) for p in positives]
+    return [(-(-low * int(s) // 100), high * int(s) // 100) for s in scores]
 
 
 NEGATIVE = "uid long, nth long, anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
@@ -251,7 +253,7 @@ def _hubs(anchors: DataFrame, low: int, high: int) -> tuple[DataFrame, np.ndarra
             if len(batch):
                 v = _matrix(batch["v"]).astype(float)
                 part = np.array([((near - x) ** 2).sum(1).argmin() for x in v])
-                spans = [[w for w in windows_of(p, low, high) if w[0] <= w[1]] for p in batch["positives"]]
+                spans = [[w for w in windows_of(p, low, high) if w[0] <= w[1]] for p in batch["positive_score"]]
                 yield pd.DataFrame({
                     "uid": batch["uid"], "part": part, "off": np.sqrt(((v - near[part]) ** 2).sum(1)),
                     "least": [float(min((w[0] for w in s), default=np.inf)) for s in spans], "most": [float(max((w[1] for w in s), default=-np.inf)) for s in spans],
@@ -300,7 +302,9 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, n_positives: int = POSITI
     blocks = F.lit(-(-total // int(np.clip(total // BLOCKS, *BLOCK))))
 
     def scan(ids: np.ndarray, labels: np.ndarray, g: pd.Series, search: Search) -> Iterator[tuple]:
-        spans = [windows_of(p, low, high) for p in g["positives"]]
+        cuts = g["ends"][:-1]
+        partners = list(zip(np.split(g["positive"], cuts), np.split(g["positive_score"], cuts), strict=True))
+        spans = [windows_of(scores, low, high) for _, scores in partners]
 
         def window(k: int) -> tuple[float, float, float]:
             full = [w for w in spans[k] if w[0] <= w[1]]
@@ -310,10 +314,10 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, n_positives: int = POSITI
             least, most, _ = window(k)
             other = np.flatnonzero((labels[at] != g["label"][k]) & (s >= least) & (s <= most))
             at, s = at[other], s[other]
-            for nth, ((a, b), p) in enumerate(zip(spans[k], g["positives"][k], strict=True)):
+            for nth, ((a, b), positive, score) in enumerate(zip(spans[k], *partners[k], strict=True)):
                 fit = np.flatnonzero((s >= a) & (s <= b))
                 pick = fit[_best(s[fit], at[fit], n)]
-                yield from ((g["uid"][k], nth, g["id"][k], p["id"], p["score"], i, x) for i, x in zip(ids[at[pick]].tolist(), s[pick].tolist(), strict=True))
+                yield from ((g["uid"][k], nth, g["id"][k], positive, score, i, x) for i, x in zip(ids[at[pick]].tolist(), s[pick].tolist(), strict=True))
 
     candidates = _concerned(rows, points, by_hub).withColumn("block", _slot("block", blocks)).select("part", "chunk", "block", "id", "label", "v")
     groups = _grouped(placed).withColumn("block", _each(blocks))
