@@ -46,6 +46,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """As many names, all different, that are none of ``df``'s columns."""
+    longest = max([0, *(len(c) - len(c.lstrip("_")) for c in df.columns)])
+    return [f"{'_' * (longest + 1)}{n}" for n in names]
+
+
 def hash_sample(rows: DataFrame, key: str, size: int) -> tuple[int, DataFrame]:
     """(number of rows, the ``size`` rows with the least hash of ``key``); the same rows at every run.
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import text_key
+from emberframe.llm.common import fresh_names, text_key
 
 WINDOW = 13
 MISMATCHES = 2
@@ -112,8 +112,10 @@ def _whole(docs: DataFrame, items: DataFrame, small: bool) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a verified overlap, with all their columns."""
-    bad = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).distinct()
-    return docs.withColumn("_key", text_key()).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left_anti").select(*docs.columns)
+    key, id_, text = fresh_names(docs, "key", "id", "text")
+    bad = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias(id_), F.col("text_key").alias(text)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(text))
+    return docs.withColumn(key, text_key()).join(bad, same, "left_anti").select(*docs.columns)
 
 
 #: Every diagonal that shares four adjacent tokens is laid out in full: a window of 13 with two substitutions always has four in a row.

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import cut, slices, text_key
+from emberframe.llm.common import cut, fresh_names, slices, text_key
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -159,11 +159,13 @@ def kept_lines(text: bytes | None, keep: bytes | None) -> tuple[list[bytes], lis
     return lines, [x for i, x in enumerate(lines) if i >= len(bits) or bits[i]]
 
 
-def _with_bitmaps(docs: DataFrame, **options) -> DataFrame:
-    maps = keep_bitmaps(docs, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("keep").alias("_keep"))
-    keyed = docs.withColumn("_key", text_key())
+def _with_bitmaps(docs: DataFrame, **options) -> tuple[DataFrame, str]:
+    """``docs`` and each one's bitmap, in a column of the name returned."""
+    key, id_, text, keep = fresh_names(docs, "key", "id", "text", "keep")
+    maps = keep_bitmaps(docs, **options).select(F.col("doc_id").alias(id_), F.col("text_key").alias(text), F.col("keep").alias(keep))
     # hashing the bitmaps spares sorting the texts
-    return keyed.join(maps.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(text))
+    return docs.withColumn(key, text_key()).join(maps.hint("shuffle_hash"), same, "left"), keep
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
@@ -173,23 +175,25 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     def rebuilt(text, keep):
         return text.combine(keep, lambda t, k: t if k is None or t is None else b"\n".join(kept_lines(t.encode(), k)[1]).decode())
 
-    return _with_bitmaps(docs, **options).withColumn("text", rebuilt("text", "_keep")).select(*docs.columns)
+    marked, keep = _with_bitmaps(docs, **options)
+    return marked.withColumn("text", rebuilt("text", keep)).select(*docs.columns)
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, kept_sha256."""
+    marked, name = _with_bitmaps(docs.select(F.col("doc_id").cast("long"), "text"), **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             n, gone, sha = [], [], []
-            for text, keep in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_keep").to_pylist(), strict=True):
+            for text, keep in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column(name).to_pylist(), strict=True):
                 lines, kept = kept_lines(text, keep)
                 n.append(len(lines))
                 gone.append(len(lines) - len(kept))
                 sha.append(hashlib.sha256(b"\n".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return _with_bitmaps(docs.select(F.col("doc_id").cast("long"), "text"), **options).select("doc_id", "text", "_keep").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return marked.select("doc_id", "text", name).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 ORACLE = f"""

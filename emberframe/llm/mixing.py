@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import WORD, cut, text_key
+from emberframe.llm.common import cut, fresh_names, text_key, WORD
 
 #: Blocks that each size class of a source is dealt to: so many at least, and one for so many rows of the table.
 BLOCKS, BLOCK_ROWS = 251, 65_536
@@ -112,16 +112,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all columns of ``docs``."""
-    keyed = docs.withColumn("_key", text_key())
+    key, id_, of, text, rows, copies, own, copy = fresh_names(docs, "key", "id", "source", "text", "rows", "copies", "own", "copy")
     # identical rows are merged into one with the sum of their copies, so that the join doesn't multiply them
-    copies = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_text")).agg(
-        F.count("*").alias("_rows"), F.sum("copies").alias("_copies")
-    ).where("_copies > 0")
-    joined = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_text")))
-    alike = Window.partitionBy("_id", "_source", "_text").orderBy(F.lit(0))
-    nth = F.when(F.col("_rows") > 1, F.row_number().over(alike)).otherwise(1)
-    own = F.floor(F.col("_copies") * nth / F.col("_rows")) - F.floor(F.col("_copies") * (nth - 1) / F.col("_rows"))
-    return joined.withColumn("_own", own.cast("int")).where("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias(id_), F.col("source").alias(of), F.col("text_key").alias(text)).agg(
+        F.count("*").alias(rows), F.sum("copies").alias(copies)
+    ).where(F.col(copies) > 0)
+    keyed = docs.withColumn(key, text_key())
+    joined = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(of)) & (F.col(key) == F.col(text)))
+    alike = Window.partitionBy(id_, of, text).orderBy(F.lit(0))
+    nth = F.when(F.col(rows) > 1, F.row_number().over(alike)).otherwise(1)
+    share = F.floor(F.col(copies) * nth / F.col(rows)) - F.floor(F.col(copies) * (nth - 1) / F.col(rows))
+    repeated = joined.withColumn(own, share.cast("int")).where(F.col(own) > 0)
+    return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own)))).select(*docs.columns)
 
 
 ORACLE = f"""
