@@ -252,7 +252,9 @@ def peat_corridor(spark, sf_dir):
 
 
 # Scenes.
-_SCENES = """, covered AS (SELECT e.event, e.first, e.last, s.* FROM ev e JOIN scenes s ON e.lon >= s.west AND e.lon < s.east AND e.lat >= s.south AND e.lat < s.north WHERE sensor <> 'S2' OR cloud <= 50),
+_SCENES = """, covered AS (SELECT e.event, e.first, e.last, s.* FROM ev e JOIN scenes s
+  ON e.lon >= s.west AND e.lat >= s.south AND (e.lon < s.east OR footprint = 'bbox' AND e.lon = s.east) AND (e.lat < s.north OR footprint = 'bbox' AND e.lat = s.north) AND (gap IS NULL OR e.lon < gap - 0.1::DOUBLE OR e.lon >= gap + 0.1::DOUBLE)
+  WHERE sensor <> 'S2' OR cloud <= 50),
 sided AS (SELECT *, 'pre' AS position, epoch_us(first - acquired) / 3600e6 AS delta FROM covered WHERE acquired <= first UNION ALL SELECT *, 'post', epoch_us(acquired - last) / 3600e6 FROM covered WHERE acquired >= last),
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event, sensor, position ORDER BY delta, cloud NULLS LAST, acquired, scene_id) AS k FROM sided) WHERE k = 1)"""
 
@@ -264,7 +266,7 @@ def selected(spark, sf_dir):
     return sc.select_scenes(lens.events(spark, sf_dir), lens.scenes(spark, sf_dir))
 
 
-@query("scene_selection", with_views("obs", "members", "ev", "scenes", body=_SCENES + " SELECT event, sensor, position, scene_id, acquired, round(delta, 6) AS delta_hours, cloud, CASE WHEN scene_id % 13 <> 0 THEN 'geometry' ELSE 'bbox' END AS footprint FROM chosen"))
+@query("scene_selection", with_views("obs", "members", "ev", "scenes", body=_SCENES + " SELECT event, sensor, position, scene_id, acquired, round(delta, 6) AS delta_hours, cloud, footprint FROM chosen"))
 def scene_selection(spark, sf_dir):
     return selected(spark, sf_dir)
 

@@ -100,18 +100,20 @@ def raster(spark: SparkSession) -> DataFrame:
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imagery catalogue items of two sensors."""
+    """Imagery catalogue items of two sensors: mostly half a degree wide, some of them far wider, in two parts, without a box or without a geometry."""
     p = F.col("p_partkey").cast("long")
     lat, lon = _d(-4.6) + ((p * 17) % 50) * _d(0.04), _d(115.2) + ((p * 29) % 50) * _d(0.04)
-    box = F.struct((lon - 0.25).alias("west"), (lat - 0.25).alias("south"), (lon + 0.25).alias("east"), (lat + 0.25).alias("north"))
-    ring = F.array(*(F.array(x, y) for x, y in ((lon - 0.25, lat - 0.25), (lon + 0.25, lat - 0.25), (lon + 0.25, lat + 0.25), (lon - 0.25, lat + 0.25), (lon - 0.25, lat - 0.25))))
+    across, up = F.when(p % 17 == 0, _d(1.2)).otherwise(_d(0.25)), F.when(p % 17 == 0, _d(0.9)).otherwise(_d(0.25))
+    west, south, east, north = lon - across, lat - up, lon + across, lat + up
+    box = F.struct(west.alias("west"), south.alias("south"), east.alias("east"), north.alias("north"))
+    square = lambda w, e: F.array(F.array(*(F.array(x, y) for x, y in ((w, south), (e, south), (e, north), (w, north), (w, south)))))
     return table(spark, sf_dir, "part").select(
         p.alias("scene_id"),
         F.when(p % 2 == 0, "S1").otherwise("S2").alias("sensor"),
         F.timestamp_seconds(F.lit(1702598400) + ((p * 37) % 1440) * 3600).alias("acquired"),
         F.when(p % 11 != 0, F.least(F.col("p_size").cast("double") * 2, _d(100))).alias("cloud"),
-        box.alias("box"),
-        F.when(p % 13 != 0, F.array(ring)).alias("rings"),
+        F.when((p % 19 != 0) | (p % 13 == 0), box).alias("box"),
+        F.when(p % 13 == 0, None).when(p % 23 == 0, F.array(square(west, lon - 0.1), square(lon + 0.1, east))).otherwise(F.array(square(west, east))).alias("polygons"),
     )
 
 
@@ -171,8 +173,10 @@ SQL: dict[str, str] = {
   FROM (SELECT unnest(range(260)) AS r), (SELECT unnest(range(260)) AS c))""",
     "scenes": """scenes AS (
   SELECT p AS scene_id, CASE WHEN p % 2 = 0 THEN 'S1' ELSE 'S2' END AS sensor, make_timestamp((1702598400 + ((p * 37) % 1440) * 3600) * 1000000) AS acquired,
-    CASE WHEN p % 11 <> 0 THEN least(p_size::DOUBLE * 2, 100) END AS cloud, lon - 0.25::DOUBLE AS west, lat - 0.25::DOUBLE AS south, lon + 0.25::DOUBLE AS east, lat + 0.25::DOUBLE AS north
-  FROM (SELECT p_partkey::BIGINT AS p, p_size, -4.6::DOUBLE + ((p_partkey * 17) % 50) * 0.04::DOUBLE AS lat, 115.2::DOUBLE + ((p_partkey * 29) % 50) * 0.04::DOUBLE AS lon FROM part))""",
+    CASE WHEN p % 11 <> 0 THEN least(p_size::DOUBLE * 2, 100) END AS cloud, lon - across AS west, lat - up AS south, lon + across AS east, lat + up AS north,
+    CASE WHEN p % 13 = 0 THEN 'bbox' ELSE 'geometry' END AS footprint, p % 19 <> 0 OR p % 13 = 0 AS boxed, CASE WHEN p % 13 <> 0 AND p % 23 = 0 THEN lon END AS gap
+  FROM (SELECT p_partkey::BIGINT AS p, p_size, -4.6::DOUBLE + ((p_partkey * 17) % 50) * 0.04::DOUBLE AS lat, 115.2::DOUBLE + ((p_partkey * 29) % 50) * 0.04::DOUBLE AS lon,
+    CASE WHEN p_partkey % 17 = 0 THEN 1.2::DOUBLE ELSE 0.25::DOUBLE END AS across, CASE WHEN p_partkey % 17 = 0 THEN 0.9::DOUBLE ELSE 0.25::DOUBLE END AS up FROM part))""",
     "scopes": """scopes AS (
   SELECT r AS audit, w AS west, s AS south, w + 0.5::DOUBLE AS east, s + 0.5::DOUBLE AS north, DATE '2024-01-01' + (r * 5)::INTEGER AS start_day, DATE '2024-01-01' + (r * 5 + 5)::INTEGER AS end_day
   FROM (SELECT r_regionkey::BIGINT AS r, 115.2::DOUBLE + r_regionkey * 0.35::DOUBLE AS w, -4.6::DOUBLE + r_regionkey * 0.35::DOUBLE AS s FROM region))""",

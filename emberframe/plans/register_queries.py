@@ -139,11 +139,11 @@ def events_with_scenes(spark, sf_dir):
     return sc.events_with_scenes(lens.events(spark, sf_dir), _evidence(spark, sf_dir)).withColumn("scenes", F.array_join("scenes", ","))
 
 
-@query("scene_evidence", with_views(*_BASE, "scenes", body=context_queries.SCENES_SQL + " SELECT 'ENV_IMAGERY_' || event || '_' || sensor || '_' || position AS evidence_id, event, 'imagery' AS category, scene_id, round(delta, 6) AS delta_hours, cloud FROM chosen"))
+@query("scene_evidence", with_views(*_BASE, "scenes", body=context_queries.SCENES_SQL + " SELECT 'ENV_IMAGERY_' || event || '_' || sensor || '_' || position AS evidence_id, event, 'imagery' AS category, scene_id, round(delta, 6) AS delta_hours, cloud, footprint FROM chosen"))
 def scene_evidence(spark, sf_dir):
     rows = sc.scene_evidence(context_queries.selected(spark, sf_dir))
     v = F.from_json("value_json", "scene_id long, delta_hours double, cloud double, footprint string")
-    return rows.select("evidence_id", "event", "category", v["scene_id"].alias("scene_id"), v["delta_hours"].alias("delta_hours"), v["cloud"].alias("cloud"))
+    return rows.select("evidence_id", "event", "category", v["scene_id"].alias("scene_id"), v["delta_hours"].alias("delta_hours"), v["cloud"].alias("cloud"), v["footprint"].alias("footprint"))
 
 
 @query("imagery_candidates", with_views("scenes", body=" SELECT sensor, string_agg(scene_id::VARCHAR, ',' ORDER BY acquired, scene_id) AS scenes FROM (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY acquired, scene_id) AS k FROM scenes) WHERE k <= 10 GROUP BY sensor"))
@@ -419,12 +419,12 @@ def landed_daily(spark, sf_dir):
     return readers.daily_weather(spark, path, ["T2M", "WS10M"]).select(F.regexp_extract("file", r"part=(\d+)/", 1).cast("long").alias("grid_id"), "date", "T2M", "WS10M")
 
 
-@query("landed_catalogue", with_views("scenes", body=" SELECT scene_id::VARCHAR AS scene_id, sensor, acquired, cloud, west FROM scenes WHERE sensor = 'S2' AND west <= 116.0 AND east >= 115.5 AND south <= -3.0 AND north >= -4.0 AND acquired BETWEEN TIMESTAMP '2023-12-20' AND TIMESTAMP '2024-01-20'"))
+@query("landed_catalogue", with_views("scenes", body=" SELECT scene_id::VARCHAR AS scene_id, sensor, acquired, cloud, west FROM scenes WHERE boxed AND sensor = 'S2' AND west <= 116.0 AND east >= 115.5 AND south <= -3.0 AND north >= -4.0 AND acquired BETWEEN TIMESTAMP '2023-12-20' AND TIMESTAMP '2024-01-20'"))
 def landed_catalogue(spark, sf_dir):
     s = lens.scenes(spark, sf_dir)
     item = F.struct(
         F.col("scene_id").cast("string").alias("id"), F.struct(F.date_format("acquired", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"), F.col("cloud").alias("cloud_cover"), F.col("sensor").alias("platform")).alias("properties"),
-        F.array("box.west", "box.south", "box.east", "box.north").alias("bbox"),
+        F.when(F.col("box").isNotNull(), F.array("box.west", "box.south", "box.east", "box.north")).alias("bbox"),
     )
     pages = s.groupBy(F.floor(F.col("scene_id") / 10).alias("part")).agg(F.to_json(F.struct(F.collect_list(item).alias("features"))).alias("value"))
     items = sc.scene_fields(readers.catalogue(spark, _documents(pages, _folder(spark))))
