@@ -8,6 +8,8 @@ skewed join keys, which adaptive execution splits.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +52,11 @@ def pairs_within(points: DataFrame, radius_km: float, hours: float | None = None
         out = rows.select(*keys, F.col(key).alias("id"), "x_km", "y_km", "ts", cell("x_km", radius_km).alias("cx"), cell("y_km", radius_km).alias("cy"))
         return out if hours is None else out.withColumn("ct", F.floor(F.unix_micros("ts") / (hours * 3600e6)))
 
-    base = right = celled(points)
-    base = base if of is None else celled(of)
-    for c in on[len(keys) :]:
-        right = right.withColumn(c, _around(F.col(c)))
+    right = celled(points)
+    base = right if of is None else celled(of)
+    # the side that goes to the cells around: with ``of`` the fewer rows
+    spread = lambda rows: reduce(lambda d, c: d.withColumn(c, _around(F.col(c))), on[len(keys) :], rows)
+    base, right = (base, spread(right)) if of is None else (spread(base), right)
     left = base.select(*on, F.col("id").alias("a"), F.col("x_km").alias("ax"), F.col("y_km").alias("ay"), F.col("ts").alias("at"))
     right = right.select(*on, F.col("id").alias("b"), "x_km", "y_km", "ts")
     dx, dy = F.col("ax") - F.col("x_km"), F.col("ay") - F.col("y_km")

@@ -58,7 +58,7 @@ def nearby_detections(events: DataFrame, obs: DataFrame, radius_km: float = 10.0
     left = events.select("event", "lat", "lon", "first", "last")
     right = obs.select(F.col("event").alias("of_event"), "latitude", "longitude", "ts")
     margin = F.expr(f"INTERVAL {int(hours)} HOURS")
-    met = near(left, right, radius_km, ("lat", "lon"), ("latitude", "longitude")).where(
+    met = near(left, right, radius_km, ("lat", "lon"), ("latitude", "longitude"), hours=hours, left_in=("first", "last"), right_in=("ts", "ts")).where(
         (F.col("event") != F.col("of_event"))
         & F.col("ts").between(F.col("first") - margin, F.col("last") + margin)
         & (haversine_km(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude")) <= radius_km)

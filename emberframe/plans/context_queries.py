@@ -46,13 +46,27 @@ def _spans_sql(years: int) -> str:
     return ", spans AS (SELECT event, grid_id, w, y AS year, s - to_years(y::INTEGER) AS s, e - to_years(y::INTEGER) AS e FROM (" + " UNION ALL ".join(parts) + f"), (SELECT unnest(range({years + 1})) AS y))"
 
 
-_METRICS = """, met AS MATERIALIZED (SELECT sp.event, sp.w, date_trunc('day', ts) AS d, count(*) AS n, sum(precipitation) AS rain, max(temperature_2m) AS hot, sum(temperature_2m) AS tm, sum(relative_humidity_2m) AS rh, sum(wind_speed_10m) AS ws, sum(soil_moisture_0_to_7cm) AS sm,
-    sum(wind_speed_10m * sin(radians(wind_direction_10m))) AS ys, sum(wind_speed_10m * cos(radians(wind_direction_10m))) AS xs FROM spans sp JOIN weather h ON h.grid_id = sp.grid_id AND h.ts >= sp.s AND h.ts < sp.e WHERE year = 0 GROUP BY ALL),
-metrics AS (SELECT event, w, round(sum(rain), 4) AS rainfall_mm, max(hot) AS max_temperature_c, sum(tm) / sum(n) AS mean_temperature_c, sum(rh) / sum(n) AS mean_relative_humidity, sum(ws) / sum(n) AS mean_wind_speed, sum(sm) / sum(n) AS mean_soil_moisture,
-  date_diff('day', min(d), max(d)) + 1 - count(*) FILTER (WHERE round(rain, 6) >= 1) AS rain_free_days, CASE WHEN abs(sum(ys)) + abs(sum(xs)) > 1e-9 THEN (degrees(atan2(sum(ys), sum(xs))) + 360) % 360 END AS wind_direction_deg FROM met GROUP BY ALL)"""
-_ANOMALY = """, past AS (SELECT sp.event, sp.w, year, round(sum(precipitation), 4) AS rain FROM spans sp JOIN past_weather h ON h.grid_id = sp.grid_id AND h.ts >= sp.s AND h.ts < sp.e WHERE year > 0 GROUP BY ALL),
-base AS (SELECT event, w, sum(round(rain * 1e4)::BIGINT) / count(*) / 1e4 AS base FROM past GROUP BY ALL),
-anomaly AS (SELECT sp.event, sp.w, CASE WHEN base <> 0 AND rainfall_mm IS NOT NULL THEN round_even((rainfall_mm - base) / base * 100, 1) END AS anomaly_pct FROM spans sp LEFT JOIN base USING (event, w) LEFT JOIN metrics USING (event, w) WHERE sp.year = 0)"""
+#: Windows by day, joined on grid point and day: whole days from daily sums, hours for the days at the ends.
+_SUMS = """count(*) AS n, sum(precipitation) AS rain, max(temperature_2m) AS hot, sum(temperature_2m) AS tm, sum(relative_humidity_2m) AS rh, sum(wind_speed_10m) AS ws, sum(soil_moisture_0_to_7cm) AS sm,
+    sum(wind_speed_10m * sin(radians(wind_direction_10m))) AS ys, sum(wind_speed_10m * cos(radians(wind_direction_10m))) AS xs"""
+
+
+def _met_sql(name: str, source: str, years: str, sums: str) -> str:
+    return f"""{name}_span AS MATERIALIZED (SELECT event, w, year, grid_id, s, e, unnest(generate_series(date_trunc('day', s), date_trunc('day', e - INTERVAL 1 MICROSECOND), INTERVAL 1 DAY)) AS d FROM spans WHERE {years} AND e > s),
+{name}_hours AS MATERIALIZED (SELECT *, date_trunc('day', ts) AS d FROM {source}),
+{name}_day AS MATERIALIZED (SELECT grid_id, d, {sums} FROM {name}_hours GROUP BY grid_id, d),
+{name} AS MATERIALIZED (
+  SELECT sp.event, sp.w, sp.year, h.* EXCLUDE (grid_id) FROM {name}_span sp JOIN {name}_day h ON h.grid_id = sp.grid_id AND h.d = sp.d WHERE sp.d >= s AND sp.d + INTERVAL 1 DAY <= e
+  UNION ALL SELECT sp.event, sp.w, sp.year, sp.d, {sums} FROM {name}_span sp JOIN {name}_hours h ON h.grid_id = sp.grid_id AND h.d = sp.d WHERE NOT (sp.d >= s AND sp.d + INTERVAL 1 DAY <= e) AND h.ts >= sp.s AND h.ts < sp.e GROUP BY sp.event, sp.w, sp.year, sp.d)"""
+
+
+_METRICS = ", " + _met_sql("met", "weather", "year = 0", _SUMS) + """,
+metrics AS MATERIALIZED (SELECT event, w, round(sum(rain), 4) AS rainfall_mm, max(hot) AS max_temperature_c, sum(tm) / sum(n) AS mean_temperature_c, sum(rh) / sum(n) AS mean_relative_humidity, sum(ws) / sum(n) AS mean_wind_speed, sum(sm) / sum(n) AS mean_soil_moisture,
+  date_diff('day', min(d), max(d)) + 1 - count(*) FILTER (WHERE round(rain, 6) >= 1) AS rain_free_days, CASE WHEN abs(sum(ys)) + abs(sum(xs)) > 1e-9 THEN (degrees(atan2(sum(ys), sum(xs))) + 360) % 360 END AS wind_direction_deg FROM met GROUP BY event, w)"""
+_ANOMALY = ", " + _met_sql("past_met", "past_weather", "year > 0", "sum(precipitation) AS rain") + """,
+past AS (SELECT event, w, year, round(sum(rain), 4) AS rain FROM past_met GROUP BY event, w, year),
+base AS (SELECT event, w, sum(round(rain * 1e4)::BIGINT) / count(*) / 1e4 AS base FROM past GROUP BY event, w),
+anomaly AS MATERIALIZED (SELECT sp.event, sp.w, CASE WHEN base <> 0 AND rainfall_mm IS NOT NULL THEN round_even((rainfall_mm - base) / base * 100, 1) END AS anomaly_pct FROM spans sp LEFT JOIN base b ON b.event = sp.event AND b.w = sp.w LEFT JOIN metrics m ON m.event = sp.event AND m.w = sp.w WHERE sp.year = 0)"""
 _YEARS = 2
 SPANS_SQL, METRICS_SQL = _spans_sql(0), _METRICS
 
@@ -85,10 +99,11 @@ def rainfall_anomaly(spark, sf_dir):
     return _anomaly(spark, sf_dir, _spans(spark, sf_dir, _YEARS))
 
 
-_DAILY = """, daily_source AS (SELECT grid_id, ts::DATE AS date, sum(precipitation) + 0.5::DOUBLE AS rain, avg(temperature_2m) AS temperature, avg(relative_humidity_2m) AS humidity, avg(wind_speed_10m) AS wind FROM weather WHERE (day(ts) + grid_id) % 17 <> 0 GROUP BY ALL),
-other AS (SELECT event, w, sum(rain) AS r, avg(temperature) AS t, avg(humidity) AS h, avg(wind) AS v FROM spans sp JOIN daily_source d ON d.grid_id = sp.grid_id AND d.date BETWEEN sp.s::DATE AND sp.e::DATE WHERE year = 0 GROUP BY ALL),
-apart AS (SELECT event, w, round(round(rainfall_mm - r, 8) + 1e-9, 2) + 0 AS rain_diff, round(round(mean_temperature_c - t, 8) + 1e-9, 2) + 0 AS temperature_diff, round(round(mean_relative_humidity - h, 8) + 1e-9, 2) + 0 AS humidity_diff, round(round(mean_wind_speed - v, 8) + 1e-9, 2) + 0 AS wind_diff
-  FROM other JOIN spans sp USING (event, w) LEFT JOIN metrics USING (event, w) WHERE sp.year = 0)"""
+_DAILY = """, daily_source AS MATERIALIZED (SELECT grid_id, date_trunc('day', ts) AS d, sum(precipitation) + 0.5::DOUBLE AS rain, avg(temperature_2m) AS temperature, avg(relative_humidity_2m) AS humidity, avg(wind_speed_10m) AS wind FROM weather WHERE (day(ts) + grid_id) % 17 <> 0 GROUP BY grid_id, date_trunc('day', ts)),
+dated AS (SELECT event, w, grid_id, unnest(generate_series(date_trunc('day', s), date_trunc('day', e), INTERVAL 1 DAY)) AS d FROM spans WHERE year = 0),
+other AS MATERIALIZED (SELECT event, w, sum(rain) AS r, avg(temperature) AS t, avg(humidity) AS h, avg(wind) AS v FROM dated sp JOIN daily_source s ON s.grid_id = sp.grid_id AND s.d = sp.d GROUP BY event, w),
+apart AS MATERIALIZED (SELECT o.event, o.w, round(round(rainfall_mm - r, 8) + 1e-9, 2) + 0 AS rain_diff, round(round(mean_temperature_c - t, 8) + 1e-9, 2) + 0 AS temperature_diff, round(round(mean_relative_humidity - h, 8) + 1e-9, 2) + 0 AS humidity_diff, round(round(mean_wind_speed - v, 8) + 1e-9, 2) + 0 AS wind_diff
+  FROM other o LEFT JOIN metrics m ON m.event = o.event AND m.w = o.w)"""
 
 
 def _daily(spark, sf_dir):
