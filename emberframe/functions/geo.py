@@ -151,14 +151,15 @@ def capped(shape: Column, reach_km: float = 5.0) -> Column:
 
 
 def envelope_ring(shape: Column, points: int = 48) -> Column:
-    """Closed ring of [lon, lat] of an ellipse."""
+    """Closed ring of [lon, lat] of an ellipse; a position's longitude is taken at the mean of its latitude and the origin's."""
     turn = F.radians(shape["heading"])
 
     def at(i: Column) -> Column:
         t = i * (2 * 3.141592653589793 / points)
         along, across = F.cos(t) * shape["half_length"] + shape["shift"], F.sin(t) * shape["half_width"]
         north, east = along * F.cos(turn) - across * F.sin(turn), along * F.sin(turn) + across * F.cos(turn)
-        return F.array(shape["origin_lon"] + F.degrees(east / (F.cos(F.radians(shape["origin_lat"])) * EARTH_KM)), shape["origin_lat"] + F.degrees(north / EARTH_KM))
+        lat = shape["origin_lat"] + F.degrees(north / EARTH_KM)
+        return F.array(shape["origin_lon"] + F.degrees(east / (F.cos(F.radians((shape["origin_lat"] + lat) / 2)) * EARTH_KM)), lat)
 
     ring = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)
     return F.concat(ring, F.array(F.element_at(ring, 1)))

@@ -32,30 +32,36 @@ def accepted_pairs(obs: DataFrame, radius_km: float = DEFAULT_RADIUS_KM, hours:
     return pairs_within(projected(obs, ref_lat=ref_lat), radius_km, hours)
 
 
-def _bundles(obs: DataFrame, radius_km: float, hours: float, ref_lat: float | None) -> DataFrame:
-    """(obs_id, bundle): the least obs_id of a cell so small, in space and in time, that all its observations are linked."""
+def _bundled(obs: DataFrame, radius_km: float, hours: float, ref_lat: float | None) -> DataFrame:
+    """``obs`` with x_km, y_km and ``bundle``: the least obs_id of a cell so small, in space and in time, that all its observations are linked."""
     side = radius_km / 2**0.5
-    cell = [F.floor(F.col("x_km") / side).alias("cx"), F.floor(F.col("y_km") / side).alias("cy"), F.floor(F.unix_micros("ts") / (hours * 3600e6)).alias("ct")]
-    placed = projected(obs, ref_lat=ref_lat).select("obs_id", *cell)
+    cell = {"_cx": F.floor(F.col("x_km") / side), "_cy": F.floor(F.col("y_km") / side), "_ct": F.floor(F.unix_micros("ts") / (hours * 3600e6))}
+    placed = projected(obs, ref_lat=ref_lat).withColumns(cell)
     # an observation without a place or time is a bundle of its own
-    least = placed.groupBy("cx", "cy", "ct").agg(F.min("obs_id").alias("bundle"))
-    return placed.join(least, ["cx", "cy", "ct"], "left").select("obs_id", F.coalesce("bundle", "obs_id").alias("bundle"))
+    least = placed.groupBy(*cell).agg(F.min("obs_id").alias("bundle"))
+    return placed.join(least, [*cell], "left").drop(*cell).withColumn("bundle", F.coalesce("bundle", "obs_id"))
 
 
-def _labelled(obs: DataFrame, pairs: DataFrame, radius_km: float, hours: float, ref_lat: float | None) -> DataFrame:
-    """(obs_id, cluster) from the table's accepted pairs: bundles first, so that few edges are left to contract."""
-    bundles = materialise(_bundles(obs, radius_km, hours, ref_lat))
-    end = lambda v: bundles.select(F.col("obs_id").alias(v), F.col("bundle").alias(f"bundle_{v}"))
-    edges = pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").where("bundle_a <> bundle_b").select("bundle_a", "bundle_b")
-    found = connected_components(edges, "bundle_a", "bundle_b")
+def _linked(bundled: DataFrame, radius_km: float, hours: float) -> DataFrame:
+    """(bundle_a, bundle_b, links, gap_hours, distance_km): accepted pairs added up by the bundles of their ends, so that no pair is written."""
+    check_thresholds(radius_km, hours)
+    pairs = pairs_within(bundled, radius_km, hours, carry=("bundle",))
+    return pairs.groupBy("bundle_a", "bundle_b").agg(F.count("*").alias("links"), F.max("gap_hours").alias("gap_hours"), F.max("distance_km").alias("distance_km"))
+
+
+def _clusters(linked: DataFrame) -> DataFrame:
+    """(bundle, cluster) of the bundles that are linked to others."""
+    found = connected_components(linked.where("bundle_a <> bundle_b"), "bundle_a", "bundle_b")
     least = found.groupBy("root").agg(F.min("vertex").alias("cluster"))
-    labels = found.join(least, "root").select(F.col("vertex").alias("bundle"), "cluster")
-    return bundles.join(labels, "bundle", "left").select("obs_id", F.coalesce("cluster", "bundle").alias("cluster"))
+    return found.join(least, "root").select(F.col("vertex").alias("bundle"), "cluster")
 
 
 def clustered(obs: DataFrame, radius_km: float = DEFAULT_RADIUS_KM, hours: float = DEFAULT_HOURS, ref_lat: float | None = None) -> DataFrame:
     """(obs_id, cluster): the least obs_id that is reached over accepted pairs; singletons are their own."""
-    return _labelled(obs, accepted_pairs(obs, radius_km, hours, ref_lat), radius_km, hours, ref_lat)
+    check_thresholds(radius_km, hours)
+    bundled = materialise(_bundled(obs.select("obs_id", "latitude", "longitude", "ts"), radius_km, hours, ref_lat))
+    labels = _clusters(_linked(bundled, radius_km, hours))
+    return bundled.join(labels, "bundle", "left").select("obs_id", F.coalesce("cluster", "bundle").alias("cluster"))
 
 
 def natural_key() -> Column:
@@ -119,10 +125,14 @@ def link_statistics(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def reconstruct(obs: DataFrame, radius_km: float = DEFAULT_RADIUS_KM, hours: float = DEFAULT_HOURS, ref_lat: float | None = None) -> DataFrame:
     """Events of a table of observations, with the statistics of their links, by first detection."""
-    pairs = materialise(accepted_pairs(obs, radius_km, hours, ref_lat))
-    members = materialise(_labelled(obs, pairs, radius_km, hours, ref_lat))
-    events = summarised(obs.join(members, "obs_id"))
-    out = events.join(link_statistics(pairs, members), "cluster", "left").withColumn("link_count", F.coalesce("link_count", F.lit(0)))
+    check_thresholds(radius_km, hours)
+    bundled = materialise(_bundled(obs, radius_km, hours, ref_lat))
+    linked = materialise(_linked(bundled, radius_km, hours))
+    labels = materialise(_clusters(linked))
+    events = summarised(bundled.join(labels, "bundle", "left").withColumn("cluster", F.coalesce("cluster", "bundle")))
+    of = linked.withColumnRenamed("bundle_a", "bundle").join(labels, "bundle", "left").groupBy(F.coalesce("cluster", "bundle").alias("cluster"))
+    links = of.agg(F.sum("links").alias("link_count"), F.max("gap_hours").alias("max_link_gap_hours"), F.max("distance_km").alias("max_link_distance_km"))
+    out = events.join(links, "cluster", "left").withColumn("link_count", F.coalesce("link_count", F.lit(0)))
     return out.orderBy("first_detection", "least_obs")
 
 

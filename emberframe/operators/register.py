@@ -241,16 +241,27 @@ def scope_summary(placed: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def progression_chain(raw: DataFrame, events: DataFrame, placed: DataFrame, routed: DataFrame, narrowed: bool = False) -> DataFrame:
-    """One row: raw -> qualified -> events -> in scope -> for review, with the compressions; raw is unknown (null) for a narrowed period."""
-    a = raw.agg(F.count("*").alias("raw"), F.count_if(F.col("confidence") != "l").alias("qualified"))
-    b = events.agg(F.count("*").alias("events"))
-    c = placed.agg(F.count_distinct("event").alias("in_scope"))
-    d = routed.agg(F.count_if(F.col("route") != "SCREENED").alias("for_review"))
-    one = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c)).crossJoin(F.broadcast(d))
-    raw_count = F.lit(None).cast("long") if narrowed else F.col("raw")
-    ratio = lambda x, y: F.bround(F.col(x) / F.when(F.col(y) > 0, F.col(y)), 4)
-    return one.select(raw_count.alias("raw"), "qualified", "events", "in_scope", "for_review", ratio("qualified", "events").alias("observations_per_event"), ratio("events", "in_scope").alias("scope_compression"), ratio("events", "for_review").alias("review_compression"))
+def progression_chain(raw: DataFrame, events: DataFrame, placed: DataFrame, routed: DataFrame, pack: DataFrame, narrowed: bool = False) -> DataFrame:
+    """One row: raw -> qualified -> events -> in scope -> for human review -> selected, with the compressions.
+
+    ``events`` (event, n) are the register's.  For a narrowed register the raw
+    count is unknown (null), and qualified detections are those of its events.
+    """
+    own = lambda rows: rows.join(events.select("event"), "event", "left_semi")
+    a = raw.agg(F.count("*").alias("raw"), F.count_if(F.coalesce(~F.col("confidence").isin("l", "low"), F.lit(True))).alias("qualified"))
+    b = events.agg(F.count("*").alias("events"), F.coalesce(F.sum("n"), F.lit(0)).alias("held"))
+    c = own(placed).agg(F.count_distinct("event").alias("in_scope"))
+    d = own(routed).agg(F.count_if(F.col("route") == "HUMAN_REVIEW").alias("for_review"))
+    e = pack.agg(F.count_distinct("event").alias("selected"))
+    one = a
+    for more in (b, c, d, e):
+        one = one.crossJoin(F.broadcast(more))  # one row each
+    one = one.withColumns({"raw": F.lit(None).cast("long"), "qualified": F.col("held")}) if narrowed else one
+    ratio = lambda x, y: F.bround(F.col(x) / F.when(F.col(y) > 0, F.col(y)), 2)
+    return one.select(
+        "raw", "qualified", "events", "in_scope", "for_review", "selected", F.lit(narrowed).alias("narrowed"),
+        ratio("qualified", "events").alias("observations_per_event"), ratio("events", "in_scope").alias("scope_compression"),
+    )
 
 
 def pack_state(log: DataFrame) -> DataFrame:

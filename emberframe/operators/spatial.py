@@ -35,7 +35,7 @@ def _around(cell: Column) -> Column:
     return F.explode(F.sequence(cell - 1, cell + 1))
 
 
-def pairs_within(points: DataFrame, radius_km: float, hours: float | None = None, keys: tuple[str, ...] = (), key: str = "obs_id", of: DataFrame | None = None) -> DataFrame:
+def pairs_within(points: DataFrame, radius_km: float, hours: float | None = None, keys: tuple[str, ...] = (), key: str = "obs_id", of: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, distance_km, gap_hours) for all unordered pairs a < b no further apart than both bounds (inclusive).
 
     With ``of``, rows like those of ``points``, all pairs of one of these as ``a``
@@ -49,7 +49,7 @@ def pairs_within(points: DataFrame, radius_km: float, hours: float | None = None
     on = [*keys, "cx", "cy", *["ct"] * (hours is not None)]
 
     def celled(rows: DataFrame) -> DataFrame:
-        out = rows.select(*keys, F.col(key).alias("id"), "x_km", "y_km", "ts", cell("x_km", radius_km).alias("cx"), cell("y_km", radius_km).alias("cy"))
+        out = rows.select(*keys, F.col(key).alias("id"), "x_km", "y_km", "ts", *carry, cell("x_km", radius_km).alias("cx"), cell("y_km", radius_km).alias("cy"))
         return out if hours is None else out.withColumn("ct", F.floor(F.unix_micros("ts") / (hours * 3600e6)))
 
     right = celled(points)
@@ -57,13 +57,13 @@ def pairs_within(points: DataFrame, radius_km: float, hours: float | None = None
     # the side that goes to the cells around: with ``of`` the fewer rows
     spread = lambda rows: reduce(lambda d, c: d.withColumn(c, _around(F.col(c))), on[len(keys) :], rows)
     base, right = (base, spread(right)) if of is None else (spread(base), right)
-    left = base.select(*on, F.col("id").alias("a"), F.col("x_km").alias("ax"), F.col("y_km").alias("ay"), F.col("ts").alias("at"))
-    right = right.select(*on, F.col("id").alias("b"), "x_km", "y_km", "ts")
+    left = base.select(*on, F.col("id").alias("a"), F.col("x_km").alias("ax"), F.col("y_km").alias("ay"), F.col("ts").alias("at"), *(F.col(c).alias(f"{c}_a") for c in carry))
+    right = right.select(*on, F.col("id").alias("b"), "x_km", "y_km", "ts", *(F.col(c).alias(f"{c}_b") for c in carry))
     dx, dy = F.col("ax") - F.col("x_km"), F.col("ay") - F.col("y_km")
     gap = F.abs(hours_between(F.col("at"), F.col("ts")))
     other = F.col("a") < F.col("b") if of is None else F.col("a") != F.col("b")
     met = left.join(right, on).where(other & (dx * dx + dy * dy <= radius_km * radius_km))
-    out = met.select(*keys, "a", "b", F.sqrt(dx * dx + dy * dy).alias("distance_km"), gap.alias("gap_hours"))
+    out = met.select(*keys, "a", "b", F.sqrt(dx * dx + dy * dy).alias("distance_km"), gap.alias("gap_hours"), *(f"{c}_{side}" for c in carry for side in "ab"))
     return out if hours is None else out.where(F.col("gap_hours") <= hours)
 
 

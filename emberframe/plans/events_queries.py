@@ -33,6 +33,7 @@ _CLUSTERS = _PAIRS + """, links AS (SELECT * FROM pairs WHERE gap_hours <= 72),
 both_ways AS (SELECT a AS v, b AS w FROM links UNION ALL SELECT b, a FROM links),
 reach(root, v) AS (SELECT obs_id, obs_id FROM ok UNION SELECT r.root, e.w FROM reach r JOIN both_ways e ON e.v = r.v WHERE r.root < e.w),
 labels AS (SELECT v AS obs_id, min(root) AS cluster FROM reach GROUP BY v)"""
+CLUSTERS_SQL = _CLUSTERS
 
 
 def _qualified(spark, sf_dir):

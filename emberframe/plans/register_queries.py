@@ -237,7 +237,7 @@ def detection_ages(spark, sf_dir):
 @query("envelope_positions", with_views(*_BASE, body=""", w AS (SELECT event, lat, lon, hours, ((event * 37) % 360 + 180) % 360 AS heading FROM ev WHERE event % 5 <> 0),
 e AS (SELECT *, hours * 3 AS a, hours * 2.5 AS b, hours * 2 AS shift FROM w), c AS (SELECT *, CASE WHEN a + shift > 5 THEN 5 / (a + shift) ELSE 1 END AS k FROM e),
 p AS (SELECT event, i, lat, lon, radians(heading) AS turn, cos(i * (2 * pi() / 48)) * a * k + shift * k AS along, sin(i * (2 * pi() / 48)) * b * k AS across FROM (SELECT *, unnest(range(48)) AS i FROM c))
-SELECT event, 'envelope' AS ring, i, round(lon + degrees((along * sin(turn) + across * cos(turn)) / (cos(radians(lat)) * 6371.0088::DOUBLE)) + 3e-8, 6) AS x, round(lat + degrees((along * cos(turn) - across * sin(turn)) / 6371.0088::DOUBLE) + 3e-8, 6) AS y FROM p
+SELECT event, 'envelope' AS ring, i, round(lon + degrees((along * sin(turn) + across * cos(turn)) / (cos(radians((lat + up) / 2)) * 6371.0088::DOUBLE)) + 3e-8, 6) AS x, round(up + 3e-8, 6) AS y FROM (SELECT *, lat + degrees((along * cos(turn) - across * sin(turn)) / 6371.0088::DOUBLE) AS up FROM p)
 UNION ALL SELECT event, 'circle', i, round(lon + degrees(atan2(sin(t) * sin(d) * cos(radians(lat)), cos(d) - sin(radians(lat)) * sin(radians(la)))) + 3e-8, 6), round(la + 3e-8, 6) FROM (
   SELECT *, degrees(asin(sin(radians(lat)) * cos(d) + cos(radians(lat)) * sin(d) * cos(t))) AS la FROM (SELECT event, lat, lon, i, i * (2 * pi() / 64) AS t, 10 / 6371.0088::DOUBLE AS d FROM (SELECT *, unnest(range(64)) AS i FROM w)))"""))
 def envelope_positions(spark, sf_dir):

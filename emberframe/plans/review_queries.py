@@ -335,11 +335,19 @@ def active_days(spark, sf_dir):
     return register.active_days(lens.events(spark, sf_dir))
 
 
-@query("progression_chain", with_views("obs", "members", "ev", "scopes", body=_RELATION + _PRIORITY + """ SELECT (SELECT count(*) FROM obs) AS raw, (SELECT count(*) FROM members) AS qualified, (SELECT count(*) FROM ev) AS events, (SELECT count(DISTINCT event) FROM scoped) AS in_scope, (SELECT count(*) FROM routed WHERE route <> 'SCREENED') AS for_review, round_even((SELECT count(*) FROM members) / (SELECT count(*) FROM ev), 4) AS observations_per_event, round_even((SELECT count(*) FROM ev) / nullif((SELECT count(DISTINCT event) FROM scoped), 0), 4) AS scope_compression,
-  round_even((SELECT count(*) FROM ev) / nullif((SELECT count(*) FROM routed WHERE route <> 'SCREENED'), 0), 4) AS review_compression"""))
+def _chain_sql(narrowed: bool) -> str:
+    own = "own" + str(int(narrowed))
+    return f"""SELECT {'NULL::BIGINT' if narrowed else '(SELECT count(*) FROM obs)'} AS raw, (SELECT {'sum(n)::BIGINT FROM ' + own if narrowed else 'count(*) FROM members'}) AS qualified, (SELECT count(*) FROM {own}) AS events,
+  (SELECT count(DISTINCT event) FROM scoped WHERE event IN (SELECT event FROM {own})) AS in_scope, (SELECT count(*) FROM routed WHERE route = 'HUMAN_REVIEW' AND event IN (SELECT event FROM {own})) AS for_review, (SELECT count(DISTINCT event) FROM pack) AS selected, {narrowed} AS narrowed"""
+
+
+@query("progression_chain", with_views("obs", "members", "ev", "scopes", body=_RELATION + _PRIORITY + f""", own0 AS (SELECT * FROM ev), own1 AS (SELECT * FROM ev WHERE first >= TIMESTAMP '2024-01-11'), pack AS (SELECT event FROM ev WHERE event % 9 = 0),
+chain AS ({_chain_sql(False)} UNION ALL {_chain_sql(True)})
+SELECT *, round_even(qualified / nullif(events, 0), 2) AS observations_per_event, round_even(events / nullif(in_scope, 0), 2) AS scope_compression FROM chain"""))
 def progression_chain(spark, sf_dir):
-    e = lens.events(spark, sf_dir)
-    return register.progression_chain(lens.observations(spark, sf_dir), e, register.in_scopes(e, lens.scopes(spark, sf_dir)), routed(spark, sf_dir))
+    e, routes = lens.events(spark, sf_dir), materialise(routed(spark, sf_dir).select("event", "route"))
+    chain = lambda events, narrowed: register.progression_chain(lens.observations(spark, sf_dir), events, register.in_scopes(e, lens.scopes(spark, sf_dir)), routes, e.where("event % 9 = 0"), narrowed)
+    return chain(e, False).unionByName(chain(e.where(F.col("first") >= "2024-01-11"), True))
 
 
 def _log(spark, sf_dir):

@@ -84,12 +84,28 @@ def date_windows(spark: SparkSession, start: str, end: str, days: int = 5) -> Da
     return spark.range(1).select(first).select("window_start", F.least(F.date_add("window_start", days - 1), F.lit(end).cast("date")).alias("window_end"))
 
 
-def fetch_ledger(windows: DataFrame, landed: DataFrame) -> DataFrame:
-    """(window_start, window_end, rows, status, final): what landed for each window; windows that ended over a week ago are final."""
-    days = windows.withColumn("day", F.explode(F.sequence("window_start", "window_end", F.expr("INTERVAL 1 DAY"))))
-    counts = landed.groupBy(F.to_date("acq_date").alias("day")).agg(F.count("*").alias("n"))
-    a = days.join(counts, "day", "left").groupBy("window_start", "window_end").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
-    return a.withColumns({"status": F.when(F.col("rows") > 0, "ok").otherwise("failed"), "final": F.col("window_end") <= F.date_sub(F.current_date(), 7)})
+#: Times that a window is asked for, and days after its end from which the archive revises it no more.
+TRIES, STABLE_AFTER_DAYS = 3, 7
+
+
+def fetch_ledger(windows: DataFrame, tries: DataFrame, today: str) -> DataFrame:
+    """(window_start, window_end, attempts, status, rows, error, final) of every window.
+
+    ``tries``: window_start, attempt (from 1), rows, error.  The first try without an
+    error counts, whatever it found: a window without detections is ``ok`` with 0
+    rows.  Only one whose ``TRIES`` tries all raised is ``failed``, with the last
+    error; one that was never tried is ``pending``.  ``final``: the archive revises it no more.
+    """
+    asked = tries.where(F.col("attempt").between(1, TRIES))
+    good = F.col("error").isNull()
+    a = asked.groupBy("window_start").agg(
+        F.min(F.when(good, F.struct("attempt", F.coalesce("rows", F.lit(0)).alias("rows")))).alias("hit"), F.max("attempt").alias("tried"), F.max(F.struct("attempt", "error")).alias("last")
+    )
+    status = F.when(F.col("hit").isNotNull(), "ok").when(F.col("tried").isNotNull(), "failed").otherwise("pending")
+    return windows.join(a, "window_start", "left").select(
+        "window_start", "window_end", F.coalesce("hit.attempt", "tried", F.lit(0)).alias("attempts"), status.alias("status"), F.coalesce("hit.rows", F.lit(0)).cast("long").alias("rows"),
+        F.when(F.col("hit").isNull(), F.col("last.error")).alias("error"), (F.col("window_end") <= F.date_sub(F.lit(today).cast("date"), STABLE_AFTER_DAYS)).alias("final"),
+    )
 
 
 def merged(*frames: DataFrame, keys: list[str] = NATURAL_KEY) -> DataFrame:
