@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberframe.functions.evidence import hours_between
 from emberframe.functions.geo import haversine_km
 from emberframe.operators.components import connected_components, materialise
+from emberframe.operators.order import at_shares
 from emberframe.operators.spatial import pairs_within, projected
 
 #: Bounds that keep the pair list linear in the rows.
@@ -195,9 +196,8 @@ def threshold_sweep(obs: DataFrame, radii: tuple[float, ...], hours: tuple[float
 
 def diagnostics(events: DataFrame, large: int = 100) -> DataFrame:
     """One row: totals, compression, singletons, and five-number spreads of the main measures."""
-    spread = lambda c: F.struct(F.min(c).alias("min"), F.median(c).alias("median"), F.avg(c).alias("mean"), F.percentile(c, 0.9).alias("p90"), F.max(c).alias("max"))
     n, seen = F.count("*"), F.sum("observation_count")
-    parts = {c: spread(c) for c in ("observation_count", "duration_hours", "spatial_extent_km")}
+    measures = ["observation_count", "duration_hours", "spatial_extent_km"]
     a = events.agg(
         n.alias("events"),
         seen.alias("observations"),
@@ -205,7 +205,10 @@ def diagnostics(events: DataFrame, large: int = 100) -> DataFrame:
         F.count_if(F.col("observation_count") == 1).alias("singletons"),
         F.count_if(F.col("observation_count") >= large).alias("large_events"),
         F.when(seen > 0, F.coalesce(F.sum(F.when(F.col("observation_count") >= large, F.col("observation_count"))), F.lit(0)) / seen).alias("large_share"),
-        *(v.alias(k) for k, v in parts.items()),
+        *(f(c).alias(f"{c}_{name}") for c in measures for name, f in (("min", F.min), ("mean", F.avg), ("max", F.max))),
     )
-    flat = [F.col(f"{k}.{f}").alias(f"{k}_{f}") for k in parts for f in ("min", "median", "mean", "p90", "max")]
-    return a.select("events", "observations", "compression", "singletons", "large_events", "large_share", *flat)
+    middle = at_shares(events, measures, {"median": 0.5, "p90": 0.9})
+    pick = lambda c, s: F.max(F.when(F.col("column") == c, F.col(s))).alias(f"{c}_{s}")
+    middle = middle.agg(*(pick(c, s) for c in measures for s in ("median", "p90")))
+    flat = [f"{c}_{f}" for c in measures for f in ("min", "median", "mean", "p90", "max")]
+    return a.crossJoin(F.broadcast(middle)).select("events", "observations", "compression", "singletons", "large_events", "large_share", *flat)

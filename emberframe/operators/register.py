@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions.geo import boxes_overlap, buffered, haversine_km, in_bbox, in_polygon, in_ring, ring_area
+from emberframe.operators.order import running
 from emberframe.operators.spatial import near
 
 MAX_PAGE, DEFAULT_PAGE = 2000, 500
@@ -87,14 +88,25 @@ def filtered(events: DataFrame, bbox: tuple[float, float, float, float] | None =
 SORT_KEYS = {"first": "first", "last": "last", "observations": "n", "max_frp": "max_frp", "extent": "extent_km", "hours": "hours", "state": "state", "event": "event"}
 
 
-def page(events: DataFrame, key: str = "first", descending: bool = False, limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFrame:
-    """One page in a fixed order, with the number of all rows as ``total``: nulls lowest, text without regard to case, ties by event."""
+#: Rows up to the end of a page that one sort may hold; pages beyond are found by number.
+SHALLOW = 10_000
+
+
+def page(events: DataFrame, key: str = "first", descending: bool = False, limit: int = DEFAULT_PAGE, offset: int = 0, shallow: int = SHALLOW) -> DataFrame:
+    """One page in a fixed order, with the number of all rows as ``total``: nulls lowest, text without regard to case, ties by event.
+
+    A page far down is cut out of the numbered order of the whole table, so that no
+    task holds the rows before it.
+    """
     if not 1 <= limit <= MAX_PAGE or offset < 0:
         raise ValueError(f"a page holds 1 to {MAX_PAGE} rows and starts at 0 or later")
     name = SORT_KEYS[key]
     col = F.lower(name) if dict(events.dtypes).get(name) == "string" else F.col(name)
+    order = [col.desc_nulls_last() if descending else col.asc_nulls_first(), F.col("event").asc()]
     counted = events.crossJoin(F.broadcast(events.agg(F.count("*").alias("total"))))
-    return counted.orderBy(col.desc_nulls_last() if descending else col.asc_nulls_first(), "event").offset(offset).limit(limit)
+    if offset + limit <= shallow:
+        return counted.orderBy(*order).offset(offset).limit(limit)
+    return running(counted, order, name="_place").where(F.col("_place").between(offset + 1, offset + limit)).orderBy("_place").drop("_place")
 
 
 def register_rows(events: DataFrame, decided: DataFrame) -> DataFrame:
@@ -316,5 +328,4 @@ def roads_near(events: DataFrame, roads: DataFrame, km: float) -> DataFrame:
 def status_table(events: DataFrame, bbox: tuple[float, float, float, float], since: str, state: str) -> DataFrame:
     """Events of a box and state first seen since a day, with ``place`` by falling score, an unknown score as -1."""
     rows = events.where(in_bbox(F.col("lat"), F.col("lon"), *map(F.lit, bbox)) & (F.col("first") >= F.lit(since).cast("timestamp")) & (F.col("state") == state))
-    # a table that is shown whole; its rows are those of one state in one box
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.coalesce("score", F.lit(-1))), "event")))
+    return running(rows, [F.coalesce("score", F.lit(-1)).desc(), F.col("event").asc()], name="place")

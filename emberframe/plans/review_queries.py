@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from emberframe.functions import geo
@@ -330,6 +331,26 @@ def register_page(spark, sf_dir):
     return register.page(rows, "max_frp", descending=True, offset=10).select("event", "first", "last", "n", "max_frp", "total")
 
 
+_PAGE_KEYS = {k: (c, i % 2 == 0) for i, (k, c) in enumerate(register.SORT_KEYS.items())}
+_PAGE_SQL = " UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{k}' AS key, event, row_number() OVER (ORDER BY {'lower(state)' if c == 'state' else c} {'DESC NULLS LAST' if down else 'ASC NULLS FIRST'}, event) AS place, count(*) OVER () AS total FROM listed) WHERE place BETWEEN 8 AND 27"""
+    for k, (c, down) in _PAGE_KEYS.items()
+)
+
+
+@query("register_pages", with_views("obs", "members", "ev", body=events_queries.DECIDED_SQL + f", listed AS (SELECT ev.* REPLACE (CASE WHEN event % 7 <> 0 THEN max_frp END AS max_frp), state FROM ev JOIN decided USING (event)) {_PAGE_SQL}"))
+def register_pages(spark, sf_dir):
+    """A page by each sort key, up and down; every other one is cut out of the numbered order as pages far down are."""
+    rows = materialise(lens.events(spark, sf_dir).withColumn("max_frp", F.when(F.col("event") % 7 != 0, F.col("max_frp"))).join(events_queries.decided(spark, sf_dir).select("event", "state"), "event"))
+    out = None
+    for nth, (key, (_, down)) in enumerate(_PAGE_KEYS.items()):
+        one = register.page(rows, key, down, limit=20, offset=7, shallow=0 if nth % 2 else register.SHALLOW)
+        place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + 7  # a page of twenty rows
+        one = one.select(F.lit(key).alias("key"), "event", place.cast("long").alias("place"), "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("active_days", with_views("obs", "members", "ev", body=" SELECT d::DATE AS day, count(*) AS events, sum(n)::BIGINT AS observations FROM (SELECT n, unnest(generate_series(first::DATE::TIMESTAMP, last::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM ev) GROUP BY d"))
 def active_days(spark, sf_dir):
     return register.active_days(lens.events(spark, sf_dir))
