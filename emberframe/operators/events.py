@@ -175,25 +175,66 @@ def lobes(members: DataFrame, lobe_km: float = 1.0, cluster_km: float = DEFAULT_
 def threshold_sweep(obs: DataFrame, radii: tuple[float, ...], hours: tuple[float, ...]) -> DataFrame:
     """(radius_km, hours, events, singletons, largest) for every combination, from one pair join.
 
-    All combinations are labelled together: a vertex is numbered by its rank in
-    the combination, so one run of the contraction serves all of them.
+    The time bounds are labelled together: a vertex is numbered by its rank in the
+    time bound.  Radii come in rising order, and each starts from the events of the
+    one before: a pair takes part once, at the first radius that reaches it, as an
+    edge between events.  So there is one clustering for each radius, whatever
+    the number of time bounds.
     """
     check_thresholds(max(radii), max(hours))
-    pairs = materialise(pairs_within(projected(obs), max(radii), max(hours)))
-    cells = F.array(*(F.struct(F.lit(i).alias("cell"), F.lit(float(r)).alias("r"), F.lit(float(h)).alias("h")) for i, (r, h) in enumerate((r, h) for r in radii for h in hours)))
-    n = len(radii) * len(hours)
-    spread = pairs.withColumn("c", F.explode(cells)).where((F.col("distance_km") <= F.col("c.r")) & (F.col("gap_hours") <= F.col("c.h")))
-    found = connected_components(spread.select((F.col("a") * n + F.col("c.cell")).alias("a"), (F.col("b") * n + F.col("c.cell")).alias("b")))
-    sizes = found.groupBy("root").count().select(F.pmod("root", F.lit(n)).alias("cell"), "count")
-    linked = sizes.groupBy("cell").agg(F.count("*").alias("clusters"), F.sum("count").alias("members"), F.max("count").alias("largest"))
-    grid = obs.sparkSession.range(1).select(F.explode(cells).alias("c")).select("c.cell", F.col("c.r").alias("radius_km"), F.col("c.h").alias("hours"))
+    pairs = materialise(pairs_within(projected(obs), max(radii), max(hours)).select("a", "b", "distance_km", "gap_hours"))
+    n, radii = len(hours), tuple(sorted(set(map(float, radii))))
+    bounds = F.array(*(F.struct(F.lit(i).alias("cell"), F.lit(float(h)).alias("h")) for i, h in enumerate(hours)))
+    spread = pairs.withColumn("c", F.explode(bounds)).where(F.col("gap_hours") <= F.col("c.h"))
+    vertex = lambda v: (F.col(v) * n + F.col("c.cell")).alias(v)
+    labels, sizes, before = None, None, -1.0
+    for r in radii:
+        edges = spread.where((F.col("distance_km") > before) & (F.col("distance_km") <= r)).select(vertex("a"), vertex("b"))
+        if labels is not None:
+            for v in ("a", "b"):
+                edges = edges.join(labels.select(F.col("vertex").alias(v), F.col("label").alias(f"{v}_label")), v, "left").withColumn(v, F.coalesce(f"{v}_label", v)).drop(f"{v}_label")
+        found = connected_components(edges)
+        joined = found.join(found.groupBy("root").agg(F.min("vertex").alias("to")), "root").select(F.col("vertex").alias("label"), "to")
+        if labels is None:
+            labels = materialise(joined.select(F.col("label").alias("vertex"), F.col("to").alias("label")))
+        else:
+            moved = labels.join(joined, "label", "left").select("vertex", F.coalesce("to", "label").alias("label"))
+            new = joined.select(F.col("label").alias("vertex"), F.col("to").alias("label")).join(labels.select("vertex"), "vertex", "left_anti")
+            labels = materialise(moved.unionByName(new))
+        size = labels.groupBy("label").count().select(F.lit(r).alias("radius_km"), F.pmod("label", F.lit(n)).alias("cell"), "count")
+        sizes, before = size if sizes is None else sizes.unionByName(size), r
+    linked = sizes.groupBy("radius_km", "cell").agg(F.count("*").alias("clusters"), F.sum("count").alias("members"), F.max("count").alias("largest"))
+    cells = F.array(*(F.struct(F.lit(r).alias("radius_km"), F.lit(i).alias("cell"), F.lit(float(h)).alias("hours")) for r in radii for i, h in enumerate(hours)))
+    grid = obs.sparkSession.range(1).select(F.explode(cells).alias("c")).select("c.*")
     total = obs.agg(F.count("*").alias("total"))
-    joined = grid.join(linked, "cell", "left").crossJoin(F.broadcast(total))
+    joined = grid.join(linked, ["radius_km", "cell"], "left").crossJoin(F.broadcast(total))
     single = F.col("total") - F.coalesce("members", F.lit(0))
     largest = F.coalesce("largest", F.when(F.col("total") > 0, 1).otherwise(0))
     return joined.select("radius_km", "hours", (single + F.coalesce("clusters", F.lit(0))).alias("events"), single.alias("singletons"), largest.alias("largest"))
 
 
+def checksummed(members: DataFrame) -> DataFrame:
+    """(event, observation_count, checksum) of members: sums of their keys' hashes, the same in any order."""
+    h = F.xxhash64(natural_key())
+    return members.groupBy("event").agg(F.count("*").alias("observation_count"), F.struct(F.sum(h.cast("decimal(38,0)")).alias("total"), F.bit_xor(h).alias("folded")).alias("checksum"))
+
+
+def membership_problems(events: DataFrame, members: DataFrame) -> DataFrame:
+    """(event, problem, stored, found): events whose stored members are not those that they were made of.
+
+    ``events`` is ``checksummed`` of the members at the time; ``found`` counts the
+    members that are stored now.  ``unknown_event``: members of an event that is
+    not stored; ``no_members``; ``count``; ``members``: as many, but others.
+    """
+    now = checksummed(members).select(F.col("event").alias("of"), F.col("observation_count").alias("found"), F.col("checksum").alias("now"))
+    both = events.join(now, F.col("event") == F.col("of"), "full")
+    problem = (
+        F.when(F.col("event").isNull(), "unknown_event").when(F.col("of").isNull(), "no_members").when(F.col("observation_count") != F.col("found"), "count").when(F.col("checksum") != F.col("now"), "members")
+    )
+    told = both.select(F.coalesce("event", "of").alias("event"), problem.alias("problem"), F.coalesce("observation_count", F.lit(0)).alias("stored"), F.coalesce("found", F.lit(0)).alias("found"))
+    return told.where("problem is not null")
+
+
 def diagnostics(events: DataFrame, large: int = 100) -> DataFrame:
     """One row: totals, compression, singletons, and five-number spreads of the main measures."""
     n, seen = F.count("*"), F.sum("observation_count")

@@ -81,8 +81,11 @@ def event_lobes(spark, sf_dir):
     return ev.lobes(lens.members(spark, sf_dir))
 
 
+RADII, HOURS = (0.5, 1.0, 1.5, 2.0), (12.0, 24.0, 48.0, 72.0)
+
+
 def _sweep_sql() -> str:
-    cells = [(r, h) for r in (0.5, 1.0, 2.0) for h in (24, 72)]
+    cells = [(r, h) for r in RADII for h in HOURS]
     parts = []
     for i, (r, h) in enumerate(cells):
         parts.append(f"""e{i} AS (SELECT a AS v, b AS w FROM pairs WHERE distance_km <= {r} AND gap_hours <= {h} UNION ALL SELECT b, a FROM pairs WHERE distance_km <= {r} AND gap_hours <= {h}),
@@ -94,7 +97,18 @@ s{i} AS (SELECT count(*) AS n FROM (SELECT v, min(root) AS c FROM r{i} GROUP BY
 
 @query("threshold_sweep", _sweep_sql())
 def threshold_sweep(spark, sf_dir):
-    return ev.threshold_sweep(_qualified(spark, sf_dir), (0.5, 1.0, 2.0), (24.0, 72.0))
+    return ev.threshold_sweep(_qualified(spark, sf_dir), RADII, HOURS)
+
+
+@query("membership_problems", with_views("obs", "members", body=""", stored AS (SELECT event, count(*) AS n, list(obs_id ORDER BY obs_id) AS ids FROM members WHERE event % 29 <> 0 GROUP BY event),
+held AS (SELECT event, count(*) AS n, list(obs_id ORDER BY obs_id) AS ids FROM (SELECT obs_id, CASE WHEN obs_id % 53 = 0 THEN event + 1 ELSE event END AS event FROM members WHERE obs_id % 31 <> 0 AND event % 37 <> 0) GROUP BY event),
+told AS (SELECT coalesce(s.event, h.event) AS event, CASE WHEN s.event IS NULL THEN 'unknown_event' WHEN h.event IS NULL THEN 'no_members' WHEN s.n <> h.n THEN 'count' WHEN s.ids <> h.ids THEN 'members' END AS problem, coalesce(s.n, 0) AS stored, coalesce(h.n, 0) AS found FROM stored s FULL JOIN held h ON s.event = h.event)
+SELECT * FROM told WHERE problem IS NOT NULL"""))
+def membership_problems(spark, sf_dir):
+    """Some members are lost, some moved to another event, some events' members are gone, some events are not stored."""
+    m = lens.members(spark, sf_dir)
+    held = m.where("obs_id % 31 <> 0 and event % 37 <> 0").withColumn("event", F.when(F.col("obs_id") % 53 == 0, F.col("event") + 1).otherwise(F.col("event")))
+    return ev.membership_problems(ev.checksummed(m.where("event % 29 <> 0")), held)
 
 
 _SPREAD = ", ".join(

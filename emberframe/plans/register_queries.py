@@ -382,6 +382,26 @@ def landed_detections(spark, sf_dir):
     return rows.select("latitude", "longitude", "acq_date", "acq_time", "frp", "confidence", "ts")
 
 
+@query("checked_detections", with_views("obs", body=""", told AS (SELECT *, CASE WHEN obs_id % 97 = 0 THEN 'wrong number of fields' WHEN obs_id % 89 = 0 THEN 'no coordinates' WHEN obs_id % 83 = 0 THEN 'unreadable time' END AS reason FROM obs)
+SELECT acq_date AS what, count(*) AS rows, round(sum(frp), 4) AS power FROM told WHERE reason IS NULL GROUP BY acq_date UNION ALL SELECT reason, count(*), NULL FROM told WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL SELECT 'not a table of detections', count(*), NULL FROM region"""))
+def checked_detections(spark, sf_dir):
+    """Good rows by day, and rejects by reason, of a folder with good files, damaged rows and an error page."""
+    path, o = _folder(spark), lens.observations(spark, sf_dir)
+    kinds = {f.name: f.dataType for f in readers.OBSERVATIONS}
+    lost = {"latitude": F.when(F.col("obs_id") % 89 == 0, "x").otherwise(F.col("latitude").cast("string")), "acq_time": F.when(F.col("obs_id") % 83 == 0, "2561").otherwise(F.col("acq_time").cast("string"))}
+    fields = [F.coalesce(lost[c] if c in lost else F.col(c).cast("string") if c in o.columns else F.lit(""), F.lit("")) for c in kinds]
+    line = F.when(F.col("obs_id") % 97 == 0, F.concat_ws(",", *fields[:5])).otherwise(F.concat_ws(",", *fields))
+    header = spark.range(1).select(F.lit(readers.HEADER).alias("line"))
+    # each file is a header and the rows of a third of the detections
+    for part in range(3):
+        header.unionByName(o.where(F.col("obs_id") % 3 == part).select(line.alias("line"))).coalesce(1).write.mode("append").text(path)
+    lens.table(spark, sf_dir, "region").select(F.concat(F.lit("Invalid key, "), "r_name")).coalesce(1).write.mode("append").text(path)
+    good, rejects = readers.checked_detections(spark, path)
+    by_day = good.groupBy(F.col("acq_date").alias("what")).agg(F.count("*").alias("rows"), F.round(F.sum("frp"), 4).alias("power"))
+    return by_day.unionByName(rejects.groupBy(F.col("reason").alias("what")).agg(F.count("*").alias("rows")), allowMissingColumns=True)
+
+
 @query("historical_range", with_views("obs", body=""" SELECT acq_date, longitude BETWEEN 115.2 AND 116.2 AND latitude BETWEEN -4.6 AND -3.6 AS in_region, count(*) AS detections FROM (SELECT DISTINCT latitude, longitude, acq_date, acq_time, satellite, instrument FROM obs WHERE acq_date BETWEEN '2024-01-05' AND '2024-01-25') GROUP BY ALL"""))
 def historical_range(spark, sf_dir):
     o = lens.observations(spark, sf_dir)

@@ -49,6 +49,36 @@ def detections(spark: SparkSession, path: str, bbox: tuple[float, float, float,
     return out.withColumn("ts", observed_at(F.col("acq_date"), F.col("acq_time")))
 
 
+#: The first line of a table of detections.
+HEADER = ",".join(f.name for f in OBSERVATIONS)
+
+
+def checked_detections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(detections, rejects) of CSV files in the feed's column order; rejects are (file, line, reason), and nothing is dropped unsaid.
+
+    A file without the header, an error page say, is rejected whole.  Rows are
+    rejected for a wrong number of fields, coordinates that are none, or a time
+    that can't be read.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.rtrim("value").alias("line")).where("line <> ''")
+    is_header = F.col("line") == HEADER
+    tables = lines.where(is_header).select("file").distinct().withColumn("table", F.lit(True))
+    rows = lines.where(~is_header).join(tables, "file", "left")
+    text = ", ".join(f"{f.name} string" for f in OBSERVATIONS)
+    raw = F.from_csv("line", text)
+    typed = F.struct(*(raw[f.name].try_cast(f.dataType).alias(f.name) for f in OBSERVATIONS))
+    rows = rows.withColumn("d", typed).withColumn("ts", observed_at(F.col("d.acq_date"), F.col("d.acq_time")))
+    placed = F.col("d.latitude").between(-90, 90) & F.col("d.longitude").between(-180, 180)
+    reason = (
+        F.when(F.col("table").isNull(), "not a table of detections")
+        .when(F.size(F.split("line", ",", -1)) != len(OBSERVATIONS), "wrong number of fields")
+        .when(~F.coalesce(placed, F.lit(False)), "no coordinates")
+        .when(F.col("ts").isNull(), "unreadable time")
+    )
+    told = rows.withColumn("reason", reason)
+    return told.where("reason is null").select("d.*", "ts"), told.where("reason is not null").select("file", "line", "reason")
+
+
 def availability(spark: SparkSession, path: str) -> DataFrame:
     """(data_id, min_date, max_date): which days the archive holds of each sensor, from CSV files with a header."""
     raw = spark.read.option("header", True).csv(path)
@@ -76,8 +106,13 @@ def geojson_by_date(spark: SparkSession, path: str, keep_low: bool = False) -> D
     )
 
 
+#: Most days that one request of the archive takes.
+MAX_DAYS = 5
+
+
 def date_windows(spark: SparkSession, start: str, end: str, days: int = 5) -> DataFrame:
-    """(window_start, window_end): inclusive windows of at most ``days`` days that cover [start, end]."""
+    """(window_start, window_end): inclusive windows of ``days`` days, 1 to ``MAX_DAYS`` of them, that cover [start, end]."""
+    days = min(max(days, 1), MAX_DAYS)
     if start > end:
         raise ValueError("the range ends before it starts")
     first = F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr(f"INTERVAL {days} DAYS"))).alias("window_start")
