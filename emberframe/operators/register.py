@@ -178,32 +178,70 @@ def sufficiency(events: DataFrame, evidence: DataFrame) -> DataFrame:
     return j.select("event", F.array_join(there, ",").alias("present"), F.array_join(gone, ",").alias("missing"), F.when(F.size(gone) == 0, reason).otherwise(F.concat(reason, F.lit("; missing: "), F.array_join(gone, ", "))).alias("reason"))
 
 
-def evidence_view(events: DataFrame, derived: DataFrame, relations: DataFrame, complexity_names: tuple[str, ...], factor_names: tuple[str, ...], factors: DataFrame) -> DataFrame:
-    """All evidence of events, one row each: (event, evidence_id, category, type, value, quality).
-
-    Observed rows (times, number, power), the stored derived ones (event,
-    evidence_id, category, type, value, quality), the relation to the scope, and
-    a row for every complexity field and priority factor: those that ``derived``
-    and ``factors`` (event, factor, signal) lack are there without a value and
-    with quality 0, so that what was not evaluated can be told from a no.
+#: Sources, limits and versions that evidence rows of each kind state.
+DETECTIONS, SCOPE, COMPLEXITY_JOB, ROUTING, PRIORITY_JOB = "satellite detections", "audit scope and event centroid", "complexity job", "review routing", "priority job"
+NOT_RUN = "no enrichment run has evaluated this yet"
+LIMITS = {
+    "chronology": "times of detection say nothing about ignition",
+    "observation_count": "detections of one event are not fires of their own",
+    "frp_summary": "radiative power is neither burned area nor intensity on the ground",
+    "scope": "lying in a scope is context, not responsibility",
+    "complexity": f"{NOT_RUN}; missing evidence is not low complexity",
+    "priority": "priority orders reviews and says nothing about fault",
+}
+VERSIONS = {"scope": "scope-relation-1", "complexity": "complexity-1", "priority": "priority-1"}
+VIEW = ("evidence_id", "category", "type", "observation", "source", "time_window", "value", "quality", "limitations", "algorithm_version", "raw_reference")
+
+
+def evidence_view(events: DataFrame, derived: DataFrame, relations: DataFrame, complexity_names: tuple[str, ...], factor_names: tuple[str, ...], routing: DataFrame) -> DataFrame:
+    """All evidence of events, one row each, with the columns of ``VIEW``; ``limitations`` is an array.
+
+    Observed rows (times, number, power), the stored derived ones with what they
+    state (event, evidence_id, category, type, value, quality, and any further
+    column of the view), the relation to the scope, and a row for every complexity
+    field and priority factor.  Of the factors the routed ones (``routing``: event,
+    factor, signal, reason) have a value and their reason; fields and factors that
+    nothing evaluated are there without a value and with quality 0, so that what
+    was not evaluated can be told from a no.
     """
     name = lambda *parts: F.concat_ws("_", *(F.lit(x) if isinstance(x, str) else x for x in parts))
     event = F.col("event").cast("string")
-    row = lambda i, c, t, v, q: F.struct(i.alias("evidence_id"), F.lit(c).alias("category"), t.alias("type"), v.cast("string").alias("value"), q.cast("double").alias("quality"))
-    observed = events.select("event", F.explode(F.array(
-        row(name("OBSERVED", event, "chronology"), "thermal", F.lit("chronology"), F.concat_ws(" to ", F.date_format("first", "yyyy-MM-dd HH:mm"), F.date_format("last", "yyyy-MM-dd HH:mm")), F.lit(0.82)),
-        row(name("OBSERVED", event, "observations"), "thermal", F.lit("observation_count"), F.col("n"), F.lit(0.82)),
-        row(name("OBSERVED", event, "frp"), "thermal", F.lit("frp_summary"), F.format_string("%.2f", F.bround("max_frp", 2)), F.lit(0.82)),
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    power = lambda c: F.format_string("%.2f", F.bround(F.coalesce(c, F.lit(0.0)), 2))
+    window = events.select("event", F.concat_ws(" to ", stamp("first"), stamp("last")).alias("time_window"))
+
+    def row(i, category, kind, observation, source, value, quality, limits, version=None):
+        text = lambda x: F.lit(x) if isinstance(x, str) or x is None else x
+        limits = F.array(*(F.lit(x) for x in limits)) if limits else F.array().cast("array<string>")
+        return F.struct(
+            i.alias("evidence_id"), F.lit(category).alias("category"), text(kind).alias("type"), text(observation).alias("observation"), F.lit(source).alias("source"), F.col("time_window"),
+            text(value).cast("string").alias("value"), text(quality).cast("double").alias("quality"), limits.alias("limitations"), F.lit(version).cast("string").alias("algorithm_version"), event.alias("raw_reference"),
+        )
+
+    timed = events.join(window, "event")
+    observed = timed.select("event", F.explode(F.array(
+        row(name("OBSERVED", event, "chronology"), "thermal", "chronology", F.concat(F.lit("detected from "), stamp("first"), F.lit(" to "), stamp("last")), DETECTIONS, F.col("time_window"), F.lit(0.82), [LIMITS["chronology"]]),
+        row(name("OBSERVED", event, "observations"), "thermal", "observation_count", F.concat(F.col("n").cast("string"), F.lit(" linked detections")), DETECTIONS, F.col("n"), F.lit(0.82), [LIMITS["observation_count"]]),
+        row(name("OBSERVED", event, "frp"), "thermal", "frp_summary", F.concat(F.lit("mean "), power(F.col("mean_frp")), F.lit(" MW, at most "), power(F.col("max_frp")), F.lit(" MW")), DETECTIONS, power(F.col("max_frp")), F.lit(0.82), [LIMITS["frp_summary"]]),
     )).alias("r")).select("event", "r.*")
-    placed = events.select("event").join(relations.select("event", "relation"), "event", "left")
-    scope = placed.select("event", row(name("DERIVED_SCOPE", event, "relation"), "scope", F.lit("scope_relation"), F.coalesce("relation", F.lit(RELATIONS[2])), F.lit(1.0)).alias("r")).select("event", "r.*")
-    have = derived.select("event", "evidence_id", "category", "type", F.col("value").cast("string").alias("value"), "quality")
-    dim = events.select("event", F.explode(F.array(*map(F.lit, complexity_names))).alias("type"))
-    gaps = dim.join(derived.where("category = 'fire-complexity'").select("event", "type"), ["event", "type"], "left_anti").select("event", row(name("DERIVED_COMPLEXITY", event, F.col("type")), "fire-complexity", F.col("type"), F.lit(None), F.lit(0.0)).alias("r")).select("event", "r.*")
-    ranked = events.select("event", F.explode(F.array(*map(F.lit, factor_names))).alias("factor")).join(factors.groupBy("event", "factor").agg(F.max("signal").alias("signal")), ["event", "factor"], "left")
-    weighed = ranked.select("event", row(name("DERIVED_PRIORITY", event, F.col("factor")), "investigation-priority", F.col("factor"), F.format_string("%.4f", "signal"), F.when(F.col("signal").isNull(), 0.0).otherwise(1.0)).alias("r")).select("event", "r.*")
-    out = observed.unionByName(have).unionByName(scope).unionByName(gaps).unionByName(weighed)
-    return out.withColumn("value", F.when(F.col("value") != "null", F.col("value")))
+    placed = window.join(relations.select("event", "relation"), "event", "left").withColumn("relation", F.coalesce("relation", F.lit(RELATIONS[2])))
+    scope = placed.select("event", row(name("DERIVED_SCOPE", event, "relation"), "scope", "scope_relation", F.concat(F.lit("the centroid is "), F.col("relation")), SCOPE, F.col("relation"), F.lit(1.0), [LIMITS["scope"]], VERSIONS["scope"]).alias("r")).select("event", "r.*")
+    kinds = {f.name: f.dataType for f in observed.schema.fields}
+    stored = derived.join(window, "event").withColumn("value", F.when(F.col("value").cast("string") != "null", F.col("value").cast("string")))
+    stored = stored.select("event", *((F.col(c) if c in stored.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in VIEW))
+    stored = stored.withColumns({"limitations": F.coalesce("limitations", F.array().cast("array<string>")), "raw_reference": F.coalesce("raw_reference", event)})
+    dim = window.select("event", "time_window", F.explode(F.array(*map(F.lit, complexity_names))).alias("field"))
+    missing = dim.join(derived.where("category = 'fire-complexity'").select("event", F.col("type").alias("field")), ["event", "field"], "left_anti")
+    gaps = missing.select("event", row(name("DERIVED_COMPLEXITY", event, F.col("field")), "fire-complexity", F.col("field"), f"not evaluated: {NOT_RUN}", COMPLEXITY_JOB, None, F.lit(0.0), LIMITS["complexity"].split("; "), VERSIONS["complexity"]).alias("r")).select("event", "r.*")
+    factors = window.select("event", "time_window", F.explode(F.array(*map(F.lit, factor_names))).alias("factor")).join(routing.select("event", "factor", "signal", "reason"), ["event", "factor"], "left")
+    told = F.col("signal").isNotNull()
+    made = lambda rows, *r: rows.select("event", row(name("DERIVED_PRIORITY", event, F.col("factor")), "investigation-priority", F.col("factor"), *r, VERSIONS["priority"]).alias("r")).select("event", "r.*")
+    routed_ = made(factors.where(told), F.col("reason"), ROUTING, F.format_string("%.4f", F.bround("signal", 4)), F.lit(1.0), [LIMITS["priority"]])
+    rest = made(factors.where(~told), f"not evaluated: {NOT_RUN}", PRIORITY_JOB, None, F.lit(0.0), [NOT_RUN, LIMITS["priority"]])
+    out = observed
+    for more in (stored, scope, gaps, routed_, rest):
+        out = out.unionByName(more)
+    return out
 
 
 def report_counts(events: DataFrame, pack: DataFrame, enough: DataFrame) -> DataFrame:

@@ -182,6 +182,7 @@ _DECIDED = """, scores AS (
 decided AS (SELECT *, CASE WHEN fire_score >= 4 AND non_fire_score < 4 THEN 'LIKELY_FIRE' WHEN non_fire_score >= 4 AND fire_score < 4 THEN 'LIKELY_NON_FIRE' ELSE 'AMBIGUOUS' END AS state FROM scores)"""
 RULES_SQL = _FACTS + _rule_sql()
 DECIDED_SQL = RULES_SQL + _DECIDED
+DECIDED_ONLY = _DECIDED
 
 
 def rules(spark, sf_dir):

@@ -12,7 +12,7 @@ from emberframe.operators import assess, complexity, graph, priority, register,
 from emberframe.operators import events as ev
 from emberframe.operators import raster as rs
 from emberframe.operators import scenes as sc
-from emberframe.operators.components import shared_folder
+from emberframe.operators.components import materialise, shared_folder
 from emberframe.plans import context_queries, events_queries, lens, review_queries
 from emberframe.plans.lens import haversine_sql, with_views
 from emberframe.sources import readers, writers
@@ -118,20 +118,42 @@ def field_completeness(spark, sf_dir):
     return register.completeness(lens.events(spark, sf_dir), _evidence(spark, sf_dir))
 
 
-@query("evidence_view", with_views(*_BASE, "raster", "scopes", body=_STORED + review_queries.RELATION_SQL + f""", rel0 AS (SELECT event, relation FROM scoped WHERE audit = 0),
-fields AS (SELECT unnest([{', '.join(f"'{f}'" for f in complexity.FIELDS)}]) AS f), factors AS (SELECT unnest([{', '.join(f"'{f}'" for f in priority.WEIGHTS)}]) AS f)
-SELECT event, 'OBSERVED_' || event || '_chronology' AS evidence_id, 'thermal' AS category, 'chronology' AS type, strftime(first, '%Y-%m-%d %H:%M') || ' to ' || strftime(last, '%Y-%m-%d %H:%M') AS value, 0.82::DOUBLE AS quality FROM ev
-UNION ALL SELECT event, 'OBSERVED_' || event || '_observations', 'thermal', 'observation_count', n::VARCHAR, 0.82 FROM ev UNION ALL SELECT event, 'OBSERVED_' || event || '_frp', 'thermal', 'frp_summary', printf('%.2f', round_even(max_frp, 2)), 0.82 FROM ev
-UNION ALL SELECT event, evidence_id, category, type, CASE WHEN value IS NOT NULL THEN printf('%.4f', round_even(value, 4)) END, quality FROM stored
-UNION ALL SELECT ev.event, 'DERIVED_SCOPE_' || ev.event || '_relation', 'scope', 'scope_relation', coalesce(relation, 'EXTERNAL_CONTEXT'), 1.0 FROM ev LEFT JOIN rel0 USING (event)
-UNION ALL SELECT event, 'DERIVED_COMPLEXITY_' || event || '_' || f, 'fire-complexity', f, NULL, 0.0 FROM ev, fields
-UNION ALL SELECT event, 'DERIVED_PRIORITY_' || event || '_' || f, 'investigation-priority', f, CASE WHEN f = 'evidence_sufficiency' THEN '0.6000' END, CASE WHEN f = 'evidence_sufficiency' THEN 1.0 ELSE 0.0 END FROM ev, factors"""))
+def _view_sql() -> str:
+    L, V = register.LIMITS, register.VERSIONS  # noqa: N806
+    q = lambda s: "'" + s + "'"
+    many = lambda *s: "; ".join(s)
+    span = "strftime(first, '%Y-%m-%d %H:%M') || ' to ' || strftime(last, '%Y-%m-%d %H:%M')"
+    power = lambda c: f"printf('%.2f', round_even(coalesce({c}, 0), 2))"
+    not_run = q("not evaluated: " + register.NOT_RUN)
+    cols = lambda i, c, t, o, s, v, quality, limits, version: f"SELECT event, {i} AS evidence_id, {q(c)} AS category, {t} AS type, {o} AS observation, {q(s)} AS source, span AS time_window, {v} AS value, {quality}::DOUBLE AS quality, {q(limits)} AS limitations, {q(version) if version else 'NULL'} AS algorithm_version, event::VARCHAR AS raw_reference"
+    parts = [
+        cols("'OBSERVED_' || event || '_chronology'", "thermal", "'chronology'", "'detected from ' || span", register.DETECTIONS, "span", 0.82, L["chronology"], None) + " FROM timed",
+        cols("'OBSERVED_' || event || '_observations'", "thermal", "'observation_count'", "n || ' linked detections'", register.DETECTIONS, "n::VARCHAR", 0.82, L["observation_count"], None) + " FROM timed",
+        cols("'OBSERVED_' || event || '_frp'", "thermal", "'frp_summary'", f"'mean ' || {power('mean_frp')} || ' MW, at most ' || {power('max_frp')} || ' MW'", register.DETECTIONS, power("max_frp"), 0.82, L["frp_summary"], None) + " FROM timed",
+        "SELECT event, evidence_id, category, type, NULL, NULL, span, CASE WHEN value IS NOT NULL THEN printf('%.4f', round_even(value, 4)) END, quality, '', NULL, event::VARCHAR FROM stored JOIN timed USING (event)",
+        cols("'DERIVED_SCOPE_' || event || '_relation'", "scope", "'scope_relation'", "'the centroid is ' || coalesce(relation, 'EXTERNAL_CONTEXT')", register.SCOPE, "coalesce(relation, 'EXTERNAL_CONTEXT')", 1.0, L["scope"], V["scope"]) + " FROM timed LEFT JOIN rel0 USING (event)",
+        cols("'DERIVED_COMPLEXITY_' || event || '_' || f", "fire-complexity", "f", not_run, register.COMPLEXITY_JOB, "NULL", 0.0, L["complexity"], V["complexity"]) + " FROM timed, fields",
+        cols("'DERIVED_PRIORITY_' || event || '_' || f", "investigation-priority", "f", "reason", register.ROUTING, "printf('%.4f', signal)", 1.0, L["priority"], V["priority"]) + " FROM timed JOIN routing USING (event)",
+        cols("'DERIVED_PRIORITY_' || event || '_' || f", "investigation-priority", "f", not_run, register.PRIORITY_JOB, "NULL", 0.0, many(register.NOT_RUN, L["priority"]), V["priority"]) + " FROM timed, factors WHERE f NOT IN ('event_validity', 'evidence_sufficiency')",
+    ]
+    return _STORED + events_queries.DECIDED_ONLY + review_queries.RELATION_SQL + f""", rel0 AS (SELECT event, relation FROM scoped WHERE audit = 0),
+fields AS (SELECT unnest([{', '.join(map(q, complexity.FIELDS))}]) AS f), factors AS (SELECT unnest([{', '.join(map(q, priority.WEIGHTS))}]) AS f),
+power AS (SELECT event, sum(round(frp * 1e4)::BIGINT) / count(frp) / 1e4 AS mean_frp FROM members GROUP BY event), timed AS (SELECT ev.*, mean_frp, {span} AS span FROM ev JOIN power USING (event)),
+routing AS (SELECT event, 'event_validity' AS f, CASE state WHEN 'LIKELY_FIRE' THEN 1.0 WHEN 'AMBIGUOUS' THEN 0.5 ELSE 0.0 END AS signal, 'screened as ' || state AS reason FROM decided
+  UNION ALL SELECT event, 'evidence_sufficiency', CASE event % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.6 ELSE 1.0 END, 'evidence is ' || CASE event % 3 WHEN 0 THEN 'SUFFICIENT' WHEN 1 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END FROM decided) """ + " UNION ALL ".join(parts)
+
+
+@query("evidence_view", with_views(*_BASE, "raster", "scopes", body=_view_sql()))
 def evidence_view(spark, sf_dir):
-    e = lens.events(spark, sf_dir)
-    relations = register.in_scopes(e, lens.scopes(spark, sf_dir).where("audit = 0"))
-    factors = e.select("event", F.lit("evidence_sufficiency").alias("factor"), F.lit(0.6).alias("signal"))
+    e = _rows(spark, sf_dir)
+    relations = register.in_scopes(lens.events(spark, sf_dir), lens.scopes(spark, sf_dir).where("audit = 0"))
+    d = materialise(events_queries.decided(spark, sf_dir).select("event", "state"))
+    enough = F.when(F.col("event") % 3 == 0, "SUFFICIENT").when(F.col("event") % 3 == 1, "PARTIAL").otherwise("INSUFFICIENT")
+    told = lambda factor, label, before: d.select("event", F.lit(factor).alias("factor"), priority.label_signal(F.lit(factor), label).alias("signal"), F.concat(F.lit(before), label).alias("reason"))
+    routing = told("event_validity", F.col("state"), "screened as ").unionByName(told("evidence_sufficiency", enough, "evidence is "))
     derived = _evidence(spark, sf_dir).withColumn("value", F.format_string("%.4f", F.bround("value", 4)))
-    return register.evidence_view(e, derived, relations, complexity.FIELDS, tuple(priority.WEIGHTS), factors)
+    out = register.evidence_view(e, derived, relations, complexity.FIELDS, tuple(priority.WEIGHTS), routing)
+    return out.withColumn("limitations", F.array_join("limitations", "; "))
 
 
 @query("events_with_scenes", with_views(*_BASE, body=" SELECT event, 'ENV_IMAGERY_' || event || '_S2_pre' AS scenes FROM ev WHERE event % 4 = 0"))
