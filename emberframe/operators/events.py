@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +73,37 @@ def natural_key() -> Column:
     return F.concat_ws(",", F.format_string("%.5f", "latitude"), F.format_string("%.5f", "longitude"), F.col("acq_date").cast("string"), F.col("acq_time").cast("string"))
 
 
-def event_name(first: Column, keys: Column) -> Column:
-    """Content-addressed id: date of the first detection and ten hex digits of the members' sorted keys."""
-    return F.concat(F.lit("FE-"), F.date_format(first, "yyyyMMdd"), F.lit("-"), F.substring(F.sha1(F.array_join(F.sort_array(keys), "|")), 1, 10))
+def key_digests(members: DataFrame, by: str) -> DataFrame:
+    """(by, digest): SHA-1 of each group's keys, sorted and joined by |.
+
+    Keys come sorted and are hashed as they pass, so a group of any size takes no
+    more memory than a batch; only its own order ties it to one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for group, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or group != now:
+                    if digest is not None:
+                        out.append((now, digest.hexdigest()))
+                    now, digest = group, hashlib.sha1(key.encode())
+                else:
+                    digest.update(b"|" + key.encode())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], batch.schema.field(0).type), pa.array([d for _, d in out])], [by, "digest"])
+            kind = batch.schema.field(0).type
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([digest.hexdigest()])], [by, "digest"])
+
+    keyed = members.select(by, natural_key().alias("key")).repartition(by).sortWithinPartitions(by, "key")
+    return keyed.mapInArrow(run, f"{by} {members.schema[by].dataType.simpleString()}, digest string")
+
+
+def event_name(first: Column, digest: Column) -> Column:
+    """Content-addressed id: date of the first detection and ten hex digits of the digest of the members' keys."""
+    return F.concat(F.lit("FE-"), F.date_format(first, "yyyyMMdd"), F.lit("-"), F.substring(digest, 1, 10))
 
 
 def sensor_combination() -> Column:
@@ -95,11 +127,10 @@ def summarised(members: DataFrame, by: str = "cluster") -> DataFrame:
         F.max("frp").alias("max_frp"),
         (F.sum(F.round(F.col("frp") * 1e4).cast("long")) / F.count("frp") / 1e4).alias("mean_frp"),
         F.sort_array(F.collect_set(sensor_combination())).alias("sensor_mix"),
-        F.collect_list(natural_key()).alias("_keys"),
     )
-    return a.select(
+    return a.join(key_digests(members, by), by).select(
         by,
-        event_name(F.col("first_detection"), F.col("_keys")).alias("event_id"),
+        event_name(F.col("first_detection"), F.col("digest")).alias("event_id"),
         "least_obs",
         "first_detection",
         "last_detection",
@@ -118,12 +149,6 @@ def summarised(members: DataFrame, by: str = "cluster") -> DataFrame:
     )
 
 
-def link_statistics(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(cluster, link_count, max_link_gap_hours, max_link_distance_km) over accepted pairs."""
-    of = pairs.join(members.select(F.col("obs_id").alias("a"), "cluster"), "a")
-    return of.groupBy("cluster").agg(F.count("*").alias("link_count"), F.max("gap_hours").alias("max_link_gap_hours"), F.max("distance_km").alias("max_link_distance_km"))
-
-
 def reconstruct(obs: DataFrame, radius_km: float = DEFAULT_RADIUS_KM, hours: float = DEFAULT_HOURS, ref_lat: float | None = None) -> DataFrame:
     """Events of a table of observations, with the statistics of their links, by first detection."""
     check_thresholds(radius_km, hours)

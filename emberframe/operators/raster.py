@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.functions.geo import haversine_km, km_per_degree
+from emberframe.functions.geo import EARTH_KM, haversine_km, km_per_degree
 from emberframe.operators.components import materialise
 
 
@@ -75,25 +75,48 @@ def radius_fraction(points: DataFrame, raster: DataFrame, t: Transform, km: floa
     return points.select("event").join(found, "event", "left").withColumn("peat_fraction", F.bround(F.col("peat_cells") / F.col("cells"), 4))
 
 
-#: The radii that the nearest-peat search tries; beyond the last there is no answer.
-SEARCH_KM = (2.2, 4.4, 8.8, 17.6, 35.2)
+#: Fixed value: kilometres within which the nearest peat is looked for.
+SEARCH_KM = 35.2
+#: Rows and columns of a block of the raster.
+BLOCK = 16
 
 
 def distance_to_peat(points: DataFrame, raster: DataFrame, t: Transform) -> DataFrame:
-    """(event, peat_distance_km): 0 on a peat cell, else the way to the nearest peat cell within the last search radius, null beyond.
+    """(event, peat_distance_km): 0 on a peat cell, else the way to the nearest peat cell within ``SEARCH_KM``, null beyond.
 
-    A point first asks the smallest radius; only those without an answer go on to the next.
+    Blocks of cells are known by the box around their peat.  A point weighs the
+    blocks in reach by the least and the greatest distance that their box allows;
+    only blocks that may hold something nearer than the best of the greatest
+    distances are opened, so a point meets the peat of a few blocks.
     """
     at = materialise(class_at(points.select("event", "lat", "lon"), raster, t))
-    found = at.where(is_peat(F.col("peat_class"))).select("event", F.lit(0.0).alias("peat_distance_km"))
-    peat, left = raster.where(is_peat(F.col("value"))), at.where(~is_peat(F.col("peat_class"))).select("event", "lat", "lon")
-    for km in SEARCH_KM:
-        if left.isEmpty():
-            break
-        got = materialise(cells_within(left, peat, t, km).groupBy("event").agg(F.bround(F.min("distance_km"), 2).alias("peat_distance_km")))
-        found = found.unionByName(got)
-        left = left.join(got.select("event"), "event", "left_anti")
-    return points.select("event").join(found, "event", "left")
+    on = at.where(is_peat(F.col("peat_class"))).select("event", F.lit(0.0).alias("peat_distance_km"))
+    off = at.where(~is_peat(F.col("peat_class"))).select("event", "lat", "lon").where("lat is not null and lon is not null")
+    part = lambda c: F.floor(c / BLOCK).cast("long")
+    peat = raster.where(is_peat(F.col("value"))).select("row", "col", part(F.col("row")).alias("br"), part(F.col("col")).alias("bc"))
+    blocks = peat.groupBy("br", "bc").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    up, across = km_per_degree(F.col("lat"))
+    dr, dc = F.ceil(F.lit(SEARCH_KM) / up / t.step).cast("long"), F.ceil(F.lit(SEARCH_KM) / across / t.step).cast("long")
+    r, c = t.row(F.col("lat")), t.col(F.col("lon"))
+    near = off.withColumn("br", F.explode(F.sequence(part(r - dr), part(r + dr)))).withColumn("bc", F.explode(F.sequence(part(c - dc), part(c + dc)))).join(blocks, ["br", "bc"])
+    north, south, west, east = t.lat(F.col("r0")), t.lat(F.col("r1")), t.lon(F.col("c0")), t.lon(F.col("c1"))
+    gap = lambda x, lo, hi: F.greatest(lo - x, x - hi, F.lit(0.0))
+    span = lambda x, lo, hi: F.greatest(hi - x, x - lo)
+    widest, narrowest = (f(F.cos(F.radians(north)), F.cos(F.radians(south))) for f in (F.greatest, F.least))
+    widest = F.when(south * north <= 0, 1.0).otherwise(widest)
+
+    def arc(dlat: Column, dlon: Column, cosine: Column) -> Column:
+        a = F.pow(F.sin(F.radians(dlat) / 2), 2) + F.cos(F.radians("lat")) * cosine * F.pow(F.sin(F.radians(dlon) / 2), 2)
+        return F.asin(F.sqrt(F.least(a, F.lit(1.0)))) * 2 * EARTH_KM
+
+    lat, lon = F.col("lat"), F.col("lon")
+    bounded = near.withColumns({"low": arc(gap(lat, south, north), gap(lon, west, east), narrowest) - 1e-6, "high": arc(span(lat, south, north), span(lon, west, east), widest) + 1e-6})
+    best = bounded.groupBy("event").agg(F.min("high").alias("best"))
+    opened = bounded.join(best, "event").where((F.col("low") <= F.col("best")) & (F.col("low") <= SEARCH_KM)).select("event", "lat", "lon", "br", "bc")
+    d = haversine_km(lat, lon, t.lat(F.col("row")), t.lon(F.col("col")))
+    met = opened.join(peat, ["br", "bc"]).withColumn("d", d).where(F.col("d") <= SEARCH_KM)
+    found = met.groupBy("event").agg(F.bround(F.min("d"), 2).alias("peat_distance_km"))
+    return points.select("event").join(on.unionByName(found), "event", "left")
 
 
 #: Fixed value: kilometres between samples of a line or a footprint.
