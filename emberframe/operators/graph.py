@@ -129,14 +129,28 @@ def wind_of_samples(samples: DataFrame) -> DataFrame:
     return ok.groupBy("event").agg(circular_mean(F.col("d"), F.when(F.col("v") > 0, F.col("v")).otherwise(1.0)).alias("wind_from")).where("wind_from is not null")
 
 
+def chosen_wind(explicit: DataFrame, results: DataFrame, samples: DataFrame) -> DataFrame:
+    """(event, wind_from, wind_kmh, wind_source): a wind that was given, else one that an earlier result holds, else the mean of samples.
+
+    Each table: event, wind_from and optionally wind_kmh; rows without a direction don't count.
+    """
+    out = None
+    for nth, (name, rows) in enumerate((("explicit", explicit), ("result", results), ("samples", samples))):
+        speed = F.col("wind_kmh") if "wind_kmh" in rows.columns else F.lit(None)
+        one = rows.where(F.col("wind_from").isNotNull() & ~F.isnan("wind_from")).select("event", F.struct(F.lit(nth).alias("nth"), degrees_360(F.col("wind_from")).alias("wind_from"), speed.cast("double").alias("wind_kmh"), F.lit(name).alias("wind_source")).alias("w"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("event").agg(F.min("w").alias("w")).select("event", "w.wind_from", "w.wind_kmh", "w.wind_source")
+
+
 def edges(events: DataFrame, wind: DataFrame, peat: DataFrame, episodes: DataFrame, recurrence: DataFrame | None = None) -> DataFrame:
     """One row per candidate pair, from the earlier event to the later, with its features, state and evidence ids.
 
-    ``wind`` (event, wind_from and optionally wind_kmh), ``peat`` (source, target,
-    peat_fraction), ``episodes`` (event, episode) and ``recurrence`` (a, b,
+    ``wind`` (event, wind_from and optionally wind_kmh, wind_ids), ``peat`` (source, target,
+    peat_fraction and optionally peat_ids), ``episodes`` (event, episode) and ``recurrence`` (a, b,
     recurrence; in any order, candidates whatever their distance) may lack rows: a
     missing source leaves the feature null, which never counts as a no.  Events
-    whose times overlap have no direction, so no wind features.
+    whose times overlap have no direction, so no wind features.  ``wind_ids`` and
+    ``peat_ids``, ids of the evidence behind them, follow the supporting statements.
     """
     p = event_pairs(events, explicit=recurrence)
     flip = F.col("ordering") == "B_BEFORE_A"
@@ -147,7 +161,9 @@ def edges(events: DataFrame, wind: DataFrame, peat: DataFrame, episodes: DataFra
         "event_a", "event_b", F.when(F.col("ordering") == "OVERLAPPING", "OVERLAPPING").otherwise("A_BEFORE_B").alias("ordering"), "distance_km", "gap_hours", "buffers_overlap",
     )
     ep = lambda t: episodes.select(F.col("event").alias(t), F.col("episode").alias(f"episode_{t}"))
-    blown = wind.select(F.col("event").alias("source"), "wind_from", (F.col("wind_kmh") if "wind_kmh" in wind.columns else F.lit(None).cast("double")).alias("wind_kmh"))
+    listed = lambda df, c: (F.col(c) if c in df.columns else F.lit(None)).cast("array<string>").alias(c)
+    blown = wind.select(F.col("event").alias("source"), "wind_from", (F.col("wind_kmh") if "wind_kmh" in wind.columns else F.lit(None).cast("double")).alias("wind_kmh"), listed(wind, "wind_ids"))
+    peat = peat.select("source", "target", "peat_fraction", listed(peat, "peat_ids"))
     p = p.join(blown, "source", "left").join(peat, ["source", "target"], "left").join(ep("source"), "source", "left").join(ep("target"), "target", "left")
     if recurrence is not None:
         known = recurrence.select(F.least("a", "b").alias("event_a"), F.greatest("a", "b").alias("event_b"), "recurrence").groupBy("event_a", "event_b").agg(F.bool_or("recurrence").alias("recurrence"))
@@ -198,7 +214,8 @@ def edges(events: DataFrame, wind: DataFrame, peat: DataFrame, episodes: DataFra
     }
     name = lambda k: F.concat_ws("_", F.lit("DERIVED_GRAPH"), F.col("source").cast("string"), F.col("target").cast("string"), F.lit(k))
     ids = lambda wanted: F.array_compact(F.array(*(F.when(c if wanted else ~c, name(k)) for k, c in told.items())))
-    return p.withColumns({"state": state, "supporting": ids(True), "contradicting": ids(False)}).select(
+    sources = (F.coalesce(c, F.array().cast("array<string>")) for c in ("wind_ids", "peat_ids"))
+    return p.withColumns({"state": state, "supporting": F.array_distinct(F.concat(ids(True), *sources)), "contradicting": ids(False)}).select(
         "source", "target", "distance_km", "gap_hours", "ordering", "bearing", "alignment", "downwind", "buffers_overlap", "peat_fraction", "shared_episode", "recurrence", "speed_kmh",
         *(F.col(f"envelope.{c}").alias(c) for c in ("heading", "half_length", "half_width", "shift")), "inside", "compatibility", "state", "supporting", "contradicting",
     )

@@ -54,7 +54,7 @@ def nearby_and_recurrence(spark, sf_dir):
 
 def wind(spark, sf_dir):
     e = F.col("event")
-    return lens.events(spark, sf_dir).where(e % 5 != 0).select("event", ((e * 37) % 360).cast("double").alias("wind_from"), F.when(e % 7 != 0, ((e % 4) * 5).cast("double")).alias("wind_kmh"))
+    return lens.events(spark, sf_dir).where(e % 5 != 0).select("event", ((e * 37) % 360).cast("double").alias("wind_from"), F.when(e % 7 != 0, ((e % 4) * 5).cast("double")).alias("wind_kmh"), F.array(F.concat(F.lit("ENV_WEATHER_"), e.cast("string"), F.lit("_wind"))).alias("wind_ids"))
 
 
 def _episodes(spark, sf_dir):
@@ -69,7 +69,7 @@ def _recurrence(spark, sf_dir):
 
 def edges(spark, sf_dir):
     e = lens.events(spark, sf_dir)
-    peat = e.where(F.col("event") % 2 == 0).select(F.col("event").alias("source"), (F.col("event") + 10).alias("target"), ((F.col("event") % 10) / 10.0).alias("peat_fraction"))
+    peat = e.where(F.col("event") % 2 == 0).select(F.col("event").alias("source"), (F.col("event") + 10).alias("target"), ((F.col("event") % 10) / 10.0).alias("peat_fraction"), F.array(F.concat(F.lit("ENV_PEAT_"), F.col("event").cast("string"), F.lit("_corridor"))).alias("peat_ids"))
     return graph.edges(e, wind(spark, sf_dir), peat, _episodes(spark, sf_dir), _recurrence(spark, sf_dir))
 
 
@@ -78,6 +78,8 @@ _SAID = ("GEOGRAPHIC_DISTANCE", "true"), ("ELAPSED_TIME", "true"), ("PROPAGATION
 
 def _told(wanted: str) -> str:
     names = ", ".join(f"CASE WHEN ({c}) IS {wanted} THEN 'DERIVED_GRAPH_' || source || '_' || target || '_{k}' END" for k, c in _SAID)
+    if wanted == "true":  # and the ids of the evidence behind wind and peat
+        names += ", CASE WHEN wind_from IS NOT NULL THEN 'ENV_WEATHER_' || source || '_wind' END, CASE WHEN peat_fraction IS NOT NULL THEN 'ENV_PEAT_' || source || '_corridor' END"
     return f"array_to_string([x FOR x IN [{names}] IF x IS NOT NULL], ',')"
 
 
