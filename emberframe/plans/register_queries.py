@@ -419,12 +419,17 @@ def written_checksums(spark, sf_dir):
 
 @query("served_snapshot", with_views("obs", body=" SELECT count(*) AS rows, TIMESTAMP '2024-01-31 12:00:00' AS stored_at, true AS fresh, false AS fresh_later FROM (SELECT DISTINCT latitude, longitude, acq_date, acq_time, satellite, instrument FROM obs WHERE ts >= TIMESTAMP '2024-01-30 12:00:00')"))
 def served_snapshot(spark, sf_dir):
+    """Three landed files, a batch and a snapshot each at a later minute; a snapshot without its pointer is never served."""
     from emberframe.streaming import live
 
-    path = _folder(spark)
-    now = F.lit("2024-01-31 12:00:00").cast("timestamp")
-    live.store_snapshot(lens.observations(spark, sf_dir), path, "2024-01-31 12:00:00")
-    served = live.served(spark, path)
+    path, o = _folder(spark), lens.observations(spark, sf_dir)
+    o.withColumn("file", F.col("obs_id") % 3).repartition(3, "file").write.partitionBy("file").parquet(f"{path}/landed")
+    landed = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{path}/landed")
+    times = ["2024-01-31 11:50:00", "2024-01-31 11:55:00", "2024-01-31 12:00:00"]
+    store = lambda batch, nth: live.refresh_snapshot(batch, f"{path}/store", times[nth])
+    landed.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    o.limit(1).write.parquet(f"{path}/store/snapshots/broken-off")
+    served, now = live.served(spark, f"{path}/store"), F.lit("2024-01-31 12:00:00").cast("timestamp")
     later = now + F.expr("INTERVAL 16 MINUTES")
     return served.agg(F.count("*").alias("rows"), F.max("stored_at").alias("stored_at"), F.bool_and(live.fresh(F.col("stored_at"), now)).alias("fresh"), F.bool_or(live.fresh(F.col("stored_at"), later)).alias("fresh_later"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +45,33 @@ SERVED_MINUTES = 15
 
 
 def store_snapshot(rows: DataFrame, path: str, now: str) -> None:
-    """The last day's detections, each once, with the time they were stored; replaces the snapshot before it.
+    """The last day's detections, each once, with the time they were stored, as a new snapshot.
 
-    As a stream: ``writeStream.trigger(processingTime="15 minutes").foreachBatch`` of this.
+    The snapshot goes to a folder of its own; what is served changes by one row
+    appended to ``pointers``, so a reader gets the snapshot before or this one, never
+    a part, and one that broke off half way is never served.
     """
-    within_day(rows, now).dropDuplicates(NATURAL_KEY).withColumn("stored_at", F.lit(now).cast("timestamp")).write.mode("overwrite").parquet(path)
-
-
-def served(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    folder = f"{path}/snapshots/{uuid.uuid4().hex}"
+    stamped = within_day(rows, now).dropDuplicates(NATURAL_KEY).withColumn("stored_at", F.lit(now).cast("timestamp"))
+    stamped.write.parquet(folder)
+    rows.sparkSession.range(1).select(F.lit(now).cast("timestamp").alias("stored_at"), F.lit(folder).alias("folder")).write.mode("append").parquet(f"{path}/pointers")
+
+
+def served(spark: SparkSession, path: str) -> DataFrame | None:
+    """The snapshot stored last; None before the first."""
+    try:
+        newest = spark.read.parquet(f"{path}/pointers").orderBy(F.desc("stored_at"), "folder").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return newest and spark.read.parquet(newest["folder"])
+
+
+def refresh_snapshot(batch: DataFrame, path: str, now: str) -> None:
+    """A snapshot of a batch together with what was served before; as ``writeStream.foreachBatch`` of this, a batch run twice changes nothing."""
+    before = served(batch.sparkSession, path)
+    store_snapshot(batch if before is None else batch.unionByName(before.drop("stored_at")), path, now)
 
 
 def fresh(stored_at: Column, now: Column) -> Column:
