@@ -13,8 +13,9 @@
    entries of the codes (asymmetric distance), keeps the best ``SHORTLIST`` by
    (distance, id) and reranks them by exact distance in double precision on the
    original vectors, which the block holds.  Its k best go on to a last ranking
-   over the query's blocks.  Queries come in chunks of about ``CHUNK``: a block
-   goes to each chunk, so that no task holds all queries of a block.
+   over the query's blocks.  The queries of a list come in chunks of about ``CHUNK``, by
+   their counted number, and its blocks go to each of its chunks: no task holds
+   all queries of a block, and a list that few queries visit is sent once.
 
 Spark does the assignment, the dealing and the ranking; nothing but the learnt
 tables and the list sizes (both bounded by ``LISTS``) passes the driver.
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import hash_sample
+from emberframe.llm.common import hash_sample, mix64
 
 SAMPLE = 20_000
 LISTS = 1024
@@ -148,23 +149,38 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
         sizes[row["list"]] = row["count"]
     blocks = np.maximum(1, -(-sizes // int(np.clip(2 * sizes.mean(), 256, BLOCK))))
 
+    def lists_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the lists that each query visits: up to the one that makes the rows enough, and ``probes`` at least."""
+        order = nearest(v, shared.value.centres, lists)
+        held = np.cumsum(sizes[order], axis=1)
+        n = np.maximum(np.minimum((held < ENOUGH * k + 1).sum(1) + 1, lists), min(probes, lists))
+        row, own = np.repeat(np.arange(len(n)), n), order[np.arange(lists) < n[:, None]]
+        return row[sizes[own] > 0], own[sizes[own] > 0]
+
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy().reshape(-1, width)
+            if len(v):
+                own, n = np.unique(lists_of(v)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(n, pa.int64())], ["list", "n"])
+
+    asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    chunks = np.ones(lists, np.int64)
+    for row in asked.mapInArrow(visited, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():  # one number for each list
+        chunks[row["list"]] = -(-row["n"] // CHUNK)
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
             v = batch.column("v").flatten().to_numpy().reshape(-1, width)
             if not len(v):
                 continue
-            order = nearest(v, index.centres, lists)
-            held = np.cumsum(sizes[order], axis=1)
-            # lists up to the one that makes the rows enough, and ``probes`` at least
-            n = np.maximum(np.minimum((held < ENOUGH * k + 1).sum(1) + 1, lists), min(probes, lists))
-            chosen = np.arange(lists) < n[:, None]
-            row, own = np.repeat(np.arange(len(n)), n), order[chosen]
-            each = np.where(sizes[own] > 0, blocks[own], 0)
+            row, own = lists_of(v)
+            each = blocks[own]
             take = np.repeat(np.arange(len(own)), each)
             block = np.arange(len(take)) - np.repeat(np.cumsum(each) - each, each)
             at, lists_ = pa.array(row[take]), own[take]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(lists_, pa.int32()), pa.array(block, pa.int32()), batch.column("chunk").take(at)], ["query_id", "q", "list", "block", "chunk"])
+            chunk = (mix64(batch.column("id").to_numpy())[row[take]] % chunks[lists_].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(lists_, pa.int32()), pa.array(block, pa.int32()), pa.array(chunk)], ["query_id", "q", "list", "block", "chunk"])
 
     def scan(key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -192,14 +208,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
                     out.extend(zip([name] * len(order), ids[best[order]].tolist(), exact[order].tolist(), strict=True))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    split = {int(own): int(n) for own, n in enumerate(blocks) if n > 1}
-    n_blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in split.items() for x in pair)), F.col("list")), F.lit(1)) if split else F.lit(1)
-    dealt = indexed.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
-    asked = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
-    chunks = max(1, -(-asked.count() // CHUNK))
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "id"), F.lit(chunks)).cast("int"))
+    def of_list(numbers: np.ndarray) -> Column:
+        """A list's number, 1 for most."""
+        more = {int(own): int(n) for own, n in enumerate(numbers) if n > 1}
+        return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in more.items() for x in pair)), F.col("list")), F.lit(1)) if more else F.lit(1)
+
+    dealt = indexed.withColumn("block", F.pmod(F.xxhash64("id"), of_list(blocks)).cast("int"))
     queries = asked.mapInArrow(visit, "query_id long, q array<double>, list int, block int, chunk int")
-    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), of_list(chunks) - 1)))
     found = dealt.groupBy("list", "block", "chunk").cogroup(queries.groupBy("list", "block", "chunk")).applyInPandas(scan, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
