@@ -337,6 +337,28 @@ def pack_report(pack: DataFrame, events: DataFrame, evidence: DataFrame) -> Data
     )
 
 
+def report_details(pack: DataFrame, events: DataFrame, analyses: DataFrame, questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(audit, part, event, text): what a report lists beside its counts, a row each.
+
+    ``not_run``: the pack's events without an analysis (audit, event).
+    ``unresolved_question`` and ``verification``: what analyses leave open or ask to be
+    checked (audit, event, kind, question).  ``algorithm_version``: the versions
+    behind the pack's evidence (event, algorithm_version), without an event.
+    Events that are not in the register don't count.
+    """
+    own = pack.select("audit", "event").distinct().join(events.select("event"), "event", "left_semi")
+    done = analyses.select("audit", "event").distinct()
+    row = lambda rows, part, event, text: rows.select("audit", part.alias("part"), event.cast("long").alias("event"), text.cast("string").alias("text"))
+    nothing = F.lit(None)
+    asked = questions.where(F.col("question").isNotNull() & F.col("kind").isin("unresolved_question", "verification")).join(own.join(done, ["audit", "event"]), ["audit", "event"], "left_semi")
+    versions = own.join(evidence.where("algorithm_version is not null").select("event", "algorithm_version").distinct(), "event").select("audit", "algorithm_version").distinct()
+    return (
+        row(own.join(done, ["audit", "event"], "left_anti"), F.lit("not_run"), F.col("event"), nothing)
+        .unionByName(row(asked, F.col("kind"), F.col("event"), F.col("question")))
+        .unionByName(row(versions, F.lit("algorithm_version"), nothing, F.col("algorithm_version")))
+    )
+
+
 def usable_evidence(evidence: DataFrame) -> DataFrame:
     """Evidence with a value and an id; of repeated ids of an event the first layer's row."""
     ok = evidence.where(F.col("value").isNotNull() & (F.coalesce("evidence_id", F.lit("")) != ""))

@@ -232,6 +232,21 @@ def report_counts(spark, sf_dir):
     return register.report_counts(e, _pack(spark, sf_dir), enough)
 
 
+@query("report_details", with_views(*_BASE, body=_PACK + f""", own AS (SELECT audit, event, analysed FROM pack JOIN ev USING (event))
+SELECT audit, 'not_run' AS part, event::BIGINT AS event, NULL AS text FROM own WHERE NOT analysed
+UNION ALL SELECT o.audit, CASE WHEN turn % 2 = 0 THEN 'unresolved_question' ELSE 'verification' END, event, substr(text, 1, 60) FROM own o JOIN conversations c ON c.conv_id = o.audit AND o.event = c.conv_id * 10 + c.turn % 3 WHERE analysed
+UNION ALL SELECT DISTINCT audit, 'algorithm_version', NULL::BIGINT, v FROM own, (VALUES ('{register.VERSIONS["scope"]}', 1), ('{register.VERSIONS["complexity"]}', 2), ('{register.VERSIONS["priority"]}', 3)) t(v, m) WHERE event % m = 0"""))
+def report_details(spark, sf_dir):
+    """Turns of a conversation stand for the questions of an event's analysis; the versions of its evidence follow from its number."""
+    pack = _pack(spark, sf_dir)
+    c = lens.table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("turn") % 2 == 0, "unresolved_question").otherwise("verification")
+    questions = c.select(F.col("conv_id").alias("audit"), (F.col("conv_id") * 10 + F.col("turn") % 3).cast("long").alias("event"), kind.alias("kind"), F.substring("text", 1, 60).alias("question"))
+    e = lens.events(spark, sf_dir)
+    versions = e.select("event", F.explode(F.array(*(F.when(F.col("event") % m == 0, register.VERSIONS[v]) for m, v in ((1, "scope"), (2, "complexity"), (3, "priority"))))).alias("algorithm_version"))
+    return register.report_details(pack, e, pack.where("analysed"), questions, versions)
+
+
 @query("pack_report", with_views(*_BASE, body=_PACK + events_queries.RULES_SQL + """, per AS (SELECT event, count(*) AS rows FROM rules WHERE value IS NOT NULL GROUP BY event)
 SELECT audit, count(*) AS events, count(*) FILTER (WHERE note <> '') AS noted, sum(n)::BIGINT AS observations, sum(coalesce(rows, 0))::BIGINT AS evidence_rows, CASE WHEN sum(coalesce(rows, 0)) > 0 THEN 'thermal' ELSE '' END AS categories, string_agg(event::VARCHAR, ',' ORDER BY first, event) AS chronology FROM pack JOIN ev USING (event) LEFT JOIN per USING (event) GROUP BY audit"""))
 def pack_report(spark, sf_dir):
