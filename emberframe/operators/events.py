@@ -176,7 +176,7 @@ def run_totals(obs: DataFrame, radius_km: float = DEFAULT_RADIUS_KM, hours: floa
 
 
 def lobes(members: DataFrame, lobe_km: float = 1.0, cluster_km: float = DEFAULT_RADIUS_KM) -> DataFrame:
-    """Spatial parts of each event: (event, lobe, observation_count, first_detection, lat, lon), largest first.
+    """Spatial parts of each event, largest first: event, lobe, nth, number, times, duration, extent, centroid, power.
 
     Points of one event within ``lobe_km`` at the event's own mean latitude hang
     together; time plays no part.
@@ -192,13 +192,20 @@ def lobes(members: DataFrame, lobe_km: float = 1.0, cluster_km: float = DEFAULT_
     least = found.groupBy("root").agg(F.min("vertex").alias("lobe"))
     labels = found.join(least, "root").select(F.col("vertex").alias("obs_id"), "lobe")
     parts = members.join(labels, "obs_id", "left").withColumn("lobe", F.coalesce("lobe", "obs_id"))
-    out = parts.groupBy("event", "lobe").agg(F.count("*").alias("observation_count"), F.min("ts").alias("first_detection"), F.max("ts").alias("last_detection"), F.max("frp").alias("max_frp"))
+    n = F.count("*")
+    out = parts.groupBy("event", "lobe").agg(
+        n.alias("observation_count"), F.min("ts").alias("first_detection"), F.max("ts").alias("last_detection"), F.max("frp").alias("max_frp"),
+        *((F.sum(F.round(F.col(c) * 1e5).cast("long")) / n / 1e5).alias(k) for c, k in (("latitude", "lat"), ("longitude", "lon"))),
+        F.min("longitude").alias("_w"), F.min("latitude").alias("_s"), F.max("longitude").alias("_e"), F.max("latitude").alias("_n"),
+    )
+    measures = {"duration_hours": hours_between(F.col("first_detection"), F.col("last_detection")), "spatial_extent_km": haversine_km(F.col("_s"), F.col("_w"), F.col("_n"), F.col("_e"))}
+    out = out.withColumns(measures).drop("_w", "_s", "_e", "_n")
     nth = F.row_number().over(Window.partitionBy("event").orderBy(F.desc("observation_count"), "first_detection", "lobe"))
     return out.withColumn("nth", nth)
 
 
-def threshold_sweep(obs: DataFrame, radii: tuple[float, ...], hours: tuple[float, ...]) -> DataFrame:
-    """(radius_km, hours, events, singletons, largest) for every combination, from one pair join.
+def threshold_sweep(obs: DataFrame, radii: tuple[float, ...], hours: tuple[float, ...], large: int = 100) -> DataFrame:
+    """(radius_km, hours, events, singletons, large_events, largest, accepted_pairs) for every combination, from one pair join.
 
     The time bounds are labelled together: a vertex is numbered by its rank in the
     time bound.  Radii come in rising order, and each starts from the events of the
@@ -228,14 +235,16 @@ def threshold_sweep(obs: DataFrame, radii: tuple[float, ...], hours: tuple[float
             labels = materialise(moved.unionByName(new))
         size = labels.groupBy("label").count().select(F.lit(r).alias("radius_km"), F.pmod("label", F.lit(n)).alias("cell"), "count")
         sizes, before = size if sizes is None else sizes.unionByName(size), r
-    linked = sizes.groupBy("radius_km", "cell").agg(F.count("*").alias("clusters"), F.sum("count").alias("members"), F.max("count").alias("largest"))
+    linked = sizes.groupBy("radius_km", "cell").agg(F.count("*").alias("clusters"), F.sum("count").alias("members"), F.max("count").alias("largest"), F.count_if(F.col("count") >= large).alias("large_events"))
+    near = spread.groupBy(F.col("c.cell").alias("cell")).agg(*(F.count_if(F.col("distance_km") <= r).alias(f"n{i}") for i, r in enumerate(radii)))
+    accepted = near.select("cell", F.explode(F.array(*(F.struct(F.lit(r).alias("radius_km"), F.col(f"n{i}").alias("accepted_pairs")) for i, r in enumerate(radii)))).alias("x")).select("cell", "x.*")
     cells = F.array(*(F.struct(F.lit(r).alias("radius_km"), F.lit(i).alias("cell"), F.lit(float(h)).alias("hours")) for r in radii for i, h in enumerate(hours)))
     grid = obs.sparkSession.range(1).select(F.explode(cells).alias("c")).select("c.*")
     total = obs.agg(F.count("*").alias("total"))
-    joined = grid.join(linked, ["radius_km", "cell"], "left").crossJoin(F.broadcast(total))
+    joined = grid.join(linked, ["radius_km", "cell"], "left").join(accepted, ["radius_km", "cell"], "left").crossJoin(F.broadcast(total))
     single = F.col("total") - F.coalesce("members", F.lit(0))
     largest = F.coalesce("largest", F.when(F.col("total") > 0, 1).otherwise(0))
-    return joined.select("radius_km", "hours", (single + F.coalesce("clusters", F.lit(0))).alias("events"), single.alias("singletons"), largest.alias("largest"))
+    return joined.select("radius_km", "hours", (single + F.coalesce("clusters", F.lit(0))).alias("events"), single.alias("singletons"), (F.coalesce("large_events", F.lit(0)) + (single if large <= 1 else 0)).alias("large_events"), largest.alias("largest"), F.coalesce("accepted_pairs", F.lit(0)).alias("accepted_pairs"))
 
 
 def checksummed(members: DataFrame) -> DataFrame:

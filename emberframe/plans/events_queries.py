@@ -75,10 +75,11 @@ xy AS (SELECT m.*, radians(longitude) * 6371.0088::DOUBLE * cos(radians(ref_lat)
 links AS (SELECT a.obs_id AS v, b.obs_id AS w FROM xy a JOIN xy b ON a.event = b.event AND a.obs_id <> b.obs_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1),
 reach(root, v) AS (SELECT obs_id, obs_id FROM members UNION SELECT r.root, e.w FROM reach r JOIN links e ON e.v = r.v WHERE r.root < e.w),
 labels AS (SELECT v AS obs_id, min(root) AS lobe FROM reach GROUP BY v)
-SELECT event, lobe, count(*) AS observation_count, min(ts) AS first_detection, max(ts) AS last_detection, max(frp) AS max_frp,
+SELECT event, lobe, count(*) AS observation_count, min(ts) AS first_detection, max(ts) AS last_detection, max(frp) AS max_frp, sum(round(latitude * 1e5)::BIGINT) / count(*) / 1e5 AS lat, sum(round(longitude * 1e5)::BIGINT) / count(*) / 1e5 AS lon,
+  epoch_us(max(ts) - min(ts)) / 3600e6 AS duration_hours, round(""" + haversine_sql("min(latitude)", "min(longitude)", "max(latitude)", "max(longitude)") + """, 6) AS spatial_extent_km,
   row_number() OVER (PARTITION BY event ORDER BY count(*) DESC, min(ts), lobe) AS nth FROM members JOIN labels USING (obs_id) GROUP BY event, lobe"""))
 def event_lobes(spark, sf_dir):
-    return ev.lobes(lens.members(spark, sf_dir))
+    return ev.lobes(lens.members(spark, sf_dir)).withColumn("spatial_extent_km", F.round("spatial_extent_km", 6))
 
 
 RADII, HOURS = (0.5, 1.0, 1.5, 2.0), (12.0, 24.0, 48.0, 72.0)
@@ -91,13 +92,13 @@ def _sweep_sql() -> str:
         parts.append(f"""e{i} AS (SELECT a AS v, b AS w FROM pairs WHERE distance_km <= {r} AND gap_hours <= {h} UNION ALL SELECT b, a FROM pairs WHERE distance_km <= {r} AND gap_hours <= {h}),
 r{i}(root, v) AS (SELECT obs_id, obs_id FROM ok UNION SELECT r.root, e.w FROM r{i} r JOIN e{i} e ON e.v = r.v WHERE r.root < e.w),
 s{i} AS (SELECT count(*) AS n FROM (SELECT v, min(root) AS c FROM r{i} GROUP BY v) GROUP BY c)""")
-    ends = " UNION ALL ".join(f"SELECT {r}::DOUBLE AS radius_km, {h}::DOUBLE AS hours, count(*) AS events, count(*) FILTER (WHERE n = 1) AS singletons, max(n) AS largest FROM s{i}" for i, (r, h) in enumerate(cells))
+    ends = " UNION ALL ".join(f"SELECT {r}::DOUBLE AS radius_km, {h}::DOUBLE AS hours, count(*) AS events, count(*) FILTER (WHERE n = 1) AS singletons, count(*) FILTER (WHERE n >= 12) AS large_events, max(n) AS largest, (SELECT count(*) // 2 FROM e{i})::BIGINT AS accepted_pairs FROM s{i}" for i, (r, h) in enumerate(cells))
     return with_views("obs", recursive=True, body=_PAIRS + ",\n" + ",\n".join(parts) + "\n" + ends)
 
 
 @query("threshold_sweep", _sweep_sql())
 def threshold_sweep(spark, sf_dir):
-    return ev.threshold_sweep(_qualified(spark, sf_dir), RADII, HOURS)
+    return ev.threshold_sweep(_qualified(spark, sf_dir), RADII, HOURS, large=12)
 
 
 @query("membership_problems", with_views("obs", "members", body=""", stored AS (SELECT event, count(*) AS n, list(obs_id ORDER BY obs_id) AS ids FROM members WHERE event % 29 <> 0 GROUP BY event),
