@@ -144,11 +144,21 @@ def fetch_ledger(windows: DataFrame, tries: DataFrame, today: str) -> DataFrame:
 
 
 def merged(*frames: DataFrame, keys: list[str] = NATURAL_KEY) -> DataFrame:
-    """Union of frames by column name without repeats of the natural key (its columns that are there)."""
+    """Union of frames by column name without repeats of the natural key (its columns that are there).
+
+    Of rows that repeat a key the one first in confidence stays, then in the other
+    columns in their order, nulls last, whatever frame or task they come from.
+    """
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    return out.dropDuplicates([k for k in keys if k in out.columns])
+    keys = [k for k in keys if k in out.columns]
+    rest = sorted((c for c in out.columns if c not in keys), key=lambda c: c != "confidence")
+    if not keys or not rest:
+        return out.dropDuplicates(keys or None)
+    order = F.struct(*(F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value")) for c in rest))
+    kept = out.groupBy(*keys).agg(F.min(order).alias("_first"))
+    return kept.select(*(F.col(c) if c in keys else F.col(f"_first.col{rest.index(c) + 1}.value").alias(c) for c in out.columns))
 
 
 def hourly_weather(spark: SparkSession, path: str, variables: list[str]) -> DataFrame:
