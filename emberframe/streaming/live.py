@@ -12,7 +12,7 @@ from emberframe.functions.evidence import observed_at
 from emberframe.operators import events as ev
 from emberframe.operators.components import materialise
 from emberframe.operators.spatial import pairs_within, projected
-from emberframe.sources.readers import NATURAL_KEY, OBSERVATIONS
+from emberframe.sources.readers import NATURAL_KEY, OBSERVATIONS, merged
 
 LATENESS = "24 hours"
 
@@ -30,9 +30,13 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
     return parsed(raw)
 
 
-def deduplicated(stream: DataFrame) -> DataFrame:
-    """Detections that overlapping fetches repeat within a day are kept once; state is dropped behind the watermark."""
-    return stream.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(NATURAL_KEY)
+def deduplicated(stream: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Detections that overlapping fetches repeat within a day are kept once; state is dropped behind the watermark.
+
+    Which of a key's rows comes first hangs on tasks; with ``more`` columns those that differ
+    in them all pass, for ``merged`` to choose among what landed.
+    """
+    return stream.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark([*NATURAL_KEY, *more])
 
 
 def within_day(rows: DataFrame, now) -> DataFrame:
@@ -52,7 +56,7 @@ def store_snapshot(rows: DataFrame, path: str, now: str) -> None:
     a part, and one that broke off half way is never served.
     """
     folder = f"{path}/snapshots/{uuid.uuid4().hex}"
-    stamped = within_day(rows, now).dropDuplicates(NATURAL_KEY).withColumn("stored_at", F.lit(now).cast("timestamp"))
+    stamped = merged(within_day(rows, now)).withColumn("stored_at", F.lit(now).cast("timestamp"))
     stamped.write.parquet(folder)
     rows.sparkSession.range(1).select(F.lit(now).cast("timestamp").alias("stored_at"), F.lit(folder).alias("folder")).write.mode("append").parquet(f"{path}/pointers")
 
