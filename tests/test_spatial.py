@@ -36,3 +36,21 @@ def test_nearby_detections_equal_all_pairs(spark):
     want = {r["event"]: r["count"] for r in met.groupBy("event").count().collect()}
     got = {r["event"]: r["nearby_detection_count"] for r in triage.nearby_detections(e, p).collect()}
     assert got == {r["event"]: want.get(r["event"], 0) for r in e.collect()} and sum(got.values()) > 0
+
+
+def test_scenes_are_not_broadcast_once_spread(spark, monkeypatch):
+    from emberframe.operators import scenes
+
+    plans, real = [], scenes.materialise
+
+    def seen(rows):
+        plans.append(_plan(rows))
+        return real(rows)
+
+    monkeypatch.setattr(scenes, "materialise", seen)
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600)
+    box = F.struct(F.lit(9.0).alias("west"), F.lit(-1.0).alias("south"), F.lit(11.0).alias("east"), F.lit(1.0).alias("north"))
+    held = spark.range(20).select(F.col("id").alias("scene_id"), F.lit("S1").alias("sensor"), at.alias("acquired"), F.lit(1.0).alias("cloud"), box.alias("box"), F.lit(None).cast("array<array<array<array<double>>>>").alias("polygons"))
+    events = spark.range(5).select(F.col("id").alias("event"), F.lit(0.0).alias("lat"), F.lit(10.0).alias("lon"), at.alias("first"), at.alias("last"))
+    assert scenes.select_scenes(events, held).count() == 10
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
