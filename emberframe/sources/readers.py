@@ -179,9 +179,12 @@ def daily_weather(spark: SparkSession, path: str, parameters: list[str], fill: f
     return long.groupBy("file", "date").pivot("name", parameters).agg(F.first("value"))
 
 
-def catalogue(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
-    """Imagery items as JSON text, one row each; a page that may have been cut off (full, or with a next link) fails the query."""
-    page = spark.read.text(path, wholetext=True).select(F.col("value").alias("page"))
+def catalogue(spark: SparkSession, path: str, limit: int = 20, lines: bool = False) -> DataFrame:
+    """Imagery items as JSON text, one row each; a page that may have been cut off (full, or with a next link) fails the query.
+
+    A file is a page, or with ``lines`` a page a line, so that very many pages need no file each.
+    """
+    page = spark.read.text(path, wholetext=not lines).select(F.col("value").alias("page"))
     items = F.from_json(F.get_json_object("page", "$.features"), "array<string>")
     alone = F.array(F.col("page"))
     rows = F.coalesce(items, F.from_json("page", "array<string>"), alone)
@@ -191,10 +194,10 @@ def catalogue(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
     return page.select(F.explode(checked).alias("item"))
 
 
-def granules(spark: SparkSession, path: str) -> DataFrame:
-    """(granule, time, links) of catalogue pages {feed: {entry: [...]}}; links without an address go."""
+def granules(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(granule, time, links) of catalogue pages {feed: {entry: [...]}}, one a file or one a line; links without an address go."""
     schema = "feed struct<entry: array<struct<id: string, time_start: string, links: array<struct<href: string>>>>>"
-    entry = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)["feed"]["entry"]).alias("e"))
+    entry = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", schema)["feed"]["entry"]).alias("e"))
     links = F.transform(F.filter("e.links", lambda x: F.coalesce(x["href"], F.lit("")) != ""), lambda x: x["href"])
     return entry.select(F.col("e.id").alias("granule"), F.to_timestamp("e.time_start").alias("time"), F.coalesce(links, F.array().cast("array<string>")).alias("links"))
 

@@ -129,3 +129,15 @@ def test_rules_and_bands(spark):
         priority.components(ev, bad).collect()
     with pytest.raises(ValueError):
         register.page(ev, "event", limit=0)
+
+
+def test_many_pages_land_in_few_files(spark, tmp_path, monkeypatch):
+    from emberframe.plans import register_queries
+
+    monkeypatch.setattr(register_queries, "_folder", lambda _: str(tmp_path / "landed"))
+    table = spark.range(3000).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size"))
+    table.write.parquet(str(tmp_path / "part.parquet"))
+    assert register_queries.landed_catalogue(spark, str(tmp_path)).count() > 0
+    assert len(list((tmp_path / "landed").rglob("part-*"))) <= 8  # 300 pages
+    rows = readers.catalogue(spark, str(tmp_path / "landed"), lines=True)
+    assert rows.count() == 3000
