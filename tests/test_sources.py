@@ -141,3 +141,16 @@ def test_many_pages_land_in_few_files(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "landed").rglob("part-*"))) <= 8  # 300 pages
     rows = readers.catalogue(spark, str(tmp_path / "landed"), lines=True)
     assert rows.count() == 3000
+
+
+def test_served_snapshot_lands_three_files_unsorted(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from emberframe.plans import register_queries
+
+    by, real = [], DataFrameWriter.partitionBy
+    monkeypatch.setattr(register_queries, "_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *c: (by.append(c), real(self, *c))[1])
+    (got,) = register_queries.served_snapshot(spark, "/root/testdata/sf0.001").collect()
+    assert got["rows"] > 0 and str(got["stored_at"]) == "2024-01-31 12:00:00" and got["fresh"] and not got["fresh_later"]
+    assert len(list((tmp_path / "landed").rglob("*.parquet"))) == 3 and not by
