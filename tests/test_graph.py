@@ -37,3 +37,42 @@ def test_context_looks_at_few_pairs(spark, monkeypatch):
     selected = events.where("event % 3 = 0").select("event")
     assert graph.context_of_selection(events, selected).count() == 600
     assert sum(p.count() for p in seen) < 600 * 40  # all pairs: 180,000
+
+
+def _above(plan, key):
+    """Operators above each join over ``key`` in a plan's text."""
+    path, found = [], []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        path = [p for p in path if p[0] < depth] + [(depth, line[depth:])]
+        if "Join" in line and key in line:
+            found.append([p[1].split()[0] for p in path[:-1]])
+    return found
+
+
+def _pairing(spark):
+    """Events on a line, an hour and some 11 km apart, with what ties some of them."""
+    i = F.col("id")
+    at = F.timestamp_seconds(F.lit(1704067200) + i * 3600)
+    events = spark.range(30).select(i.alias("event"), (i * 0.1).alias("lat"), F.lit(100.0).alias("lon"), at.alias("first"), at.alias("last"), F.lit(1.0).alias("extent_km"))
+    wind = events.where("event % 2 = 0").select("event", F.lit(90.0).alias("wind_from"))
+    peat = spark.createDataFrame([(1, 2, 0.75), (2, 1, 0.25), (1, 29, 0.5), (7, 7, 1.0), (3, 99, 1.0)], "source long, target long, peat_fraction double")
+    episodes = events.select("event", (F.col("event") % 2).alias("episode"))
+    again = spark.createDataFrame([(2, 1, False), (1, 2, True), (0, 28, True), (5, 99, True), (9, None, True)], "a long, b long, recurrence boolean")
+    return events, wind, peat, episodes, again
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_edges_have_what_is_told_of_events_and_pairs(spark, known):
+    events, wind, peat, episodes, again = _pairing(spark)
+    got = {(r.source, r.target): r for r in graph.edges(events, wind, peat, episodes, again if known else None).collect()}
+    assert set(got) == {(a, b) for a in range(30) for b in range(a + 1, min(a + 5, 30))} | ({(0, 28)} if known else set())
+    assert {k: r.peat_fraction for k, r in got.items() if r.peat_fraction is not None} == {(1, 2): 0.75}
+    assert {k: r.recurrence for k, r in got.items() if r.recurrence is not None} == ({(1, 2): True, (0, 28): True} if known else {})
+    assert all(r.shared_episode == ((a + b) % 2 == 0) and (r.heading is not None) == (a % 2 == 0) for (a, b), r in got.items())
+
+
+def test_searched_pairs_are_not_shuffled(spark):
+    e = graph.edges(*_pairing(spark)).select("source", "state")
+    joins = _above(e._jdf.queryExecution().executedPlan().toString(), "_cx")
+    assert joins and not any("Exchange" in op for above in joins for op in above)
