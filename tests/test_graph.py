@@ -131,3 +131,15 @@ def test_counted_edges_equal_sums_of_edges(spark, monkeypatch, n, spread, lat, g
 def test_counted_edges_write_no_pairs(spark):
     plan = graph.edge_counts(*_pairing(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "_lx" not in plan and "FlatMapGroupsInArrow" in plan  # no join over cells
+
+
+def test_selections_look_at_their_own_pairs(spark):
+    events, wind, peat, episodes, _ = _pairing(spark)
+    chosen = events.where("event % 9 = 0").select("event")
+    given = (events, wind, peat, episodes, None)
+    got = {(r["event"], r["source"], r["target"], r["outgoing"]) for r in graph.incident(graph.edges_touching(*given, chosen), chosen).collect()}
+    pairs = [(a, b) for a in range(30) for b in range(a + 1, min(a + 5, 30))]
+    assert got == {(e, a, b, e == a) for a, b in pairs for e in (a, b) if e % 9 == 0}
+    one = graph.map_of_selections(*given, [chosen])[0]
+    assert {(r["a"], r["b"], r["computed"]) for r in one.collect()} == {(min(e, s), max(e, s), True) for e in range(30) if e % 9 for s in (9 * ((e + 4) // 9),) if abs(e - s) < 5 and s < 30}
+    assert "marked" in graph.edges_touching(*given, chosen)._jdf.queryExecution().optimizedPlan().toString()
